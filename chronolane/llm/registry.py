@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard
+from . import bpe, jaccard, wavelet
 from .shared import documents
 
+
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """The default tokenizer file; every operator takes another path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -16,8 +24,16 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_sets(spark, documents(spark, sf_dir))
 
 
+def op2_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir), vocabulary())
+
+
+def op5_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.store(spark, documents(spark, sf_dir), vocabulary())
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op8_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op2_bpe_forced_boundaries, op5_wavelet_shards, op8_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
