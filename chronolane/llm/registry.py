@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, wavelet
+from . import bpe, jaccard, jpeg, pii, wavelet
 from .shared import documents
 
 
@@ -32,8 +32,16 @@ def op5_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.store(spark, documents(spark, sf_dir), vocabulary())
 
 
+def op6_jpeg_thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.features(jpeg.store(documents(spark, sf_dir)))
+
+
+def op7_pii_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_bpe_forced_boundaries, op5_wavelet_shards, op8_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op2_bpe_forced_boundaries, op5_wavelet_shards, op6_jpeg_thumbnails, op7_pii_anchor_expansion, op8_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
