@@ -6,11 +6,12 @@ whole sets. A prefix is the first |s| - ceil(0.75 |s|) + 1 shingles in one globa
 sets with Jaccard >= 0.75 always share a prefix shingle. The order puts shingles that many
 documents share last, by the power of two of an estimated document frequency; it decides speed only.
 
-Links are found in two steps. First each group is verified against one group it shares most lists
-with (the smallest of each list), which joins large families of near copies along a star. Then the
-pairs that share a list and are still in different components are counted, filtered by the overlap
-they can still reach, and verified. Nothing is capped: after the second step every pair of sets
-that shares a prefix shingle has been verified or lies in one component.
+Links are found in two steps. First each group is verified against one group that is central in a
+list they share, which joins large families of near copies along a star. Then the pairs that share
+a list and are still in different components are filtered and verified. Two bounds filter, and
+neither loses a link: the overlap that counted prefix shingles can still reach, and parity bitmaps,
+whose differing bits are at most the differing shingles. Nothing is capped: after the second step
+every pair of sets that shares a prefix shingle lies in one component or cannot link.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ from .components import components
 from .shared import slices, written
 
 #: A shingle in fewer documents than this counts as rare in the order of shingles.
-FREQUENT = 32
+FREQUENT = 12
 #: At most this many frequent shingles are told to the tasks (9 bytes each); others count as rare. It changes speed, not results.
 ORDERED = 1 << 20
+#: Longs of a set's parity bitmap.
+BITMAP = 16
 #: Members of one star that one task run verifies together.
 STAR_PART = 256
 
@@ -40,6 +43,28 @@ def needed(n):
     return (3 * n + 3) // 4
 
 
+def needed_sql(n: str):
+    return F.floor((3 * F.col(n) + 3) / 4)
+
+
+def named(df: DataFrame, prefix: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(prefix + c) for c in df.columns))
+
+
+def differing():
+    """Bits in which the bitmaps of x and y differ; at most the shingles that only one of them has."""
+    out = F.lit(0)
+    for i in range(BITMAP):
+        out = out + F.bit_count(F.get("x_bits", F.lit(i)).bitwiseXOR(F.get("y_bits", F.lit(i))))
+    return out
+
+
+def can_link():
+    """Whether sizes and bitmaps allow Jaccard >= 0.75, which is: at most a seventh of both sizes differs."""
+    x, y = F.col("x_n"), F.col("y_n")
+    return (4 * F.least(x, y) >= 3 * F.greatest(x, y)) & (7 * differing() <= x + y)
+
+
 def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles frequent in at least one task, and the power of two of their summed counts. Bounded by ORDERED."""
 
@@ -69,7 +94,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
                 pending, size = [], 0
         if pending:
             keys, counts = merged()
-        often = counts >= 4
+        often = counts >= 2
         yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], ["h", "c"])
 
     local = docs.select("text").mapInArrow(count, "h long, c long")
@@ -82,7 +107,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), node (hash of the set), grp (hash of size and prefix), prefix (array of shingles)."""
+    """doc_id, n (set size), node (hash of the set), grp (hash of size and prefix), prefix (array of shingles), bits (parity bitmap)."""
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(frequent_shingles(docs, k))
 
@@ -90,7 +115,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
         frequent, level = order.value
         for batch in slices(batches):
             sets = textvec.shingle_sets(batch.column("text"), k)
-            n, node, grp, prefixes = [], [], [], []
+            n, node, grp, prefixes, bits = [], [], [], [], []
             for s in sets:
                 size = len(s)
                 p = size - needed(size) + 1 if size else 0
@@ -106,14 +131,16 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 node.append(node_id(s))
                 grp.append(int(textvec.mix(np.add(textvec.mix(prefix + np.uint64(77)).sum(dtype=np.uint64), np.uint64(size), dtype=np.uint64)[None]).view(np.int64)[0]))
                 prefixes.append(prefix)
+                odd = np.bincount((s & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
             ends = np.concatenate(([0], np.cumsum([len(x) for x in prefixes]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(grp, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))],
-                ["doc_id", "n", "node", "grp", "prefix"],
+                [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(grp, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BITMAP), pa.array(np.concatenate(bits)))],
+                ["doc_id", "n", "node", "grp", "prefix", "bits"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, node long, grp long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, node long, grp long, prefix array<long>, bits array<long>")
 
 
 def node_id(s: np.ndarray) -> int:
@@ -177,53 +204,52 @@ def similar_sets(spark: SparkSession, docs: DataFrame, k: int = 5) -> DataFrame:
     is kept; its component is the smallest known doc_id in it, or null.
     """
     signed = written(signatures(docs, k), "signatures")
-    nodes = signed.where("n > 0").groupBy("n", "grp", "node").agg(F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix"))
-    groups = nodes.where("doc is not null").groupBy("n", "grp").agg(F.min(F.struct("node", "doc")).alias("rep"), F.first("prefix").alias("prefix"), F.count("*").alias("members"))
-    groups = written(groups.select("n", "grp", F.col("rep.node").alias("node"), F.col("rep.doc").alias("doc"), "members", "prefix"), "groups")
+    nodes = signed.where("n > 0 and doc_id is not null").groupBy("n", "grp", "node").agg(F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    rep = F.max_by(F.struct("node", "doc", "bits"), "node").alias("rep")
+    groups = written(nodes.groupBy("n", "grp").agg(rep, F.first("prefix").alias("prefix"), F.count("*").alias("members")).select("n", "grp", "rep.*", "members", "prefix"), "groups")
+    info = groups.select("node", "doc", "n", "grp", "bits")
 
-    posting = groups.select(F.explode("prefix").alias("tok"), "node", "doc", "n")
-    lists = posting.groupBy("tok").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("tok", "pivot")
-    hits = written(posting.join(lists, "tok").select("tok", "node", "doc", "n", "pivot"), "hits")
+    posting = groups.select(F.explode("prefix").alias("tok"), "node")
+    lists = posting.groupBy("tok").agg(F.count("*").alias("size")).where("size > 1").select("tok")
+    hits = written(posting.join(lists, "tok"), "hits")
 
     # the sets of one group beyond its representative
     many = groups.where("members > 1").select("n", "grp", F.col("node").alias("b"), F.col("doc").alias("b_doc"))
-    within = signed.where("n > 0").groupBy("n", "grp", "node").agg(F.min("doc_id").alias("doc")).join(many, ["n", "grp"]).where("node != b")
-    within = written(within.select("n", "grp", F.col("node").alias("a"), F.col("doc").alias("a_doc"), "b", "b_doc"), "within")
-
-    # step 1: each group with the pivot it shares most lists with
-    heads = hits.where("node = pivot").select(F.col("node").alias("pivot"), F.col("doc").alias("b_doc"), F.col("n").alias("b_n")).distinct()
-    stars = hits.where("node != pivot").groupBy("node", "doc", "n", "pivot").count().join(heads, "pivot").where("4 * least(n, b_n) >= 3 * greatest(n, b_n)")
-    stars = stars.groupBy(F.col("node").alias("a"), F.col("doc").alias("a_doc")).agg(F.max_by(F.struct(F.col("pivot").alias("b"), "b_doc"), F.struct("count", "pivot")).alias("best"))
+    within = nodes.select("n", "grp", "node", "doc", "bits").join(many, ["n", "grp"]).where("node != b")
+    within = written(within.select("n", "grp", F.col("node").alias("a"), F.col("doc").alias("a_doc"), "bits", "b", "b_doc"), "within")
+
+    # step 1: each group with the nearest of its lists' most central groups; an unedited text shares most of its prefix
+    central = hits.groupBy("node").count().join(groups.select("node", "n"), "node").select("node", (F.col("count") / (F.col("n") - needed_sql("n") + 1)).alias("central"))
+    heads = hits.join(central, "node").groupBy("tok").agg(F.max_by("node", F.struct("central", "node")).alias("pivot"))
+    stars = hits.join(heads, "tok").where("node != pivot").select("node", "pivot").distinct()
+    stars = stars.join(named(info, "x_"), F.col("node") == F.col("x_node")).join(named(info, "y_"), F.col("pivot") == F.col("y_node")).where(can_link())
+    stars = stars.groupBy(F.col("x_node").alias("a"), F.col("x_doc").alias("a_doc")).agg(F.min_by(F.struct(F.col("y_node").alias("b"), F.col("y_doc").alias("b_doc")), F.struct(differing().alias("d"), "y_node")).alias("best"))
     stars = stars.select("a", "a_doc", "best.b", "best.b_doc").unionByName(within.select("a", "a_doc", "b", "b_doc"))
     links = written(verified(stars, docs, k), "links")
     roots = components(links)
 
     # step 2: pairs of groups that share a list while some of their sets are in different components
-    sets = groups.select("grp", "n", "node", "doc").unionByName(within.select("grp", "n", F.col("a").alias("node"), F.col("a_doc").alias("doc")))
-    sets = sets.join(roots, sets.node == roots.id, "left").select("grp", "n", "node", "doc", F.coalesce("root", "node").alias("root"))
-    placed = written(sets, "placed")
-    span = placed.groupBy("grp", "n").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("node")).alias("_"))
-    span = groups.select("grp", "n", "node").join(span.drop("_"), ["grp", "n"]).select("node", "grp", "lo", "hi")
-    marked = written(hits.select("tok", "node", "n").join(span, "node"), "marked")
-    mixed = marked.groupBy("tok").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a != b").select("tok")
-    open_lists = marked.join(mixed, "tok")
-    x = open_lists.select("tok", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "grp", "lo", "hi")))
-    y = open_lists.select("tok", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "grp", "lo", "hi")))
-    apart = x.join(y, "tok").where("x_node < y_node and 4 * least(x_n, y_n) >= 3 * greatest(x_n, y_n) and not (x_lo = x_hi and y_lo = y_hi and x_lo = y_lo)")
+    sets = groups.select("grp", "n", "node", "doc", "bits").unionByName(within.select("grp", "n", F.col("a").alias("node"), F.col("a_doc").alias("doc"), "bits"))
+    placed = written(sets.join(roots, sets.node == roots.id, "left").select("grp", "n", "node", "doc", "bits", F.coalesce("root", "node").alias("root")), "placed")
+    span = placed.groupBy("grp", "n").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    span = groups.select("grp", "n", "node", "members", "bits").join(span, ["grp", "n"])
+    mixed = hits.join(span.select("node", "lo", "hi"), "node").groupBy("tok").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a != b").select("tok")
+    open_lists = written(hits.join(mixed, "tok").join(span, "node"), "open")
+    apart = named(open_lists, "x_").join(named(open_lists, "y_"), F.col("x_tok") == F.col("y_tok")).where("x_node < y_node and not (x_lo = x_hi and y_lo = y_hi and x_lo = y_lo)")
+    apart = apart.where("4 * least(x_n, y_n) >= 3 * greatest(x_n, y_n)").where((F.col("x_members") > 1) | (F.col("y_members") > 1) | can_link())
     apart = apart.groupBy("x_node", "y_node", "x_n", "y_n", "x_grp", "y_grp").agg(F.count("*").alias("shared"))
-    # overlap needed: ceil(3 (x + y) / 7); what the shorter prefix leaves out can add at most n - p = ceil(0.75 n) - 1
-    apart = apart.where("shared + greatest(floor((3 * x_n + 3) / 4), floor((3 * y_n + 3) / 4)) - 1 >= ceil(3 * (x_n + y_n) / 7)")
-    inner = placed.select("grp", "n").join(within.select("grp", "n").distinct(), ["grp", "n"], "left_semi").distinct()
-    apart = apart.select("x_grp", "x_n", "y_grp", "y_n").unionByName(inner.select(F.col("grp").alias("x_grp"), F.col("n").alias("x_n"), F.col("grp").alias("y_grp"), F.col("n").alias("y_n")))
-    a = placed.select(F.col("grp").alias("x_grp"), F.col("n").alias("x_n"), F.col("node").alias("a"), F.col("doc").alias("a_doc"), F.col("root").alias("a_root"))
-    b = placed.select(F.col("grp").alias("y_grp"), F.col("n").alias("y_n"), F.col("node").alias("b"), F.col("doc").alias("b_doc"), F.col("root").alias("b_root"))
-    rest = apart.join(a, ["x_grp", "x_n"]).join(b, ["y_grp", "y_n"]).where("a_root != b_root and (a < b or x_grp != y_grp or x_n != y_n)")
-    rest = written(rest.select("a", "a_doc", "b", "b_doc").distinct(), "rest")
+    # overlap needed: ceil(3 (x + y) / 7); beyond the prefix that ends first at most n - p = ceil(0.75 n) - 1 can be shared
+    apart = apart.where(F.col("shared") + F.greatest(needed_sql("x_n"), needed_sql("y_n")) - 1 >= F.ceil(3 * (F.col("x_n") + F.col("y_n")) / 7))
+    inner = within.select(F.col("grp").alias("x_grp"), F.col("n").alias("x_n"), F.col("grp").alias("y_grp"), F.col("n").alias("y_n")).distinct()
+    apart = apart.select("x_grp", "x_n", "y_grp", "y_n").unionByName(inner)
+    x, y = named(placed, "x_"), named(placed, "y_")
+    rest = apart.join(x, ["x_grp", "x_n"]).join(y, ["y_grp", "y_n"]).where("x_root != y_root and (x_node < y_node or x_grp != y_grp or x_n != y_n)").where(can_link())
+    rest = written(rest.select(F.col("x_node").alias("a"), F.col("x_doc").alias("a_doc"), F.col("y_node").alias("b"), F.col("y_doc").alias("b_doc")).distinct(), "rest")
     if not rest.isEmpty():
         roots = components(links.unionByName(verified(rest, docs, k)))
 
     least = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"))
     least = least.join(roots, least.node == roots.id, "left").select("node", F.coalesce("root", "node").alias("root"), "doc")
-    named = least.join(least.groupBy("root").agg(F.min("doc").alias("component_id")), "root").select("node", "component_id")
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
+    components_of = least.join(least.groupBy("root").agg(F.min("doc").alias("component_id")), "root").select("node", "component_id")
+    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(components_of, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
