@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, jpeg, pii, wavelet
-from .shared import documents
+from . import bpe, compression, jaccard, jpeg, pii, toxicity, wavelet
+from .shared import documents, table
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -28,6 +28,10 @@ def op2_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), vocabulary())
 
 
+def op4_toxicity_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op5_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.store(spark, documents(spark, sf_dir), vocabulary())
 
@@ -40,8 +44,12 @@ def op7_pii_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(documents(spark, sf_dir))
 
 
+def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_bpe_forced_boundaries, op5_wavelet_shards, op6_jpeg_thumbnails, op7_pii_anchor_expansion, op8_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op2_bpe_forced_boundaries, op4_toxicity_weak_supervision, op5_wavelet_shards, op6_jpeg_thumbnails, op7_pii_anchor_expansion, op8_ngram_jaccard_join, op9_compression_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,6 +13,9 @@ import pyarrow as pa
 _rng = np.random.default_rng(20240607)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(9, 14)]] = True
+#: Bytes that belong to a run of letters: ASCII letters, and all bytes of characters beyond ASCII.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64)[_LOWER]
@@ -51,7 +54,8 @@ class Words:
         return len(self.first) - 1
 
 
-def words(column: pa.Array) -> Words:
+def words(column: pa.Array, letters: bool = False) -> Words:
+    """The words of each text; with letters, its runs of letters instead."""
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
     if column.null_count:
         column = column.fill_null("")
@@ -63,7 +67,7 @@ def words(column: pa.Array) -> Words:
     if not n:
         none = np.zeros(0, np.int64)
         return Words(data, none, none, np.zeros(len(column) + 1, np.int64), np.zeros(0, np.uint64))
-    solid = ~_SPACE[data]
+    solid = _LETTER[data] if letters else ~_SPACE[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     cuts = offsets[(offsets > 0) & (offsets < n)]
@@ -73,7 +77,10 @@ def words(column: pa.Array) -> Words:
     stops[cuts - 1] = solid[cuts - 1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     if len(starts):
-        sums = np.add.reduceat(_VALUE[data] * _powers("mul", _MUL, n), starts)
+        value = _VALUE[data]
+        if letters:
+            value[~solid] = 0
+        sums = np.add.reduceat(value * _powers("mul", _MUL, n), starts)
         hashes = mix(sums * _powers("inv", _INV, n)[starts] + (ends - starts).astype(np.uint64))
     else:
         hashes = np.zeros(0, np.uint64)
@@ -110,3 +117,18 @@ def shingle_sets(column: pa.Array, k: int = 5) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+def beginnings(w: Words, k: int) -> np.ndarray:
+    """The hash of each word's first k bytes; 0 for shorter words."""
+    long = np.flatnonzero(w.ends - w.starts >= k)
+    out = np.zeros(len(w.starts), np.uint64)
+    h = np.full(len(long), np.uint64(k), np.uint64)
+    for i in range(k):
+        h += _VALUE[w.data[w.starts[long] + i]] * _STEP[i + 8]
+    out[long] = mix(h)
+    return out
+
+
+def word_hash(word: str, letters: bool = False) -> int:
+    return int(words(pa.array([word], pa.large_string()), letters).hashes[0])
