@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import slices
 
@@ -107,12 +108,14 @@ class Codec:
         fragments, first = self.fragments([x.encode() for x in texts])
         if len(self.known) > KEPT_FRAGMENTS or self.known_bytes > KEPT_BYTES:
             self.known, self.known_bytes = {}, 0
-        new = set(fragments).difference(self.known)
-        if new:
-            self.learn(new)
-        get = self.known.__getitem__
+        found = list(map(self.known.get, fragments))
+        if None in found:
+            missing = [i for i, x in enumerate(found) if x is None]
+            self.learn({fragments[i] for i in missing})
+            for i in missing:
+                found[i] = self.known[fragments[i]]
         bounds = first.tolist()
-        return [np.frombuffer(b"".join(map(get, fragments[a:b])), self.dtype) for a, b in zip(bounds, bounds[1:])]
+        return [np.frombuffer(b"".join(found[a:b]), self.dtype) for a, b in zip(bounds, bounds[1:])]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""
@@ -126,7 +129,7 @@ def codec(path: str) -> Codec:
 
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` and ids (array<int>) of each row's whole text."""
-    schema = docs.select(*keep).schema.add("ids", "array<int>")
+    schema = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

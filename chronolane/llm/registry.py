@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, compression, jaccard, jpeg, pii, toxicity, wavelet
+from . import backoff_lm, bpe, compression, jaccard, jpeg, pii, toxicity, wavelet
 from .shared import documents, table
 
 
@@ -48,8 +48,12 @@ def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op10_backoff_automaton_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_bpe_forced_boundaries, op4_toxicity_weak_supervision, op5_wavelet_shards, op6_jpeg_thumbnails, op7_pii_anchor_expansion, op8_ngram_jaccard_join, op9_compression_quality)}
+    return {f.__name__: f for f in (op2_bpe_forced_boundaries, op4_toxicity_weak_supervision, op5_wavelet_shards, op6_jpeg_thumbnails, op7_pii_anchor_expansion, op8_ngram_jaccard_join, op9_compression_quality, op10_backoff_automaton_lm)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -40,9 +40,12 @@ def build(ids: np.ndarray, lengths: np.ndarray) -> bytes:
     for level in range(levels - 1, -1, -1):
         ones = (x & x.dtype.type(1 << level)) != 0
         planes.append(np.packbits(ones).tobytes())
-        low, high = x.compress(~ones), x.compress(ones)
-        zeros.append(len(low))
-        x = np.concatenate((low, high))
+        z = len(x) - int(np.count_nonzero(ones))
+        zeros.append(z)
+        parted = np.empty_like(x)
+        np.compress(~ones, x, out=parted[:z])
+        np.compress(ones, x, out=parted[z:])
+        x = parted
     body = lengths.astype("<u4").tobytes() + np.array(zeros, "<u4").tobytes() + b"".join(planes)
     packed = zstandard.ZstdCompressor(level=1).compress(body)
     return MAGIC + struct.pack("<IIBI", len(ids), len(lengths), levels, zlib.crc32(packed)) + packed
