@@ -253,3 +253,14 @@ def similar_sets(spark: SparkSession, docs: DataFrame, k: int = 5) -> DataFrame:
     components_of = least.join(least.groupBy("root").agg(F.min("doc").alias("component_id")), "root").select("node", "component_id")
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(components_of, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, k: int = 5) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id is the smallest of its component; one for each such doc_id.
+
+    Texts without words are linked with nothing and stay, and so do rows without a doc_id.
+    """
+    found = similar_sets(spark, docs.select("doc_id", "text"), k)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    return rows.unionByName(docs.where("doc_id is null"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff_lm, bpe, compression, jaccard, jpeg, pii, toxicity, wavelet
+from . import ann, backoff_lm, bpe, compression, jaccard, jpeg, mixing, pii, toxicity, wavelet
 from .shared import documents, table
 
 
@@ -24,10 +24,19 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_sets(spark, documents(spark, sf_dir))
 
 
+def op1_mixing_hierarchical_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(documents(spark, sf_dir))
+
+
 def op2_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), vocabulary())
 
 
+def op3_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op4_toxicity_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -53,8 +62,8 @@ def op10_backoff_automaton_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_bpe_forced_boundaries, op4_toxicity_weak_supervision, op5_wavelet_shards, op6_jpeg_thumbnails, op7_pii_anchor_expansion, op8_ngram_jaccard_join, op9_compression_quality, op10_backoff_automaton_lm)}
+    return {f.__name__: f for f in (op1_mixing_hierarchical_budget, op2_bpe_forced_boundaries, op3_adaptive_dimension_scan, op4_toxicity_weak_supervision, op5_wavelet_shards, op6_jpeg_thumbnails, op7_pii_anchor_expansion, op8_ngram_jaccard_join, op9_compression_quality, op10_backoff_automaton_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing_hierarchical_budget": mixing.MIXTURE_SQL}

@@ -231,3 +231,18 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
     rows = docs.withColumn("held_out", F.coalesce(remainder(5) == 0, F.lit(False))).select(*dict.fromkeys((*keep, "held_out", "text")))
     out = rows.mapInArrow(run, rows.select(*keep, "held_out").schema.add("score", "double"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that score below 0.5, with all their columns. Null texts count as empty and stay null."""
+    model = fit(docs, labels)
+    told = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.constant))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, constant = told.value
+        for batch in slices(batches):
+            sets, _, _ = features(batch.column("text"))
+            z = np.array([weights[(s % np.uint64(BUCKETS)).astype(np.int64)].sum(dtype=np.float64) for s in sets]) + constant
+            yield batch.filter(pa.array(z < 0))
+
+    return docs.mapInArrow(run, docs.schema)
