@@ -33,7 +33,7 @@ PER_LABEL, BUCKETS = 8000, 1 << 18
 #: Lexicon voters by part: mined words, mined beginnings of 4 and of 5 bytes; then patterns.
 WORD_PARTS, BEGIN_PARTS = 6, 4
 VOTERS = 16
-BEGINNINGS = (4, 5)
+BEGINNINGS = (4, 5, 6, 7)
 
 
 @dataclass
@@ -61,23 +61,27 @@ class Model:
 
 
 def features(column: pa.Array) -> tuple[list[np.ndarray], textvec.Words, np.ndarray]:
-    """Each text's distinct features (words and beginnings, as hashes); the words; each word's document."""
+    """Each text's distinct features as hashes, the words, and each word's document.
+
+    Features are words and beginnings, and each of these again as one that comes twice, and as one that comes three times.
+    """
     w = textvec.words(column, letters=True)
     kinds = [w.hashes, *(textvec.beginnings(w, k) for k in BEGINNINGS)]
     out = []
     for i in range(len(w)):
         a, b = w.first[i], w.first[i + 1]
-        out.append(np.unique(np.concatenate([k[a:b] for k in kinds])))
+        h, n = np.unique(np.concatenate([k[a:b] for k in kinds]), return_counts=True)
+        out.append(np.concatenate((h, textvec.mix(h[n > 1] + np.uint64(1)), textvec.mix(h[n > 2] + np.uint64(2)))))
     return out, w, np.repeat(np.arange(len(w)), np.diff(w.first))
 
 
 def unlike(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """One row of each family of near copies with one label, told by their least feature hashes."""
+    """One row of each family of near copies with one label, told by their least shingle hashes."""
     kept: dict = {}
     for at in range(0, len(rows), 400):
         part = rows[at : at + 400]
-        for row, s in zip(part, features(pa.array([t for t, _ in part], pa.large_string()))[0]):
-            kept.setdefault((row[1], tuple(s[s > 0][:2].tolist())), row)
+        for row, s in zip(part, textvec.shingle_sets(pa.array([t for t, _ in part], pa.large_string()))):
+            kept.setdefault((row[1], tuple(s[:2].tolist())), row)
     return list(kept.values())
 
 
@@ -85,33 +89,31 @@ def mined(rows: list[tuple[str, int]], least: float = 0.01) -> Lexicon:
     """What stands in toxic rows mainly: in at least that share of them, and 40 times as often as in clean ones."""
     general = {textvec.word_hash(x, True): 10 + (x in CONTEMPT) for x in (*INSULTS, *CONTEMPT)}
     counts = (Counter(), Counter())
-    begins: set[int] = set()
+    whole: set[int] = set()
     for at in range(0, len(rows), 400):
         part = rows[at : at + 400]
-        column = pa.array([t for t, _ in part], pa.large_string())
-        sets, w, _ = features(column)
-        for k in BEGINNINGS:
-            begins.update(np.unique(textvec.beginnings(w, k)).tolist())
+        sets, w, _ = features(pa.array([t for t, _ in part], pa.large_string()))
+        whole.update(np.unique(w.hashes).tolist())
         for (_, y), s in zip(part, sets):
             counts[y].update(s.tolist())
     toxic, clean = max(1, sum(y for _, y in rows)), max(1, sum(1 - y for _, y in rows))
     voter = dict(general)
     for h, n in counts[1].items():
         if h and n >= 4 and n / toxic >= least and h not in voter and n / toxic > 40 * (counts[0][h] + 0.5) / clean:
-            voter[h] = WORD_PARTS + h % BEGIN_PARTS if h in begins else h % WORD_PARTS
+            voter[h] = h % WORD_PARTS if h in whole else WORD_PARTS + h % BEGIN_PARTS
     keys = np.array(sorted(voter), np.uint64)
     return Lexicon(keys, np.array([voter[int(k)] for k in keys], np.int64))
 
 
 def votes(column: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, list[np.ndarray]]:
     """Each text's votes as bits, and its features."""
-    sets, w, owner = features(column)
+    sets, w, _ = features(column)
     n = len(w)
     bits = np.zeros((n, VOTERS), bool)
-    for kind in (w.hashes, *(textvec.beginnings(w, k) for k in BEGINNINGS)):
-        at, voter = lexicon.hits(kind)
-        bits[owner[at], voter] = True
-    data, first = w.data, w.first
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    at, voter = lexicon.hits(np.concatenate(sets) if n else np.zeros(0, np.uint64))
+    bits[owner[at], voter] = True
+    first = w.first
     texts = [x.as_py() or "" for x in column]
     for i, x in enumerate(texts):
         size = max(1, len(x))
@@ -119,7 +121,6 @@ def votes(column: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, list[np.ndarr
         bits[i, 13] = "!!!" in x or "???" in x
         bits[i, 14] = first[i + 1] - first[i] > 0 and x.upper() == x
         bits[i, 15] = " you " in x or "You " in x
-    del data
     return bits @ (1 << np.arange(VOTERS)), sets
 
 
@@ -159,11 +160,15 @@ def posterior(v: np.ndarray, rates: np.ndarray, weights: np.ndarray, share: floa
     return sigmoid((v * on + (1 - v) * off) @ weights + np.log(share / (1 - share)))
 
 
-def train(sets: list[np.ndarray], y: np.ndarray, passes: int = 30, seed: int = 7) -> tuple[np.ndarray, float]:
+#: What a lexicon entry weighs before training, so that it counts where few labelled texts hold it.
+BELIEF = 4.0
+
+
+def train(sets: list[np.ndarray], y: np.ndarray, lexicon: np.ndarray, passes: int = 30, seed: int = 7) -> tuple[np.ndarray, float]:
     """A logistic classifier on hashed features, by AdaGrad over shuffled texts.
 
     A feature takes part if it is in at least 5 texts and its presence depends on y (chi-square over 25),
-    so that a long text's many indifferent words add nothing.
+    so that a long text's many indifferent words add nothing. Entries of the lexicon always take part.
     """
     index = [(s % np.uint64(BUCKETS)).astype(np.int64) for s in sets]
     index = [np.unique(i) for i in index]
@@ -172,8 +177,11 @@ def train(sets: list[np.ndarray], y: np.ndarray, passes: int = 30, seed: int = 7
     share = np.clip(y.mean(), 1e-4, 1 - 1e-4)
     chi = (toxic - total * share) ** 2 / np.maximum(total * share * (1 - share) * (1 - total / n), 1e-9)
     use = (total >= 5) & (chi > 25)
+    listed = (lexicon % np.uint64(BUCKETS)).astype(np.int64)
+    use[listed] = True
     index = [i[use[i]] for i in index]
     w, g, b, gb = np.zeros(BUCKETS), np.full(BUCKETS, 1e-2), float(np.log(share / (1 - share))), 1e-2
+    w[listed] = BELIEF
     order = np.random.default_rng(seed)
     for _ in range(passes):
         for i in order.permutation(n):
@@ -211,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     rates, trust, share = label_model(counted.column("pattern").to_numpy(), counted.column("n").to_numpy(), share, start)
     posts = [posterior(cast, rates, trust, share)] if len(rows) else []
     y = np.concatenate(posts) if posts else np.zeros(0)
-    weights, constant = train(sets, y) if len(y) else (np.zeros(BUCKETS), float(np.log(max(share, 1e-4) / (1 - share))))
+    weights, constant = train(sets, y, lexicon.hashes) if len(y) else (np.zeros(BUCKETS), float(np.log(max(share, 1e-4) / (1 - share))))
     return Model(lexicon, rates, weights, constant)
 
 

@@ -28,8 +28,6 @@ MAGIC = b"WVM1"
 BLOCK = 512
 #: Tokens after which a shard is closed, at the next document's end.
 SHARD_TOKENS = 1 << 20
-#: Text bytes of one range of doc_ids, about; it bounds a task's rows.
-RANGE_BYTES = 16 << 20
 
 
 def build(ids: np.ndarray, lengths: np.ndarray) -> bytes:
@@ -131,8 +129,8 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     null doc_id sorts first. An empty table has no shard.
     """
     spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("text").cast("double"))).first()[0] or 0
-    n = max(2 * spark.sparkContext.defaultParallelism, int(total // RANGE_BYTES) + 1)
+    # as many ranges as the scan has splits, twice: told by the plan, without reading the texts
+    n = 2 * max(spark.sparkContext.defaultParallelism, docs.select("doc_id").rdd.getNumPartitions())
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered = ordered.withColumn("part", F.spark_partition_id())
 
@@ -174,7 +172,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the shards' files alone."""
     # one small row for each shard: offsets by part, then within it
     sizes = shards.groupBy("part").agg(F.sum("n_tokens").alias("size"))
-    before = sorted((r["part"], r["size"]) for r in sizes.collect())  # one row a range, bounded by the input over RANGE_BYTES
+    before = sorted((r["part"], r["size"]) for r in sizes.collect())  # one row a range, bounded by the number of ranges
     starts, total = {}, 0
     for part, size in before:
         starts[part] = total
