@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from .plans import constraints, identity, joins, market, metrics, quality, revisions, splits, stats, text, timing, validation  # noqa: F401  they register their queries
+from .plans.registry import ORACLES, QUERIES, Query
 
 FLAGSHIP = "movement_series"
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -1 +1 @@
-
+"""Named queries on the driver tables."""
