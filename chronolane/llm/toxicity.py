@@ -29,7 +29,7 @@ INSULTS = ("idiot", "moron", "stupid", "dumb", "fool", "loser", "clown", "imbeci
 CONTEMPT = ("scum", "trash", "garbage", "worthless", "pathetic", "disgusting", "filth", "vermin", "subhuman", "despicable")
 
 #: Labelled rows of each label to learn from; buckets of the classifier's weights.
-PER_LABEL, BUCKETS = 8000, 1 << 18
+PER_LABEL, BUCKETS = 5000, 1 << 18
 #: Lexicon voters by part: mined words, mined beginnings of 4 and of 5 bytes; then patterns.
 WORD_PARTS, BEGIN_PARTS = 6, 4
 VOTERS = 16
@@ -85,22 +85,27 @@ def unlike(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return list(kept.values())
 
 
-def mined(rows: list[tuple[str, int]], least: float = 0.01) -> Lexicon:
-    """What stands in toxic rows mainly: in at least that share of them, and 40 times as often as in clean ones."""
-    general = {textvec.word_hash(x, True): 10 + (x in CONTEMPT) for x in (*INSULTS, *CONTEMPT)}
-    counts = (Counter(), Counter())
-    whole: set[int] = set()
-    for at in range(0, len(rows), 400):
-        part = rows[at : at + 400]
-        sets, w, _ = features(pa.array([t for t, _ in part], pa.large_string()))
-        whole.update(np.unique(w.hashes).tolist())
-        for (_, y), s in zip(part, sets):
-            counts[y].update(s.tolist())
-    toxic, clean = max(1, sum(y for _, y in rows)), max(1, sum(1 - y for _, y in rows))
-    voter = dict(general)
-    for h, n in counts[1].items():
-        if h and n >= 4 and n / toxic >= least and h not in voter and n / toxic > 40 * (counts[0][h] + 0.5) / clean:
-            voter[h] = h % WORD_PARTS if h in whole else WORD_PARTS + h % BEGIN_PARTS
+def mined(sets: list[np.ndarray], y: np.ndarray, whole: np.ndarray, least: float = 0.01) -> Lexicon:
+    """What stands in toxic texts mainly: in at least that share of them, and 40 times as often as in clean ones.
+
+    `whole` holds the hashes of whole words, sorted; other features are beginnings or repetitions.
+    """
+    voter = {textvec.word_hash(x, True): 10 + (x in CONTEMPT) for x in (*INSULTS, *CONTEMPT)}
+    toxic = [s for s, t in zip(sets, y) if t]
+    if toxic:
+        h, n = np.unique(np.concatenate(toxic), return_counts=True)
+        often = (n >= 4) & (n / len(toxic) >= least) & (h > 0)
+        h, n = h[often], n[often]
+        clean = np.zeros(len(h), np.int64)
+        for s, t in zip(sets, y):
+            if not t and len(h):
+                at = np.searchsorted(h, s)
+                at[at == len(h)] = 0
+                clean[at[h[at] == s]] += 1
+        marks = n / len(toxic) > 40 * (clean + 0.5) / max(1, len(sets) - len(toxic))
+        words = np.isin(h, whole, assume_unique=True)
+        for k, w in zip(h[marks].tolist(), words[marks].tolist()):
+            voter.setdefault(k, k % WORD_PARTS if w else WORD_PARTS + k % BEGIN_PARTS)
     keys = np.array(sorted(voter), np.uint64)
     return Lexicon(keys, np.array([voter[int(k)] for k in keys], np.int64))
 
@@ -170,10 +175,11 @@ def train(sets: list[np.ndarray], y: np.ndarray, lexicon: np.ndarray, passes: in
     A feature takes part if it is in at least 5 texts and its presence depends on y (chi-square over 25),
     so that a long text's many indifferent words add nothing. Entries of the lexicon always take part.
     """
-    index = [(s % np.uint64(BUCKETS)).astype(np.int64) for s in sets]
-    index = [np.unique(i) for i in index]
-    flat, owner = np.concatenate(index), np.repeat(np.arange(len(index)), [len(i) for i in index])
-    n, total, toxic = len(index), np.bincount(flat, minlength=BUCKETS), np.bincount(flat, y[owner], minlength=BUCKETS)
+    index = [np.unique((s % np.uint64(BUCKETS)).astype(np.int32)) for s in sets]
+    n, total, toxic = len(index), np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for i, p in zip(index, y):
+        total[i] += 1
+        toxic[i] += p
     share = np.clip(y.mean(), 1e-4, 1 - 1e-4)
     chi = (toxic - total * share) ** 2 / np.maximum(total * share * (1 - share) * (1 - total / n), 1e-9)
     use = (total >= 5) & (chi > 25)
@@ -198,7 +204,16 @@ def train(sets: list[np.ndarray], y: np.ndarray, lexicon: np.ndarray, passes: in
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
     rows = unlike(training_sample(docs, labels, "toxic", per_label))
-    lexicon = mined(rows)
+    label = np.array([y for _, y in rows], int)
+    chunks = [pa.array([t for t, _ in rows[at : at + 400]], pa.large_string()) for at in range(0, len(rows), 400)]
+    del rows
+    sets, whole = [], np.zeros(0, np.uint64)
+    for chunk in chunks:
+        found, w, _ = features(chunk)
+        sets += found
+        whole = np.union1d(whole, w.hashes)
+    lexicon = mined(sets, label, whole)
+    del whole
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << VOTERS, np.int64)
@@ -209,16 +224,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
 
     counted = docs.select("text").mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toArrow()
     share = labels.where((remainder(5) != 0) & F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0] or 0.0
-    sets, seen = [], []
-    for at in range(0, len(rows), 400):
-        bits, found = votes(pa.array([t for t, _ in rows[at : at + 400]], pa.large_string()), lexicon)
-        sets += found
-        seen.append((bits[:, None] >> np.arange(VOTERS)) & 1)
-    cast, label = (np.concatenate(seen), np.array([y for _, y in rows])) if rows else (np.zeros((0, VOTERS), int), np.zeros(0, int))
+    seen = [(votes(chunk, lexicon)[0][:, None] >> np.arange(VOTERS)) & 1 for chunk in chunks]
+    cast = np.concatenate(seen) if seen else np.zeros((0, VOTERS), int)
     start = np.stack([(cast[label == y].sum(0) + 0.01 + 0.09 * y) / ((label == y).sum() + 1) for y in (0, 1)])
     rates, trust, share = label_model(counted.column("pattern").to_numpy(), counted.column("n").to_numpy(), share, start)
-    posts = [posterior(cast, rates, trust, share)] if len(rows) else []
-    y = np.concatenate(posts) if posts else np.zeros(0)
+    y = posterior(cast, rates, trust, share)
     weights, constant = train(sets, y, lexicon.hashes) if len(y) else (np.zeros(BUCKETS), float(np.log(max(share, 1e-4) / (1 - share))))
     return Model(lexicon, rates, weights, constant)
 
