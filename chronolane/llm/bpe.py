@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from .shared import slices
 
-#: Distinct fragments that a worker keeps before it starts afresh, and their bytes.
-KEPT_FRAGMENTS, KEPT_BYTES = 600_000, 48 << 20
+#: Distinct fragments that a worker keeps before it starts afresh (some 200 bytes each), and their bytes.
+KEPT_FRAGMENTS, KEPT_BYTES = 200_000, 32 << 20
 #: White space outside ASCII begins with these bytes in UTF-8 (fixed values of the Unicode standard).
 WIDE_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 
@@ -41,7 +41,7 @@ def byte_alphabet() -> dict[str, int]:
 class Codec:
     """Encodes and decodes with one tokenizer file; keeps a bounded store of encoded fragments."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_FRAGMENTS):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -68,6 +68,7 @@ class Codec:
         narrow = cut.copy()
         narrow[0x80:, :] = False
         self.cuts, self.narrow_cuts = cut.ravel(), narrow.ravel()
+        self.kept = kept
         self.known: dict[bytes, bytes] = {}
         self.known_bytes = 0
 
@@ -106,7 +107,7 @@ class Codec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         fragments, first = self.fragments([x.encode() for x in texts])
-        if len(self.known) > KEPT_FRAGMENTS or self.known_bytes > KEPT_BYTES:
+        if len(self.known) > self.kept or self.known_bytes > KEPT_BYTES:
             self.known, self.known_bytes = {}, 0
         found = list(map(self.known.get, fragments))
         if None in found:
@@ -123,8 +124,8 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(path: str, kept: int = KEPT_FRAGMENTS) -> Codec:
+    return Codec(path, kept)
 
 
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

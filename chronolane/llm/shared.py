@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Python tasks work through their rows in slices of about this many bytes of text.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,8 +47,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         width = 4 if pa.types.is_string(col.type) or pa.types.is_binary(col.type) else 8
         if not len(col):
             continue
-        import numpy as np
-
         offsets = np.frombuffer(col.buffers()[1], np.int32 if width == 4 else np.int64)[col.offset : col.offset + len(col) + 1]
         start = 0
         while start < len(col):
@@ -54,6 +54,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             end = min(max(end, start + 1), len(col))
             yield batch.slice(start, end - start)
             start = end
+    give_back()
+
+
+def give_back() -> None:
+    """Returns what the allocators hold free to the system; idle workers of an executor share its memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

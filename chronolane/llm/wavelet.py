@@ -26,6 +26,8 @@ from .shared import slices, written
 
 MAGIC = b"WVM1"
 BLOCK = 512
+#: Encoded fragments that a worker keeps; more than elsewhere, as encoding is most of the work here.
+KEPT = 600_000
 #: Tokens after which a shard is closed, at the next document's end.
 SHARD_TOKENS = 1 << 20
 
@@ -135,7 +137,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     ordered = ordered.withColumn("part", F.spark_partition_id())
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = codec(path, KEPT)
         end = np.array([end_id], c.dtype)
         held: list = []
         state = {"part": None, "seq": 0, "size": 0}
