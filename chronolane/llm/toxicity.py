@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import textvec
 from .labelled import remainder, sigmoid, training_sample
-from .shared import slices
+from .shared import give_back, slices
 
 # General insults and threats.
 INSULTS = ("idiot", "moron", "stupid", "dumb", "fool", "loser", "clown", "imbecile", "cretin", "jerk")
@@ -230,6 +230,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     rates, trust, share = label_model(counted.column("pattern").to_numpy(), counted.column("n").to_numpy(), share, start)
     y = posterior(cast, rates, trust, share)
     weights, constant = train(sets, y, lexicon.hashes) if len(y) else (np.zeros(BUCKETS), float(np.log(max(share, 1e-4) / (1 - share))))
+    del sets, seen, cast, chunks
+    give_back()
     return Model(lexicon, rates, weights, constant)
 
 
