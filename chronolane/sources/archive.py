@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,11 +51,13 @@ def append(records: DataFrame, path: str) -> DataFrame:
     first = batch.where("reject is null").groupBy("record_id").agg(F.min("content_hash").alias("_first"))
     judged = batch.join(first, "record_id", "left").join(stored, F.col("record_id") == F.col("_id"), "left")
     outcome = F.coalesce(F.col("reject"), F.when(F.col("_hash").isNotNull(), F.when(F.col("_hash") == F.col("content_hash"), "NOOP").otherwise("CONFLICT")), F.when(F.col("content_hash") != F.col("_first"), "CONFLICT"), F.lit("APPENDED"))
-    judged = judged.withColumn("outcome", outcome).persist()
-    report = judged.select("record_id", "outcome")
+    # staged first: the judgement must not be computed again once the archive has grown
+    staged = f"{path.rstrip('/')}.staged/{uuid.uuid4().hex}"
+    judged.withColumn("outcome", outcome).select(*SCHEMA.fieldNames(), "outcome").write.parquet(staged)
+    judged = records.sparkSession.read.parquet(staged)
     new = judged.where("outcome = 'APPENDED'").dropDuplicates(["record_id"]).select(*SCHEMA.fieldNames())
     new.write.mode("append").partitionBy("domain").parquet(path)
-    return report
+    return judged.select("record_id", "outcome")
 
 
 def capture_state(report: DataFrame, session: list[str]) -> DataFrame:
