@@ -6,7 +6,8 @@ per worker, and their ids are concatenated. A cut is used only where the pre-tok
 across it: the left character is no white space, the right one no apostrophe, and it lies between
 characters.
 
-Null texts count as empty and have no ids. The ids equal those of the tokenizers library with
+Null texts count as empty and have no ids; repeated rows are encoded each, long texts whole; an empty table
+gives an empty one, and columns that are not asked for are ignored. The ids equal those of the tokenizers library with
 add_special_tokens=False, including special tokens spelled out in a text.
 """
 

@@ -2,7 +2,8 @@
 
 Two zstandard dictionaries are trained on bounded samples of labelled rows. A whole text is
 compressed with each; the difference of the sizes over their sum, calibrated by a rising curve on
-labelled rows that neither dictionary saw, is the score. Null and empty texts have difference 0.
+labelled rows that neither dictionary saw, is the score. Null and empty texts have difference 0; repeated rows are
+scored each, further columns ignored, and an empty table gives an empty one.
 If a label is missing from the training rows, every text scores the share of the other.
 """
 

@@ -9,7 +9,8 @@ intervals of a batch are Huffman-decoded in step with numpy: one lookup gives th
 the length up to the end of its block. Pictures with other blocks, colour or AC coefficients are
 decoded one symbol at a time; only their luminance DC values are kept.
 
-Null texts count as empty: the payload is then 576 bytes of 255. Payloads that one picture's sides
+Null texts count as empty: the payload is then 576 bytes of 255. Repeated rows are stored each, equal
+texts to equal bytes; further columns are ignored; an empty table gives an empty one. Payloads that one picture's sides
 cannot hold are stored as several pictures, one after the other.
 """
 

@@ -7,7 +7,8 @@ read; nothing else of the text is looked at again. Offsets are code points, ends
 Base kinds (email, ip, card, phone) are the leftmost non-overlapping matches of their patterns; a
 match that fails its check is dropped and not tried again. Added kinds: `url` (scheme and what
 follows up to white space or a closing mark), `account` (identifier after a cue, with at least four
-digits) and `address` (house number next to a street cue). Null texts count as empty.
+digits) and `address` (house number next to a street cue). Null and empty texts have no span; repeated rows are read each, long
+texts whole; an empty table gives an empty one, and other columns do not matter.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ spelling. Every document's votes are counted by pattern, at most 2^16 of them. A
 the votes, fitted to those counts by expectation-maximisation, gives each voter's rates for toxic
 and clean texts; voters that still agree within a class share their weight. Its posteriors label
 the training texts, and a linear classifier on words and word beginnings is trained on them. The
-classifier gives the score. Null and empty texts score by its constant alone.
+classifier gives the score. Null and empty texts score by its constant alone; repeated rows are
+scored each, further columns ignored, and an empty table gives an empty one. Without labelled rows of a
+class the lexicon's prior weights decide.
 """
 
 from __future__ import annotations

@@ -5,6 +5,9 @@ the highest down, a plane of bits with the number of zeros. Before each lower pl
 stably parted by the plane above. Block counts of ones, made on opening, give rank; binary search
 over ranks gives select. Access, counting and lookup of occurrences read the planes alone.
 
+Null and empty texts have the end id alone; rows of one doc_id are neighbours, in the order of their
+texts; further columns are ignored, and an empty table has no shard.
+
 Shards hold ranges of ascending doc_id and are written by Spark as rows (shard, first document,
 length, payload) to the shared folder, so a lost task is simply run again.
 """
@@ -170,20 +173,21 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     return written(ordered.mapInArrow(shard, "part int, seq int, doc_ids array<long>, n_tokens long, payload binary"), "shards")
 
 
+def _starts(sizes: DataFrame, by: list[str], order: str) -> DataFrame:
+    """sizes with start: the sizes before each row of its group."""
+    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("start", F.coalesce(F.sum("size").over(w), F.lit(0)))
+
+
 def read_shards(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the shards' files alone."""
-    # one small row for each shard: offsets by part, then within it
-    sizes = shards.groupBy("part").agg(F.sum("n_tokens").alias("size"))
-    before = sorted((r["part"], r["size"]) for r in sizes.collect())  # one row a range, bounded by the number of ranges
-    starts, total = {}, 0
-    for part, size in before:
-        starts[part] = total
-        total += size
-    keyed = shards.select("part", "seq", "n_tokens")
-    w = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = keyed.withColumn("before", F.coalesce(F.sum("n_tokens").over(w), F.lit(0))).drop("n_tokens")
-    first = shards.sparkSession.createDataFrame(sorted(starts.items()) or [], "part int, base long")
-    offsets = offsets.join(first, "part").select("part", "seq", (F.col("base") + F.col("before")).alias("start"))
+    # where each shard begins: sums of a thousand ranges, then of ranges, then of shards, so that no window holds many rows
+    keyed = shards.select((F.col("part") / 1000).cast("int").alias("block"), "part", "seq", "n_tokens")
+    blocks = _starts(keyed.groupBy("block").agg(F.sum("n_tokens").alias("size")), [], "block")
+    parts = _starts(keyed.groupBy("block", "part").agg(F.sum("n_tokens").alias("size")), ["block"], "part").withColumnRenamed("start", "part_start")
+    offsets = _starts(keyed.select("block", "part", "seq", F.col("n_tokens").alias("size")), ["block", "part"], "seq").withColumnRenamed("start", "seq_start")
+    offsets = offsets.join(parts.select("part", "part_start"), "part").join(blocks.select("block", "start"), "block")
+    offsets = offsets.select("part", "seq", (F.col("start") + F.col("part_start") + F.col("seq_start")).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "payload", 1):
