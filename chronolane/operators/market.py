@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import mad, sorted_median, tukey_iqr
 from ..functions.times import hours_between
+from .series import daily, lagged, running_sum
 
 SERIES = ("market", "provider")
 
@@ -17,12 +18,13 @@ def movements(quotes: DataFrame, series: tuple[str, ...] = SERIES) -> DataFrame:
     A pair is bad if its time does not advance or a price is missing or not positive; one bad pair
     blocks the whole series. First quotes have state FIRST and no delta.
     """
-    w = Window.partitionBy(*series).orderBy("source_time", "quote_id")
-    q = quotes.withColumn("before", F.lag("price").over(w)).withColumn("since", F.lag("source_time").over(w))
+    q = lagged(quotes, list(series), "source_time", "quote_id", {"before": "price", "since": "source_time"}, daily("source_time"))
     q = q.withColumn("hours", hours_between("since", "source_time"))
     bad = F.col("since").isNotNull() & ~((F.col("hours") > 0) & (F.col("price") > 0) & (F.col("before") > 0))
     bad = F.coalesce(bad, F.lit(True)) | (F.col("since").isNull() & ~F.coalesce(F.col("price") > 0, F.lit(False)))
-    q = q.withColumn("blocked", F.max(bad).over(Window.partitionBy(*series)))
+    q = q.withColumn("bad", bad)
+    blocked = q.groupBy(*series).agg(F.max("bad").alias("blocked"))  # partial sums first: a hot series costs no more
+    q = q.drop("bad").join(blocked, list(series))
     state = F.when(F.col("blocked"), "BLOCKED").when(F.col("since").isNull(), "FIRST").otherwise("AVAILABLE")
     q = q.withColumn("state", state)
     ok = F.col("state") == "AVAILABLE"
@@ -32,9 +34,8 @@ def movements(quotes: DataFrame, series: tuple[str, ...] = SERIES) -> DataFrame:
 
 def accelerations(moved: DataFrame, series: tuple[str, ...] = SERIES) -> DataFrame:
     """Of the last three quotes of each series: (v_k - v_{k-1}) / hours between the pairs' ends. Below three, UNKNOWN."""
-    w = Window.partitionBy(*series).orderBy("source_time", "quote_id")
-    last = Window.partitionBy(*series).orderBy(F.desc("source_time"), F.desc("quote_id"))
-    m = moved.withColumn("velocity_before", F.lag("velocity").over(w)).withColumn("rn", F.row_number().over(last)).where("rn = 1")
+    m = lagged(moved, list(series), "source_time", "quote_id", {"velocity_before": "velocity"}, daily("source_time"))
+    m = latest(m.select(*series, "source_time", "quote_id", "velocity", "velocity_before", "hours"), series, ("source_time", "quote_id"))
     value = F.try_divide(F.col("velocity") - F.col("velocity_before"), F.col("hours"))
     return m.select(*series, "quote_id", "velocity_before", F.col("velocity").alias("velocity_after"), value.alias("acceleration"), F.when(value.isNull(), "UNKNOWN").otherwise("AVAILABLE").alias("accel_state"))
 
@@ -52,10 +53,9 @@ def heat(moved: DataFrame, by: tuple[str, ...] = ("market",)) -> DataFrame:
 def pressure_runs(moved: DataFrame, series: tuple[str, ...] = SERIES) -> DataFrame:
     """Longest run of equal movement signs (no-change dropped), its direction, and whether the sign ever turned."""
     s = moved.where("delta != 0").withColumn("sign", F.signum("delta").cast("int"))
-    w = Window.partitionBy(*series).orderBy("source_time", "quote_id")
-    turned = F.coalesce(F.col("sign") != F.lag("sign").over(w), F.lit(False)).cast("int")
-    s = s.withColumn("turned", turned)
-    s = s.withColumn("run", F.sum("turned").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = lagged(s, list(series), "source_time", "quote_id", {"sign_before": "sign"}, daily("source_time"))
+    s = s.withColumn("turned", F.coalesce(F.col("sign") != F.col("sign_before"), F.lit(False)).cast("int"))
+    s = running_sum(s, list(series), "source_time", "quote_id", "turned", "run", daily("source_time"))
     runs = s.groupBy(*series, "run", "sign").agg(F.count("*").alias("length"))
     best = F.max_by(F.struct("length", "sign"), F.struct("length", (-F.col("run")).alias("r")))
     out = runs.groupBy(*series).agg(best.alias("best"), F.max("run").alias("turns"))
@@ -64,8 +64,8 @@ def pressure_runs(moved: DataFrame, series: tuple[str, ...] = SERIES) -> DataFra
 
 def anomaly_flags(moved: DataFrame, jump: float, fast: float, least: int = 3, series: tuple[str, ...] = SERIES) -> DataFrame:
     """Flags of a series and a state by their number: few quotes win, then two flags and more, then one."""
-    w = Window.partitionBy(*series).orderBy("source_time", "quote_id")
-    m = moved.withColumn("reverses", F.signum("delta") * F.signum(F.lag("delta").over(w)) < 0)
+    m = lagged(moved, list(series), "source_time", "quote_id", {"delta_before": "delta"}, daily("source_time"))
+    m = m.withColumn("reverses", F.signum("delta") * F.signum("delta_before") < 0)
     g = m.groupBy(*series).agg(
         F.count("*").alias("snapshots"), F.coalesce(F.max(F.abs("delta") > jump), F.lit(False)).alias("jump"),
         F.coalesce(F.max(F.abs("velocity") > fast), F.lit(False)).alias("fast"), F.coalesce(F.max("reverses"), F.lit(False)).alias("reversal"),

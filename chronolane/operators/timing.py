@@ -61,8 +61,12 @@ def visible(records: DataFrame, cutoff, keys: list[str], when: str = "available_
     return seen.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(revision, tie)).alias("row")).select(*keys, "row.*")
 
 
-def snapshot_digest(records: DataFrame, by: list[str], order: list[str], payload: list[str]) -> DataFrame:
-    """Number of rows of each group, and sha256 over their payload in a fixed order."""
+def snapshot_digest(records: DataFrame, by: list[str], piece: Column, order: list[str], payload: list[str]) -> DataFrame:
+    """Number of rows of each group, and sha256 over the digests of its pieces in order, each over its rows' payload in order.
+
+    Rows are gathered by piece (a day, say), never by group, so a large group is no single value.
+    """
     text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in payload))
-    g = records.groupBy(*by).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(*order, text.alias("text")))).alias("rows"))
-    return g.select(*by, "n", F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.transform("rows", lambda r: r.text), "\n"), 256)).alias("digest"))
+    digest = lambda rows: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda r: r.text), "\n"), 256)
+    pieces = records.withColumn("piece", piece).groupBy(*by, "piece").agg(F.count("*").alias("n"), digest(F.struct(*order, text.alias("text"))).alias("d"))
+    return pieces.groupBy(*by).agg(F.sum("n").alias("n"), F.concat(F.lit("sha256:"), digest(F.struct("piece", F.col("d").alias("text")))).alias("digest"))

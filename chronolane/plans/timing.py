@@ -46,11 +46,11 @@ def visible_revision(spark, sf_dir):
     return v.select("provider", "market", "record_id", "revision", "price")
 
 
-@query(f"""select 'sha256:' || sha256(string_agg(txt, chr(10) order by ts, event_id)) as digest, user_id as provider, count(*) as n from
-(select user_id, ts, event_id, event_id || '|' || event_type as txt from events where ts <= timestamp '2024-01-10 00:00:00') group by user_id""")
+@query("""select user_id as provider, cast(sum(n) as bigint) as n, 'sha256:' || sha256(string_agg(d, chr(10) order by day)) as digest from
+(select user_id, cast(ts as date) as day, count(*) as n, sha256(string_agg(event_id || '|' || event_type, chr(10) order by ts, event_id)) as d from events where ts <= timestamp '2024-01-10 00:00:00' group by all) group by user_id""")
 def deterministic_snapshot(spark, sf_dir):
     q = quotes(spark, sf_dir).where("source_time <= timestamp_ntz '2024-01-10 00:00:00'")
-    return t.snapshot_digest(q, ["provider"], ["source_time", "quote_id"], ["quote_id", "market"])
+    return t.snapshot_digest(q, ["provider"], F.to_date("source_time"), ["source_time", "quote_id"], ["quote_id", "market"])
 
 
 @query("""select o_orderkey as match_id, coalesce(case when o_orderstatus = 'F' then o_orderdate end, case when o_orderstatus = 'O' then o_orderdate + interval 1 day end, o_orderdate + interval 2 day) as availability_at from orders""")
