@@ -1,7 +1,8 @@
 """Quality by compression: dictionaries of good and of bad text, and which of them helps more.
 
-Two zstandard dictionaries are trained on bounded samples of labelled rows. A whole text is
-compressed with each; the difference of the sizes over their sum, calibrated by a rising curve on
+Two zstandard dictionaries are trained on bounded samples of labelled rows. All of a text is
+compressed with each, in parts so short that the dictionary counts rather than the text's own
+repetitions; the difference of the sizes over the text's bytes, calibrated by a rising curve on
 labelled rows that neither dictionary saw, is the score. Null and empty texts have difference 0; repeated rows are
 scored each, further columns ignored, and an empty table gives an empty one.
 If a label is missing from the training rows, every text scores the share of the other.
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from .labelled import remainder, training_sample
 from .shared import slices
 
-#: Labelled rows of each label to fit on, bytes of a dictionary, and bytes of the pieces it is trained on.
-PER_LABEL, DICTIONARY_BYTES, PIECE = 6000, 112 << 10, 8000
+#: Labelled rows of each label to fit on, bytes of a dictionary at most, of the pieces it is trained on, and of the parts compressed.
+PER_LABEL, DICTIONARY_BYTES, PIECE, PART = 6000, 512 << 10, 8000, 600
 LEVEL = 3
 
 
@@ -40,14 +41,19 @@ class Model:
 
 
 def differences(texts: list[str], compressors) -> np.ndarray:
-    """(bad - good) / (bad + good) of the compressed sizes; above 0 the good dictionary helps more."""
+    """(bad - good) / bytes of the compressed sizes; above 0 the good dictionary helps more."""
     if compressors is None:
         return np.zeros(len(texts))
-    good, bad = compressors
-    raw = [x.encode() for x in texts]
-    a = np.array([len(good.compress(x)) for x in raw], float)
-    b = np.array([len(bad.compress(x)) for x in raw], float)
-    return np.where([len(x) > 0 for x in raw], (b - a) / (a + b), 0.0)
+    good, bad = (c.compress for c in compressors)
+    out = np.zeros(len(texts))
+    for i, text in enumerate(texts):
+        raw = text.encode()
+        gain = 0
+        for at in range(0, len(raw), PART):
+            part = raw[at : at + PART]
+            gain += len(bad(part)) - len(good(part))
+        out[i] = gain / max(1, len(raw))
+    return out
 
 
 def pieces(texts: list[str]) -> list[bytes]:
@@ -83,7 +89,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
         return flat
     held = [([t for i, t in enumerate(x) if i % 4 == 0], [t for i, t in enumerate(x) if i % 4]) for x in (good, bad)]
     try:
-        trained = [zstandard.train_dictionary(DICTIONARY_BYTES, pieces(x[1])).as_bytes() for x in held]
+        trained = []
+        for _, texts in held:
+            parts = pieces(texts)
+            trained.append(zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, parts)) // 4), parts).as_bytes())
     except zstandard.ZstdError:  # too little text for a dictionary
         return flat
     model = Model(*trained, flat.at, flat.value)
