@@ -89,10 +89,10 @@ class Codec:
         return [buf[i:j] for i, j in zip(places, places[1:])], np.searchsorted(at, ends)
 
     def learn(self, fragments: set[bytes]) -> None:
-        """Encodes fragments. Those that begin with a space and end in a letter or digit are certain cuts to each other, so many are encoded as one text."""
-        spaced = [x for x in fragments if x[0] == 32 and len(x) > 1 and (x[-1:].isalnum()) and x[1:2] != b" "]
-        spaced_set = set(spaced)
-        rest = [x for x in fragments if x not in spaced_set]
+        """Encodes fragments. Between an ASCII letter or digit and a space is a certain cut, so those that begin and end so are encoded as one text."""
+        spaced, rest = [], []
+        for x in fragments:
+            (spaced if x[0] == 32 and x[-1:].isalnum() and x[1] != 32 else rest).append(x)
         for i in range(0, len(spaced), 1000):
             part = spaced[i : i + 1000]
             ids = np.array(self.tokenizer.encode(b"".join(part).decode(), add_special_tokens=False).ids, np.int64)
