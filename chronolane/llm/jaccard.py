@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import textvec
 from .components import components
-from .shared import slices, written
+from .shared import most_counted, slices, written
 
 #: A shingle in fewer documents than this counts as rare in the order of shingles.
 FREQUENT = 12
@@ -95,15 +95,13 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         if pending:
             keys, counts = merged()
         often = counts >= 2
-        yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], ["h", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], ["k", "c"])
 
-    local = docs.select("text").mapInArrow(count, "h long, c long")
-    top = local.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
-    found = top.orderBy(F.desc("c"), "h").limit(ORDERED).toArrow()
-    h = found.column("h").to_numpy().view(np.uint64)
+    local = docs.select("text").mapInArrow(count, "k long, c long")
+    h, c = most_counted(written(local.groupBy("k").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT), "frequent"), ORDERED)
+    h = h.view(np.uint64)
     order = np.argsort(h)
-    level = np.log2(np.maximum(found.column("c").to_numpy(), 1)).astype(np.uint8)
-    return h[order], level[order]
+    return h[order], np.log2(np.maximum(c[order], 1)).astype(np.uint8)
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:

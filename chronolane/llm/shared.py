@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Python tasks work through their rows in slices of about this many bytes of text.
 SLICE_BYTES = 1 << 20
@@ -69,3 +70,21 @@ def give_back() -> None:
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]
+
+
+def most_counted(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys with the highest counts, at most `most`: all those above a count that a histogram of counts gives. Sorted by key."""
+    level = F.when(F.col("c") < 1000, F.col("c")).otherwise(1000 + F.floor(20 * F.log(F.col("c") / 1000)))
+    histogram = counts.groupBy(level.alias("level")).count().collect()  # under 2000 rows
+    least, total = None, 0
+    for r in sorted(histogram, key=lambda r: -r["level"]):
+        total += r["count"]
+        if total > most:
+            break
+        least = r["level"]
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found = counts.where(level >= least).select("k", "c").toArrow()
+    k, c = found.column("k").to_numpy(), found.column("c").to_numpy()
+    order = np.argsort(k)
+    return k[order], c[order]
