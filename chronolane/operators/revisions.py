@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import daily, lagged, running_sum
 from .timing import ladder
 
 
@@ -26,11 +27,13 @@ def revision_check(rows: DataFrame, key: list[str], revision: str, supersedes: s
     return checked.withColumn("revision_state", state).drop("_before", "_id")
 
 
-def hash_revisions(rows: DataFrame, key: list[str], order: list[str], content: str) -> DataFrame:
-    """rows with revision: it rises by one whenever the content differs from the row before."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    changed = F.when(F.col(content).eqNullSafe(F.lag(content).over(w)), 0).otherwise(1)
-    return rows.withColumn("_changed", changed).withColumn("revision", F.sum("_changed").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_changed")
+def hash_revisions(rows: DataFrame, key: list[str], order: tuple[str, str], content: str) -> DataFrame:
+    """rows with revision: it rises by one whenever the content differs from the row before, in order of a time and a tie."""
+    time, tie = order
+    r = lagged(rows.withColumn("_there", F.lit(True)), key, time, tie, {"_content": content, "_follows": "_there"}, daily(time))
+    same = F.coalesce(F.col("_follows"), F.lit(False)) & F.col(content).eqNullSafe(F.col("_content"))
+    r = r.withColumn("_changed", F.when(same, 0).otherwise(1)).drop("_there", "_content", "_follows")
+    return running_sum(r, key, time, tie, "_changed", "revision", daily(time)).drop("_changed")
 
 
 def audit_chain(rows: DataFrame, entity: list[str], order: list[str], payload: str) -> DataFrame:

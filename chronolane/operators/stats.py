@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 def recent(rows: DataFrame, team: list[str], most: int = 20, event: str = "event_time", match: str = "match_id") -> DataFrame:
     """Rows of each team's most recent distinct matches, with their rank from 0; all rows of one match share it."""
     w = Window.partitionBy(*team).orderBy(F.desc(event), match)
-    return rows.withColumn("recency", F.dense_rank().over(w) - 1).where(F.col("recency") < most)
+    # the bare rank against a number lets Spark drop the rest of a hot team before the shuffle
+    ranked = rows.withColumn("recency", F.dense_rank().over(w)).where(F.col("recency") <= most)
+    return ranked.withColumn("recency", F.col("recency") - 1)
 
 
 def weight(half_life: float, rank: str = "recency") -> Column:

@@ -30,7 +30,7 @@ def latest_fact(spark, sf_dir):
 select event_id as quote_id, cast(sum(c) over (partition by user_id order by ts, event_id) as bigint) as revision from c""")
 def hash_revisions(spark, sf_dir):
     q = quotes(spark, sf_dir).withColumn("content", F.floor(F.col("price") / 200))
-    return r.hash_revisions(q, ["provider"], ["source_time", "quote_id"], "content").select("quote_id", "revision")
+    return r.hash_revisions(q, ["provider"], ("source_time", "quote_id"), "content").select("quote_id", "revision")
 
 
 @query("""with p as (select conv_id, turn, sha256(role || coalesce(text, '')) as own from conversations), w as (select *, lag(own) over (partition by conv_id order by turn, own) as prev_hash from p)

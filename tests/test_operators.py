@@ -208,3 +208,18 @@ def test_user_functions(spark):
     assert [r["check"] for r in got] == ["OK", "RANGE"]
     means = plugins.fit_by(rows.withColumn("g", F.lit("a")), ["g"], lambda p: p.groupby("g", as_index=False).agg(mean=("x", "mean")), "g string, mean double", 100)
     assert means.first()["mean"] == 1.125
+
+
+def test_pieces_equal_whole_windows(spark):
+    from pyspark.sql import Window
+
+    from chronolane.operators import series
+
+    rows = [(k, day(n % 40 // 4) + dt.timedelta(hours=n % 3), n, None if n % 7 == 0 else float(n * n % 11)) for k in ("a", "b", None) for n in range(60)]
+    df = spark.createDataFrame(rows, "k string, t timestamp_ntz, id long, v double")
+    w = Window.partitionBy("k").orderBy("t", "id")
+    want = df.withColumn("before", F.lag("v").over(w)).withColumn("total", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    got = series.lagged(df, ["k"], "t", "id", {"before": "v"}, series.daily("t"))
+    got = series.running_sum(got.withColumn("v", F.coalesce("v", F.lit(0.0))), ["k"], "t", "id", "v", "total", series.daily("t"))
+    key = lambda r: (str(r["k"]), r["id"], r["before"], r["total"] or 0.0)
+    assert sorted(map(key, got.collect()), key=str) == sorted(map(key, want.collect()), key=str)
