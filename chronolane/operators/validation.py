@@ -59,10 +59,10 @@ def eligibility(rows: DataFrame, roles: tuple[str, ...], handicap: str, missing_
 def leakage(samples: DataFrame, identity: str, feature_at: str, cutoff: str, label_at: str, partition: str, match: str) -> DataFrame:
     """One row for each kind of leak and sample: duplicate ids, features after the cutoff, labels up to it, matches in two partitions."""
     dup = samples.groupBy(identity).count().where("count > 1").select(F.lit("DUPLICATE_ID").alias("leak"), F.col(identity).cast("string").alias("item"))
-    late = samples.where(F.col(feature_at) > F.col(cutoff)).select(F.lit("FEATURE_AFTER_CUTOFF").alias("leak"), F.col(identity).cast("string").alias("item"))
-    early = samples.where(F.col(label_at) <= F.col(cutoff)).select(F.lit("LABEL_BEFORE_CUTOFF").alias("leak"), F.col(identity).cast("string").alias("item"))
+    of_row = failures((F.col(feature_at) > F.col(cutoff), "FEATURE_AFTER_CUTOFF"), (F.col(label_at) <= F.col(cutoff), "LABEL_BEFORE_CUTOFF"))
+    own = samples.select(F.explode(of_row).alias("leak"), F.col(identity).cast("string").alias("item"))
     split = samples.groupBy(match).agg(F.count_distinct(partition).alias("n")).where("n > 1").select(F.lit("MATCH_ACROSS_PARTITIONS").alias("leak"), F.col(match).cast("string").alias("item"))
-    return reduce(DataFrame.unionByName, (dup, late, early, split))
+    return reduce(DataFrame.unionByName, (dup, own, split))
 
 
 def all_gates(rows: DataFrame, gates: dict[str, Column]) -> DataFrame:

@@ -39,7 +39,7 @@ def visible_revision(spark, sf_dir):
     from pyspark.sql import Window
 
     cutoff = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
-    q = quotes(spark, sf_dir).withColumn("domain", F.when(F.col("provider") % 3 == 0, "POST_MATCH").otherwise("PRE_MATCH"))
+    q = quotes(spark, sf_dir).drop("line").withColumn("domain", F.when(F.col("provider") % 3 == 0, "POST_MATCH").otherwise("PRE_MATCH"))
     w = Window.partitionBy("provider", "market").orderBy("source_time", "quote_id")
     known = q.where((F.col("domain") == "POST_MATCH") | (F.col("source_time") <= cutoff)).withColumn("revision", F.row_number().over(w).cast("long"))
     v = t.visible(known.withColumnRenamed("quote_id", "record_id"), cutoff, ["provider", "market"], "source_time")
