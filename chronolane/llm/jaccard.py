@@ -202,9 +202,11 @@ def similar_sets(spark: SparkSession, docs: DataFrame, k: int = 5) -> DataFrame:
     is kept; its component is the smallest known doc_id in it, or null.
     """
     signed = written(signatures(docs, k), "signatures")
-    nodes = signed.where("n > 0 and doc_id is not null").groupBy("n", "grp", "node").agg(F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-    rep = F.max_by(F.struct("node", "doc", "bits"), "node").alias("rep")
-    groups = written(nodes.groupBy("n", "grp").agg(rep, F.first("prefix").alias("prefix"), F.count("*").alias("members")).select("n", "grp", "rep.*", "members", "prefix"), "groups")
+    known = signed.where("n > 0 and doc_id is not null")
+    # one grouping, which combines before its shuffle: copies collapse where they are read, and prefixes travel once
+    rep = F.max_by(F.struct("node", F.col("doc_id").alias("doc"), "bits"), F.struct("node", (-F.col("doc_id")).alias("least"))).alias("rep")
+    groups = known.groupBy("n", "grp").agg(rep, F.first("prefix").alias("prefix"), F.min("node").alias("other"))
+    groups = written(groups.select("n", "grp", "rep.*", (F.col("other") != F.col("rep.node")).alias("several"), "prefix"), "groups")
     info = groups.select("node", "doc", "n", "grp", "bits")
 
     posting = groups.select(F.explode("prefix").alias("tok"), "node")
@@ -212,8 +214,9 @@ def similar_sets(spark: SparkSession, docs: DataFrame, k: int = 5) -> DataFrame:
     hits = written(posting.join(lists, "tok"), "hits")
 
     # the sets of one group beyond its representative
-    many = groups.where("members > 1").select("n", "grp", F.col("node").alias("b"), F.col("doc").alias("b_doc"))
-    within = nodes.select("n", "grp", "node", "doc", "bits").join(many, ["n", "grp"]).where("node != b")
+    many = groups.where("several").select("n", "grp", F.col("node").alias("b"), F.col("doc").alias("b_doc"))
+    within = known.select("n", "grp", "node", "doc_id", "bits").join(many, ["n", "grp"]).where("node != b")
+    within = within.groupBy("n", "grp", "node", "b", "b_doc").agg(F.min("doc_id").alias("doc"), F.first("bits").alias("bits"))
     within = written(within.select("n", "grp", F.col("node").alias("a"), F.col("doc").alias("a_doc"), "bits", "b", "b_doc"), "within")
 
     # step 1: each group with the nearest of its lists' most central groups; an unedited text shares most of its prefix
@@ -230,11 +233,11 @@ def similar_sets(spark: SparkSession, docs: DataFrame, k: int = 5) -> DataFrame:
     sets = groups.select("grp", "n", "node", "doc", "bits").unionByName(within.select("grp", "n", F.col("a").alias("node"), F.col("a_doc").alias("doc"), "bits"))
     placed = written(sets.join(roots, sets.node == roots.id, "left").select("grp", "n", "node", "doc", "bits", F.coalesce("root", "node").alias("root")), "placed")
     span = placed.groupBy("grp", "n").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    span = groups.select("grp", "n", "node", "members", "bits").join(span, ["grp", "n"])
+    span = groups.select("grp", "n", "node", "several", "bits").join(span, ["grp", "n"])
     mixed = hits.join(span.select("node", "lo", "hi"), "node").groupBy("tok").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a != b").select("tok")
     open_lists = written(hits.join(mixed, "tok").join(span, "node"), "open")
     apart = named(open_lists, "x_").join(named(open_lists, "y_"), F.col("x_tok") == F.col("y_tok")).where("x_node < y_node and not (x_lo = x_hi and y_lo = y_hi and x_lo = y_lo)")
-    apart = apart.where("4 * least(x_n, y_n) >= 3 * greatest(x_n, y_n)").where((F.col("x_members") > 1) | (F.col("y_members") > 1) | can_link())
+    apart = apart.where("4 * least(x_n, y_n) >= 3 * greatest(x_n, y_n)").where(F.col("x_several") | F.col("y_several") | can_link())
     apart = apart.groupBy("x_node", "y_node", "x_n", "y_n", "x_grp", "y_grp").agg(F.count("*").alias("shared"))
     # overlap needed: ceil(3 (x + y) / 7); beyond the prefix that ends first at most n - p = ceil(0.75 n) - 1 can be shared
     apart = apart.where(F.col("shared") + F.greatest(needed_sql("x_n"), needed_sql("y_n")) - 1 >= F.ceil(3 * (F.col("x_n") + F.col("y_n")) / 7))
