@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,7 +34,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of one Arrow batch between Spark and a Python task; each lives a few times over on both sides.
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for a query; its session is held to batches that leave an executor room."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(limit, None) or "") or 0) > BATCH_BYTES:
+        spark.conf.set(limit, f"{BATCH_BYTES}b")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
