@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,7 +40,7 @@ BATCH_BYTES = 8 << 20
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table for a query; its session is held to batches that leave an executor room."""
     limit = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.sub(r"\D", "", spark.conf.get(limit, None) or "") or 0) > BATCH_BYTES:
+    if spark.conf.get(limit, None) is None:  # what somebody has set stays
         spark.conf.set(limit, f"{BATCH_BYTES}b")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
