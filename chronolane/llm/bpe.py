@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import slices
+from .shared import give_back, slices
 
 #: Distinct fragments that a worker keeps before it starts afresh (some 200 bytes each), and their bytes.
 KEPT_FRAGMENTS, KEPT_BYTES = 200_000, 32 << 20
@@ -129,6 +129,12 @@ def codec(path: str, kept: int = KEPT_FRAGMENTS) -> Codec:
     return Codec(path, kept)
 
 
+def forget() -> None:
+    """Frees a worker's codecs at a task's end; other stages of a pipeline run in the same worker."""
+    codec.cache_clear()
+    give_back()
+
+
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` and ids (array<int>) of each row's whole text."""
     schema = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType()))
@@ -139,6 +145,7 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
             offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*keep, "ids"])
+        forget()
 
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
@@ -167,6 +174,8 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             decimal = [hashlib.sha256(",".join(map(c.decimal.__getitem__, x.tolist())).encode()).hexdigest() for x in ids]
             decoded = [hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(decimal), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        del c
+        forget()
 
     schema = docs.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)

@@ -201,11 +201,13 @@ def similar_sets(spark: SparkSession, docs: DataFrame, k: int = 5) -> DataFrame:
     back as often as they came, in one component. Further columns of docs are ignored. A null doc_id
     is kept; its component is the smallest known doc_id in it, or null.
     """
-    signed = written(signatures(docs, k), "signatures")
+    # prefixes are worked out again for the grouping rather than written: they would be half of the folder's bytes
+    full = signatures(docs, k)
+    signed = written(full.drop("prefix"), "signatures")
     known = signed.where("n > 0 and doc_id is not null")
     # one grouping, which combines before its shuffle: copies collapse where they are read, and prefixes travel once
     rep = F.max_by(F.struct("node", F.col("doc_id").alias("doc"), "bits"), F.struct("node", (-F.col("doc_id")).alias("least"))).alias("rep")
-    groups = known.groupBy("n", "grp").agg(rep, F.first("prefix").alias("prefix"), F.min("node").alias("other"))
+    groups = full.where("n > 0 and doc_id is not null").groupBy("n", "grp").agg(rep, F.first("prefix").alias("prefix"), F.min("node").alias("other"))
     groups = written(groups.select("n", "grp", "rep.*", (F.col("other") != F.col("rep.node")).alias("several"), "prefix"), "groups")
     info = groups.select("node", "doc", "n", "grp", "bits")
 
