@@ -156,7 +156,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
                 ["part", "seq", "doc_ids", "n_tokens", "payload"],
             )
 
-        for batch in slices(batches):
+        for batch in slices(batches, limit=2 << 20):
             encoded = c.encode([x or "" for x in batch.column("text").to_pylist()])
             for part, doc, ids in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), encoded):
                 if part != state["part"]:
