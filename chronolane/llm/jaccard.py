@@ -89,7 +89,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             for s in textvec.shingle_sets(batch.column("text"), k):
                 pending.append(s)
                 size += len(s)
-            if size > 1 << 21:
+            if size > 1 << 19:
                 keys, counts = merged()
                 pending, size = [], 0
         if pending:
@@ -168,7 +168,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, pivot = None, None
         unsqueeze = zstandard.ZstdDecompressor().decompress
-        for batch in slices(batches, "packed", 1 << 20):
+        for batch in slices(batches, "packed", 1 << 18):
             b, part, side, node = (batch.column(c).to_pylist() for c in ("b", "part", "side", "node"))
             sets = textvec.shingle_sets(pa.array([unsqueeze(x).decode() for x in batch.column("packed").to_pylist()], pa.large_string()), k)
             good: tuple[list, list] = ([], [])
