@@ -8,13 +8,13 @@ Base: each token's smoothed share, log10((c + 0.1) / (N + 0.1 (V + 1))), c over
 Model: absolute discounting over orders 3, 2 and 1, the base at the root. The states are the
 contexts that have arcs: pairs and single words. A state's arcs carry log10 of the discounted
 share; its failure arc leads to the shorter context and carries the mass left for words without an
-arc. Texts are read once, left to right, the texts of a batch in step: each token follows an arc,
-or the failure arcs until one is found or the root is reached.
+arc. The state before a token is known from the two words before it, so a text's tokens are looked
+up all at once: an arc, or the failure arcs until one is found or the root is reached.
 
-Contexts and arcs are made of the STATE_WORDS most counted tokens, and at most ARCS arcs of an order
-are kept, the most counted ones; both bound what the tasks are sent, and left-out arcs back off. The
-words of the root are unbounded: the ROOT_WORDS most counted are sent to the tasks, all others are
-looked up by a join.
+Every counted n-gram is an arc, those seen once too, and every word may stand in a context. Arcs and
+failure weights are written tables, keyed by 64-bit hashes of their words, and are found by joins.
+The ARCS most counted triples and the ROOT_WORDS most counted words are also sent to the tasks, as a
+cache: the scores are equal whatever its size. Automaton and build are the same model in one memory.
 
 Null and empty texts have the end alone; further columns are ignored and an empty table gives an empty
 one; with no training text every token has the share of an unseen one. Repeated rows are scored each; a null doc_id
@@ -23,6 +23,7 @@ counts as held in training only if its crc32 says so, which it does not: it is s
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,8 +38,8 @@ from . import textvec
 from .labelled import remainder
 from .shared import most_counted, slices, written
 
-#: Bounds of what is broadcast (entries): tokens in contexts and arcs, arcs of each order, words at the root.
-STATE_WORDS, ARCS, ROOT_WORDS = 4096, 1 << 20, 1 << 20
+#: Bounds of the cache that is broadcast (entries): arcs of triples, words at the root.
+ARCS, ROOT_WORDS = 1 << 20, 1 << 20
 DISCOUNT, SMOOTH = 0.6, 0.1
 #: Counts that a task gathers before it hands them on.
 GATHERED = 1 << 21
@@ -81,6 +82,54 @@ def _counted(docs: DataFrame, keys) -> DataFrame:
     return docs.select("text").mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
 
 
+def _gram(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of what a stands for, then b."""
+    return textvec.mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
+
+
+def _grams(docs: DataFrame, order: int) -> DataFrame:
+    """(k, a, b, c) of all pairs or triples within texts: a pair's words, or a triple's first and last pair, and the count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush():
+            a, b = (np.concatenate(x) for x in zip(*held))
+            k, at, c = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
+            for i in range(0, len(k), 1 << 16):
+                j = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(k[j].view(np.int64)), pa.array(a[at[j]].view(np.int64)), pa.array(b[at[j]].view(np.int64)), pa.array(c[j])], ["k", "a", "b", "c"])
+
+        keys = []
+        for batch in slices(batches):
+            h, _ = tokens(batch.column("text"))
+            pairs = _gram(h[:-1], h[1:])
+            if order == 2:
+                ok = h[:-1] != END  # an end closes its text
+                parts = pairs, h[:-1], h[1:]
+            else:
+                ok = (h[:-2] != END) & (h[1:-1] != END)
+                parts = _gram(pairs[:-1], h[2:]), pairs[:-1], pairs[1:]
+            k, a, b = (x[ok] for x in parts)
+            keys.append(k)
+            held.append((a, b))
+            size += len(k)
+            if size > GATHERED:
+                yield from flush()
+                held, size = [], 0
+                keys.clear()
+        if held:
+            yield from flush()
+
+    found = docs.select("text").mapInArrow(run, "k long, a long, b long, c long")
+    return found.groupBy("k").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.sum("c").alias("c"))
+
+
+def _left(mass, lower):
+    """The failure arc's share: what a state's arcs leave, over what the shorter context leaves for other words."""
+    return F.greatest(1 - mass, F.lit(1e-12)) / F.greatest(1 - lower, F.lit(1e-12))
+
+
 @dataclass
 class Automaton:
     """State 0 is the root, 1 to W the single words, then the pairs. Keys are state * (W + 1) + word."""
@@ -213,71 +262,100 @@ def score(docs: DataFrame) -> DataFrame:
     top, top_counts = top.view(np.uint64)[unsigned], top_counts[unsigned]
     known = spark.sparkContext.broadcast((top, top_counts))
 
-    # the words of contexts and arcs, by hash
-    pick = np.argsort(-top_counts, kind="stable")[:STATE_WORDS]
-    pick.sort()
-    picked, picked_counts = top[pick], top_counts[pick]
-    base = len(picked) + 1
-    small = Automaton(picked, *(np.zeros(0),) * 6)
-
-    def grams(order: int):
-        def keys(batch: pa.RecordBatch) -> np.ndarray:
-            h, first = tokens(batch.column("text"))
-            ids = small.word_ids(h)
-            m = max(0, len(ids) - order + 1)
-            key, ok = np.zeros(m, np.int64), np.ones(m, bool)
-            for i in range(order):
-                part = ids[i : i + m]
-                key = key * base + part
-                ok &= part > 0
-            for i in range(order - 1):  # an end closes its text
-                ok &= h[i : i + m] != END
-            return key[ok]
-
-        return keys
-
-    pairs = most_counted(written(_counted(learn, grams(2)).where("c > 1"), "pairs"), ARCS)
-    triples = most_counted(written(_counted(learn, grams(3)).where("c > 1"), "triples"), ARCS)
-    machine = spark.sparkContext.broadcast(build(picked, picked_counts, (picked_counts + SMOOTH) / unit, pairs, triples, n))
+    # arcs of pairs, with their context's failure arc
+    pairs = written(_grams(learn, 2), "pairs")
+    shares = counts.select(F.col("k").alias("b"), ((F.col("c") + SMOOTH) / unit).alias("root"))
+    singles = pairs.join(shares, "b").groupBy("a").agg(F.sum("c").alias("all"), F.sum(F.col("c") - DISCOUNT).alias("taken"), F.sum("root").alias("lower"))
+    singles = written(singles.select("a", "all", _left(F.col("taken") / F.col("all"), F.col("lower")).alias("back1")), "singles")
+    arcs2 = written(pairs.join(singles, "a").select("k", ((F.col("c") - DISCOUNT) / F.col("all")).alias("share2")), "arcs2")
+    # and of triples
+    triples = written(_grams(learn, 3), "triples")
+    contexts = triples.join(arcs2.withColumnRenamed("k", "b"), "b").groupBy("a").agg(F.sum("c").alias("all"), F.sum(F.col("c") - DISCOUNT).alias("taken"), F.sum("share2").alias("lower"))
+    contexts = written(contexts.select("a", "all", _left(F.col("taken") / F.col("all"), F.col("lower")).alias("back2")), "contexts")
+    arcs3 = triples.join(contexts, "a").select("k", F.log10((F.col("c") - DISCOUNT) / F.col("all")).alias("arc"), "c")
+    arcs3 = written(arcs3, "arcs3")
+    cached = most_counted(arcs3, ARCS)[1]
+    cached = arcs3.where(F.col("c") >= int(cached.min())).select("k", "arc").toArrow() if len(cached) else arcs3.limit(0).select("k", "arc").toArrow()
+    arc_keys, arcs = cached.column("k").to_numpy(), cached.column("arc").to_numpy()
+    by_key = np.argsort(arc_keys)
+    machine = spark.sparkContext.broadcast((arc_keys[by_key], arcs[by_key]))
     none = float(np.log10(SMOOTH / unit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (hashes, c), a = known.value, machine.value
+        (hashes, c), (arc_keys, arcs) = known.value, machine.value
         logs = np.log10((c + SMOOTH) / unit)
         task, row = TaskContext.get().partitionId() << 36, 0
-        for batch in slices(batches, limit=6 << 20):
+        for batch in slices(batches):
             h, first = tokens(batch.column("text"))
             at = np.searchsorted(hashes, h)
             at[at == len(hashes)] = 0
             hit = (hashes[at] == h) if len(hashes) else np.zeros(len(h), bool)
             root = np.where(hit, logs[at] if len(logs) else 0.0, 0.0)
-            total = a.traverse(a.word_ids(h), root, first)
             edge = first[:-1]
             size = np.diff(first)
-            plain, seen = np.add.reduceat(root, edge), np.add.reduceat(hit.astype(np.int64), edge)
             owner = np.repeat(np.arange(len(size)), size)
-            rare, rows = h[~hit].view(np.int64), owner[~hit]
-            ends = np.searchsorted(rows, np.arange(len(size) + 1)).astype(np.int32)
+            place = np.arange(len(h)) - edge[owner]
+            before, before2 = np.concatenate((h[:1], h[:-1])), np.concatenate((h[:2], h[:-2]))[: len(h)]
+            pair, context = _gram(before, h), _gram(before2, before)
+            key = _gram(context, h).view(np.int64)
+            i = np.searchsorted(arc_keys, key)
+            i[i == len(arc_keys)] = 0
+            found = (place > 1) & ((arc_keys[i] == key) if len(arc_keys) else False)
+            gain = np.where(place == 0, root, 0.0)
+            if len(arcs):
+                gain[found] = arcs[i[found]]
+            total = np.add.reduceat(gain, edge)
+            plain, seen = np.add.reduceat(root, edge), np.add.reduceat(hit.astype(np.int64), edge)
+
+            def lists(of: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
+                ends = pa.array(np.searchsorted(owner[of], np.arange(len(size) + 1)).astype(np.int32))
+                return [pa.ListArray.from_arrays(ends, pa.array(x[of].view(np.int64))) for x in columns]
+
+            # triples beyond the cache; a text learned from has none that was not counted
+            held_out = batch.column("held_out").to_numpy(zero_copy_only=False)[owner]
+            sought = np.flatnonzero((place > 1) & ~found & ~held_out)
+            unsure = np.flatnonzero((place == 1) | ((place > 1) & ~found & held_out))
+            # a text's second token has a word before it, but no pair: its key is one that no arc has, and another for each pair
+            key, context = np.where(place > 1, key, ~pair.view(np.int64)), np.where(place > 1, context, ~pair)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(task + row + np.arange(len(size))), pa.array(size), pa.array(seen), pa.array(plain), pa.array(total), pa.ListArray.from_arrays(pa.array(ends), pa.array(rare))],
-                ["doc_id", "held_out", "row", "n_tokens", "seen", "plain", "total", "rare"],
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(task + row + np.arange(len(size))), pa.array(size), pa.array(seen), pa.array(plain), pa.array(total)]
+                + [*lists(np.flatnonzero(~hit), h), *lists(np.flatnonzero(~hit & (place == 0)), h), *lists(sought, key), *lists(unsure, key, context, pair, before, h)],
+                names,
             )
             row += len(size)
 
     rows = docs.select("doc_id", held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     schema = rows.select("doc_id", "held_out").schema
-    for name, kind in (("row", "long"), ("n_tokens", "long"), ("seen", "long"), ("plain", "double"), ("total", "double"), ("rare", T.ArrayType(T.LongType()))):
+    unsure = ["key", "context", "pair", "before", "word"]
+    for name, kind in (("row", "long"), ("n_tokens", "long"), ("seen", "long"), ("plain", "double"), ("total", "double"), *((x, T.ArrayType(T.LongType())) for x in ("rare", "rare_first", "sought", *unsure))):
         schema = schema.add(name, kind)
+    names = schema.names
     read = written(rows.mapInArrow(run, schema), "read")
+    weight = F.coalesce(F.log10((F.col("c") + SMOOTH) / unit), F.lit(none))
     # the words beyond the root's most counted ones, by a join with all counts
     rare = read.select("row", F.explode("rare").alias("k")).groupBy("k", "row").count()
-    rare = rare.join(counts, "k", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("count")).otherwise(0)).alias("more"),
-        F.sum(F.col("count") * F.coalesce(F.log10((F.col("c") + SMOOTH) / unit), F.lit(none))).alias("rest"),
-    )
-    out = read.drop("rare").join(rare, "row", "left")
-    rest = F.coalesce("rest", F.lit(0.0))
+    rare = rare.join(counts, "k", "left").groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("count")).otherwise(0)).alias("more"), F.sum(F.col("count") * weight).alias("rest"))
+    begun = read.select("row", F.explode("rare_first").alias("k")).join(counts, "k", "left").select("row", weight.alias("gain"))
+    # the arcs beyond the cache, and the failure arcs of what has none
+    arc = arcs3.select("k", "arc")
+    direct = read.select("row", F.explode("sought").alias("k")).join(arc, "k").select("row", F.col("arc").alias("gain"))
+    asked = read.select("row", F.explode(F.arrays_zip(*unsure)).alias("x")).select("row", "x.*")
+    asked = written(asked.join(arc.withColumnRenamed("k", "key"), "key", "left").drop("key"), "asked")
+    failed = asked.where("arc is null").drop("arc").join(contexts.select(F.col("a").alias("context"), "back2"), "context", "left").drop("context")
+    failed = failed.join(arcs2.withColumnRenamed("k", "pair"), "pair", "left").drop("pair")
+    failed = written(failed, "failed")
+    one = F.lit(1.0)
+    lowered = F.log10(F.coalesce("back2", one))
+    root = failed.where("share2 is null").join(singles.select(F.col("a").alias("before"), "back1"), "before", "left").join(counts.withColumnRenamed("k", "word"), "word", "left")
+    gains = [
+        begun, direct, asked.where("arc is not null").select("row", F.col("arc").alias("gain")),
+        failed.where("share2 is not null").select("row", (lowered + F.log10("share2")).alias("gain")),
+        root.select("row", (lowered + F.log10(F.coalesce("back1", one)) + weight).alias("gain")),
+    ]
+    gained = functools.reduce(DataFrame.unionByName, (x.groupBy("row").agg(F.sum("gain").alias("gain")) for x in gains)).groupBy("row").agg(F.sum("gain").alias("gain"))
+    out = read.drop("rare", "rare_first", "sought", *unsure).join(rare, "row", "left").join(gained, "row", "left")
+    rest, gain = F.coalesce("rest", F.lit(0.0)), F.coalesce("gain", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("seen") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("plain") + rest).alias("base_score"), (F.col("total") + rest).alias("score"),
+        (F.col("plain") + rest).alias("base_score"), (F.col("total") + gain).alias("score"),
     )

@@ -1,5 +1,6 @@
 """Operators on whole texts against plain versions, on a table with every awkward case."""
 
+import functools
 import hashlib
 import re
 import zlib
@@ -235,6 +236,49 @@ def test_language_model(spark, docs, empty):
     assert backoff_lm.score(empty).count() == 0
 
 
+@pytest.mark.parametrize("cache", [0, 1 << 20])
+def test_language_model_keeps_every_ngram(spark, monkeypatch, cache):
+    """Against brute force, over more words than 4,096 and with n-grams seen once; the cache changes nothing."""
+    monkeypatch.setattr(backoff_lm, "ARCS", cache)
+    monkeypatch.setattr(backoff_lm, "ROOT_WORDS", cache)
+    rng = np.random.default_rng(5)
+    texts = [(i, " ".join(f"w{x}" for x in np.concatenate((rng.integers(0, 9, 8), rng.integers(0, 6000, 60), rng.integers(0, 9, 30))))) for i in range(200)] + [(200, ""), (201, "w1"), (202, "never w1 seen")]
+    split = {i: [*t.split(), None] for i, t in texts}
+    grams: list[dict] = [{}, {}, {}]
+    for i, ws in split.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            for o, found in enumerate(grams):
+                for j in range(len(ws) - o):
+                    k = tuple(ws[j : j + o + 1])
+                    found[k] = found.get(k, 0) + 1
+    n, v = sum(grams[0].values()), len(grams[0])
+    assert v > 4096
+    follow: dict = {}
+    for found in grams[1:]:
+        for k in found:
+            follow.setdefault(k[:-1], []).append(k)
+
+    def share(k):
+        if len(k) == 1:
+            return (grams[0].get(k, 0) + 0.1) / (n + 0.1 * (v + 1))
+        context, found = k[:-1], grams[len(k) - 1]
+        arcs = follow.get(context, [])
+        if k in found:
+            return (found[k] - 0.6) / sum(found[x] for x in arcs)
+        return (back(context) if arcs else 1) * share(k[1:])
+
+    @functools.cache
+    def back(context):
+        arcs = follow[context]
+        return (0.6 * len(arcs) / sum(grams[len(context)][x] for x in arcs)) / max(1 - sum(share(x[1:]) for x in arcs), 1e-12)
+
+    rows = backoff_lm.score(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert len(rows) == len(texts) and any(r["held_out"] for r in rows)
+    for r in rows:
+        ws = split[r["doc_id"]]
+        assert r["score"] == pytest.approx(sum(np.log10(share(tuple(ws[max(0, j - 2) : j + 1]))) for j in range(len(ws))), rel=1e-9)
+
+
 def test_automaton_is_a_distribution():
     """From every state, all words and the unseen one together have probability 1, by the traversal itself."""
     rng = np.random.default_rng(3)
