@@ -95,9 +95,9 @@ def manual_values(spark, sf_dir):
 
 @query("""select d.doc_id from documents d join labels l on d.doc_id = l.doc_id where toxic = 0 and quality = 1 and not regexp_matches(lower(left(text, 200)), 'token|password|secret')""")
 def public_projection(spark, sf_dir):
-    """Published rows only, and none whose head speaks of secrets."""
+    """Published rows only, and none whose text speaks of secrets."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    return d.where("toxic = 0 and quality = 1").where(~F.substring("text", 1, 200).rlike("(?i)token|password|secret")).select("doc_id")
+    return d.where("toxic = 0 and quality = 1").where(~F.col("text").rlike("(?i)token|password|secret")).select("doc_id")
 
 
 @query("""select case when o_orderstatus = 'F' then 'STORED' when o_orderpriority in ('1-URGENT', '2-HIGH') and o_totalprice > 100000 then 'REPLAY' else 'REFUSED' end as path, count(*) as n from orders group by 1""")

@@ -223,3 +223,12 @@ def test_pieces_equal_whole_windows(spark):
     got = series.running_sum(got.withColumn("v", F.coalesce("v", F.lit(0.0))), ["k"], "t", "id", "v", "total", series.daily("t"))
     key = lambda r: (str(r["k"]), r["id"], r["before"], r["total"] or 0.0)
     assert sorted(map(key, got.collect()), key=str) == sorted(map(key, want.collect()), key=str)
+
+
+def test_public_projection_reads_whole_texts(spark, tmp_path):
+    from chronolane import catalog
+
+    texts = ["a" * 300, "a" * 300 + " my PassWord", "token first", "b" * 198 + "secret"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, 1) for i in range(4)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert [r["doc_id"] for r in catalog.queries()["public_projection"](spark, str(tmp_path)).collect()] == [0]
