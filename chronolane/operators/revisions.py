@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,15 +58,30 @@ def edge_pass_rate(edges: DataFrame, by: list[str], child_parent: str, parent_ou
     return edges.groupBy(*by).agg(F.count("*").alias("edges"), F.avg(F.coalesce(F.col(child_parent) == F.col(parent_output), F.lit(False)).cast("double")).alias("pass_rate"))
 
 
-def chain_depth(spark, rows: DataFrame, key: list[str], node: str, parent: str, most: int = 100) -> DataFrame:
-    """(key, node, depth) of all rows that a root reaches, by recursion with a depth limit against cycles.
+def _written(df: DataFrame) -> DataFrame:
+    """df without its lineage, in the checkpoint folder that every executor sees; one of our own only where that is unset."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="chronolane-"))
+    return df.checkpoint()
+
+
+def chain_depth(spark, rows: DataFrame, key: list[str], node: str, parent: str) -> DataFrame:
+    """(key, node, depth) of all rows that a root reaches, whatever the depth, by pointer jumping.
 
-    Rows that no root reaches, within the limit, are in cycles or hang on a missing parent.
+    Each round doubles the steps a row looks up, so the rounds are log2 of the longest chain, and
+    each is written. After them a row stands at its root, hangs on a missing parent, or still
+    moves, which only a cycle (or a row behind one) does; the last two are left out. (key, node)
+    is unique; repeated rows count once.
     """
-    name = "supersedes_edges"
-    rows.select(*key, F.col(node).alias("node"), F.col(parent).alias("parent")).createOrReplaceTempView(name)
-    k, on = ", ".join(key), " and ".join(f"e.{c} = c.{c}" for c in key)
-    return spark.sql(f"""with recursive chain as (
-        select {k}, node, 0 as depth from {name} where parent is null
-        union all select {', '.join('e.' + c for c in key)}, e.node, c.depth + 1 from {name} e join chain c on {on} and e.parent = c.node where c.depth < {most}
-      ) select * from chain""")
+    edges = rows.select(*key, F.col(node).alias("node"), F.col(parent).alias("up")).distinct()
+    # up: the ancestor so many steps away; null where the row stands at its root already
+    at = _written(edges.withColumn("steps", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")))
+    most, far = at.count(), 1
+    while far <= most and not at.where(F.col("up").isNotNull()).isEmpty():
+        via = at.select(*key, F.col("node").alias("_via"), F.col("up").alias("_beyond"), F.col("steps").alias("_more"))
+        both = at.where(F.col("up").isNotNull()).join(via.withColumnRenamed("_via", "up"), [*key, "up"])  # a missing parent ends its row
+        moved = both.select(*key, "node", F.col("_beyond").alias("up"), (F.col("steps") + F.col("_more")).alias("steps"))
+        at = _written(moved.unionByName(at.where(F.col("up").isNull())))
+        far *= 2
+    return at.where(F.col("up").isNull()).select(*key, "node", F.col("steps").cast("int").alias("depth"))

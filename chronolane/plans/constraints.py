@@ -87,7 +87,7 @@ def dependency_graph(spark, sf_dir):
     from ..operators.revisions import chain_depth
 
     e = table(spark, sf_dir, "customer").where("c_custkey % 47 != 3").select(F.lit(0).alias("k"), F.col("c_custkey").alias("node"), F.when(F.col("c_custkey") % 10 != 0, F.col("c_custkey") - 1).alias("parent"))
-    reached = chain_depth(spark, e, ["k"], "node", "parent", 50).select(F.col("node").alias("r"))
+    reached = chain_depth(spark, e, ["k"], "node", "parent").select(F.col("node").alias("r"))
     p = e.select(F.col("node").alias("p"))
     both = e.join(reached, e.node == F.col("r"), "left").join(p, e.parent == F.col("p"), "left")
     return both.select("node", F.when(F.col("r").isNotNull(), "REACHED").when(F.col("p").isNull(), "MISSING_PARENT").otherwise("BEHIND_A_GAP").alias("state"))

@@ -108,6 +108,15 @@ def test_chain_depth_stops_at_cycles(spark):
     assert got == {(1, 1): 0, (1, 2): 1, (1, 3): 2}
 
 
+def test_chain_depth_walks_to_the_end(spark):
+    """Longer than any cap, beside a longer cycle, a row behind it, and a row that hangs on a missing parent."""
+    chain = [(1, i, i - 1 if i else None) for i in range(700)]
+    cycle = [(2, i, (i + 1) % 130) for i in range(130)] + [(2, 500, 0), (3, 5, 4), (3, 6, 5)]
+    rows = spark.createDataFrame(chain + cycle, "k int, node int, parent int")
+    got = sorted((r["k"], r["node"], r["depth"]) for r in revisions.chain_depth(spark, rows, ["k"], "node", "parent").collect())
+    assert got == [(1, i, i) for i in range(700)]
+
+
 def test_audit_entry_covers_what_it_follows(spark):
     rows = spark.createDataFrame([("e", 1, "a"), ("e", 2, "b")], "entity string, at int, body string")
     other = spark.createDataFrame([("e", 1, "x"), ("e", 2, "b")], "entity string, at int, body string")
