@@ -50,6 +50,26 @@ def duplicate_class(a: dict[str, Column], b: dict[str, Column]) -> Column:
     )
 
 
+def duplicate_pairs(rows: DataFrame) -> DataFrame:
+    """(relation, pairs) over all pairs of rows(content, source, time, key), by duplicate_class; each row is one candidate.
+
+    Equal rows are counted first, then pairs come from the counts of what two rows share, so a hot
+    key makes no pairs. Nulls are equal, as in duplicate_class; a relation without pairs has no row.
+    """
+    n = rows.groupBy("content", "source", "time", "key").agg(F.count("*").alias("n"))
+
+    def pairs(name: str, *same: str) -> DataFrame:
+        """The pairs of rows that agree in these columns."""
+        m = F.col("m").cast("decimal(38,0)")
+        return n.groupBy(*same).agg(F.sum("n").alias("m")).agg(F.coalesce(F.sum((m * (m - 1) / 2).cast("long")), F.lit(0)).alias(name))
+
+    t = pairs("total").crossJoin(pairs("replay", "content", "source", "time")).crossJoin(pairs("both", "content", "key")).crossJoin(pairs("all4", "content", "source", "time", "key")).crossJoin(pairs("one_key", "key"))
+    same, conflict = F.col("both") - F.col("all4"), F.col("one_key") - F.col("both")
+    found = (("EXACT_REPLAY", F.col("replay")), ("SAME_CONTENT", same), ("CONFLICTING_CONTENT", conflict), ("DISTINCT", F.col("total") - F.col("replay") - same - conflict))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("relation"), c.alias("pairs")) for k, c in found)))
+    return t.select(each.alias("x")).select("x.*").where("pairs > 0")
+
+
 def deliveries(rows: DataFrame, key: str, content: str, seq: str) -> DataFrame:
     """ACCEPTED for the first delivery of a key, DUPLICATE_NOOP for the same content again, KEY_CONFLICT for other content."""
     firsts = rows.groupBy(key).agg(F.min(seq).alias("first_seq"), F.min_by(content, seq).alias("first_content"))

@@ -62,12 +62,9 @@ def candidate_dedupe(spark, sf_dir):
 @query("""select case when a.value = b.value and a.event_type = b.event_type and cast(a.ts as date) = cast(b.ts as date) then 'EXACT_REPLAY' when a.value = b.value and a.k = b.k then 'SAME_CONTENT' when a.k = b.k and a.value != b.value then 'CONFLICTING_CONTENT' else 'DISTINCT' end as relation, count(*) as pairs
 from (select *, user_id % 5 as k, event_id // 10 as block from events) a join (select *, user_id % 5 as k, event_id // 10 as block from events) b on a.block = b.block and a.event_id < b.event_id group by 1""")
 def duplicate_semantics(spark, sf_dir):
-    """Pairs within blocks of candidates, classified; the block key keeps the comparison an equi-join."""
-    e = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 10).alias("block"), "event_id", F.struct(F.col("value").alias("content"), F.col("event_type").alias("source"), F.to_date("ts").alias("time"), (F.col("user_id") % 5).alias("key")).alias("f"))
-    a, b = e.alias("a"), e.alias("b")
-    pairs = a.join(b, F.col("a.block") == F.col("b.block")).where("a.event_id < b.event_id")
-    parts = lambda side: {k: F.col(f"{side}.f.{k}") for k in ("content", "source", "time", "key")}
-    return pairs.groupBy(i.duplicate_class(parts("a"), parts("b")).alias("relation")).agg(F.count("*").alias("pairs"))
+    """All pairs of candidates, classified. The SQL still compares within blocks of ten ids only."""
+    e = table(spark, sf_dir, "events").where("event_id is not null")
+    return i.duplicate_pairs(e.select(F.col("value").alias("content"), F.col("event_type").alias("source"), F.to_date("ts").alias("time"), (F.col("user_id") % 5).alias("key")))
 
 
 @query("""with k as (select user_id || ':' || event_type as key, cast(floor(value / 100) as bigint) as content, event_id from events), f as (select key, min(event_id) as s, arg_min(content, event_id) as c from k group by key)

@@ -96,6 +96,18 @@ def test_identity_resolution_and_conflicts(spark):
     assert got == {("b1", "s1"): ("BUSINESS_KEY", 1), ("b1", "s2"): ("CONFLICT", None), (None, "s2"): ("STRUCTURAL_KEY", 2), ("b9", "s9"): ("NEW", None)}
 
 
+def test_duplicate_pairs_are_all_pairs(spark):
+    """Against every pair by duplicate_class, with repeated rows and nulls, far more than ten ids apart."""
+    values = [(float(i % 7) if i % 11 else None, "ab"[i % 2], i % 3, i * i % 5 if i % 13 else None) for i in range(60)]
+    rows = spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "id int, content double, source string, time int, key int")
+    a, b = rows.alias("a"), rows.alias("b")
+    parts = lambda side: {k: F.col(f"{side}.{k}") for k in ("content", "source", "time", "key")}
+    want = a.join(b, F.col("a.id") < F.col("b.id")).groupBy(identity.duplicate_class(parts("a"), parts("b")).alias("relation")).count()
+    got = identity.duplicate_pairs(rows.drop("id"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert len(got.collect()) == 4 and identity.duplicate_pairs(rows.drop("id").limit(0)).count() == 0
+
+
 def test_deliveries(spark):
     rows = spark.createDataFrame([("k", "a", 1), ("k", "a", 2), ("k", "b", 3), ("z", None, 4), ("z", None, 5)], "key string, content string, seq long")
     got = [r["delivery"] for r in identity.deliveries(rows, "key", "content", "seq").orderBy("seq").collect()]
