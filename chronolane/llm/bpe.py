@@ -14,9 +14,9 @@ add_special_tokens=False, including special tokens spelled out in a text.
 from __future__ import annotations
 
 import hashlib
-import json
+import os
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 from .shared import give_back, slices
 
-#: Distinct fragments that a worker keeps before it starts afresh (some 200 bytes each), and their bytes.
-KEPT_FRAGMENTS, KEPT_BYTES = 200_000, 32 << 20
+#: Bytes of encoded fragments that a worker keeps, and what one takes besides its own bytes and ids.
+KEPT_BYTES, ENTRY_BYTES = 40 << 20, 170
 #: White space outside ASCII begins with these bytes in UTF-8 (fixed values of the Unicode standard).
 WIDE_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 
@@ -40,28 +40,30 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Codec:
-    """Encodes and decodes with one tokenizer file; keeps a bounded store of encoded fragments."""
-
-    def __init__(self, path: str, kept: int = KEPT_FRAGMENTS):
-        from tokenizers import Tokenizer
-
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        letters = byte_alphabet()
-        spelled = {i: bytes(letters[c] for c in token) for token, i in spec["model"]["vocab"].items() if all(c in letters for c in token)}
-        spelled |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
-        self.size = max(spelled) + 1
-        self.bytes_of = [spelled.get(i, b"") for i in range(self.size)]
-        self.lengths = np.array([len(x) for x in self.bytes_of])
-        self.decimal = [str(i) for i in range(self.size)]
-        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        inside = np.zeros((256, 256), bool)
-        for token in self.bytes_of:
+    """Encodes and decodes with one byte-level tokenizer file; keeps a bounded store of encoded fragments.
+
+    A tokenizer of another kind (a normalizer, another pre-tokenizer or model, tokens that reach over
+    white space) raises ValueError: its texts could not be cut by byte pairs.
+    """
+
+    def __init__(self, path: str, kept_bytes: int = KEPT_BYTES):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        t = self.tokenizer = Tokenizer.from_file(path)
+        t.no_truncation()
+        t.no_padding()
+        added = t.get_added_tokens_decoder()
+        plain = isinstance(t.model, models.BPE) and not any((t.model.dropout, t.model.unk_token, t.model.continuing_subword_prefix, t.model.end_of_word_suffix, t.model.byte_fallback))
+        splits = isinstance(t.pre_tokenizer, pre_tokenizers.ByteLevel) and t.pre_tokenizer.use_regex and not t.pre_tokenizer.add_prefix_space
+        if not plain or not splits or t.normalizer is not None or any(x.lstrip or x.rstrip or x.single_word for x in added.values()):
+            raise ValueError(f"no plain byte-level BPE: {path}")
+        inside, lengths = np.zeros((256, 256), bool), np.zeros(1 + max([*added, *t.get_vocab().values()]), np.int32)
+        for i, token in self._spelled():
+            lengths[i] = len(token)
             for a, b in zip(token, token[1:]):
                 inside[a, b] = True
+        self.lengths, self.dtype = lengths, np.dtype("<u2" if len(lengths) <= 1 << 16 else "<u4")
         cut = ~inside
         cut[[*range(9, 14), *range(28, 33)], :] = False
         cut[:, ord("'")] = False
@@ -69,10 +71,32 @@ class Codec:
         narrow = cut.copy()
         narrow[0x80:, :] = False
         self.cuts, self.narrow_cuts = cut.ravel(), narrow.ravel()
-        self.kept = kept
+        # the store has two halves: what is not asked for while one fills is dropped with it
+        self.half = kept_bytes // 2
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.known_bytes = 0
 
+    def _spelled(self) -> Iterator[tuple[int, bytes]]:
+        """Each id with the bytes that it stands for."""
+        letters, added = byte_alphabet(), self.tokenizer.get_added_tokens_decoder()
+        for token, i in self.tokenizer.get_vocab().items():
+            if i not in added and all(c in letters for c in token):
+                yield i, bytes(letters[c] for c in token)
+        for i, token in added.items():
+            yield i, token.content.encode()
+
+    @cached_property
+    def bytes_of(self) -> list[bytes]:
+        out = [b""] * len(self.lengths)
+        for i, token in self._spelled():
+            out[i] = token
+        return out
+
+    @cached_property
+    def decimal(self) -> list[str]:
+        return [str(i) for i in range(len(self.lengths))]
+
     def fragments(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
         """The fragments of all texts, and each text's first one (one more entry at the end)."""
         buf = b"".join(texts)
@@ -103,36 +127,39 @@ class Codec:
                 start = stop
         for x, e in zip(rest, self.tokenizer.encode_batch([x.decode() for x in rest], add_special_tokens=False)):
             self.known[x] = np.array(e.ids, self.dtype).tobytes()
-        self.known_bytes += sum(map(len, fragments))
+        self.known_bytes += sum(len(x) + len(self.known[x]) + ENTRY_BYTES for x in fragments)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         fragments, first = self.fragments([x.encode() for x in texts])
-        if len(self.known) > self.kept or self.known_bytes > KEPT_BYTES:
-            self.known, self.known_bytes = {}, 0
+        if self.known_bytes > self.half:
+            self.before, self.known, self.known_bytes = self.known, {}, 0
         found = list(map(self.known.get, fragments))
         if None in found:
             missing = [i for i, x in enumerate(found) if x is None]
-            self.learn({fragments[i] for i in missing})
+            sought = {fragments[i] for i in missing}
+            again = {x: ids for x in sought if (ids := self.before.get(x)) is not None}
+            self.known |= again
+            self.known_bytes += sum(len(x) + len(ids) + ENTRY_BYTES for x, ids in again.items())
+            self.learn(sought - again.keys())
             for i in missing:
                 found[i] = self.known[fragments[i]]
         bounds = first.tolist()
         return [np.frombuffer(b"".join(found[a:b]), self.dtype) for a, b in zip(bounds, bounds[1:])]
 
+    def release(self) -> None:
+        """Drops the store of fragments."""
+        self.known, self.before, self.known_bytes = {}, {}, 0
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, kept: int = KEPT_FRAGMENTS) -> Codec:
-    return Codec(path, kept)
-
-
-def forget() -> None:
-    """Frees a worker's codecs at a task's end; other stages of a pipeline run in the same worker."""
-    codec.cache_clear()
-    give_back()
+def codec(path: str, kept_bytes: int = KEPT_BYTES) -> Codec:
+    """A worker's codec. It stays between tasks: reading the vocabulary again costs more than it holds."""
+    return Codec(path, kept_bytes)
 
 
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -145,7 +172,8 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
             offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*keep, "ids"])
-        forget()
+        codec(path).release()  # other stages of a pipeline run in the same worker
+        give_back()
 
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
@@ -174,8 +202,6 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             decimal = [hashlib.sha256(",".join(map(c.decimal.__getitem__, x.tolist())).encode()).hexdigest() for x in ids]
             decoded = [hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(decimal), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        del c
-        forget()
 
     schema = docs.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)

@@ -17,9 +17,11 @@ SLICE_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees (spark.checkpoint.dir); one of our own only where that is unset."""
+    """The folder that every executor sees (spark.checkpoint.dir). Where that is unset, a local session gets one of our own; on a cluster it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="chronolane-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -34,7 +36,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Bytes of one Arrow batch between Spark and a Python task; each lives a few times over on both sides.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

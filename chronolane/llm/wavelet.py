@@ -29,8 +29,8 @@ from .shared import slices, written
 
 MAGIC = b"WVM1"
 BLOCK = 512
-#: Encoded fragments that a worker keeps; more than elsewhere, as encoding is most of the work here.
-KEPT = 1_000_000
+#: Bytes of encoded fragments that a worker keeps; more than elsewhere, as encoding is most of the work here.
+KEPT = 128 << 20
 #: Tokens after which a shard is closed, at the next document's end.
 SHARD_TOKENS = 1 << 20
 
