@@ -36,6 +36,8 @@ LOCAL = LETTERS | DIGITS | frozenset("._%+-")
 LABEL = LETTERS | DIGITS | frozenset("-")
 DIAL = DIGITS | frozenset(" ().-")
 IDENT = LETTERS | DIGITS | frozenset("-_")
+#: Marks between a street cue and a number, and the longest word that may be a street's name.
+MARKS, NAME = frozenset(" ,."), 40
 BREAKS = frozenset(" \t\n\v\f\r\"'<>|")
 
 
@@ -54,8 +56,8 @@ def automaton():
     return found
 
 
-def run_end(text: str, at: int, allowed: frozenset) -> int:
-    n = len(text)
+def run_end(text: str, at: int, allowed: frozenset, most: int | None = None) -> int:
+    n = len(text) if most is None else min(len(text), at + most)
     while at < n and text[at] in allowed:
         at += 1
     return at
@@ -136,29 +138,35 @@ def parse_account(text: str, at: int) -> tuple[int, int] | None:
     start = at
     while start < min(len(text), at + 6) and text[start] in " :=#\"'":
         start += 1
+    if start == at:
+        return None
     end = run_end(text, start, IDENT)
     ident = text[start:end]
-    return (start, end) if start > at and 6 <= len(ident) and sum(c in DIGITS for c in ident) >= 4 else None
+    return (start, end) if 6 <= len(ident) and sum(c in DIGITS for c in ident) >= 4 else None
 
 
 def parse_address(text: str, start: int, end: int) -> tuple[int, int] | None:
-    """From a house number shortly before the cue, or to one shortly after it."""
+    """From a house number shortly before the cue, or to one shortly after it; words of over NAME characters are not passed."""
     before = start
     for _ in range(2):  # at most the street's name and the number
         while before > 0 and text[before - 1] == " ":
             before -= 1
-        word = run_start(text, before, IDENT, 0)
+        word = run_start(text, before, IDENT, max(0, before - NAME - 1))
         token = text[word:before]
         if token and len(token) <= 5 and all(c in DIGITS for c in token):
             return word, end
+        if len(token) > NAME:
+            break
         before = word
     after = end
     for _ in range(2):
-        after = run_end(text, after, frozenset(" ,."))
-        stop = run_end(text, after, IDENT)
+        after = run_end(text, after, MARKS)
+        stop = run_end(text, after, IDENT, NAME + 1)
         token = text[after:stop]
         if token and len(token) <= 5 and all(c in DIGITS for c in token):
             return start, stop
+        if len(token) > NAME:
+            break
         after = stop
     return None
 
