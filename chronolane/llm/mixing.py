@@ -57,8 +57,8 @@ def budgets(leaves: DataFrame, total: Column, weights: dict[str, Column], max_ep
     for c in LEAF:
         leaves = leaves.where(F.coalesce(weights[c].cast("double"), F.lit(0.0)) > 0)
     domains = leaves.groupBy("domain").agg(F.sum("capacity").alias("capacity"))
-    everything = F.sum("capacity").over(Window.partitionBy(F.lit(0)))
-    domains = domains.withColumn("above", F.least(total.cast("double"), everything.cast("double")))
+    everything = domains.agg(F.sum("capacity").alias("everything"))  # one row
+    domains = domains.crossJoin(everything).withColumn("above", F.least(total.cast("double"), F.col("everything").cast("double"))).drop("everything")
     domains = shared_out(domains, [], "domain", weights["domain"]).select("domain", F.col("budget").alias("above"))
     langs = leaves.groupBy("domain", "lang").agg(F.sum("capacity").alias("capacity")).join(domains, "domain")
     langs = shared_out(langs, ["domain"], "lang", weights["lang"]).select("domain", "lang", F.col("budget").alias("above"))
@@ -76,9 +76,8 @@ def mix(docs: DataFrame, weights: dict[str, Column], total_share: float, max_epo
     sized = docs.select("doc_id", F.coalesce("domain", F.lit("")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), tokens().alias("n_tokens")).where("n_tokens > 0")
     sized = written(sized, "sized")
     leaves = sized.groupBy(*LEAF).agg(F.sum("n_tokens").alias("size"), F.count("*").alias("rows"))
-    leaves = leaves.withColumn("total", F.floor(F.sum("size").over(Window.partitionBy(F.lit(0))) * total_share))
-    whole = leaves.select("total").limit(1)
-    planned = budgets(leaves.drop("total"), F.lit(whole.first()[0] if not whole.isEmpty() else 0), weights, max_epochs)
+    total = sized.agg(F.floor(F.coalesce(F.sum("n_tokens"), F.lit(0)) * total_share)).first()[0]
+    planned = budgets(leaves, F.lit(total), weights, max_epochs)
     planned = planned.withColumn("epochs", F.floor(F.col("budget") / F.col("size"))).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("size"))
     planned = written(planned.where("budget > 0"), "planned")  # a row a leaf; small ones are broadcast by their known size
     most = planned.agg(F.coalesce(F.max("rows"), F.lit(0))).first()[0]
@@ -132,11 +131,12 @@ def mixture(docs: DataFrame, total_share: float = TOTAL_SHARE, max_epochs: int =
 def selected(docs: DataFrame, total_share: float, seed: int = SEED) -> DataFrame:
     """The rows of docs, with all their columns, that the production mixture selects when no text is repeated.
 
-    A document in which a prefix ends is kept whole. Rows without a doc_id cannot be looked up and go.
+    A document in which a prefix ends is kept whole. A row without a doc_id is told by a digest of its text.
     """
-    known = docs.select("doc_id", "lang", "source", "text")
+    ref = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    known = docs.select(ref.alias("doc_id"), "lang", "source", "text")
     taken = mixture(known, total_share, 1, seed).select(F.col("doc_id").alias("taken_id")).distinct()
-    return docs.join(taken, docs["doc_id"] == taken["taken_id"], "left_semi")
+    return docs.join(taken, ref == taken["taken_id"], "left_semi")
 
 
 def _level(name: str, parent: str, weight: str) -> str:
