@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import remainder, training_sample
+from .labelled import held_out, remainder, training_sample
 from .shared import slices
 
 #: Labelled rows of each label to fit on, bytes of a dictionary at most, of the pieces it is trained on, and of the parts compressed.
@@ -87,18 +87,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     flat = Model(b"", b"", np.zeros(1), np.array([share]))
     if len(good) < 8 or len(bad) < 8:
         return flat
-    held = [([t for i, t in enumerate(x) if i % 4 == 0], [t for i, t in enumerate(x) if i % 4]) for x in (good, bad)]
+    apart = [([t for i, t in enumerate(x) if i % 4 == 0], [t for i, t in enumerate(x) if i % 4]) for x in (good, bad)]
     try:
         trained = []
-        for _, texts in held:
+        for _, texts in apart:
             parts = pieces(texts)
             trained.append(zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, parts)) // 4), parts).as_bytes())
     except zstandard.ZstdError:  # too little text for a dictionary
         return flat
     model = Model(*trained, flat.at, flat.value)
     c = model.compressors()
-    d = np.concatenate([differences(x[0], c) for x in held])
-    y = np.concatenate((np.ones(len(held[0][0])), np.zeros(len(held[1][0]))))
+    d = np.concatenate([differences(x[0], c) for x in apart])
+    y = np.concatenate((np.ones(len(apart[0][0])), np.zeros(len(apart[1][0]))))
     # weigh the two samples to the share of the labels in all training rows
     weight = np.where(y == 1, share / y.sum(), (1 - share) / (len(y) - y.sum()))
     model.at, model.value = rising(d, y, weight)
@@ -115,6 +115,6 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFra
             d = differences([x or "" for x in batch.column("text").to_pylist()], c)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(np.interp(d, model.at, model.value))], ["doc_id", "held_out", "score"])
 
-    rows = docs.select("doc_id", (remainder(5) == 0).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", held_out(5).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     out = rows.mapInArrow(run, rows.select("doc_id", "held_out").schema.add("score", "double"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

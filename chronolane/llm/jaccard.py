@@ -21,12 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec
 from .components import components
-from .shared import most_counted, slices, written
+from .shared import SLICE_BYTES, most_counted, slices, written
 
 #: A shingle in fewer documents than this counts as rare in the order of shingles.
 FREQUENT = 12
@@ -36,6 +36,8 @@ ORDERED = 1 << 20
 BITMAP = 16
 #: Members of one star that one task run verifies together.
 STAR_PART = 256
+#: Members of a list that are compared with as many others of it at once.
+LIST_PART = 512
 
 
 def needed(n):
@@ -104,10 +106,21 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], np.log2(np.maximum(c[order], 1)).astype(np.uint8)
 
 
+def digest() -> Column:
+    return F.xxhash64("text")
+
+
+def ref() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), digest())
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), node (hash of the set), grp (hash of size and prefix), prefix (array of shingles), bits (parity bitmap)."""
-    spark = docs.sparkSession
-    order = spark.sparkContext.broadcast(frequent_shingles(docs, k))
+    """doc_id, digest, ref, n (set size), node (hash of the set), grp (hash of size and prefix), prefix (array of shingles), bits (parity bitmap).
+
+    ref finds the row's text again: the doc_id, or the text's digest where that is null.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"), ref().alias("ref"), "text")
+    order = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, level = order.value
@@ -134,11 +147,11 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
             ends = np.concatenate(([0], np.cumsum([len(x) for x in prefixes]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(grp, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BITMAP), pa.array(np.concatenate(bits)))],
-                ["doc_id", "n", "node", "grp", "prefix", "bits"],
+                [*(batch.column(c) for c in ("doc_id", "digest", "ref")), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(grp, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BITMAP), pa.array(np.concatenate(bits)))],
+                ["doc_id", "digest", "ref", "n", "node", "grp", "prefix", "bits"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, node long, grp long, prefix array<long>, bits array<long>")
+    return rows.mapInArrow(sign, "doc_id long, digest long, ref long, n long, node long, grp long, prefix array<long>, bits array<long>")
 
 
 def node_id(s: np.ndarray) -> int:
@@ -161,14 +174,14 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([squeeze((x or "").encode()) for x in batch.column("text").to_pylist()], pa.binary())], ["id", "packed"])
 
-    packed = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(pack, "id long, packed binary")
+    packed = docs.select(ref().alias("id"), "text").mapInArrow(pack, "id long, packed binary")
     sides = left.unionByName(right).join(packed, "id").select("b", "part", "side", "node", "packed")
     dealt = sides.repartition("b", "part").sortWithinPartitions("b", "part", "side")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, pivot = None, None
         unsqueeze = zstandard.ZstdDecompressor().decompress
-        for batch in slices(batches, "packed", 1 << 18):
+        for batch in unpacked_slices(batches):
             b, part, side, node = (batch.column(c).to_pylist() for c in ("b", "part", "side", "node"))
             sets = textvec.shingle_sets(pa.array([unsqueeze(x).decode() for x in batch.column("packed").to_pylist()], pa.large_string()), k)
             good: tuple[list, list] = ([], [])
@@ -187,38 +200,44 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return dealt.mapInArrow(verify, "a long, b long")
 
 
+def unpacked_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in order, in batches whose column `packed` has about `limit` bytes once it is unpacked."""
+    for batch in slices(batches, "packed"):
+        start, size = 0, 0
+        for i, x in enumerate(batch.column("packed").to_pylist()):
+            size += zstandard.frame_content_size(x)
+            if size >= limit:
+                yield batch.slice(start, i + 1 - start)
+                start, size = i + 1, 0
+        if start < len(batch):
+            yield batch.slice(start)
+
+
 def common(x: np.ndarray, y: np.ndarray) -> int:
     z = np.concatenate((x, y))
     z.sort()
     return int((z[1:] == z[:-1]).sum())
 
 
-def similar_sets(spark: SparkSession, docs: DataFrame, k: int = 5) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id.
-
-    component_id is the smallest doc_id that links reach. Null or empty texts have an empty set and
-    are linked with nothing; texts of fewer than k words count as one shingle. Repeated rows come
-    back as often as they came, in one component. Further columns of docs are ignored. A null doc_id
-    is kept; its component is the smallest known doc_id in it, or null.
-    """
+def classes(docs: DataFrame, k: int = 5) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, digest, ref, n, node, root; equal roots are one component, null where the set is empty."""
     # prefixes are worked out again for the grouping rather than written: they would be half of the folder's bytes
     full = signatures(docs, k)
     signed = written(full.drop("prefix"), "signatures")
-    known = signed.where("n > 0 and doc_id is not null")
     # one grouping, which combines before its shuffle: copies collapse where they are read, and prefixes travel once
-    rep = F.max_by(F.struct("node", F.col("doc_id").alias("doc"), "bits"), F.struct("node", (-F.col("doc_id")).alias("least"))).alias("rep")
-    groups = full.where("n > 0 and doc_id is not null").groupBy("n", "grp").agg(rep, F.first("prefix").alias("prefix"), F.min("node").alias("other"))
+    rep = F.max_by(F.struct("node", F.col("ref").alias("doc"), "bits"), F.struct("node", (-F.col("ref")).alias("least"))).alias("rep")
+    groups = full.where("n > 0").groupBy("n", "grp").agg(rep, F.first("prefix").alias("prefix"), F.min("node").alias("other"))
     groups = written(groups.select("n", "grp", "rep.*", (F.col("other") != F.col("rep.node")).alias("several"), "prefix"), "groups")
     info = groups.select("node", "doc", "n", "grp", "bits")
 
     posting = groups.select(F.explode("prefix").alias("tok"), "node")
-    lists = posting.groupBy("tok").agg(F.count("*").alias("size")).where("size > 1").select("tok")
+    lists = posting.groupBy("tok").agg(F.count("*").alias("size")).where("size > 1")
     hits = written(posting.join(lists, "tok"), "hits")
 
-    # the sets of one group beyond its representative
+    # the sets of one group beyond its representative; copies of a set are one row before they meet
     many = groups.where("several").select("n", "grp", F.col("node").alias("b"), F.col("doc").alias("b_doc"))
-    within = known.select("n", "grp", "node", "doc_id", "bits").join(many, ["n", "grp"]).where("node != b")
-    within = within.groupBy("n", "grp", "node", "b", "b_doc").agg(F.min("doc_id").alias("doc"), F.first("bits").alias("bits"))
+    sets = signed.where("n > 0").groupBy("n", "grp", "node").agg(F.min("ref").alias("doc"), F.first("bits").alias("bits"))
+    within = sets.join(many, ["n", "grp"]).where("node != b")
     within = written(within.select("n", "grp", F.col("node").alias("a"), F.col("doc").alias("a_doc"), "bits", "b", "b_doc"), "within")
 
     # step 1: each group with the nearest of its lists' most central groups; an unedited text shares most of its prefix
@@ -238,7 +257,12 @@ def similar_sets(spark: SparkSession, docs: DataFrame, k: int = 5) -> DataFrame:
     span = groups.select("grp", "n", "node", "several", "bits").join(span, ["grp", "n"])
     mixed = hits.join(span.select("node", "lo", "hi"), "node").groupBy("tok").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a != b").select("tok")
     open_lists = written(hits.join(mixed, "tok").join(span, "node"), "open")
-    apart = named(open_lists, "x_").join(named(open_lists, "y_"), F.col("x_tok") == F.col("y_tok")).where("x_node < y_node and not (x_lo = x_hi and y_lo = y_hi and x_lo = y_lo)")
+    # a long list is dealt in squares of LIST_PART members a side, each of which is compared by itself
+    side = F.ceil(F.col("size") / LIST_PART).cast("int")
+    dealt = open_lists.withColumn("strip", F.pmod(F.xxhash64("node"), side).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), side - 1)))
+    dealt = dealt.withColumns({"row": F.least("strip", "other"), "col": F.greatest("strip", "other")}).drop("other", "size")
+    same = [F.col(f"x_{c}") == F.col(f"y_{c}") for c in ("tok", "row", "col")]
+    apart = named(dealt, "x_").join(named(dealt, "y_"), same).where("x_node < y_node and (x_row = x_col or x_strip != y_strip) and not (x_lo = x_hi and y_lo = y_hi and x_lo = y_lo)")
     apart = apart.where("4 * least(x_n, y_n) >= 3 * greatest(x_n, y_n)").where(F.col("x_several") | F.col("y_several") | can_link())
     apart = apart.groupBy("x_node", "y_node", "x_n", "y_n", "x_grp", "y_grp").agg(F.count("*").alias("shared"))
     # overlap needed: ceil(3 (x + y) / 7); beyond the prefix that ends first at most n - p = ceil(0.75 n) - 1 can be shared
@@ -251,19 +275,36 @@ def similar_sets(spark: SparkSession, docs: DataFrame, k: int = 5) -> DataFrame:
     if not rest.isEmpty():
         roots = components(links.unionByName(verified(rest, docs, k)))
 
-    least = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"))
-    least = least.join(roots, least.node == roots.id, "left").select("node", F.coalesce("root", "node").alias("root"), "doc")
-    components_of = least.join(least.groupBy("root").agg(F.min("doc").alias("component_id")), "root").select("node", "component_id")
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(components_of, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = signed.select("doc_id", "digest", "ref", "n", "node").join(roots, signed.node == roots.id, "left")
+    return out.select("doc_id", "digest", "ref", "n", "node", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root"))
+
+
+def similar_sets(spark: SparkSession, docs: DataFrame, k: int = 5) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id.
+
+    component_id is the smallest doc_id that links reach. Null or empty texts have an empty set and
+    are linked with nothing; texts of fewer than k words count as one shingle. Repeated rows come
+    back as often as they came, in one component. Further columns of docs are ignored. A row with a null
+    doc_id is kept and links like any other; its component is the smallest known doc_id in it, or null.
+    Rows of one doc_id with different texts are rows of their own.
+    """
+    rows = classes(docs, k)
+    nodes = rows.where("root is not null").groupBy("node", "root").agg(F.min("doc_id").alias("doc"))
+    least = nodes.groupBy("root").agg(F.min("doc").alias("component_id"))
+    least = nodes.join(least, "root").select(F.col("node").alias("of"), "component_id")
+    out = rows.join(least, (F.col("n") > 0) & (rows.node == F.col("of")), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, k: int = 5) -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id is the smallest of its component; one for each such doc_id.
+    """Of docs, with all their columns, one row for each component: the one with the smallest doc_id, and of equal ones the smallest digest of the text.
 
-    Texts without words are linked with nothing and stay, and so do rows without a doc_id.
+    Rows without a doc_id come after those with one. Texts without words are linked with nothing and stay.
     """
-    found = similar_sets(spark, docs.select("doc_id", "text"), k)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where("doc_id is null"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
+    first = classes(docs.select("doc_id", "text"), k).where("root is not null").groupBy("root").agg(F.min_by(F.struct("ref", "digest"), order).alias("row"))
+    kept = first.select(F.col("row.ref").alias("_kept_ref"), F.col("row.digest").alias("_kept_digest"))
+    rows = docs.withColumns({"_ref": ref(), "_digest": digest()})
+    rows = rows.join(kept, (F.col("_ref") == F.col("_kept_ref")) & (F.col("_digest") == F.col("_kept_digest")), "left_semi")
+    rows = rows.dropDuplicates(["_ref", "_digest"]).drop("_ref", "_digest")
+    return rows.unionByName(docs.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^ \t-\r]")))

@@ -12,6 +12,16 @@ def remainder(k: int):
     return F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % k
 
 
+def held_out(k: int):
+    """Whether that remainder is 0; it is not for a null doc_id."""
+    return F.coalesce(remainder(k) == 0, F.lit(False))
+
+
+def learned(k: int):
+    """Whether that remainder is known and not 0."""
+    return F.coalesce(remainder(k) != 0, F.lit(False))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> list[tuple[str, int]]:
     """Up to per_class (text, label) of each label from rows whose remainder by 5 is not 0.
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .labelled import remainder, sigmoid, training_sample
+from .labelled import held_out, remainder, sigmoid, training_sample
 from .shared import give_back, slices
 
 # General insults and threats.
@@ -250,7 +250,7 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
             z = np.array([weights[(s % np.uint64(BUCKETS)).astype(np.int64)].sum(dtype=np.float64) for s in sets]) + constant
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), batch.column("held_out"), pa.array(sigmoid(z))], names)
 
-    rows = docs.withColumn("held_out", F.coalesce(remainder(5) == 0, F.lit(False))).select(*dict.fromkeys((*keep, "held_out", "text")))
+    rows = docs.withColumn("held_out", held_out(5)).select(*dict.fromkeys((*keep, "held_out", "text")))
     out = rows.mapInArrow(run, rows.select(*keep, "held_out").schema.add("score", "double"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

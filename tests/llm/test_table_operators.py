@@ -78,8 +78,31 @@ def test_similarity_join_repeated_rows_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (None, "a b c d e f"), (3, "x")], "doc_id long, text string")
     got = sorted((tuple(r) for r in jaccard.similar_sets(spark, docs).collect()), key=str)
     assert got == sorted([(1, 2, 1), (1, 2, 1), (2, 2, 1), (None, 2, 1), (3, 1, 3)], key=str)
-    assert sorted(str(r["doc_id"]) for r in jaccard.one_of_each(spark, docs).collect()) == ["1", "3", "None"]
-    assert jaccard.similar_sets(spark, docs.limit(0)).count() == 0
+    # the row without an id is a copy of a kept one
+    assert sorted(str(r["doc_id"]) for r in jaccard.one_of_each(spark, docs).collect()) == ["1", "3"]
+    assert jaccard.similar_sets(spark, docs.limit(0)).count() == 0 and jaccard.one_of_each(spark, docs.limit(0)).count() == 0
+
+
+def test_similarity_join_null_and_repeated_ids(spark):
+    base = [f"w{i}" for i in range(40)]
+    near = lambda k: " ".join([*base[:k], "other", *base[k + 1 :]])
+    rows = [(1, near(0)), (None, " ".join(base)), (2, near(39)), (None, "alone text here"), (None, None), (None, ""), (5, "one thing and five words"), (5, "quite another text of six words"), (6, "one thing and five words"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in jaccard.similar_sets(spark, docs).collect()), key=str)
+    # 1 and 2 are linked by the row without an id alone
+    assert got == sorted([(1, 36, 1), (None, 36, 1), (2, 36, 1), (None, 1, None), (None, 0, None), (None, 0, None), (5, 1, 5), (5, 2, 5), (6, 1, 5), (7, 0, 7)], key=str)
+    kept = sorted((str(r["doc_id"]), r["text"] or "") for r in jaccard.one_of_each(spark, docs).collect())
+    assert kept == sorted([("1", near(0)), ("None", "alone text here"), ("None", ""), ("None", ""), ("5", "one thing and five words"), ("5", "quite another text of six words"), ("7", "")])
+
+
+def test_similarity_join_hot_lists_and_copies(spark):
+    """Thousands of copies of one text, and a prefix list of many texts that are not linked."""
+    rng = random.Random(9)
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows = [(i, shared + " " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(45))) for i in range(1500)]
+    rows += [(2000 + i, "copy " + shared) for i in range(3000)] + [(6000, "copy! " + shared)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_sets(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert got == {i: i for i in range(1500)} | {2000 + i: 2000 for i in range(3000)} | {6000: 2000}
 
 
 def test_components(spark):
@@ -134,7 +157,7 @@ def test_mixing_awkward_rows(spark):
     assert sorted((str(r["doc_id"]), r["taken"]) for r in out) == [("1", 3), ("1", 3), ("4", 51), ("None", 2)]
     assert mixing.mixture(docs.limit(0)).count() == 0
     kept = mixing.selected(docs, 1.0)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 1, 4]
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "1", "4", "None"]
 
 
 def test_shortage_goes_to_siblings_first(spark):
