@@ -5,42 +5,42 @@ every text whose crc32(doc_id) modulo 10 is not 0.
 
 Base: each token's smoothed share, log10((c + 0.1) / (N + 0.1 (V + 1))), c over all words, exactly.
 
-Model: absolute discounting over orders 3, 2 and 1, the base at the root. The states are the
-contexts that have arcs: pairs and single words. A state's arcs carry log10 of the discounted
-share; its failure arc leads to the shorter context and carries the mass left for words without an
-arc. The state before a token is known from the two words before it, so a text's tokens are looked
-up all at once: an arc, or the failure arcs until one is found or the root is reached.
-
-Every counted n-gram is an arc, those seen once too, and every word may stand in a context. Arcs and
-failure weights are written tables, keyed by 64-bit hashes of their words, and are found by joins.
-The ARCS most counted triples and the ROOT_WORDS most counted words are also sent to the tasks, as a
-cache: the scores are equal whatever its size. Automaton and build are the same model in one memory.
+Model: orders 3, 2 and 1, the base at the root. The states are the contexts that were counted: pairs
+and single words. A state's arc carries log10 of (c + mass * share at the shorter context) / (all + mass), its
+failure arc leads to the shorter context and carries log10 of mass / (all + mass), so a state's arcs and
+what its failure arc reaches add up to 1. All counted n-grams are arcs, those seen once too.
+
+The automaton of a large corpus is held by no task. The state before a token is known from the two
+words before it, so the traversal of a text needs the counts of its own n-grams alone. Texts are dealt
+into units; each unit asks for its distinct n-grams, as sorted 64-bit hashes packed by bucket, with its own
+counts; a bucket adds up what all units have of an n-gram and answers each; the unit's texts then take
+their weights from the answers. A frequent n-gram is one entry of a unit, so none is hot. `build` and
+`traverse` are the same model as an automaton in one memory, for a corpus that fits there.
 
 Null and empty texts have the end alone; further columns are ignored and an empty table gives an empty
-one; with no training text every token has the share of an unseen one. Repeated rows are scored each; a null doc_id
-counts as held in training only if its crc32 says so, which it does not: it is scored, not learned.
+one; with no training text every token has the share of an unseen one. Repeated rows are scored each and
+learned from each. A null doc_id has no remainder: it is scored, not held out and not learned from.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import textvec
-from .labelled import remainder
-from .shared import most_counted, slices, written
+from .labelled import held_out, learned
+from .shared import slices
 
-#: Bounds of the cache that is broadcast (entries): arcs of triples, words at the root.
-ARCS, ROOT_WORDS = 1 << 20, 1 << 20
-DISCOUNT, SMOOTH = 0.6, 0.1
+#: What the shorter context counts for, in tokens, at a state of one word and at one of two; and the root's smoothing.
+MASS, SMOOTH = (1000.0, 8.0), 0.1
+#: Tokens of a unit, and n-grams of a bucket, about: what a Python task holds at once.
+UNIT_TOKENS, BUCKET_KEYS = 1 << 20, 1 << 20
 #: Counts that a task gathers before it hands them on.
 GATHERED = 1 << 21
 END = np.uint64(0x5EED_0F_7E47)
@@ -87,52 +87,48 @@ def _gram(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return textvec.mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
-def _grams(docs: DataFrame, order: int) -> DataFrame:
-    """(k, a, b, c) of all pairs or triples within texts: a pair's words, or a triple's first and last pair, and the count."""
+def pack(x: np.ndarray) -> bytes:
+    """64-bit integers as compressed planes of bytes."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
 
-        def flush():
-            a, b = (np.concatenate(x) for x in zip(*held))
-            k, at, c = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
-            for i in range(0, len(k), 1 << 16):
-                j = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(k[j].view(np.int64)), pa.array(a[at[j]].view(np.int64)), pa.array(b[at[j]].view(np.int64)), pa.array(c[j])], ["k", "a", "b", "c"])
+def unpack(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel()
 
-        keys = []
-        for batch in slices(batches):
-            h, _ = tokens(batch.column("text"))
-            pairs = _gram(h[:-1], h[1:])
-            if order == 2:
-                ok = h[:-1] != END  # an end closes its text
-                parts = pairs, h[:-1], h[1:]
-            else:
-                ok = (h[:-2] != END) & (h[1:-1] != END)
-                parts = _gram(pairs[:-1], h[2:]), pairs[:-1], pairs[1:]
-            k, a, b = (x[ok] for x in parts)
-            keys.append(k)
-            held.append((a, b))
-            size += len(k)
-            if size > GATHERED:
-                yield from flush()
-                held, size = [], 0
-                keys.clear()
-        if held:
-            yield from flush()
 
-    found = docs.select("text").mapInArrow(run, "k long, a long, b long, c long")
-    return found.groupBy("k").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.sum("c").alias("c"))
-
-
-def _left(mass, lower):
-    """The failure arc's share: what a state's arcs leave, over what the shorter context leaves for other words."""
-    return F.greatest(1 - mass, F.lit(1e-12)) / F.greatest(1 - lower, F.lit(1e-12))
+@dataclass
+class Unit:
+    """The tokens of some texts: each one's place in its text, and each text's first (one more entry at the end)."""
+
+    hashes: np.ndarray
+    place: np.ndarray
+    first: np.ndarray
+
+    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions that end an n-gram of this order, and its hashes there."""
+        h = self.hashes
+        at = np.flatnonzero(self.place >= order - 1)
+        if order == 1:
+            return at, textvec.mix(h)
+        pairs = _gram(h[at - 1], h[at]) if order == 2 else _gram(_gram(h[at - 2], h[at - 1]), h[at])
+        return at, pairs
+
+
+def unit_of(table: pa.Table) -> Unit:
+    hashes, sizes = [], []
+    for batch in slices(table.select(["text"]).to_batches()):
+        h, first = tokens(batch.column("text"))
+        hashes.append(h)
+        sizes.append(np.diff(first))
+    h, size = np.concatenate(hashes), np.concatenate(sizes)
+    first = np.concatenate(([0], np.cumsum(size)))
+    return Unit(h, np.arange(len(h)) - np.repeat(first[:-1], size), first)
 
 
 @dataclass
 class Automaton:
-    """State 0 is the root, 1 to W the single words, then the pairs. Keys are state * (W + 1) + word."""
+    """State 0 is the root, 1 to W the single words, then the pairs. Keys are state * (W + 1) + word; word 0 is any unseen one."""
 
     words: np.ndarray  # sorted hashes; word i has id ids[i] = i + 1
     keys: np.ndarray  # of the arcs, sorted
@@ -193,41 +189,23 @@ class Automaton:
         return out
 
 
-def build(words: np.ndarray, word_counts: np.ndarray, root: np.ndarray, pairs, triples, total: int) -> Automaton:
-    """words are sorted; pairs and triples are (keys, counts) in base W + 1 of word ids; root holds the words' shares."""
+def build(words: np.ndarray, word_counts: np.ndarray, root: np.ndarray, pairs, triples) -> Automaton:
+    """words are sorted; pairs and triples are (keys, counts) in base W + 1 of word ids; root holds the words' shares.
+
+    Every pair that begins a triple is counted, and every word of a pair.
+    """
     base = len(words) + 1
-    counts1 = np.concatenate(([0], word_counts)).astype(float)
-    p1 = np.concatenate(([0.0], root))
+    counts1, p1 = np.concatenate(([0], word_counts)).astype(float), np.concatenate(([0.0], root))
     k2, c2 = pairs
     u, w = k2 // base, k2 % base
-    share2 = np.maximum(c2 - DISCOUNT, 0) / counts1[u]
-    mass2 = np.bincount(u, share2, base)
-    lower2 = np.bincount(u, p1[w], base)
-    back1 = np.ones(base)
-    used = np.bincount(u, minlength=base) > 0
-    back1[used] = np.maximum(1 - mass2[used], 1e-12) / np.maximum(1 - lower2[used], 1e-12)
-    # pairs that begin a triple are states
+    share2 = (c2 + MASS[0] * p1[w]) / (counts1[u] + MASS[0])
     k3, c3 = triples
     context, z = k3 // base, k3 % base
     states = np.unique(context)
-    at = np.searchsorted(k2, states)
-    at[at == len(k2)] = 0
-    known = (k2[at] == states) if len(k2) else np.zeros(len(states), bool)
-    states, count_of = states[known], c2[at[known]]
-    where = np.searchsorted(states, context)
-    where[where == len(states)] = 0
-    keep = (states[where] == context) if len(states) else np.zeros(len(context), bool)
-    where, z, c3 = where[keep], z[keep], c3[keep]
-    share3 = np.maximum(c3 - DISCOUNT, 0) / count_of[where] if len(where) else np.zeros(0)
-    v = states % base
-    # what order 2 gives to the triple's last word
-    key2 = v[where] * base + z
-    i = np.searchsorted(k2, key2)
-    i[i == len(k2)] = 0
-    direct = (k2[i] == key2) if len(k2) else np.zeros(len(key2), bool)
-    p2 = np.where(direct, share2[i] if len(k2) else 0, back1[v[where]] * p1[z])
-    mass3, lower3 = np.bincount(where, share3, len(states)), np.bincount(where, p2, len(states))
-    back2 = np.maximum(1 - mass3, 1e-12) / np.maximum(1 - lower3, 1e-12)
+    all2 = c2[np.searchsorted(k2, states)].astype(float)
+    where, v = np.searchsorted(states, context), states % base
+    lower = share2[np.searchsorted(k2, v[where] * base + z)]
+    share3 = (c3 + MASS[1] * lower) / (all2[where] + MASS[1])
 
     def pair_state(a, b):
         """The state after words a, b: the pair, else b."""
@@ -236,126 +214,77 @@ def build(words: np.ndarray, word_counts: np.ndarray, root: np.ndarray, pairs, t
         ok = (states[j] == a * base + b) if len(states) else np.zeros(len(a), bool)
         return np.where(ok, base + j, b)
 
-    keys = np.concatenate((u * base + w, (base + where) * base + z))
-    weights = np.log10(np.concatenate((np.maximum(share2, 1e-300), np.maximum(share3, 1e-300))))
-    targets = np.concatenate((pair_state(u, w), pair_state(v[where], z)))
+    keys = np.concatenate((k2, (base + where) * base + z))
     order = np.argsort(keys)
-    has = np.zeros(base + len(states), bool)
-    has[base:] = True
-    has[:base] = used
-    fail = np.concatenate((np.zeros(base, np.int64), np.where(used[v], v, 0)))
-    back = np.log10(np.concatenate((back1, back2)))
+    weights, targets = np.log10(np.concatenate((share2, share3))), np.concatenate((pair_state(u, w), pair_state(v[where], z)))
+    used = np.bincount(u, minlength=base) > 0
+    fail = np.concatenate((np.zeros(base, np.int64), v))
+    back = np.log10(np.concatenate([m / (c + m) for c, m in zip((counts1, all2), MASS)]))
     back[0] = 0
-    return Automaton(words, keys[order], weights[order], targets[order], back, fail, has)
+    return Automaton(words, keys[order], weights[order], targets[order], back, fail, np.concatenate((used, np.ones(len(states), bool))))
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs(doc_id, text)."""
-    spark = docs.sparkSession
-    held = F.coalesce(remainder(10) == 0, F.lit(True))
-    learn = docs.where(~held).select("text")
-    counts = written(_counted(learn, lambda b: tokens(b.column("text"))[0].view(np.int64)), "words")
+    learn = docs.where(learned(10)).select("text")
+    counts = _counted(learn, lambda b: tokens(b.column("text"))[0].view(np.int64))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    unit = n + SMOOTH * (v + 1)
-    top, top_counts = most_counted(counts, ROOT_WORDS)
-    unsigned = np.argsort(top.view(np.uint64))
-    top, top_counts = top.view(np.uint64)[unsigned], top_counts[unsigned]
-    known = spark.sparkContext.broadcast((top, top_counts))
-
-    # arcs of pairs, with their context's failure arc
-    pairs = written(_grams(learn, 2), "pairs")
-    shares = counts.select(F.col("k").alias("b"), ((F.col("c") + SMOOTH) / unit).alias("root"))
-    singles = pairs.join(shares, "b").groupBy("a").agg(F.sum("c").alias("all"), F.sum(F.col("c") - DISCOUNT).alias("taken"), F.sum("root").alias("lower"))
-    singles = written(singles.select("a", "all", _left(F.col("taken") / F.col("all"), F.col("lower")).alias("back1")), "singles")
-    arcs2 = written(pairs.join(singles, "a").select("k", ((F.col("c") - DISCOUNT) / F.col("all")).alias("share2")), "arcs2")
-    # and of triples
-    triples = written(_grams(learn, 3), "triples")
-    contexts = triples.join(arcs2.withColumnRenamed("k", "b"), "b").groupBy("a").agg(F.sum("c").alias("all"), F.sum(F.col("c") - DISCOUNT).alias("taken"), F.sum("share2").alias("lower"))
-    contexts = written(contexts.select("a", "all", _left(F.col("taken") / F.col("all"), F.col("lower")).alias("back2")), "contexts")
-    arcs3 = triples.join(contexts, "a").select("k", F.log10((F.col("c") - DISCOUNT) / F.col("all")).alias("arc"), "c")
-    arcs3 = written(arcs3, "arcs3")
-    cached = most_counted(arcs3, ARCS)[1]
-    cached = arcs3.where(F.col("c") >= int(cached.min())).select("k", "arc").toArrow() if len(cached) else arcs3.limit(0).select("k", "arc").toArrow()
-    arc_keys, arcs = cached.column("k").to_numpy(), cached.column("arc").to_numpy()
-    by_key = np.argsort(arc_keys)
-    machine = spark.sparkContext.broadcast((arc_keys[by_key], arcs[by_key]))
-    none = float(np.log10(SMOOTH / unit))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (hashes, c), (arc_keys, arcs) = known.value, machine.value
-        logs = np.log10((c + SMOOTH) / unit)
-        task, row = TaskContext.get().partitionId() << 36, 0
-        for batch in slices(batches):
-            h, first = tokens(batch.column("text"))
-            at = np.searchsorted(hashes, h)
-            at[at == len(hashes)] = 0
-            hit = (hashes[at] == h) if len(hashes) else np.zeros(len(h), bool)
-            root = np.where(hit, logs[at] if len(logs) else 0.0, 0.0)
-            edge = first[:-1]
-            size = np.diff(first)
-            owner = np.repeat(np.arange(len(size)), size)
-            place = np.arange(len(h)) - edge[owner]
-            before, before2 = np.concatenate((h[:1], h[:-1])), np.concatenate((h[:2], h[:-2]))[: len(h)]
-            pair, context = _gram(before, h), _gram(before2, before)
-            key = _gram(context, h).view(np.int64)
-            i = np.searchsorted(arc_keys, key)
-            i[i == len(arc_keys)] = 0
-            found = (place > 1) & ((arc_keys[i] == key) if len(arc_keys) else False)
-            gain = np.where(place == 0, root, 0.0)
-            if len(arcs):
-                gain[found] = arcs[i[found]]
-            total = np.add.reduceat(gain, edge)
-            plain, seen = np.add.reduceat(root, edge), np.add.reduceat(hit.astype(np.int64), edge)
-
-            def lists(of: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
-                ends = pa.array(np.searchsorted(owner[of], np.arange(len(size) + 1)).astype(np.int32))
-                return [pa.ListArray.from_arrays(ends, pa.array(x[of].view(np.int64))) for x in columns]
-
-            # triples beyond the cache; a text learned from has none that was not counted
-            held_out = batch.column("held_out").to_numpy(zero_copy_only=False)[owner]
-            sought = np.flatnonzero((place > 1) & ~found & ~held_out)
-            unsure = np.flatnonzero((place == 1) | ((place > 1) & ~found & held_out))
-            # a text's second token has a word before it, but no pair: its key is one that no arc has, and another for each pair
-            key, context = np.where(place > 1, key, ~pair.view(np.int64)), np.where(place > 1, context, ~pair)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(task + row + np.arange(len(size))), pa.array(size), pa.array(seen), pa.array(plain), pa.array(total)]
-                + [*lists(np.flatnonzero(~hit), h), *lists(np.flatnonzero(~hit & (place == 0)), h), *lists(sought, key), *lists(unsure, key, context, pair, before, h)],
-                names,
-            )
-            row += len(size)
-
-    rows = docs.select("doc_id", held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = rows.select("doc_id", "held_out").schema
-    unsure = ["key", "context", "pair", "before", "word"]
-    for name, kind in (("row", "long"), ("n_tokens", "long"), ("seen", "long"), ("plain", "double"), ("total", "double"), *((x, T.ArrayType(T.LongType())) for x in ("rare", "rare_first", "sought", *unsure))):
+    total, masses = n + SMOOTH * (v + 1), MASS
+    units = max(docs.select("text").rdd.getNumPartitions(), -(-n // UNIT_TOKENS))
+    bits = max(4, int(2 * n // BUCKET_KEYS).bit_length())
+    edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+
+    # repeated rows are told apart by where they stand, so that none makes a unit large
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(64))
+    unit = F.pmod(F.xxhash64("doc_id", "text", salt), F.lit(units)).cast("int")
+    dealt = docs.select("doc_id", held_out(10).alias("held_out"), learned(10).alias("learned"), F.coalesce("text", F.lit("")).alias("text"), unit.alias("unit"))
+
+    def ask(table: pa.Table) -> pa.Table:
+        part = unit_of(table)
+        learns = np.repeat(table.column("learned").to_numpy(), np.diff(part.first)).astype(float)
+        rows: tuple[list, list, list] = ([], [], [])
+        for order in (1, 2, 3):
+            at, keys = part.grams(order)
+            known, entry = np.unique(keys, return_inverse=True)
+            own = np.bincount(entry, learns[at], len(known)).astype(np.int64)
+            cuts = np.concatenate((np.searchsorted(known, edges), [len(known)]))
+            for i in np.flatnonzero(np.diff(cuts)).tolist():
+                a, b = cuts[i], cuts[i + 1]
+                for column, x in zip(rows, ((order << bits) + i, pack(np.diff(known[a:b], prepend=np.uint64(0))), pack(own[a:b]))):
+                    column.append(x)
+        size = len(rows[0])
+        return pa.table([pa.array([table.column("unit")[0].as_py()] * size, pa.int32()), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["unit", "bucket", "keys", "own"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        asked = [np.cumsum(unpack(x), dtype=np.uint64) for x in table.column("keys").to_pylist()]
+        own = np.concatenate([unpack(x) for x in table.column("own").to_pylist()]).astype(float)
+        known, entry = np.unique(np.concatenate(asked), return_inverse=True)
+        sums = np.bincount(entry, own, len(known)).astype(np.int64)[entry]
+        ends = np.cumsum([len(x) for x in asked])[:-1]
+        return pa.table([table.column("unit"), table.column("bucket"), pa.array([pack(np.ascontiguousarray(x)) for x in np.split(sums, ends)], pa.binary())], ["unit", "bucket", "counts"])
+
+    def read(table: pa.Table, answers: pa.Table) -> pa.Table:
+        part, answers = unit_of(table), answers.sort_by("bucket")
+        of, packed = answers.column("bucket").to_numpy() >> bits, answers.column("counts").to_pylist()
+        c = []
+        for order in (1, 2, 3):
+            at, keys = part.grams(order)
+            found = np.concatenate([np.zeros(0, np.uint64), *(unpack(packed[i]) for i in np.flatnonzero(of == order).tolist())])
+            c.append(np.zeros(len(part.hashes)))
+            c[-1][at] = found[np.unique(keys, return_inverse=True)[1]]
+        share = root = (c[0] + SMOOTH) / total
+        for context, own, least, mass in ((c[0], c[1], 1, masses[0]), (c[1], c[2], 2, masses[1])):
+            at = np.flatnonzero(part.place >= least)
+            lower, share = share, share.copy()
+            share[at] = (own[at] + mass * lower[at]) / (context[at - 1] + mass)
+        start, size = part.first[:-1], np.diff(part.first)
+        sums = [np.add.reduceat(np.log10(x), start) for x in (root, share)]
+        known = np.add.reduceat((c[0] > 0).astype(np.int64), start)
+        return pa.table([table.column("doc_id"), table.column("held_out"), pa.array(size), pa.array(known), pa.array(np.full(len(size), n)), *map(pa.array, sums)], schema.names)
+
+    schema = dealt.select("doc_id", "held_out").schema
+    for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double")):
         schema = schema.add(name, kind)
-    names = schema.names
-    read = written(rows.mapInArrow(run, schema), "read")
-    weight = F.coalesce(F.log10((F.col("c") + SMOOTH) / unit), F.lit(none))
-    # the words beyond the root's most counted ones, by a join with all counts
-    rare = read.select("row", F.explode("rare").alias("k")).groupBy("k", "row").count()
-    rare = rare.join(counts, "k", "left").groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("count")).otherwise(0)).alias("more"), F.sum(F.col("count") * weight).alias("rest"))
-    begun = read.select("row", F.explode("rare_first").alias("k")).join(counts, "k", "left").select("row", weight.alias("gain"))
-    # the arcs beyond the cache, and the failure arcs of what has none
-    arc = arcs3.select("k", "arc")
-    direct = read.select("row", F.explode("sought").alias("k")).join(arc, "k").select("row", F.col("arc").alias("gain"))
-    asked = read.select("row", F.explode(F.arrays_zip(*unsure)).alias("x")).select("row", "x.*")
-    asked = written(asked.join(arc.withColumnRenamed("k", "key"), "key", "left").drop("key"), "asked")
-    failed = asked.where("arc is null").drop("arc").join(contexts.select(F.col("a").alias("context"), "back2"), "context", "left").drop("context")
-    failed = failed.join(arcs2.withColumnRenamed("k", "pair"), "pair", "left").drop("pair")
-    failed = written(failed, "failed")
-    one = F.lit(1.0)
-    lowered = F.log10(F.coalesce("back2", one))
-    root = failed.where("share2 is null").join(singles.select(F.col("a").alias("before"), "back1"), "before", "left").join(counts.withColumnRenamed("k", "word"), "word", "left")
-    gains = [
-        begun, direct, asked.where("arc is not null").select("row", F.col("arc").alias("gain")),
-        failed.where("share2 is not null").select("row", (lowered + F.log10("share2")).alias("gain")),
-        root.select("row", (lowered + F.log10(F.coalesce("back1", one)) + weight).alias("gain")),
-    ]
-    gained = functools.reduce(DataFrame.unionByName, (x.groupBy("row").agg(F.sum("gain").alias("gain")) for x in gains)).groupBy("row").agg(F.sum("gain").alias("gain"))
-    out = read.drop("rare", "rare_first", "sought", *unsure).join(rare, "row", "left").join(gained, "row", "left")
-    rest, gain = F.coalesce("rest", F.lit(0.0)), F.coalesce("gain", F.lit(0.0))
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("seen") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("plain") + rest).alias("base_score"), (F.col("total") + gain).alias("score"),
-    )
+    asks = dealt.groupBy("unit").applyInArrow(ask, "unit int, bucket long, keys binary, own binary")
+    answers = asks.groupBy("bucket").applyInArrow(answer, "unit int, bucket long, counts binary")
+    return dealt.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(read, schema)

@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="chronolane-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _own_dir(spark.sparkContext.applicationId)
     return path
 
 
+@lru_cache
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="chronolane-")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back, so that a lost executor costs no recomputation."""
     spark = df.sparkSession

@@ -293,47 +293,60 @@ def test_language_model(spark, docs, empty):
     assert backoff_lm.score(empty).count() == 0
 
 
-@pytest.mark.parametrize("cache", [0, 1 << 20])
-def test_language_model_keeps_every_ngram(spark, monkeypatch, cache):
-    """Against brute force, over more words than 4,096 and with n-grams seen once; the cache changes nothing."""
-    monkeypatch.setattr(backoff_lm, "ARCS", cache)
-    monkeypatch.setattr(backoff_lm, "ROOT_WORDS", cache)
+@pytest.mark.parametrize("size", [700, 1 << 20])
+def test_language_model_keeps_every_ngram(spark, monkeypatch, size):
+    """Against brute force, with n-grams seen once, repeated rows and hot n-grams; the sizes of units and buckets change nothing."""
+    monkeypatch.setattr(backoff_lm, "UNIT_TOKENS", size)
+    monkeypatch.setattr(backoff_lm, "BUCKET_KEYS", size)
     rng = np.random.default_rng(5)
-    texts = [(i, " ".join(f"w{x}" for x in np.concatenate((rng.integers(0, 9, 8), rng.integers(0, 6000, 60), rng.integers(0, 9, 30))))) for i in range(200)] + [(200, ""), (201, "w1"), (202, "never w1 seen")]
-    split = {i: [*t.split(), None] for i, t in texts}
+    texts = [(i, " ".join(f"w{x}" for x in np.concatenate((rng.integers(0, 9, 8), rng.integers(0, 6000, 60), rng.integers(0, 9, 30))))) for i in range(200)] + [(200, ""), (201, "w1"), (202, "never w1 seen"), (None, "w1 w2 w3 w4")]
+    texts += [(300, "w1 w2 w3 w4 w1 w2")] * 200
+    split = [(i, [*t.split(), None]) for i, t in texts]
     grams: list[dict] = [{}, {}, {}]
-    for i, ws in split.items():
-        if zlib.crc32(str(i).encode()) % 10:
+    for i, ws in split:
+        if i is not None and zlib.crc32(str(i).encode()) % 10:
             for o, found in enumerate(grams):
                 for j in range(len(ws) - o):
                     k = tuple(ws[j : j + o + 1])
                     found[k] = found.get(k, 0) + 1
     n, v = sum(grams[0].values()), len(grams[0])
     assert v > 4096
-    follow: dict = {}
-    for found in grams[1:]:
-        for k in found:
-            follow.setdefault(k[:-1], []).append(k)
 
+    @functools.cache
     def share(k):
         if len(k) == 1:
             return (grams[0].get(k, 0) + 0.1) / (n + 0.1 * (v + 1))
-        context, found = k[:-1], grams[len(k) - 1]
-        arcs = follow.get(context, [])
-        if k in found:
-            return (found[k] - 0.6) / sum(found[x] for x in arcs)
-        return (back(context) if arcs else 1) * share(k[1:])
-
-    @functools.cache
-    def back(context):
-        arcs = follow[context]
-        return (0.6 * len(arcs) / sum(grams[len(context)][x] for x in arcs)) / max(1 - sum(share(x[1:]) for x in arcs), 1e-12)
-
-    rows = backoff_lm.score(spark.createDataFrame(texts, "doc_id long, text string")).collect()
-    assert len(rows) == len(texts) and any(r["held_out"] for r in rows)
-    for r in rows:
-        ws = split[r["doc_id"]]
-        assert r["score"] == pytest.approx(sum(np.log10(share(tuple(ws[max(0, j - 2) : j + 1]))) for j in range(len(ws))), rel=1e-9)
+        mass = backoff_lm.MASS[len(k) - 2]
+        return (grams[len(k) - 1].get(k, 0) + mass * share(k[1:])) / (grams[len(k) - 2].get(k[:-1], 0) + mass)
+
+    want = sorted((str(i), round(float(sum(np.log10(share(tuple(ws[max(0, j - 2) : j + 1]))) for j in range(len(ws)))), 7)) for i, ws in split)
+    rows = backoff_lm.score(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r["doc_id"]), round(r["score"], 7)) for r in rows) == want
+    assert {r["held_out"] for r in rows} == {True, False} and not any(r["held_out"] for r in rows if r["doc_id"] is None)
+
+
+def test_packed_integers():
+    for x in ([], [0], [5, 2**64 - 1, 0, 7]):
+        assert backoff_lm.unpack(backoff_lm.pack(np.array(x, np.uint64))).tolist() == x
+
+
+def test_automaton_scores_as_the_job_does(spark):
+    """The automaton in one memory, traversed from left to right, against the scores of the distributed job."""
+    rng = np.random.default_rng(8)
+    texts = [(i, [int(x) for x in rng.integers(1, 30, 40)]) for i in range(1, 80)]
+    learns = [ws for i, ws in texts if zlib.crc32(str(i).encode()) % 10]
+    spell = lambda ws: " ".join(f"w{x}" for x in ws)
+    rows = {r["doc_id"]: r["score"] for r in backoff_lm.score(spark.createDataFrame([(i, spell(ws)) for i, ws in texts], "doc_id long, text string")).collect()}
+    coded = [np.array([*ws, 30]) for ws in learns]  # 30 is the end
+    counts = np.bincount(np.concatenate(coded), minlength=31)[1:]
+    unit = counts.sum() + 0.1 * (len(counts) + 1)
+    root = (counts + 0.1) / unit
+    two = np.unique(np.concatenate([x[:-1] * 31 + x[1:] for x in coded]), return_counts=True)
+    three = np.unique(np.concatenate([(x[:-2] * 31 + x[1:-1]) * 31 + x[2:] for x in coded]), return_counts=True)
+    machine = backoff_lm.build(np.arange(30, dtype=np.uint64), counts, root, two, three)
+    for i, ws in texts:
+        ids = np.array([*ws, 30])
+        assert machine.traverse(ids, np.log10(root[ids - 1]), np.array([0, len(ids)]))[0] == pytest.approx(rows[i], rel=1e-9)
 
 
 def test_automaton_is_a_distribution():
@@ -346,10 +359,10 @@ def test_automaton_is_a_distribution():
     unit = total + 0.1 * 7
     root = (counts + 0.1) / unit
     base = 7
-    two = np.unique(text[:-1] * base + text[1:], return_counts=True)
-    three = np.unique((text[:-2] * base + text[1:-1]) * base + text[2:], return_counts=True)
-    keep = three[1] > 8
-    machine = backoff_lm.build(words, counts, root, two, (three[0][keep], three[1][keep]), total)
+    ring = np.concatenate((text, text[:2]))  # every word is followed by one, as an end makes it in texts
+    two = np.unique(ring[:-2] * base + ring[1:-1], return_counts=True)
+    three = np.unique((ring[:-2] * base + ring[1:-1]) * base + ring[2:], return_counts=True)
+    machine = backoff_lm.build(words, counts, root, two, three)
     ends = np.log10(np.concatenate(([0.1 / unit], root)))
     for u in range(1, 7):
         for w in range(1, 7):
