@@ -12,9 +12,10 @@ what its failure arc reaches add up to 1. All counted n-grams are arcs, those se
 
 The automaton of a large corpus is held by no task. The state before a token is known from the two
 words before it, so the traversal of a text needs the counts of its own n-grams alone. Texts are dealt
-into units; each unit asks for its distinct n-grams, as sorted 64-bit hashes packed by bucket, with its own
-counts; a bucket adds up what all units have of an n-gram and answers each; the unit's texts then take
-their weights from the answers. A frequent n-gram is one entry of a unit, so none is hot. `build` and
+into units; each unit asks for its distinct n-grams, packed by bucket, with its own counts; a bucket
+adds up what all units have of an n-gram and answers each; the unit's texts then take their weights
+from the answers. A frequent n-gram is one entry of a unit, so none is hot. The RANKED most counted
+words are spelled by rank, others by hash; that decides the bytes sent, not the scores. `build` and
 `traverse` are the same model as an automaton in one memory, for a corpus that fits there.
 
 Null and empty texts have the end alone; further columns are ignored and an empty table gives an empty
@@ -35,12 +36,15 @@ from pyspark.sql import functions as F
 
 from . import textvec
 from .labelled import held_out, learned
-from .shared import slices
+from .shared import most_counted, slices, written
 
 #: What the shorter context counts for, in tokens, at a state of one word and at one of two; and the root's smoothing.
 MASS, SMOOTH = (1000.0, 8.0), 0.1
 #: Tokens of a unit, and n-grams of a bucket, about: what a Python task holds at once.
 UNIT_TOKENS, BUCKET_KEYS = 1 << 20, 1 << 20
+#: Words that are told to the tasks with their rank (12 bytes each).
+RANKED = 1 << 20
+RARE = np.uint64(1 << 63)
 #: Counts that a task gathers before it hands them on.
 GATHERED = 1 << 21
 END = np.uint64(0x5EED_0F_7E47)
@@ -99,23 +103,67 @@ def unpack(data: bytes) -> np.ndarray:
 
 @dataclass
 class Unit:
-    """The tokens of some texts: each one's place in its text, and each text's first (one more entry at the end)."""
+    """The tokens of some texts as codes: each one's place in its text, and each text's first (one more entry at the end).
 
-    hashes: np.ndarray
+    A code is a word's rank, or its hash with the highest bit set.
+    """
+
+    codes: np.ndarray
     place: np.ndarray
     first: np.ndarray
 
-    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions that end an n-gram of this order, and its hashes there."""
-        h = self.hashes
-        at = np.flatnonzero(self.place >= order - 1)
-        if order == 1:
-            return at, textvec.mix(h)
-        pairs = _gram(h[at - 1], h[at]) if order == 2 else _gram(_gram(h[at - 2], h[at - 1]), h[at])
-        return at, pairs
+    def grams(self, order: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of an order's n-grams: the positions where one ends, the entry of each, and for each entry such a position.
 
-
-def unit_of(table: pa.Table) -> Unit:
+        Entries are the distinct n-grams by bucket, the highest bits of their hash, and by their first word's rank.
+        """
+        at = np.flatnonzero(self.place >= order - 1)
+        words = [self.codes[at - i] for i in range(order - 1, -1, -1)]
+        keys, first = hashed(words), np.minimum(words[0], np.uint64((1 << 21) - 1))
+        bucket, rest = keys >> np.uint64(64 - bits), keys << np.uint64(bits)
+        short = bucket << np.uint64(64 - bits) | first << np.uint64(43 - bits) | rest >> np.uint64(bits + 21)
+        by = np.argsort(short)
+        short, known = short[by], keys[by]
+        new = known[1:] != known[:-1]
+        if (new != (short[1:] != short[:-1])).any():  # two n-grams share the shortened key: sort by the whole one
+            by = np.lexsort((keys, first, bucket))
+            known = keys[by]
+            new = known[1:] != known[:-1]
+        new = np.concatenate((np.ones(min(1, len(by)), bool), new))
+        entry = np.empty(len(by), np.int64)
+        entry[by] = np.cumsum(new) - 1
+        return at, entry, at[by[new]]
+
+
+def hashed(words: list[np.ndarray]) -> np.ndarray:
+    key = textvec.mix(words[0])
+    for w in words[1:]:
+        key = _gram(key, w)
+    return key
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted values of x, and of each element the place of its value."""
+    by = np.argsort(x)
+    x = x[by]
+    new = np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1]))
+    entry = np.empty(len(x), np.int64)
+    entry[by] = np.cumsum(new) - 1
+    return x[new], entry
+
+
+def coded(h: np.ndarray, top: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The codes of words' hashes; top is sorted."""
+    words, entry = distinct(h)
+    codes = words | RARE
+    if len(top):
+        at = np.searchsorted(top, words)
+        at[at == len(top)] = 0
+        codes = np.where(top[at] == words, rank[at].astype(np.uint64), codes)
+    return codes[entry]
+
+
+def unit_of(table: pa.Table, top: np.ndarray, rank: np.ndarray) -> Unit:
     hashes, sizes = [], []
     for batch in slices(table.select(["text"]).to_batches()):
         h, first = tokens(batch.column("text"))
@@ -123,7 +171,7 @@ def unit_of(table: pa.Table) -> Unit:
         sizes.append(np.diff(first))
     h, size = np.concatenate(hashes), np.concatenate(sizes)
     first = np.concatenate(([0], np.cumsum(size)))
-    return Unit(h, np.arange(len(h)) - np.repeat(first[:-1], size), first)
+    return Unit(coded(h, top, rank), np.arange(len(h)) - np.repeat(first[:-1], size), first)
 
 
 @dataclass
@@ -227,12 +275,16 @@ def build(words: np.ndarray, word_counts: np.ndarray, root: np.ndarray, pairs, t
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs(doc_id, text)."""
     learn = docs.where(learned(10)).select("text")
-    counts = _counted(learn, lambda b: tokens(b.column("text"))[0].view(np.int64))
+    counts = written(_counted(learn, lambda b: tokens(b.column("text"))[0].view(np.int64)), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    top, often = most_counted(counts, RANKED)
+    rank = np.empty(len(top), np.uint32)
+    rank[np.argsort(-often, kind="stable")] = np.arange(len(top))
+    by_hash = np.argsort(top.view(np.uint64))
+    ranked = docs.sparkSession.sparkContext.broadcast((top.view(np.uint64)[by_hash], rank[by_hash]))
     total, masses = n + SMOOTH * (v + 1), MASS
     units = max(docs.select("text").rdd.getNumPartitions(), -(-n // UNIT_TOKENS))
     bits = max(4, int(2 * n // BUCKET_KEYS).bit_length())
-    edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
 
     # repeated rows are told apart by where they stand, so that none makes a unit large
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(64))
@@ -240,38 +292,43 @@ def score(docs: DataFrame) -> DataFrame:
     dealt = docs.select("doc_id", held_out(10).alias("held_out"), learned(10).alias("learned"), F.coalesce("text", F.lit("")).alias("text"), unit.alias("unit"))
 
     def ask(table: pa.Table) -> pa.Table:
-        part = unit_of(table)
+        part = unit_of(table, *ranked.value)
         learns = np.repeat(table.column("learned").to_numpy(), np.diff(part.first)).astype(float)
         rows: tuple[list, list, list] = ([], [], [])
         for order in (1, 2, 3):
-            at, keys = part.grams(order)
-            known, entry = np.unique(keys, return_inverse=True)
-            own = np.bincount(entry, learns[at], len(known)).astype(np.int64)
-            cuts = np.concatenate((np.searchsorted(known, edges), [len(known)]))
+            at, entry, some = part.grams(order, bits)
+            own = np.bincount(entry, learns[at], len(some)).astype(np.int64)
+            words = [part.codes[some - i] for i in range(order - 1, -1, -1)]
+            cuts = np.searchsorted(hashed(words) >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
             for i in np.flatnonzero(np.diff(cuts)).tolist():
                 a, b = cuts[i], cuts[i + 1]
-                for column, x in zip(rows, ((order << bits) + i, pack(np.diff(known[a:b], prepend=np.uint64(0))), pack(own[a:b]))):
+                spelled = np.concatenate([np.diff(words[0][a:b], prepend=np.uint64(0)), *(w[a:b] for w in words[1:])])
+                for column, x in zip(rows, ((order << bits) + i, pack(spelled), pack(own[a:b]))):
                     column.append(x)
         size = len(rows[0])
         return pa.table([pa.array([table.column("unit")[0].as_py()] * size, pa.int32()), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["unit", "bucket", "keys", "own"])
 
     def answer(table: pa.Table) -> pa.Table:
-        asked = [np.cumsum(unpack(x), dtype=np.uint64) for x in table.column("keys").to_pylist()]
+        order = table.column("bucket")[0].as_py() >> bits
+        asked = []
+        for x in table.column("keys").to_pylist():
+            first, *rest = np.split(unpack(x), order)
+            asked.append(hashed([np.cumsum(first, dtype=np.uint64), *rest]))
         own = np.concatenate([unpack(x) for x in table.column("own").to_pylist()]).astype(float)
-        known, entry = np.unique(np.concatenate(asked), return_inverse=True)
+        known, entry = distinct(np.concatenate(asked))
         sums = np.bincount(entry, own, len(known)).astype(np.int64)[entry]
         ends = np.cumsum([len(x) for x in asked])[:-1]
         return pa.table([table.column("unit"), table.column("bucket"), pa.array([pack(np.ascontiguousarray(x)) for x in np.split(sums, ends)], pa.binary())], ["unit", "bucket", "counts"])
 
     def read(table: pa.Table, answers: pa.Table) -> pa.Table:
-        part, answers = unit_of(table), answers.sort_by("bucket")
+        part, answers = unit_of(table, *ranked.value), answers.sort_by("bucket")
         of, packed = answers.column("bucket").to_numpy() >> bits, answers.column("counts").to_pylist()
         c = []
         for order in (1, 2, 3):
-            at, keys = part.grams(order)
+            at, entry, _ = part.grams(order, bits)
             found = np.concatenate([np.zeros(0, np.uint64), *(unpack(packed[i]) for i in np.flatnonzero(of == order).tolist())])
-            c.append(np.zeros(len(part.hashes)))
-            c[-1][at] = found[np.unique(keys, return_inverse=True)[1]]
+            c.append(np.zeros(len(part.codes)))
+            c[-1][at] = found[entry]
         share = root = (c[0] + SMOOTH) / total
         for context, own, least, mass in ((c[0], c[1], 1, masses[0]), (c[1], c[2], 2, masses[1])):
             at = np.flatnonzero(part.place >= least)

@@ -298,6 +298,7 @@ def test_language_model_keeps_every_ngram(spark, monkeypatch, size):
     """Against brute force, with n-grams seen once, repeated rows and hot n-grams; the sizes of units and buckets change nothing."""
     monkeypatch.setattr(backoff_lm, "UNIT_TOKENS", size)
     monkeypatch.setattr(backoff_lm, "BUCKET_KEYS", size)
+    monkeypatch.setattr(backoff_lm, "RANKED", size)
     rng = np.random.default_rng(5)
     texts = [(i, " ".join(f"w{x}" for x in np.concatenate((rng.integers(0, 9, 8), rng.integers(0, 6000, 60), rng.integers(0, 9, 30))))) for i in range(200)] + [(200, ""), (201, "w1"), (202, "never w1 seen"), (None, "w1 w2 w3 w4")]
     texts += [(300, "w1 w2 w3 w4 w1 w2")] * 200
