@@ -60,9 +60,9 @@ def candidate_dedupe(spark, sf_dir):
 
 
 @query("""select case when a.value = b.value and a.event_type = b.event_type and cast(a.ts as date) = cast(b.ts as date) then 'EXACT_REPLAY' when a.value = b.value and a.k = b.k then 'SAME_CONTENT' when a.k = b.k and a.value != b.value then 'CONFLICTING_CONTENT' else 'DISTINCT' end as relation, count(*) as pairs
-from (select *, user_id % 5 as k, event_id // 10 as block from events) a join (select *, user_id % 5 as k, event_id // 10 as block from events) b on a.block = b.block and a.event_id < b.event_id group by 1""")
+from (select *, user_id % 5 as k from events) a join (select *, user_id % 5 as k from events) b on a.event_id < b.event_id group by 1""")
 def duplicate_semantics(spark, sf_dir):
-    """All pairs of candidates, classified. The SQL still compares within blocks of ten ids only."""
+    """All pairs of candidates, classified."""
     e = table(spark, sf_dir, "events").where("event_id is not null")
     return i.duplicate_pairs(e.select(F.col("value").alias("content"), F.col("event_type").alias("source"), F.to_date("ts").alias("time"), (F.col("user_id") % 5).alias("key")))
 
