@@ -23,14 +23,14 @@ def folds(spark, start: str, first: str, last: str, step_days: int) -> DataFrame
 def walk_forward(rows: DataFrame, fold_table: DataFrame, match: str, at: str, validation_days: int, holdout_days: int) -> DataFrame:
     """(fold, partition, match) for train [start, o], validation (o, o+v], holdout (o+v, o+v+h]; matches that fit none drop out.
 
-    The folds are few and broadcast, so rows are not shuffled for the range join.
+    The folds are few: Spark broadcasts them by their size, so rows are not shuffled for the range join.
     """
     g = rows.groupBy(match).agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"))
     v = F.col("origin") + F.make_dt_interval(F.lit(validation_days))
     h = v + F.make_dt_interval(F.lit(holdout_days))
     inside = lambda low, high: (F.col("first_at") > low) & (F.col("last_at") <= high)
     part = F.when((F.col("first_at") >= F.col("start")) & (F.col("last_at") <= F.col("origin")), "train").when(inside(F.col("origin"), v), "validation").when(inside(v, h), "holdout")
-    return g.join(F.broadcast(fold_table), F.col("last_at") >= F.col("start")).withColumn("partition", part).where("partition is not null").select("fold", "partition", match)
+    return g.join(fold_table, F.col("last_at") >= F.col("start")).withColumn("partition", part).where("partition is not null").select("fold", "partition", match)
 
 
 def floor_thirds(rows: DataFrame, by: list[str], *order: Column | str) -> DataFrame:
@@ -52,7 +52,7 @@ def support(rows: DataFrame, partition: str, label: str, classes: DataFrame, lea
     """
     counts = rows.groupBy(partition, label).agg(F.count("*").alias("support"))
     totals = rows.groupBy(partition).agg(F.count("*").alias("total"))
-    every = totals.crossJoin(F.broadcast(classes)).join(counts, [partition, label], "left").withColumn("support", F.coalesce("support", F.lit(0)))
+    every = totals.crossJoin(classes).join(counts, [partition, label], "left").withColumn("support", F.coalesce("support", F.lit(0)))
     return every.withColumn("rate", F.col("support") / F.col("total")).withColumn("enough", F.min("support").over(Window.partitionBy(partition)) >= least)
 
 
