@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-import uuid
 
 import pandas as pd
 from pyspark.sql import Column
@@ -36,6 +35,14 @@ def alias_key(s: pd.Series) -> pd.Series:
     return s.map(lambda x: re.sub(r"\W+", "", unicodedata.normalize("NFKC", x).casefold()), na_action="ignore")
 
 
+def parsed(text: str):
+    """The value of JSON text; None for text that is none."""
+    try:
+        return json.loads(text)
+    except (ValueError, RecursionError):
+        return None
+
+
 @F.pandas_udf(T.StringType())
 def canonical_json(s: pd.Series) -> pd.Series:
     """JSON text with sorted keys and no blanks; null for text that is no JSON, or holds NaN or Infinity."""
@@ -53,17 +60,21 @@ def canonical_json(s: pd.Series) -> pd.Series:
 
 
 def without_keys(keys: tuple[str, ...]):
-    """A function that drops top-level keys from JSON text, for hashes that leave out volatile fields."""
+    """A function that drops top-level keys from JSON text, for hashes that leave out volatile fields; null for what is no JSON object."""
 
     @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: json.dumps({k: v for k, v in json.loads(x).items() if k not in keys}, sort_keys=True, separators=(",", ":"), ensure_ascii=False), na_action="ignore")
+        def one(x):
+            body = parsed(x)
+            return json.dumps({k: v for k, v in body.items() if k not in keys}, sort_keys=True, separators=(",", ":"), ensure_ascii=False) if isinstance(body, dict) else None
+
+        return s.map(one, na_action="ignore")
 
     return run
 
 
 def forbidden_path(keys: tuple[str, ...]):
-    """A function that gives the path of the first forbidden key anywhere in JSON text, or null."""
+    """A function that gives the path of the first forbidden key anywhere in JSON text, or null, as for text that is no JSON."""
 
     def walk(value, path):
         if isinstance(value, dict):
@@ -80,15 +91,20 @@ def forbidden_path(keys: tuple[str, ...]):
 
     @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: walk(json.loads(x), "$"), na_action="ignore")
+        return s.map(lambda x: walk(parsed(x), "$"), na_action="ignore")
 
     return run
 
 
-@F.pandas_udf(T.StringType())
-def name_uuid(s: pd.Series) -> pd.Series:
-    """A version-5 UUID of a name, in the URL namespace."""
-    return s.map(lambda x: str(uuid.uuid5(uuid.NAMESPACE_URL, x)), na_action="ignore")
+#: Fixed value: the URL namespace of name-based UUIDs.
+URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def name_uuid(name: Column | str) -> Column:
+    """A version-5 UUID of a name, in the URL namespace: SHA-1 of both, cut to 16 bytes, with version and variant set."""
+    h = F.sha1(F.concat(F.unhex(F.lit(URL_NAMESPACE)), F.encode(col(name), "utf-8")))
+    variant = F.substring(F.lit("89ab89ab89ab89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") + 1, F.lit(1))
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
 
 
 def decimal_text(text: Column | str) -> Column:

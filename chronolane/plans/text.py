@@ -35,9 +35,10 @@ def printed_numbers(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.when(n <= 400, n).alias("number"))
 
 
-@query()
+@query("""with h as (select c_custkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(sha256(c_name || '|' || c_mktsegment))) as h from customer)
+select c_custkey, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', h[17]), 1) || h[18:20] || '-' || h[21:32] as uuid from h""")
 def identity_uuids(spark, sf_dir):
-    """Version-5 UUIDs of customers' content hashes; SQL has no such function."""
+    """Version-5 UUIDs of customers' content hashes."""
     return table(spark, sf_dir, "customer").select("c_custkey", c.name_uuid(F.sha2(F.concat_ws("|", "c_name", "c_mktsegment"), 256)).alias("uuid"))
 
 
