@@ -28,25 +28,31 @@ def once(stream: DataFrame, key: list[str], at: str, horizon: str = "1 day") ->
     return stream.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", horizon).dropDuplicatesWithinWatermark(key).drop("_at")
 
 
-def judged(stream: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, content, delivery) of each row: ACCEPTED, DUPLICATE_NOOP or KEY_CONFLICT, by a state of one content a key."""
+def judged(stream: DataFrame, key: str, content: str, at: str, seq: str, horizon_days: int = 1) -> DataFrame:
+    """(key, seq, content, delivery) of each row: ACCEPTED, DUPLICATE_NOOP or KEY_CONFLICT, as `identity.deliveries` judges a batch.
+
+    Rows of one micro-batch are judged in order of seq; null contents equal each other. A key's first
+    content is forgotten once the watermark passes its latest event time by the horizon: a delivery after
+    that is ACCEPTED anew.
+    """
+    horizon = horizon_days * 86_400_000
 
     def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first = state.get[0] if state.exists else None
-        for batch in batches:
-            out = []
-            for value in batch[content]:
-                if first is None:
-                    first = value
-                    out.append("ACCEPTED")
-                else:
-                    out.append("DUPLICATE_NOOP" if value == first else "KEY_CONFLICT")
-            yield pd.DataFrame({"key": keys[0], "content": batch[content], "delivery": out})
-        if first is not None:
-            state.update((first,))
-
-    rows = stream.select(F.col(key).cast("string").alias(key), F.col(content).cast("string").alias(content)).where(F.col(content).isNotNull())
-    return rows.groupBy(key).applyInPandasWithState(step, "key string, content string, delivery string", "first string", "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")  # one key's rows of one micro-batch
+        contents = [None if pd.isna(x) else x for x in rows["content"]]
+        first, latest = state.get if state.exists else (contents[0], 0)
+        out = ["ACCEPTED" if i == 0 and not state.exists else "DUPLICATE_NOOP" if x == first else "KEY_CONFLICT" for i, x in enumerate(contents)]
+        latest = max(latest, int(rows["at"].max().timestamp() * 1000))
+        state.update((first, latest))
+        state.setTimeoutTimestamp(max(latest + horizon, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"key": keys[0], "seq": rows["seq"].to_numpy(), "content": contents, "delivery": out})
+
+    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(content).cast("string").alias("content"), F.col(at).cast("timestamp").alias("at"), F.col(seq).cast("long").alias("seq"))
+    rows = rows.where("at is not null").withWatermark("at", f"{horizon_days} days")
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, seq long, content string, delivery string", "first string, latest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def into(stream: DataFrame, path: str, checkpoint: str):

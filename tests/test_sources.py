@@ -92,9 +92,19 @@ def test_streams(spark, tmp_path):
     stream = replay.once(replay.read_quotes(spark, src), ["event_id"], "ts")
     replay.into(stream, str(tmp_path / "once"), str(tmp_path / "c1")).awaitTermination()
     assert sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "once")).collect()) == [1, 2]
-    replay.into(replay.judged(replay.read_quotes(spark, src), "event_id", "value"), str(tmp_path / "judged"), str(tmp_path / "c2")).awaitTermination()
+    replay.into(replay.judged(replay.read_quotes(spark, src), "event_id", "value", "ts", "user_id"), str(tmp_path / "judged"), str(tmp_path / "c2")).awaitTermination()
     got = sorted(r["delivery"] for r in spark.read.parquet(str(tmp_path / "judged")).collect())
     assert got == ["ACCEPTED", "ACCEPTED", "DUPLICATE_NOOP", "KEY_CONFLICT"]
+    # as a batch judges them: by seq, null contents equal, over several micro-batches
+    given = [("k", "b", 2), ("k", None, 1), ("k", None, 3), (None, "x", 4), ("z", "q", 5), ("z", "q", 6), (None, "y", 7)]
+    for n, part in enumerate((given[:3], given[3:5], given[5:])):
+        spark.createDataFrame([(i, at(n + 1), None, k, None, v) for k, v, i in part], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in2"))
+    replay.into(replay.judged(replay.read_quotes(spark, str(tmp_path / "in2")), "event_type", "props", "ts", "event_id", 9), str(tmp_path / "judged2"), str(tmp_path / "c4")).awaitTermination()
+    got = {r["seq"]: r["delivery"] for r in spark.read.parquet(str(tmp_path / "judged2")).collect()}
+    from chronolane.operators import identity
+
+    batch = identity.deliveries(spark.createDataFrame(given, "key string, content string, seq long").where("key is not null"), "key", "content", "seq")
+    assert {k: v for k, v in got.items() if k not in (4, 7)} == {r["seq"]: r["delivery"] for r in batch.collect()} and (got[4], got[7]) == ("ACCEPTED", "KEY_CONFLICT")
     gated = replay.gated(replay.read_quotes(spark, src).withColumn("cutoff", F.lit(at(1)).cast("timestamp_ntz")).withColumn("kickoff", F.lit(at(5)).cast("timestamp_ntz")), "ts", "cutoff", "kickoff")
     replay.into(gated, str(tmp_path / "gated"), str(tmp_path / "c3")).awaitTermination()
     assert sorted(r["gate_state"] for r in spark.read.parquet(str(tmp_path / "gated")).collect()) == ["AVAILABLE"] * 2 + ["FUTURE_DATA"] * 2
