@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .series import daily, lagged, running_sum
 from .timing import ladder
@@ -39,11 +43,27 @@ def hash_revisions(rows: DataFrame, key: list[str], order: tuple[str, str], cont
 
 
 def audit_chain(rows: DataFrame, entity: list[str], order: list[str], payload: str) -> DataFrame:
-    """rows with prev_hash and entry_hash; unlike a plain row hash, the entry covers what it follows by its content."""
-    w = Window.partitionBy(*entity).orderBy(*order)
-    own = F.sha2(F.col(payload), 256)
-    r = rows.withColumn("_own", own).withColumn("prev_hash", F.lag("_own").over(w))
-    return r.withColumn("entry_hash", F.sha2(F.concat_ws("|", F.coalesce("prev_hash", F.lit("")), "_own"), 256)).drop("_own")
+    """rows with prev_hash and entry_hash: each entry covers its payload and the entry before it, so a change shows in all later ones.
+
+    A chain is sequential by nature: an entity's rows stream in order through one task, which carries one
+    hash. Columns of `order` should be unique within an entity.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField("prev_hash", T.StringType()), T.StructField("entry_hash", T.StringType())])
+    names = schema.names
+    keyed = rows.withColumns({"_of": F.to_json(F.struct(*entity)), "_own": F.sha2(F.col(payload), 256)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, last = None, None
+        for batch in batches:
+            before, entries = [], []
+            for key, own in zip(batch.column("_of").to_pylist(), batch.column("_own").to_pylist()):
+                last = last if key == of else None
+                before.append(last)
+                of, last = key, hashlib.sha256(f"{last or ''}|{own or ''}".encode()).hexdigest()
+                entries.append(last)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-2]), pa.array(before, pa.string()), pa.array(entries, pa.string())], names)
+
+    return keyed.repartition("_of").sortWithinPartitions("_of", *order).mapInArrow(run, schema)
 
 
 def append_state(batch: DataFrame, stored: DataFrame, key: str, content: str) -> DataFrame:
@@ -59,29 +79,43 @@ def edge_pass_rate(edges: DataFrame, by: list[str], child_parent: str, parent_ou
 
 
 def _written(df: DataFrame) -> DataFrame:
-    """df without its lineage, in the checkpoint folder that every executor sees; one of our own only where that is unset."""
+    """df without its lineage, in the checkpoint folder that every executor sees; a local session gets one of our own where that is unset."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="chronolane-"))
     return df.checkpoint()
 
 
-def chain_depth(spark, rows: DataFrame, key: list[str], node: str, parent: str) -> DataFrame:
-    """(key, node, depth) of all rows that a root reaches, whatever the depth, by pointer jumping.
+def chain_states(rows: DataFrame, key: list[str], node: str, parent: str) -> DataFrame:
+    """(key, node, chain, depth) of all rows by pointer jumping: REACHED from a root with its depth, DANGLING below a missing parent, or CYCLE.
 
     Each round doubles the steps a row looks up, so the rounds are log2 of the longest chain, and
-    each is written. After them a row stands at its root, hangs on a missing parent, or still
-    moves, which only a cycle (or a row behind one) does; the last two are left out. (key, node)
-    is unique; repeated rows count once.
+    each is written. A row that still moves after as many steps as there are rows is on a cycle, or
+    behind one. (key, node) is unique; repeated rows count once.
     """
     edges = rows.select(*key, F.col(node).alias("node"), F.col(parent).alias("up")).distinct()
-    # up: the ancestor so many steps away; null where the row stands at its root already
-    at = _written(edges.withColumn("steps", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")))
+    # up: the ancestor so many steps away; null where the row stands at its root already, or hangs
+    start = edges.withColumn("steps", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")).withColumn("hangs", F.lit(False))
+    at = _written(start)
     most, far = at.count(), 1
     while far <= most and not at.where(F.col("up").isNotNull()).isEmpty():
-        via = at.select(*key, F.col("node").alias("_via"), F.col("up").alias("_beyond"), F.col("steps").alias("_more"))
-        both = at.where(F.col("up").isNotNull()).join(via.withColumnRenamed("_via", "up"), [*key, "up"])  # a missing parent ends its row
-        moved = both.select(*key, "node", F.col("_beyond").alias("up"), (F.col("steps") + F.col("_more")).alias("steps"))
+        via = at.select(*key, F.col("node").alias("_via"), F.col("up").alias("_beyond"), F.col("steps").alias("_more"), F.col("hangs").alias("_hangs"))
+        both = at.where(F.col("up").isNotNull()).join(via.withColumnRenamed("_via", "up"), [*key, "up"], "left")
+        moved = both.select(*key, "node", F.col("_beyond").alias("up"), (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps"), F.coalesce("_hangs", F.lit(True)).alias("hangs"))
         at = _written(moved.unionByName(at.where(F.col("up").isNull())))
         far *= 2
-    return at.where(F.col("up").isNull()).select(*key, "node", F.col("steps").cast("int").alias("depth"))
+    state = ladder((F.col("up").isNotNull(), "CYCLE"), (F.col("hangs"), "DANGLING"), otherwise="REACHED")
+    return at.select(*key, "node", state.alias("chain"), F.when(F.col("up").isNull() & ~F.col("hangs"), F.col("steps")).cast("int").alias("depth"))
+
+
+def chain_depth(rows: DataFrame, key: list[str], node: str, parent: str) -> DataFrame:
+    """(key, node, depth) of all rows that a root reaches, whatever the depth; see chain_states."""
+    return chain_states(rows, key, node, parent).where("chain = 'REACHED'").drop("chain")
+
+
+def resolved(states: DataFrame, strict: bool = False) -> DataFrame:
+    """states as they are; the job fails at a CYCLE, and if strict at a DANGLING row too."""
+    bad = F.col("chain").isin(*(("CYCLE", "DANGLING") if strict else ("CYCLE",)))
+    return states.withColumn("chain", F.when(bad, F.raise_error(F.concat_ws(" ", F.lit("unresolvable chain:"), F.col("node").cast("string"), "chain"))).otherwise(F.col("chain")))

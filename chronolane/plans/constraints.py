@@ -81,13 +81,13 @@ def history_check(spark, sf_dir):
     return c.ordered_steps(e, known, ["user_id"], "at", "event_type").groupBy("step_state").agg(F.count("*").alias("n"))
 
 
-@query("""with recursive e as (select c_custkey as node, case when c_custkey % 10 = 0 then null else c_custkey - 1 end as parent from customer where c_custkey % 47 != 3), r as (select node, 0 as depth from e where parent is null union all select e.node, r.depth + 1 from e join r on e.parent = r.node where depth < 50)
+@query("""with recursive e as (select c_custkey as node, case when c_custkey % 10 = 0 then null else c_custkey - 1 end as parent from customer where c_custkey % 47 != 3), r as (select node, 0 as depth from e where parent is null union all select e.node, r.depth + 1 from e join r on e.parent = r.node)
 select e.node, case when r.node is not null then 'REACHED' when p.node is null then 'MISSING_PARENT' else 'BEHIND_A_GAP' end as state from e left join r on e.node = r.node left join e p on e.parent = p.node""")
 def dependency_graph(spark, sf_dir):
     from ..operators.revisions import chain_depth
 
     e = table(spark, sf_dir, "customer").where("c_custkey % 47 != 3").select(F.lit(0).alias("k"), F.col("c_custkey").alias("node"), F.when(F.col("c_custkey") % 10 != 0, F.col("c_custkey") - 1).alias("parent"))
-    reached = chain_depth(spark, e, ["k"], "node", "parent").select(F.col("node").alias("r"))
+    reached = chain_depth(e, ["k"], "node", "parent").select(F.col("node").alias("r"))
     p = e.select(F.col("node").alias("p"))
     both = e.join(reached, e.node == F.col("r"), "left").join(p, e.parent == F.col("p"), "left")
     return both.select("node", F.when(F.col("r").isNotNull(), "REACHED").when(F.col("p").isNull(), "MISSING_PARENT").otherwise("BEHIND_A_GAP").alias("state"))

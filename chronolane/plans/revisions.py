@@ -33,11 +33,12 @@ def hash_revisions(spark, sf_dir):
     return r.hash_revisions(q, ["provider"], ("source_time", "quote_id"), "content").select("quote_id", "revision")
 
 
-@query("""with p as (select conv_id, turn, sha256(role || coalesce(text, '')) as own from conversations), w as (select *, lag(own) over (partition by conv_id order by turn, own) as prev_hash from p)
-select conv_id, turn, prev_hash, sha256(coalesce(prev_hash, '') || '|' || own) as entry_hash from w""")
+@query("""with recursive o as (select conv_id, turn, own, row_number() over (partition by conv_id order by turn, own) as i from (select conv_id, turn, sha256(role || coalesce(text, '')) as own from conversations)),
+c as (select conv_id, turn, i, cast(null as varchar) as prev_hash, sha256('|' || own) as entry_hash from o where i = 1
+union all select o.conv_id, o.turn, o.i, c.entry_hash, sha256(c.entry_hash || '|' || o.own) from o join c on o.conv_id is not distinct from c.conv_id and o.i = c.i + 1) select conv_id, turn, prev_hash, entry_hash from c""")
 def audit_chain(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").withColumn("payload", F.concat("role", F.coalesce("text", F.lit(""))))
-    return r.audit_chain(c, ["conv_id"], ["turn", F.sha2("payload", 256)], "payload").select("conv_id", "turn", "prev_hash", "entry_hash")
+    return r.audit_chain(c, ["conv_id"], ["turn", "_own"], "payload").select("conv_id", "turn", "prev_hash", "entry_hash")
 
 
 @query("""select x.l_returnflag as flag, count(*) as edges, round(avg(case when o_custkey % 7 = x.l_suppkey % 7 then 1.0 else 0.0 end), 6) as pass_rate from lineitem x left join orders on l_orderkey = o_orderkey group by 1""")
@@ -48,10 +49,19 @@ def lineage_pass_rate(spark, sf_dir):
 
 
 @query("""with recursive e as (select distinct conv_id, turn as node, case when turn > 0 then turn - 1 end as parent from conversations), c as (select conv_id, node, 0 as depth from e where parent is null
-union all select e.conv_id, e.node, c.depth + 1 from e join c on e.conv_id = c.conv_id and e.parent = c.node where c.depth < 100) select conv_id, max(node) as head, max(depth) as depth, count(*) as reached from c group by 1""")
+union all select e.conv_id, e.node, c.depth + 1 from e join c on e.conv_id = c.conv_id and e.parent = c.node ) select conv_id, max(node) as head, max(depth) as depth, count(*) as reached from c group by 1""")
 def supersedes_chain(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") > 0, F.col("turn") - 1).alias("parent")).distinct()
-    return r.chain_depth(spark, c, ["conv_id"], "turn", "parent").groupBy("conv_id").agg(F.max("node").alias("head"), F.max("depth").alias("depth"), F.count("*").alias("reached"))
+    return r.chain_depth(c, ["conv_id"], "turn", "parent").groupBy("conv_id").agg(F.max("node").alias("head"), F.max("depth").alias("depth"), F.count("*").alias("reached"))
+
+
+@query("""with recursive e as (select c_custkey as node, case when c_mktsegment != 'MACHINERY' then c_custkey - c_nationkey end as parent from customer),
+c as (select node, 'REACHED' as chain, 0 as depth from e where parent is null union all select node, 'CYCLE', null from e where parent = node union all select node, 'DANGLING', null from e where parent not in (select node from e)
+union all select e.node, c.chain, c.depth + 1 from e join c on e.parent = c.node and e.node != e.parent) select node, chain, depth from c""")
+def supersedes_states(spark, sf_dir):
+    """Chains that end at a root, below a missing record, or nowhere."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_custkey") - F.col("c_nationkey")).alias("parent"))
+    return r.chain_states(c, [], "node", "parent")
 
 
 @query("""select append_state, count(*) as n from (select case when s.o_orderkey is null then 'NEW' when b.v = s.v then 'NOOP' else 'CONFLICT' end as append_state from (select o_orderkey, o_totalprice + case when o_orderkey % 11 = 0 then 1 else 0 end as v from orders) b left join (select o_orderkey, o_totalprice as v from orders where o_orderkey % 3 != 0) s on b.o_orderkey = s.o_orderkey) group by 1""")

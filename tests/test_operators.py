@@ -116,7 +116,7 @@ def test_deliveries(spark):
 
 def test_chain_depth_stops_at_cycles(spark):
     rows = spark.createDataFrame([(1, 1, None), (1, 2, 1), (1, 3, 2), (2, 7, 8), (2, 8, 7)], "k int, node int, parent int")
-    got = {(r["k"], r["node"]): r["depth"] for r in revisions.chain_depth(spark, rows, ["k"], "node", "parent").collect()}
+    got = {(r["k"], r["node"]): r["depth"] for r in revisions.chain_depth(rows, ["k"], "node", "parent").collect()}
     assert got == {(1, 1): 0, (1, 2): 1, (1, 3): 2}
 
 
@@ -125,15 +125,29 @@ def test_chain_depth_walks_to_the_end(spark):
     chain = [(1, i, i - 1 if i else None) for i in range(700)]
     cycle = [(2, i, (i + 1) % 130) for i in range(130)] + [(2, 500, 0), (3, 5, 4), (3, 6, 5)]
     rows = spark.createDataFrame(chain + cycle, "k int, node int, parent int")
-    got = sorted((r["k"], r["node"], r["depth"]) for r in revisions.chain_depth(spark, rows, ["k"], "node", "parent").collect())
+    got = sorted((r["k"], r["node"], r["depth"]) for r in revisions.chain_depth(rows, ["k"], "node", "parent").collect())
     assert got == [(1, i, i) for i in range(700)]
+    states = revisions.chain_states(rows, ["k"], "node", "parent")
+    assert {(r["k"], r["chain"]): r["count"] for r in states.groupBy("k", "chain").count().collect()} == {(1, "REACHED"): 700, (2, "CYCLE"): 131, (3, "DANGLING"): 2}
+    assert revisions.resolved(states.where("k = 1"), strict=True).count() == 700
+    assert revisions.resolved(states.where("k != 2")).where("chain = 'DANGLING'").count() == 2
+    for bad, strict in (("k = 2", False), ("k = 3", True)):
+        with pytest.raises(Exception, match="unresolvable chain"):
+            revisions.resolved(states.where(bad), strict).collect()
 
 
 def test_audit_entry_covers_what_it_follows(spark):
     rows = spark.createDataFrame([("e", 1, "a"), ("e", 2, "b")], "entity string, at int, body string")
     other = spark.createDataFrame([("e", 1, "x"), ("e", 2, "b")], "entity string, at int, body string")
-    last = lambda df: {r["at"]: r["entry_hash"] for r in revisions.audit_chain(df, ["entity"], ["at"], "body").collect()}[2]
-    assert last(rows) != last(other)
+    chain = lambda df: {r["at"]: (r["prev_hash"], r["entry_hash"]) for r in revisions.audit_chain(df, ["entity"], ["at"], "body").collect()}
+    assert chain(rows)[2][1] != chain(other)[2][1] and chain(rows)[2][0] == chain(rows)[1][1] and chain(rows)[1][0] is None
+
+
+def test_audit_chain_shows_a_change_in_all_later_entries(spark):
+    rows = [(e, i, f"{e}{i}") for e in ("a", "b", None) for i in range(50)]
+    df = lambda first: spark.createDataFrame([(e, i, first if (e, i) == ("a", 0) else b) for e, i, b in rows], "entity string, at int, body string").repartition(5)
+    one, two = ({(r["entity"], r["at"]): r["entry_hash"] for r in revisions.audit_chain(df(x), ["entity"], ["at"], "body").collect()} for x in ("a0", "changed"))
+    assert len(one) == 150 and {k for k in one if one[k] != two[k]} == {("a", i) for i in range(50)}
 
 
 def test_hash_form_refuses_a_line_break(spark):
@@ -221,6 +235,16 @@ def test_canonical_text(spark):
     assert (got[1]["k"], got[1]["c"], got[2]["n"], got[2]["c"]) == (None, None, None, None)
     assert df.limit(1).select(canonical.forbidden_path(("secret",))("j").alias("p")).first()["p"] == "$.a[1].secret"
     assert df.limit(1).select(canonical.without_keys(("a",))("j").alias("p")).first()["p"] == '{"b":1.5}'
+    bad = spark.createDataFrame([("{",), ("[1]",), (None,), ("[" * 100_000,)], "j string")
+    assert [(r["a"], r["b"]) for r in bad.select(canonical.without_keys(("a",))("j").alias("a"), canonical.forbidden_path(("x",))("j").alias("b")).collect()] == [(None, None)] * 4
+
+
+def test_name_uuid_is_version_5(spark):
+    import uuid
+
+    names = ["", "abc", "ü 中文", "x" * 1000] + [f"n{i}" for i in range(40)]
+    df = spark.createDataFrame([(n,) for n in [*names, None]], "n string")
+    assert [r["u"] for r in df.select(canonical.name_uuid("n").alias("u")).collect()] == [*(str(uuid.uuid5(uuid.NAMESPACE_URL, n)) for n in names), None]
 
 
 def test_user_functions(spark):
