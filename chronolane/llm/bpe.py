@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import textvec
 from .shared import give_back, slices
 
 #: Bytes of encoded fragments that a worker keeps, and what one takes besides its own bytes and ids.
@@ -97,20 +98,19 @@ class Codec:
     def decimal(self) -> list[str]:
         return [str(i) for i in range(len(self.lengths))]
 
-    def fragments(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-        """The fragments of all texts, and each text's first one (one more entry at the end)."""
+    def cut(self, texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """All texts in one, the borders of their fragments, and each text's first fragment (one more entry at the end)."""
         buf = b"".join(texts)
         ends = np.cumsum([0, *map(len, texts)])
         if not buf:
-            return [], np.zeros(len(texts) + 1, np.int64)
+            return buf, np.zeros(1, np.int64), np.zeros(len(texts) + 1, np.int64)
         data = np.frombuffer(buf, np.uint8)
         table = self.narrow_cuts if any(x in buf for x in WIDE_SPACE) else self.cuts
         flags = np.zeros(len(buf) + 1, bool)
         flags[1:-1] = table[(data[:-1].astype(np.uint16) << 8) | data[1:]]
         flags[ends] = True
         at = np.flatnonzero(flags)
-        places = at.tolist()
-        return [buf[i:j] for i, j in zip(places, places[1:])], np.searchsorted(at, ends)
+        return buf, at, np.searchsorted(at, ends)
 
     def learn(self, fragments: set[bytes]) -> None:
         """Encodes fragments. Between an ASCII letter or digit and a space is a certain cut, so those that begin and end so are encoded as one text."""
@@ -130,10 +130,20 @@ class Codec:
         self.known_bytes += sum(len(x) + len(self.known[x]) + ENTRY_BYTES for x in fragments)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        fragments, first = self.fragments([x.encode() for x in texts])
+        """The ids of each text. Equal fragments are found by 64-bit hashes over all texts, and looked up once."""
+        buf, at, first = self.cut([x.encode() for x in texts])
+        if not buf:
+            return [np.zeros(0, self.dtype) for _ in texts]
         if self.known_bytes > self.half:
             self.before, self.known, self.known_bytes = self.known, {}, 0
+        h = textvec.piece_hashes(np.frombuffer(buf, np.uint8), at)
+        by = np.argsort(h)
+        h = h[by]
+        new = np.concatenate(([True], h[1:] != h[:-1]))
+        entry = np.empty(len(by), np.int64)
+        entry[by] = np.cumsum(new) - 1
+        some = by[new]
+        fragments = [buf[i:j] for i, j in zip(at[some].tolist(), at[some + 1].tolist())]
         found = list(map(self.known.get, fragments))
         if None in found:
             missing = [i for i, x in enumerate(found) if x is None]
@@ -144,8 +154,15 @@ class Codec:
             self.learn(sought - again.keys())
             for i in missing:
                 found[i] = self.known[fragments[i]]
-        bounds = first.tolist()
-        return [np.frombuffer(b"".join(found[a:b]), self.dtype) for a, b in zip(bounds, bounds[1:])]
+        # each fragment's ids, one after the other
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        sizes = np.array([len(x) for x in found]) // self.dtype.itemsize
+        begins = (np.cumsum(sizes) - sizes)[entry]
+        sizes = sizes[entry]
+        stops = np.concatenate(([0], np.cumsum(sizes)))
+        ids = flat[np.repeat(begins - stops[:-1], sizes) + np.arange(stops[-1])]
+        bounds = stops[first].tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def release(self) -> None:
         """Drops the store of fragments."""

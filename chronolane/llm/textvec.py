@@ -23,6 +23,7 @@ _VALUE[_SPACE] = 0
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _STEP = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
+_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _pow = {"mul": np.ones(1, np.uint64), "inv": np.ones(1, np.uint64)}
 
 
@@ -119,6 +120,13 @@ def shingle_sets(column: pa.Array, k: int = 5) -> list[np.ndarray]:
     return out
 
 
+def piece_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The hash of each piece of data between the borders `at`, letter case included; no piece is empty."""
+    starts = at[:-1]
+    sums = np.add.reduceat(_BYTE[data] * _powers("mul", _MUL, len(data)), starts)
+    return mix(sums * _powers("inv", _INV, len(data))[starts] + np.diff(at).astype(np.uint64))
+
+
 def beginnings(w: Words, k: int) -> np.ndarray:
     """The hash of each word's first k bytes; 0 for shorter words."""
     long = np.flatnonzero(w.ends - w.starts >= k)

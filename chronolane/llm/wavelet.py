@@ -30,7 +30,7 @@ from .shared import slices, written
 MAGIC = b"WVM1"
 BLOCK = 512
 #: Bytes of encoded fragments that a worker keeps; more than elsewhere, as encoding is most of the work here.
-KEPT = 128 << 20
+KEPT = 192 << 20
 #: Tokens after which a shard is closed, at the next document's end.
 SHARD_TOKENS = 1 << 20
 
@@ -156,7 +156,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
                 ["part", "seq", "doc_ids", "n_tokens", "payload"],
             )
 
-        for batch in slices(batches, limit=2 << 20):
+        for batch in slices(batches, limit=1 << 20):
             encoded = c.encode([x or "" for x in batch.column("text").to_pylist()])
             for part, doc, ids in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), encoded):
                 if part != state["part"]:
