@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import constraints, identity, intake, joins, market, metrics, projections, quality, revisions, scalars, splits, stats, text, timing, validation  # noqa: F401  they register their queries
+from .plans import constraints, contracts, identity, intake, joins, market, metrics, projections, quality, revisions, scalars, splits, stats, stores, text, timing, validation  # noqa: F401  they register their queries
 from .plans.registry import ORACLES, QUERIES, Query
 
 FLAGSHIP = "movement_series"

@@ -29,6 +29,21 @@ def normal_text(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x).strip() or None, na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def composed(s: pd.Series) -> pd.Series:
+    """NFC."""
+    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+
+
+def entry_path(path: Column | str) -> Column:
+    """What keeps an archive entry's path (in NFC, see composed) from being a relative POSIX path, or OK."""
+    p = col(path)
+    return F.coalesce(
+        F.when(p.isNull() | (p == ""), "ENTRY_PATH_INVALID"), F.when(p.rlike(r"\x00|\\|^/|^[A-Za-z]:"), "ENTRY_PATH_INVALID"),
+        F.when(p.rlike("/\\z|//"), "DIRECTORY_ENTRY_FORBIDDEN"), F.when(p.rlike(r"(^|/)\.{1,2}(/|\z)"), "ENTRY_PATH_INVALID"), F.lit("OK"),
+    )
+
+
 @F.pandas_udf(T.StringType())
 def alias_key(s: pd.Series) -> pd.Series:
     """NFKC, case-folded, without anything but word characters."""

@@ -44,6 +44,35 @@ def layout_match(spans: Column, profile: Column, tolerance: float) -> Column:
     return (F.size(spans) == F.size(profile)) & F.forall(F.zip_with(F.array_sort(spans), F.array_sort(profile), lambda a, b: F.abs(a - b) <= tolerance), lambda ok: F.coalesce(ok, F.lit(False)))
 
 
+def located(cells: DataFrame, profiles: DataFrame, inventory: DataFrame) -> DataFrame:
+    """cells(profile, market, label, width, height) with their place in the picture, by declared layouts.
+
+    profiles(profile, market, left, top, right, bottom, rows, columns) gives each market's region in shares
+    of the picture, inventory(market, label, row, column) each cell's place in the region's grid.
+    place is LOCATED with the cell's rectangle (6 digits) and its smallest one of whole pixels, or the
+    first reason why there is none.
+    """
+    p = profiles.select("profile", "market", *(F.col(c).alias(f"_{c}") for c in ("left", "top", "right", "bottom", "rows", "columns")))
+    i = inventory.select("market", "label", F.col("row").alias("_row"), F.col("column").alias("_column"))
+    both = cells.join(p, ["profile", "market"], "left").join(i, ["market", "label"], "left")
+    place = ladder((F.col("_left").isNull(), "UNKNOWN_PROFILE"), (F.col("_row").isNull(), "UNKNOWN_CELL"), ((F.col("_row") >= F.col("_rows")) | (F.col("_column") >= F.col("_columns")), "OUTSIDE_GRID"), otherwise="LOCATED")
+    wide, high = (F.col("_right") - F.col("_left")) / F.col("_columns"), (F.col("_bottom") - F.col("_top")) / F.col("_rows")
+    edges = {"left": F.col("_left") + F.col("_column") * wide, "top": F.col("_top") + F.col("_row") * high, "right": F.col("_left") + (F.col("_column") + 1) * wide, "bottom": F.col("_top") + (F.col("_row") + 1) * high}
+    out = both.withColumn("place", place).withColumns({k: F.when(F.col("place") == "LOCATED", F.round(v, 6)) for k, v in edges.items()})
+    pixels = {k: (F.floor if k in ("left", "top") else F.ceil)(F.col(k) * F.col("width" if k in ("left", "right") else "height")) for k in edges}
+    return out.withColumns({f"{k}_px": v for k, v in pixels.items()}).select(*cells.columns, "place", *edges, *(f"{k}_px" for k in edges))
+
+
+def bar_spans(lines: DataFrame, image: str, y: str, dark: str, least_share: float = 0.8, least_height: int = 10) -> DataFrame:
+    """(image, start, end) of the runs of picture lines that are dark in at least `least_share`, of `least_height` lines or more; end is exclusive.
+
+    Of dark lines alone, y less the rank is constant within a run. A picture has as many lines as it is high.
+    """
+    bars = lines.where(F.col(dark) >= least_share).select(image, y)
+    runs = bars.withColumn("_run", F.col(y) - F.row_number().over(Window.partitionBy(image).orderBy(y)))
+    return runs.groupBy(image, "_run").agg(F.min(y).alias("start"), (F.max(y) + 1).alias("end")).where(F.col("end") - F.col("start") >= least_height).select(image, "start", "end")
+
+
 def minimum_eligibility(samples: DataFrame, values: DataFrame, sample: str, feature: str, state: str, required: list[str]) -> DataFrame:
     """Each sample's missing required features, its availability mask, and whether it may train."""
     need = F.array(*map(F.lit, required))

@@ -54,6 +54,13 @@ def consensus(readings: DataFrame, cell: list[str], value: str, engine: str, lea
     return g.select(*cell, "vals", "engines", state.alias("consensus"), F.when(F.col("vals") == 1, F.col("only")).alias("value"))
 
 
+def lineups(picks: DataFrame, team: str, player: str) -> DataFrame:
+    """Picks and distinct players of each team, and whether each player is named once; picks are counted by player first, so a team is never one value."""
+    each = picks.groupBy(team, player).agg(F.count("*").alias("_n"))
+    g = each.groupBy(team).agg(F.sum("_n").alias("picked"), F.count(player).alias("players"))
+    return g.withColumn("unique_players", F.col("picked") == F.col("players"))
+
+
 def collection_state(state: str, items: str, refs: str) -> Column:
     """What is wrong with a typed collection: UNKNOWN has no items, NONE_CONFIRMED is empty with references, AVAILABLE is not empty, CONFLICTED has two references."""
     s, n, k = F.col(state), F.size(items), F.size(refs)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import constraints as c
+from ..operators.lineage import pair_counts
 from ..sources.driver_tables import table
 from .registry import query
 
@@ -39,7 +40,7 @@ def tier_pairs(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("y", F.year("o_orderdate"))
     a = o.where("o_orderstatus = 'F'").select("o_custkey", "y")
     b = o.where("o_orderstatus = 'O'").select("o_custkey", "y")
-    return a.join(b, ["o_custkey", "y"]).groupBy(F.col("o_custkey").alias("team")).agg(F.count("*").alias("pairs"))
+    return pair_counts(a, b, ["o_custkey", "y"]).groupBy(F.col("o_custkey").alias("team")).agg(F.sum("pairs").alias("pairs"))
 
 
 @query("""select o_orderkey as review from orders join customer on o_custkey = c_custkey where o_orderdate >= timestamp '1998-01-01' and c_mktsegment != 'MACHINERY' and o_orderpriority in ('1-URGENT', '2-HIGH') and exists (select 1 from lineitem where l_orderkey = o_orderkey and l_shipdate <= o_orderdate)""")

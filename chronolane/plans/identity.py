@@ -10,15 +10,15 @@ from ..sources.driver_tables import table
 from .registry import query
 
 
-@query("""with k as (select *, 'M' || (c_custkey % 400) as bk, c_nationkey || '/' || c_mktsegment as sk from customer),
-known as (select bk, min(c_custkey) as id, min(sk) filter (c_custkey < 400) as sk from k where c_custkey < 400 group by bk), st as (select sk, min(id) as id from known group by sk)
+@query("""with k as (select *, 'M' || (c_custkey // 3) as bk, c_nationkey || '/' || c_mktsegment as sk from customer),
+known as (select bk, min(c_custkey) as id, arg_min(sk, c_custkey) as sk from k where c_acctbal > 6000 group by bk), st as (select sk, min(id) as id from known group by sk)
 select c_custkey as customer, case when a.id is not null and b.id is not null and a.id != b.id then 'CONFLICT' when a.id is not null then 'BUSINESS_KEY' when b.id is not null then 'STRUCTURAL_KEY' else 'NEW' end as match_state,
 case when a.id is not null and b.id is not null and a.id != b.id then null else coalesce(a.id, b.id) end as resolved
-from (select c_custkey, case when c_custkey % 3 = 0 then bk end as bk, sk from k) k left join known a on k.bk = a.bk left join st b on k.sk = b.sk""")
+from (select c_custkey, case when c_acctbal > 0 then bk end as bk, sk from k) k left join known a on k.bk = a.bk left join st b on k.sk = b.sk""")
 def identity_resolution(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").withColumn("business_key", F.concat(F.lit("M"), (F.col("c_custkey") % 400).cast("string"))).withColumn("structural_key", F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment"))
-    known = c.where("c_custkey < 400").select("business_key", "structural_key", F.col("c_custkey").alias("identity_id"))
-    rows = c.withColumn("business_key", F.when(F.col("c_custkey") % 3 == 0, F.col("business_key")))
+    c = table(spark, sf_dir, "customer").withColumn("business_key", F.concat(F.lit("M"), F.floor(F.col("c_custkey") / 3).cast("string"))).withColumn("structural_key", F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment"))
+    known = c.where("c_acctbal > 6000").groupBy("business_key").agg(F.min("c_custkey").alias("identity_id"), F.min_by("structural_key", "c_custkey").alias("structural_key"))
+    rows = c.withColumn("business_key", F.when(F.col("c_acctbal") > 0, F.col("business_key")))
     return i.resolve(rows, known, ["business_key"], ["structural_key"]).select(F.col("c_custkey").alias("customer"), "match_state", "resolved")
 
 

@@ -39,9 +39,9 @@ def context_merge(spark, sf_dir):
     return j.merged(side("c_custkey % 2 = 0 and c_nationkey < 20"), side("c_custkey % 5 = 0 and c_nationkey > 4"), ["k"], ["v"])
 
 
-@query("""select user_id as provider, array_to_string(list_sort(list_filter(['click', 'error', 'view'], lambda x: not list_contains(k, x))), ',') as lacking from (select user_id, list(distinct event_type) as k from events where event_id % 7 = 0 group by 1)""")
+@query("""select user_id as provider, array_to_string(list_sort(list_filter(['click', 'error', 'view'], lambda x: not list_contains(k, x))), ',') as lacking from (select user_id, coalesce(list(distinct event_type) filter (value > 400), cast([] as varchar[])) as k from events group by 1)""")
 def statistical_refs(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 7 = 0").select(F.col("user_id").alias("provider"), "event_type")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("provider"), F.when(F.col("value") > 400, F.col("event_type")).alias("event_type"))
     return j.required_kinds(e, ["provider"], "event_type", ["click", "error", "view"]).select("provider", F.array_join("lacking", ",").alias("lacking"))
 
 

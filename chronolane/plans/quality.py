@@ -93,8 +93,8 @@ def collection_states(spark, sf_dir):
     return g.groupBy("state", q.collection_state("state", "items", "refs").alias("problem")).agg(F.count("*").alias("n"))
 
 
-@query("""select o_custkey as team, count(*) as picked, count(distinct o_orderkey % 25) as players, count(*) = count(distinct o_orderkey % 25) as unique_players from orders where o_orderkey % 4 = 0 group by 1""")
+@query("""select o_custkey as team, count(*) as picked, count(distinct o_orderkey % 25) as players, count(*) = count(distinct o_orderkey % 25) as unique_players from orders group by 1""")
 def lineup_players(spark, sf_dir):
     """A lineup names each player once."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").groupBy(F.col("o_custkey").alias("team")).agg(F.collect_list(F.col("o_orderkey") % 25).alias("p"))
-    return o.select("team", F.size("p").cast("long").alias("picked"), F.size(F.array_distinct("p")).cast("long").alias("players"), (F.size("p") == F.size(F.array_distinct("p"))).alias("unique_players"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("team"), (F.col("o_orderkey") % 25).alias("player"))
+    return q.lineups(o, "team", "player")

@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from ..operators.samples import also_accepted, grid, horizon, latest_is_canonical
+from ..operators.samples import source_time_order as time_order
 from ..operators.timing import failures, ladder
 from ..sources.driver_tables import quotes, table
 from .registry import query
@@ -71,22 +73,21 @@ def cells_to_map(spark, sf_dir):
 def source_time_order(spark, sf_dir):
     """Known times first; one ambiguous time blocks the set."""
     q = quotes(spark, sf_dir).withColumn("t", F.when(F.col("quote_id") % 9 != 0, F.col("source_time")))
-    by = Window.partitionBy("provider")
-    return q.select("provider", "quote_id", F.row_number().over(by.orderBy(F.asc_nulls_last("t"), "quote_id")).alias("place"), F.max(F.col("t").isNull()).over(by).alias("blocked"))
+    return time_order(q, ["provider"], "t", "quote_id").select("provider", "quote_id", "place", "blocked")
 
 
-@query("select distinct p_name as name, p_brand as ref from part where p_partkey % 3 = 0 and (p_name, p_brand) in (select (p_name, p_brand) from part where p_partkey % 3 = 1)")
+@query("select distinct p_name as name, p_brand as ref from part where p_size <= 25 and (p_name, p_brand) in (select (p_name, p_brand) from part where p_size > 25)")
 def exclusion_manifest(spark, sf_dir):
     """Excluded pairs that are also accepted; the result of a sound manifest is empty."""
-    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("ref"), "p_partkey")
-    return p.where("p_partkey % 3 = 0").join(p.where("p_partkey % 3 = 1").select("name", "ref"), ["name", "ref"], "left_semi").select("name", "ref").distinct()
+    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("ref"), "p_size")
+    return also_accepted(p.where("p_size <= 25"), p.where("p_size > 25"), ["name", "ref"])
 
 
 @query("select n_name as league, play, n_nationkey * 5 + k as sample from nation, (select unnest(['RESULT', 'HANDICAP', 'TOTAL', 'SCORE', 'HALF']) as play, unnest([0, 1, 2, 3, 4]) as k) x")
 def sample_grid(spark, sf_dir):
     """Declared leagues by declared plays."""
-    plays = F.array(*map(F.lit, ("RESULT", "HANDICAP", "TOTAL", "SCORE", "HALF")))
-    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("league"), "n_nationkey", F.posexplode(plays).alias("k", "play")).select("league", "play", (F.col("n_nationkey") * 5 + F.col("k")).alias("sample"))
+    leagues = table(spark, sf_dir, "nation").withColumnRenamed("n_name", "league")
+    return grid(leagues, ("RESULT", "HANDICAP", "TOTAL", "SCORE", "HALF"), F.col("n_nationkey")).select("league", "play", "sample")
 
 
 @query("select case when p_type in ('ECONOMY') then 'DENIED' when p_brand not in ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#17') then 'NOT_ALLOWED' else 'GRANTED' end as rights, count(*) as n from part group by 1")
@@ -113,7 +114,7 @@ def prematch_violations(spark, sf_dir):
 
 @query("""select l_orderkey as match_id, min(l_shipdate) as first_at, max(l_shipdate) as last_at, count(distinct l_suppkey) as refs from lineitem group by 1""")
 def feature_horizon(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("match_id")).agg(F.min("l_shipdate").alias("first_at"), F.max("l_shipdate").alias("last_at"), F.count_distinct("l_suppkey").alias("refs"))
+    return horizon(table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "match_id"), "match_id", "l_shipdate", "l_suppkey")
 
 
 @query("""select user_id as sample, coalesce(arg_max(value, row(ts, event_id)) filter (event_type = 'click'), -1) as click, coalesce(arg_max(value, row(ts, event_id)) filter (event_type = 'view'), -1) as view, coalesce(arg_max(value, row(ts, event_id)) filter (event_type = 'error' and value > 450), -1) as error from events group by 1""")
@@ -135,8 +136,8 @@ def lineage_orphans(spark, sf_dir):
 @query("""with c as (select o_custkey, max(o_orderdate) as top, arg_max(o_orderdate, o_orderkey) as canonical from orders group by 1) select canonical = top as consistent, count(*) as teams from c group by 1""")
 def latest_consistency(spark, sf_dir):
     """Whether the last inserted row also has the latest business time."""
-    c = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("top"), F.max_by("o_orderdate", "o_orderkey").alias("canonical"))
-    return c.groupBy((F.col("canonical") == F.col("top")).alias("consistent")).agg(F.count("*").alias("teams"))
+    c = latest_is_canonical(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_orderkey")
+    return c.groupBy("consistent").agg(F.count("*").alias("teams"))
 
 
 @query("""with b as (select c_custkey as k, c_mktsegment as v from customer where c_custkey % 2 = 0), a as (select c_custkey as k, case when c_custkey % 10 = 0 then 'NEW' else c_mktsegment end as v from customer where c_custkey % 3 != 0)

@@ -108,9 +108,9 @@ def replay_path(spark, sf_dir):
 
 
 @query("""select array_to_string(list_filter([case when len(list_filter(['click', 'view', 'purchase'], lambda x: not list_contains(k, x))) > 0 then 'MISSING' end, case when len(list_filter(k, lambda x: x not in ('click', 'view', 'purchase'))) > 0 then 'UNDECLARED' end], lambda x: x is not null), ',') as problem, count(*) as providers
-from (select user_id, list(distinct event_type) as k from events where event_id % 9 = 0 group by 1) group by 1""")
+from (select user_id, coalesce(list(distinct event_type) filter (value > 400), cast([] as varchar[])) as k from events group by 1) group by 1""")
 def feature_payloads(spark, sf_dir):
-    g = table(spark, sf_dir, "events").where("event_id % 9 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("k"))
+    g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(F.when(F.col("value") > 400, F.col("event_type"))).alias("k"))
     p = v.undeclared(F.col("k"), F.array(*map(F.lit, ("click", "view", "purchase"))))
     return g.groupBy(F.array_join(p, ",").alias("problem")).agg(F.count("*").alias("providers"))
 

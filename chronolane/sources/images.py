@@ -19,19 +19,19 @@ def luminance(data: bytes) -> np.ndarray:
     """Rows of luminance, 0 to 255. Raises ValueError for what is no such PNG."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("no PNG")
-    at, body = 8, b""
+    at, body, width = 8, [], None
     while at < len(data):
         size, kind = struct.unpack_from(">I4s", data, at)
         part = data[at + 8 : at + 8 + size]
         if kind == b"IHDR":
             width, height, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", part)
         elif kind == b"IDAT":
-            body += part
+            body.append(part)
         at += 12 + size
-    if depth != 8 or interlace or colour not in CHANNELS:
+    if width is None or depth != 8 or interlace or colour not in CHANNELS:
         raise ValueError("only 8-bit PNG without interlace is read")
     n = CHANNELS[colour]
-    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, 1 + width * n)
+    raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(height, 1 + width * n)
     out = np.zeros((height, width * n), np.uint8)
     above = np.zeros(width * n, np.uint8)
     for y in range(height):
@@ -40,6 +40,26 @@ def luminance(data: bytes) -> np.ndarray:
     return pixels[..., 0].astype(float) if n < 3 else pixels[..., :3] @ WEIGHTS
 
 
+def dark_lines(pixels: np.ndarray, dark: float = 96.0) -> np.ndarray:
+    """The share of dark pixels of each line."""
+    return (pixels < dark).mean(axis=1)
+
+
+def read_lines_of(spark: SparkSession, path: str, dark: float = 96.0) -> DataFrame:
+    """(path, y, share of dark pixels) of each line of each PNG under path; pictures that cannot be read have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                try:
+                    share = dark_lines(luminance(data), dark)
+                except (ValueError, struct.error, zlib.error):
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(share), pa.string()), pa.array(np.arange(len(share)), pa.int32()), pa.array(share)], ["path", "y", "dark"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, y int, dark double")
+
+
 def _unfiltered(kind: int, row: np.ndarray, above: np.ndarray, n: int) -> np.ndarray:
     if kind == 0:
         return row.copy()
@@ -47,6 +67,8 @@ def _unfiltered(kind: int, row: np.ndarray, above: np.ndarray, n: int) -> np.nda
         return row + above
     if kind == 1:
         return np.cumsum(row.reshape(-1, n), axis=0, dtype=np.uint8).ravel()
+    if kind > 4:
+        raise ValueError("unknown filter")
     line = [0] * n + row.tolist()
     up = [0] * n + above.tolist()
     for i in range(n, len(line)):
@@ -70,7 +92,7 @@ def read_pictures(spark: SparkSession, path: str, dark: float = 96.0) -> DataFra
                 try:
                     y = luminance(data)
                     rows.append((y.shape[1], y.shape[0], float(y.mean()), float((y < dark).mean())))
-                except (ValueError, struct.error, zlib.error, UnboundLocalError):
+                except (ValueError, struct.error, zlib.error):
                     rows.append((None,) * 4)
             w, h, m, d = zip(*rows)
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(w, pa.int32()), pa.array(h, pa.int32()), pa.array(m, pa.float64()), pa.array(d, pa.float64())], ["path", "width", "height", "mean", "dark"])
