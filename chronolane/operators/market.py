@@ -7,35 +7,35 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import mad, sorted_median, tukey_iqr
 from ..functions.times import hours_between
-from .series import daily, lagged, running_sum
+from .series import befores, dealt, over_series, weekly
 
 SERIES = ("market", "provider")
 
 
 def movements(quotes: DataFrame, series: tuple[str, ...] = SERIES) -> DataFrame:
-    """Each quote against the one before it in its series: delta, hours, velocity.
+    """Each quote against the one before it in its series: delta, hours, velocity, and those of the pair before.
 
     A pair is bad if its time does not advance or a price is missing or not positive; one bad pair
-    blocks the whole series. First quotes have state FIRST and no delta.
+    blocks the whole series. First quotes have state FIRST and no delta. Quotes are dealt once, by
+    series and week; _key and _piece say how, so that what builds on the result need not deal them again.
     """
-    q = lagged(quotes, list(series), "source_time", "quote_id", {"before": "price", "since": "source_time"}, daily("source_time"))
+    q = befores(dealt(quotes, list(series), weekly("source_time")), "source_time", "quote_id", ["price", "source_time"], 2)
+    one, two = F.get("_before", F.lit(0)), F.get("_before", F.lit(1))
+    q = q.withColumns({"before": one["price"], "since": one["source_time"], "_price2": two["price"], "_since2": two["source_time"]}).drop("_before")
     q = q.withColumn("hours", hours_between("since", "source_time"))
     bad = F.col("since").isNotNull() & ~((F.col("hours") > 0) & (F.col("price") > 0) & (F.col("before") > 0))
     bad = F.coalesce(bad, F.lit(True)) | (F.col("since").isNull() & ~F.coalesce(F.col("price") > 0, F.lit(False)))
-    q = q.withColumn("bad", bad)
-    blocked = q.groupBy(*series).agg(F.max("bad").alias("blocked"))  # partial sums first: a hot series costs no more
-    q = q.drop("bad").join(blocked, list(series))
-    state = F.when(F.col("blocked"), "BLOCKED").when(F.col("since").isNull(), "FIRST").otherwise("AVAILABLE")
-    q = q.withColumn("state", state)
+    q = over_series(q.withColumn("bad", bad), F.max("bad"), "blocked").drop("bad")
+    q = q.withColumn("state", F.when(F.col("blocked"), "BLOCKED").when(F.col("since").isNull(), "FIRST").otherwise("AVAILABLE"))
     ok = F.col("state") == "AVAILABLE"
-    delta = F.when(ok, F.col("price") - F.col("before"))
-    return q.withColumn("delta", delta).withColumn("hours", F.when(ok, F.col("hours"))).withColumn("velocity", F.try_divide(F.col("delta"), F.col("hours"))).drop("blocked")
+    q = q.withColumns({"delta": F.when(ok, F.col("price") - F.col("before")), "hours": F.when(ok, F.col("hours")), "delta_before": F.when(ok, F.col("before") - F.col("_price2"))})
+    q = q.withColumns({"velocity": F.try_divide("delta", "hours"), "velocity_before": F.try_divide(F.col("delta_before"), hours_between("_since2", "since"))})
+    return q.drop("blocked", "_price2", "_since2")
 
 
 def accelerations(moved: DataFrame, series: tuple[str, ...] = SERIES) -> DataFrame:
     """Of the last three quotes of each series: (v_k - v_{k-1}) / hours between the pairs' ends. Below three, UNKNOWN."""
-    m = lagged(moved, list(series), "source_time", "quote_id", {"velocity_before": "velocity"}, daily("source_time"))
-    m = latest(m.select(*series, "source_time", "quote_id", "velocity", "velocity_before", "hours"), series, ("source_time", "quote_id"))
+    m = latest(moved.select(*series, "source_time", "quote_id", "velocity", "velocity_before", "hours"), series, ("source_time", "quote_id"))
     value = F.try_divide(F.col("velocity") - F.col("velocity_before"), F.col("hours"))
     return m.select(*series, "quote_id", "velocity_before", F.col("velocity").alias("velocity_after"), value.alias("acceleration"), F.when(value.isNull(), "UNKNOWN").otherwise("AVAILABLE").alias("accel_state"))
 
@@ -51,21 +51,35 @@ def heat(moved: DataFrame, by: tuple[str, ...] = ("market",)) -> DataFrame:
 
 
 def pressure_runs(moved: DataFrame, series: tuple[str, ...] = SERIES) -> DataFrame:
-    """Longest run of equal movement signs (no-change dropped), its direction, and whether the sign ever turned."""
+    """Longest run of equal movement signs (no-change dropped), its direction, and whether the sign ever turned; of equal runs the first.
+
+    Runs are counted within a week, where the movements lie. Only a week's first and last run can go on
+    over its borders, so these two, and the best of the others, are all that leaves it.
+    """
+    w = Window.partitionBy("_key", "_piece").orderBy("source_time", "quote_id")
     s = moved.where("delta != 0").withColumn("sign", F.signum("delta").cast("int"))
-    s = lagged(s, list(series), "source_time", "quote_id", {"sign_before": "sign"}, daily("source_time"))
-    s = s.withColumn("turned", F.coalesce(F.col("sign") != F.col("sign_before"), F.lit(False)).cast("int"))
-    s = running_sum(s, list(series), "source_time", "quote_id", "turned", "run", daily("source_time"))
-    runs = s.groupBy(*series, "run", "sign").agg(F.count("*").alias("length"))
-    best = F.max_by(F.struct("length", "sign"), F.struct("length", (-F.col("run")).alias("r")))
-    out = runs.groupBy(*series).agg(best.alias("best"), F.max("run").alias("turns"))
-    return out.select(*series, F.col("best.length").alias("longest"), F.col("best.sign").alias("direction"), (F.col("turns") > 0).alias("reversed"))
+    s = s.withColumn("_turn", F.coalesce(F.col("sign") != F.lag("sign").over(w), F.lit(False)).cast("int")).withColumn("run", F.sum("_turn").over(w))
+    runs = s.groupBy("_key", "_piece", "run", "sign").agg(F.count("*").alias("length"))
+    runs = runs.withColumn("_last", F.max("run").over(Window.partitionBy("_key", "_piece")))
+    inner = (F.col("run") > 0) & (F.col("run") < F.col("_last"))
+    row = F.struct("length", "sign", "run")
+    weeks = runs.groupBy("_key", "_piece").agg(
+        F.max_by(row, -F.col("run")).alias("first"), F.max_by(row, "run").alias("last"), F.max("_last").alias("turns"),
+        F.min_by(F.when(inner, row), F.when(inner, F.struct(-F.col("length"), F.col("run")))).alias("inner"),
+    )
+    ends = weeks.select("_key", "_piece", "turns", F.posexplode(F.when(F.col("turns") == 0, F.array("first")).otherwise(F.array("first", "last"))).alias("pos", "x"))
+    order = Window.partitionBy("_key").orderBy("_piece", "pos")
+    fresh = (F.col("pos") == 1) | F.coalesce(F.col("x.sign") != F.lag("x.sign").over(order), F.lit(True))
+    ends = ends.withColumn("_fresh", fresh.cast("int")).withColumn("island", F.sum("_fresh").over(order))
+    long = ends.groupBy("_key", "island").agg(F.sum("x.length").alias("length"), F.max("x.sign").alias("sign"), F.min(F.struct("_piece", "x.run")).alias("begun"))
+    found = long.select("_key", "length", "sign", "begun", F.col("island").alias("turns")).unionByName(weeks.where("inner is not null").select("_key", "inner.length", "inner.sign", F.struct("_piece", "inner.run").alias("begun"), F.lit(2).cast("long").alias("turns")))
+    best = found.groupBy("_key").agg(F.min_by(F.struct("length", "sign"), F.struct(-F.col("length"), "begun")).alias("best"), F.max("turns").alias("turns"))
+    return best.select(*(F.col(f"_key.{c}").alias(c) for c in series), F.col("best.length").alias("longest"), F.col("best.sign").alias("direction"), (F.col("turns") > 1).alias("reversed"))
 
 
 def anomaly_flags(moved: DataFrame, jump: float, fast: float, least: int = 3, series: tuple[str, ...] = SERIES) -> DataFrame:
     """Flags of a series and a state by their number: few quotes win, then two flags and more, then one."""
-    m = lagged(moved, list(series), "source_time", "quote_id", {"delta_before": "delta"}, daily("source_time"))
-    m = m.withColumn("reverses", F.signum("delta") * F.signum("delta_before") < 0)
+    m = moved.withColumn("reverses", F.signum("delta") * F.signum("delta_before") < 0)
     g = m.groupBy(*series).agg(
         F.count("*").alias("snapshots"), F.coalesce(F.max(F.abs("delta") > jump), F.lit(False)).alias("jump"),
         F.coalesce(F.max(F.abs("velocity") > fast), F.lit(False)).alias("fast"), F.coalesce(F.max("reverses"), F.lit(False)).alias("reversal"),
