@@ -321,3 +321,42 @@ def sample_progress(spark, sf_dir):
     status = F.when(F.col("o_orderstatus") == "F", "ELIGIBLE").when(F.col("o_orderstatus") == "O", "REJECTED").otherwise("BLOCKED")
     o = table(spark, sf_dir, "orders").withColumn("status", status).withColumnRenamed("o_custkey", "team")
     return l.tier_progress(o, ["team"], "status", "o_orderkey", "o_orderdate")
+
+
+@query("""select case when o_orderkey is null then 'SNAPSHOT_MISSING' when s_suppkey is null then 'GATE_MISSING' when l_shipdate < o_orderdate + interval 5 day then 'TIME_MISMATCH' when s_nationkey is distinct from l_linenumber then 'REF_MISMATCH' else 'CONSISTENT' end as lineage, count(*) as n
+from lineitem left join (select * from orders where o_orderstatus != 'P') on l_orderkey = o_orderkey left join (select * from supplier where s_acctbal > 0) on l_suppkey = s_suppkey group by 1""")
+def snapshot_references(spark, sf_dir):
+    """Snapshot, gate and evidence joined, with the first thing that does not agree."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("snapshot_id"), F.col("l_suppkey").alias("gate_id"), F.col("l_linenumber").alias("reference"), F.col("l_shipdate").alias("observed_at"))
+    snapshots = table(spark, sf_dir, "orders").where("o_orderstatus != 'P'").select(F.col("o_orderkey").alias("snapshot_id"), (F.col("o_orderdate") + F.make_dt_interval(F.lit(5))).alias("taken_at"))
+    gates = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("gate_id"), F.col("s_nationkey").alias("reference"))
+    return l.snapshot_evidence(rows, snapshots, gates).groupBy("lineage").agg(F.count("*").alias("n"))
+
+
+@query("""select l_orderkey as match_id, max(greatest(l_shipdate, case when l_returnflag = 'R' then l_shipdate + interval 3 day end)) as updated_at from lineitem group by 1""")
+def match_updates(spark, sf_dir):
+    later = F.when(F.col("l_returnflag") == "R", F.col("l_shipdate") + F.make_dt_interval(F.lit(3)))
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("match_id"), F.col("l_shipdate").alias("captured_at"), later.alias("verified_at"))
+    return l.latest_update(x, "match_id", ["captured_at", "verified_at"])
+
+
+@query("""select o_orderkey as sample_id, o_custkey as match_id, o_orderdate as cutoff_at from orders""")
+def sample_order(spark, sf_dir):
+    """Samples in their stable order."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"), F.col("o_custkey").alias("match_id"), F.col("o_orderdate").alias("cutoff_at"))
+    return s.stable_order(o, "cutoff_at", "match_id", "sample_id")
+
+
+@query("""select o_orderkey as match_id, round((epoch_us(max(l_shipdate)) - epoch_us(min(o_orderdate))) / 3.6e9, 6) as elapsed_hours, round(max(l_extendedprice) - min(o_totalprice), 4) as delta, 'sha256:' || sha256(o_orderkey || '|' || min(o_custkey)) as movement_id from orders join lineitem on o_orderkey = l_orderkey group by 1""")
+def movement_pairs(spark, sf_dir):
+    """Elapsed hours, delta and id of a pair: an order and its dearest, latest lines."""
+    x = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("end"), F.max("l_extendedprice").alias("after"))
+    o = table(spark, sf_dir, "orders").join(x, F.col("o_orderkey") == F.col("l_orderkey"))
+    pairs = o.select(F.col("o_orderkey").alias("match_id"), *s.movement_pair("o_totalprice", "after", "o_orderdate", "end", ["o_orderkey", "o_custkey"]))
+    return pairs.select("match_id", F.round("elapsed_hours", 6).alias("elapsed_hours"), F.round("delta", 4).alias("delta"), "movement_id")
+
+
+@query("""with g as (select l_returnflag as partition, count(distinct l_orderkey) as matches, string_agg(distinct l_linestatus, ',' order by l_linestatus) as refs from lineitem group by 1) select *, 'sha256:' || sha256(refs) as refs_hash from g""")
+def partition_artifacts(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "partition")
+    return s.partition_artifact(x, "partition", "l_orderkey", "l_linestatus")

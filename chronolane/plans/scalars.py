@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from ..operators.lineage import orphans
 from ..operators.samples import also_accepted, grid, horizon, latest_is_canonical
 from ..operators.samples import source_time_order as time_order
 from ..operators.timing import failures, ladder
@@ -130,7 +131,8 @@ def lineage_orphans(spark, sf_dir):
     """Edges whose parent no node declares."""
     e = table(spark, sf_dir, "customer").select((F.col("c_custkey") - F.col("c_nationkey")).alias("parent"))
     n = table(spark, sf_dir, "customer").where("c_custkey % 3 != 0").select(F.col("c_custkey").alias("node"))
-    return e.join(n, F.col("parent") == F.col("node"), "left").agg(F.count("*").alias("edges"), F.count_if(F.col("node").isNull()).alias("orphans"))
+    found = orphans(e.withColumn("child", F.lit(0)), n, "child", "parent", "node")
+    return found.agg(F.count("*").alias("edges"), F.count_if("orphan").alias("orphans"))
 
 
 @query("""with c as (select o_custkey, max(o_orderdate) as top, arg_max(o_orderdate, o_orderkey) as canonical from orders group by 1) select canonical = top as consistent, count(*) as teams from c group by 1""")

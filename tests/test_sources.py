@@ -108,3 +108,27 @@ def test_streams(spark, tmp_path):
     gated = replay.gated(replay.read_quotes(spark, src).withColumn("cutoff", F.lit(at(1)).cast("timestamp_ntz")).withColumn("kickoff", F.lit(at(5)).cast("timestamp_ntz")), "ts", "cutoff", "kickoff")
     replay.into(gated, str(tmp_path / "gated"), str(tmp_path / "c3")).awaitTermination()
     assert sorted(r["gate_state"] for r in spark.read.parquet(str(tmp_path / "gated")).collect()) == ["AVAILABLE"] * 2 + ["FUTURE_DATA"] * 2
+
+
+def test_jdbc_table(spark, tmp_path):
+    """An embedded database of Spark's own jars, read whole and in ranges."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    given = spark.createDataFrame([(i, f"n{i}") for i in range(50)], "id long, name string")
+    given.coalesce(1).write.format("jdbc").options(url=url, dbtable="known", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    assert lines.read_table(spark, url, "known", **driver).count() == 50
+    ranged = lines.read_table(spark, url, "known", "id", (0, 50), 4, **driver)
+    assert ranged.rdd.getNumPartitions() == 4 and sorted(r[0] for r in ranged.collect()) == list(range(50))
+
+
+def test_section_bars_of_a_picture(spark, tmp_path):
+    from chronolane.operators import intake
+
+    pixels = np.full((60, 20, 1), 255, np.uint8)
+    pixels[5:17] = 0
+    pixels[30:36] = 0
+    pixels[45:60, 2:] = 10
+    (tmp_path / "a.png").write_bytes(png(pixels, [0] * 60))
+    (tmp_path / "bad.png").write_bytes(b"nothing")
+    bars = intake.bar_spans(images.read_lines_of(spark, str(tmp_path)), "path", "y", "dark")
+    assert sorted((r["start"], r["end"]) for r in bars.collect()) == [(5, 17), (45, 60)]
