@@ -43,7 +43,7 @@ MASS, SMOOTH = (1000.0, 8.0), 0.1
 #: Tokens of a unit, and n-grams of a bucket, about: what a Python task holds at once.
 UNIT_TOKENS, BUCKET_KEYS = 1 << 20, 1 << 20
 #: Words that are told to the tasks with their rank (12 bytes each).
-RANKED = 1 << 20
+RANKED = 1 << 22
 RARE = np.uint64(1 << 63)
 #: Counts that a task gathers before it hands them on.
 GATHERED = 1 << 21
