@@ -11,8 +11,8 @@ failure arc leads to the shorter context and carries log10 of mass / (all + mass
 what its failure arc reaches add up to 1. All counted n-grams are arcs, those seen once too.
 
 The automaton of a large corpus is held by no task. The state before a token is known from the two
-words before it, so the traversal of a text needs the counts of its own n-grams alone. Texts are dealt
-into units; each unit asks for its distinct n-grams, packed by bucket, with its own counts; a bucket
+words before it, so the traversal of a text needs the counts of its own n-grams alone. Texts are dealt,
+as packed codes of their tokens, into units; each unit asks for its distinct n-grams, packed by bucket, with its own counts; a bucket
 adds up what all units have of an n-gram and answers each; the unit's texts then take their weights
 from the answers. A frequent n-gram is one entry of a unit, so none is hot. The RANKED most counted
 words are spelled by rank, others by hash; that decides the bytes sent, not the scores. `build` and
@@ -91,9 +91,9 @@ def _gram(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return textvec.mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
-def pack(x: np.ndarray) -> bytes:
+def pack(x: np.ndarray, press: zstandard.ZstdCompressor | None = None) -> bytes:
     """64-bit integers as compressed planes of bytes."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T))
+    return (press or zstandard.ZstdCompressor(level=1)).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T))
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -163,15 +163,23 @@ def coded(h: np.ndarray, top: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return codes[entry]
 
 
-def unit_of(table: pa.Table, top: np.ndarray, rank: np.ndarray) -> Unit:
-    hashes, sizes = [], []
-    for batch in slices(table.select(["text"]).to_batches()):
+def coded_texts(batches: Iterator[pa.RecordBatch], top: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The same rows with the packed codes of their tokens in place of the text, some two bytes a token."""
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in slices(batches):
         h, first = tokens(batch.column("text"))
-        hashes.append(h)
-        sizes.append(np.diff(first))
-    h, size = np.concatenate(hashes), np.concatenate(sizes)
+        codes = coded(h, top, rank)
+        packed = pa.array([pack(codes[a:b], press) for a, b in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary())
+        at = batch.schema.get_field_index("text")
+        names = [*batch.schema.names[:at], "codes", *batch.schema.names[at + 1 :]]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:at], packed, *batch.columns[at + 1 :]], names)
+
+
+def unit_of(table: pa.Table) -> Unit:
+    texts = [unpack(x) for x in table.column("codes").to_pylist()]
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
     first = np.concatenate(([0], np.cumsum(size)))
-    return Unit(coded(h, top, rank), np.arange(len(h)) - np.repeat(first[:-1], size), first)
+    return Unit(np.concatenate(texts), np.arange(first[-1]) - np.repeat(first[:-1], size), first)
 
 
 @dataclass
@@ -291,8 +299,11 @@ def score(docs: DataFrame) -> DataFrame:
     unit = F.pmod(F.xxhash64("doc_id", "text", salt), F.lit(units)).cast("int")
     dealt = docs.select("doc_id", held_out(10).alias("held_out"), learned(10).alias("learned"), F.coalesce("text", F.lit("")).alias("text"), unit.alias("unit"))
 
+    kinds = [(f.name, f.dataType.simpleString()) if f.name != "text" else ("codes", "binary") for f in dealt.schema]
+    dealt = dealt.mapInArrow(lambda batches: coded_texts(batches, *ranked.value), ", ".join(" ".join(k) for k in kinds))
+
     def ask(table: pa.Table) -> pa.Table:
-        part = unit_of(table, *ranked.value)
+        part = unit_of(table)
         learns = np.repeat(table.column("learned").to_numpy(), np.diff(part.first)).astype(float)
         rows: tuple[list, list, list] = ([], [], [])
         for order in (1, 2, 3):
@@ -321,7 +332,7 @@ def score(docs: DataFrame) -> DataFrame:
         return pa.table([table.column("unit"), table.column("bucket"), pa.array([pack(np.ascontiguousarray(x)) for x in np.split(sums, ends)], pa.binary())], ["unit", "bucket", "counts"])
 
     def read(table: pa.Table, answers: pa.Table) -> pa.Table:
-        part, answers = unit_of(table, *ranked.value), answers.sort_by("bucket")
+        part, answers = unit_of(table), answers.sort_by("bucket")
         of, packed = answers.column("bucket").to_numpy() >> bits, answers.column("counts").to_pylist()
         c = []
         for order in (1, 2, 3):
