@@ -3,12 +3,15 @@
 Equal vectors are one class, with the least ids that a result can need, so a vector that many rows
 share is compared once. Centroids are fitted on a bounded sample, every class is put into its
 nearest list, and lists are cut into blocks of bounded size. The number of lists to probe is set on
-the sample, so that the wanted recall is reached there.
+the sample, so that the wanted recall is reached there; a query whose lists hold too few classes for a
+whole result probes further ones by rising distance. A list that many queries probe is dealt to several
+tasks, each with a part of the queries.
 
 In a block vectors are unit length and rotated at random. Column blocks are added one by one; after
 each, the partial squared distance of d' of d columns estimates the whole, and a candidate is
 abandoned when distance * d / d' exceeds the worst of the best so far by more than the test's margin,
-(1 + CERTAINTY / sqrt(d'))^2. What is left is measured exactly, in double precision on the original vectors.
+(1 + CERTAINTY / sqrt(d'))^2. The best so far come from the block's first vectors and, after the
+first column block, from those that then look nearest. What is left is measured exactly, in double precision on the original vectors.
 
 Null, zero and non-finite vectors, vectors with null components, and vectors of another length than
 the most common one take no part. Ties go to the smaller vec_id. Rows that repeat a vec_id with the
@@ -29,6 +32,8 @@ from .shared import written
 
 #: Rows to fit on, vectors of one block, and what the sample's probes must find of its true neighbours.
 SAMPLE, BLOCK, WANTED_RECALL = 10_000, 2048, 0.97
+#: Queries of a list that one task answers, about.
+QUERIES = 2048
 COLUMNS, CERTAINTY, FIRST = 16, 2.1, 48
 
 
@@ -77,12 +82,16 @@ def scan(original: np.ndarray, rotated_q: np.ndarray, vectors: np.ndarray, origi
     start = np.einsum("ij,ij->i", diff, diff)
     alive = np.arange(first)
     if n > first:
-        limit = np.partition(start, k - 1)[k - 1] if first >= k else np.inf
+        best = np.partition(start, k - 1)[:k]
         left, part = np.arange(first, n), np.zeros(n - first)
         for at in range(0, d, COLUMNS):
             end = min(d, at + COLUMNS)
             diff = vectors[left, at:end] - rotated_q[at:end]
             part = part + np.einsum("ij,ij->i", diff, diff)
+            if at == 0 and end < d and len(left) > k:
+                diff = vectors[left[np.argpartition(part, k)[:k]]] - rotated_q
+                best = np.partition(np.concatenate((best, np.einsum("ij,ij->i", diff, diff))), k - 1)[:k]
+            limit = best.max()
             bound = limit * end / d * (1 + CERTAINTY / math.sqrt(end)) ** 2 if end < d else limit
             keep = part <= bound + 1e-9
             left, part = left[keep], part[keep]
@@ -107,17 +116,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     c, rotation, probes = fit(classes, count, k)
     index = spark.sparkContext.broadcast((c, rotation))  # at most 4096 centroids, and one rotation
 
-    def place(most: int):
+    def place(most: int, sizes: np.ndarray | None = None):
+        """The `most` nearest lists of each vector, and further ones until they hold k + 1 classes where sizes has the lists' classes."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c, rotation = index.value
             for batch in batches:
                 x = batch.column("v").values.to_numpy().reshape(len(batch), -1)[:, : c.shape[1]] if len(batch) else np.zeros((0, c.shape[1]))
                 unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                near = np.argsort(-(unit @ c.T), axis=1, kind="stable")[:, :most].astype(np.int32)
+                near = np.argsort(-(unit @ c.T), axis=1, kind="stable").astype(np.int32)
+                taken = np.full(len(near), most)
+                if sizes is not None:
+                    short = (np.cumsum(sizes[near], axis=1) < k + 1).sum(axis=1) + 1
+                    taken = np.minimum(np.maximum(taken, short), near.shape[1])
+                ends = np.concatenate(([0], np.cumsum(taken))).astype(np.int32)
+                lists = near[np.arange(near.shape[1]) < taken[:, None]]
                 rotated = unit @ rotation
                 width = rotated.shape[1]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(n) for n in batch.schema.names), pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * most), pa.array(near.ravel())), pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * width), pa.array(rotated.ravel()))],
+                    [*(batch.column(n) for n in batch.schema.names), pa.ListArray.from_arrays(pa.array(ends), pa.array(lists)), pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * width), pa.array(rotated.ravel()))],
                     [*batch.schema.names, "lists", "rotated"],
                 )
 
@@ -125,25 +142,35 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     placed = classes.select("v", "ids").mapInArrow(place(1), "v array<double>, ids array<long>, lists array<int>, rotated array<double>")
     placed = written(placed.select(F.col("lists")[0].alias("list"), "v", "ids", "rotated"), "placed")
-    blocks = placed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # a row a list
-    stored = placed.join(F.broadcast(blocks), "list").select("list", F.pmod(F.xxhash64("ids"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), F.col("ids")[0].alias("id"), "ids", "v", "rotated")
+    sizes = np.zeros(len(c), np.int64)
+    for r in placed.groupBy("list").count().collect():  # a row a list, at most 4096
+        sizes[r["list"]] = r["count"]
 
     asked = usable(queries).withColumn("key", F.xxhash64("v"))
     # queries of one vector are asked once
     distinct = asked.groupBy("key", "v").agg(F.min("vec_id").alias("id"))
-    probed = distinct.select("v", "id").mapInArrow(place(probes), "v array<double>, id long, lists array<int>, rotated array<double>")
-    probed = probed.withColumn("list", F.explode("lists")).join(F.broadcast(blocks), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    probed = probed.select("list", "block", F.lit(1).alias("side"), "id", F.lit(None).cast("array<long>").alias("ids"), "v", "rotated")
-    dealt = stored.unionByName(probed).repartition("list", "block").sortWithinPartitions("list", "block", "side", "id")
+    probed = distinct.select("v", "id").mapInArrow(place(probes, sizes), "v array<double>, id long, lists array<int>, rotated array<double>")
+    probed = written(probed, "probed")
+    load = probed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
+    blocks = spark.createDataFrame([(i, int(-(-n // BLOCK))) for i, n in enumerate(sizes.tolist()) if n], "list int, blocks int").join(load, "list")
+
+    def numbers(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    # a list that nobody probes is not sent; each part of a list's queries has the list's vectors
+    stored = placed.join(F.broadcast(blocks), "list").select("list", F.pmod(F.xxhash64("ids"), F.col("blocks")).cast("int").alias("block"), numbers("parts").alias("part"), F.lit(0).alias("side"), F.col("ids")[0].alias("id"), "ids", "v", "rotated")
+    probed = probed.withColumn("list", F.explode("lists")).join(F.broadcast(blocks), "list").withColumn("block", numbers("blocks"))
+    probed = probed.select("list", "block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), "id", F.lit(None).cast("array<long>").alias("ids"), "v", "rotated")
+    dealt = stored.unionByName(probed).repartition("list", "block", "part").sortWithinPartitions("list", "block", "part", "side", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, originals, vectors, ready = None, [], [], [], None
         for batch in batches:
-            rows = zip(*(batch.column(n).to_pylist() for n in ("list", "block", "side", "id", "ids")), batch.column("v"), batch.column("rotated"))
+            rows = zip(*(batch.column(n).to_pylist() for n in ("list", "block", "part", "side", "id", "ids")), batch.column("v"), batch.column("rotated"))
             out: tuple[list, list, list] = ([], [], [])
-            for lst, block, side, one, members, x, r in rows:
-                if key != (lst, block):
-                    key, ids, originals, vectors, ready = (lst, block), [], [], [], None
+            for lst, block, share, side, one, members, x, r in rows:
+                if key != (lst, block, share):
+                    key, ids, originals, vectors, ready = (lst, block, share), [], [], [], None
                 x, r = x.values.to_numpy(), r.values.to_numpy()
                 if side == 0:
                     ids.append(members)

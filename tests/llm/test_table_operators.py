@@ -141,6 +141,28 @@ def test_neighbours(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(few, few.where("vec_id = 0")).collect()] == [(0, 1, 1)]
 
 
+def test_neighbours_of_outliers_are_whole(spark, monkeypatch):
+    """Clusters, so that few lists are probed, and lone vectors whose own list holds too few; queries of a list in several parts."""
+    monkeypatch.setattr(ann, "QUERIES", 3)
+    rng = np.random.default_rng(11)
+    centres = 8 * rng.standard_normal((12, 16))
+    x = centres[rng.integers(0, 12, 2500)] + 0.1 * rng.standard_normal((2500, 16))
+    x[::50][:6] = 8 * rng.standard_normal((6, 16))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(vectors, vectors.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    assert set(got) == set(range(0, 2500, 50))
+    for q, found in got.items():
+        assert [f[0] for f in sorted(found)] == [1, 2, 3, 4, 5] and len({f[1] for f in found}) == 5
+        s = unit @ unit[q]
+        s[q] = -9
+        hits += len(set(np.argsort(-s)[:5].tolist()) & {f[1] for f in found})
+    assert hits / (5 * len(got)) >= 0.9
+
+
 def test_mixing_equals_sql(spark):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
