@@ -95,7 +95,7 @@ def parse_ip(text: str, start: int) -> tuple[int, bool] | None:
             return None
         parts.append(text[at + 1 : end])
         at = end
-    return at, all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts)
+    return at, all(len(p) <= 3 and int(p or "0") <= 255 for p in (p.lstrip("0") for p in parts))
 
 
 def luhn(digits: str) -> bool:

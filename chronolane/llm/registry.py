@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, backoff_lm, bpe, compression, jaccard, jpeg, mixing, pii, toxicity, wavelet
+from . import ann, backoff_lm, bpe, compression, filter_audit, jaccard, jpeg, mixing, pii, ranked_search, sharding, toxicity, wavelet
 from .shared import documents, table
 
 
@@ -61,9 +61,26 @@ def op10_backoff_automaton_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_lm.score(documents(spark, sf_dir))
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op13_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing_hierarchical_budget, op2_bpe_forced_boundaries, op3_adaptive_dimension_scan, op4_toxicity_weak_supervision, op5_wavelet_shards, op6_jpeg_thumbnails, op7_pii_anchor_expansion, op8_ngram_jaccard_join, op9_compression_quality, op10_backoff_automaton_lm)}
+    return {f.__name__: f for f in (op1_mixing_hierarchical_budget, op2_bpe_forced_boundaries, op3_adaptive_dimension_scan, op4_toxicity_weak_supervision, op5_wavelet_shards, op6_jpeg_thumbnails, op7_pii_anchor_expansion, op8_ngram_jaccard_join, op9_compression_quality, op10_backoff_automaton_lm, op11_filter_interaction_audit, op12_ranked_lexical_search, op13_sampled_splitters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing_hierarchical_budget": mixing.MIXTURE_SQL}
+    return {
+        "op1_mixing_hierarchical_budget": mixing.MIXTURE_SQL,
+        "op11_filter_interaction_audit": filter_audit.AUDIT_SQL,
+        "op12_ranked_lexical_search": ranked_search.SEARCH_SQL,
+        "op13_sampled_splitters": sharding.SHARD_SQL,
+    }
