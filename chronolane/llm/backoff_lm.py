@@ -11,12 +11,13 @@ failure arc leads to the shorter context and carries log10 of mass / (all + mass
 what its failure arc reaches add up to 1. All counted n-grams are arcs, those seen once too.
 
 The automaton of a large corpus is held by no task. The state before a token is known from the two
-words before it, so the traversal of a text needs the counts of its own n-grams alone. Texts are dealt,
-as packed codes of their tokens, into units; each unit asks for its distinct n-grams, packed by bucket, with its own counts; a bucket
-adds up what all units have of an n-gram and answers each; the unit's texts then take their weights
-from the answers. A frequent n-gram is one entry of a unit, so none is hot. The RANKED most counted
-words are spelled by rank, others by hash; that decides the bytes sent, not the scores. `build` and
-`traverse` are the same model as an automaton in one memory, for a corpus that fits there.
+words before it, so the traversal of a text needs the counts of its own n-grams alone. Texts are read
+once, as packed codes of their tokens, and gathered into units that are written; each unit asks for its
+distinct n-grams, packed by bucket, with its own counts; a bucket adds up what all units have of an
+n-gram and answers each. Of the answers a unit builds its part of the automaton, all states and arcs that
+its texts can meet, and traverses its texts with it. A frequent n-gram is one entry of a unit, so none
+is hot. The RANKED most counted words are spelled by rank, others by hash; that decides the bytes sent,
+not the scores.
 
 Null and empty texts have the end alone; further columns are ignored and an empty table gives an empty
 one; with no training text every token has the share of an unseen one. Repeated rows are scored each and
@@ -33,15 +34,18 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textvec
 from .labelled import held_out, learned
-from .shared import most_counted, slices, written
+from .shared import give_back, most_counted, slices, written
 
 #: What the shorter context counts for, in tokens, at a state of one word and at one of two; and the root's smoothing.
 MASS, SMOOTH = (1000.0, 8.0), 0.1
 #: Tokens of a unit, and n-grams of a bucket, about: what a Python task holds at once.
 UNIT_TOKENS, BUCKET_KEYS = 1 << 20, 1 << 20
+#: Tokens that a lane of the traversal walks; a longer text is walked by several lanes, each from the state its first two words before it lead to.
+LANE = 512
 #: Words that are told to the tasks with their rank (12 bytes each).
 RANKED = 1 << 22
 RARE = np.uint64(1 << 63)
@@ -163,23 +167,42 @@ def coded(h: np.ndarray, top: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return codes[entry]
 
 
-def coded_texts(batches: Iterator[pa.RecordBatch], top: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The same rows with the packed codes of their tokens in place of the text, some two bytes a token."""
-    press = zstandard.ZstdCompressor(level=1)
-    for batch in slices(batches):
-        h, first = tokens(batch.column("text"))
-        codes = coded(h, top, rank)
-        packed = pa.array([pack(codes[a:b], press) for a, b in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary())
-        at = batch.schema.get_field_index("text")
-        names = [*batch.schema.names[:at], "codes", *batch.schema.names[at + 1 :]]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:at], packed, *batch.columns[at + 1 :]], names)
+def gathered(batches: Iterator[pa.RecordBatch], top: np.ndarray, rank: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """One row for each unit of about `most` tokens (or one longer text): lists of its rows' columns, their sizes, and the packed codes of all their tokens."""
+    columns: list[list] = []
+    sizes: list[int] = []
+    parts: list[np.ndarray] = []
 
+    def flush() -> pa.RecordBatch:
+        kinds = [*schema.types, pa.int64()]
+        lists = [pa.array([x], pa.list_(k)) for x, k in zip([*columns, sizes], kinds)]
+        return pa.RecordBatch.from_arrays([*lists, pa.array([pack(np.concatenate(parts))], pa.binary())], [*schema.names, "sizes", "codes"])
 
-def unit_of(table: pa.Table) -> Unit:
-    texts = [unpack(x) for x in table.column("codes").to_pylist()]
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    held = 0
+    for batch in slices(batches):
+        h, first = tokens(batch.column("text"))
+        codes, rest = coded(h, top, rank), batch.drop_columns(["text"])
+        schema, columns = rest.schema, columns or [[] for _ in rest.schema.names]
+        a = 0
+        while a < len(batch):  # as many texts as the unit still holds
+            b = max(int(np.searchsorted(first, first[a] + most - held, side="right")) - 1, a + (held == 0))
+            for into, c in zip(columns, rest.columns):
+                into.extend(c.slice(a, b - a).to_pylist())
+            sizes.extend(np.diff(first[a : b + 1]).tolist())
+            parts.append(codes[first[a] : first[b]])
+            held += int(first[b] - first[a])
+            if b < len(batch) or held >= most:
+                yield flush()
+                columns, sizes, parts, held = [[] for _ in rest.schema.names], [], [], 0
+            a = b
+    if sizes:
+        yield flush()
+
+
+def unit_of(sizes: list[int], codes: bytes) -> Unit:
+    size = np.array(sizes, np.int64)
     first = np.concatenate(([0], np.cumsum(size)))
-    return Unit(np.concatenate(texts), np.arange(first[-1]) - np.repeat(first[:-1], size), first)
+    return Unit(unpack(codes), np.arange(first[-1]) - np.repeat(first[:-1], size), first)
 
 
 @dataclass
@@ -192,7 +215,7 @@ class Automaton:
     targets: np.ndarray
     back: np.ndarray  # each state's failure arc: weight
     fail: np.ndarray  # and target
-    has: np.ndarray  # whether a single word's state has arcs
+    pairs: np.ndarray  # the pairs that are states, sorted, in base W + 1
 
     def word_ids(self, h: np.ndarray) -> np.ndarray:
         if not len(self.words):
@@ -207,77 +230,103 @@ class Automaton:
         at[at == len(self.keys)] = 0
         return at, (self.keys[at] == key) if len(self.keys) else np.zeros(len(key), bool)
 
-    def traverse(self, word: np.ndarray, root: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The log10 probability of each text: root holds each token's weight at the root."""
-        lengths = np.diff(first)
+    def state_after(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The state after words a, b: the pair where it was counted, else the single word b."""
+        key = a * (len(self.words) + 1) + b
+        j = np.searchsorted(self.pairs, key)
+        j[j == len(self.pairs)] = 0
+        return np.where(self.pairs[j] == key, len(self.words) + 1 + j, b) if len(self.pairs) else b
+
+    def lanes(self, word: np.ndarray, first: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each lane begins and ends, and the state it begins in; a text has one for each `most` tokens."""
+        count = -(-np.diff(first) // most)
+        of = np.repeat(np.arange(len(count)), count)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        begin = first[:-1][of] + nth * most
+        state = np.zeros(len(of), np.int64)
+        later = np.flatnonzero(nth)
+        state[later] = self.state_after(word[begin[later] - 2], word[begin[later] - 1])
+        return begin, np.minimum(begin + most, first[1:][of]), state
+
+    def traverse(self, word: np.ndarray, root: np.ndarray, first: np.ndarray, lane: int = LANE) -> np.ndarray:
+        """The log10 probability of each text, from left to right: root holds each token's weight at the root. `lane` is at least 2."""
+        begin, end, state = self.lanes(word, first, lane)
+        lengths = end - begin
         order = np.argsort(-lengths, kind="stable")
-        begin, lengths = first[:-1][order], lengths[order]
-        total, state = np.zeros(len(order)), np.zeros(len(order), np.int64)
+        begin, lengths, state = begin[order], lengths[order], state[order]
+        total = np.zeros(len(order))
         steps = int(lengths[0]) if len(lengths) else 0
         alive = np.searchsorted(-lengths, -np.arange(steps), side="left")
         for t in range(steps):
             n = alive[t]
             at = begin[:n] + t
             w, s = word[at], state[:n]
-            gain = np.zeros(n)
-            to = np.where(w > 0, w, 0)
-            i, hit = self.arcs(s, w)
-            hit &= (w > 0) & (s > 0)
-            gain[hit], to[hit] = self.weights[i[hit]], self.targets[i[hit]]
-            todo = np.flatnonzero(~hit)
-            s = s[todo]
+            gain, to = np.zeros(n), np.zeros(n, np.int64)
+            todo = np.arange(n)
             while len(todo):
+                at_root = s == 0
+                done = todo[at_root]
+                gain[done] += root[at[done]]
+                to[done] = w[done]
+                todo, s = todo[~at_root], s[~at_root]
+                i, hit = self.arcs(s, w[todo])
+                gain[todo[hit]] += self.weights[i[hit]]
+                to[todo[hit]] = self.targets[i[hit]]
+                todo, s = todo[~hit], s[~hit]
                 gain[todo] += self.back[s]
                 s = self.fail[s]
-                done = s == 0
-                gain[todo[done]] += root[at[todo[done]]]
-                todo, s = todo[~done], s[~done]
-                if len(todo):
-                    i, hit = self.arcs(s, w[todo])
-                    hit &= w[todo] > 0
-                    gain[todo[hit]] += self.weights[i[hit]]
-                    to[todo[hit]] = self.targets[i[hit]]
-                    todo, s = todo[~hit], s[~hit]
             total[:n] += gain
-            state[:n] = np.where(self.has[to], to, 0)
+            state[:n] = to
         out = np.empty(len(order))
         out[order] = total
-        return out
+        of = np.repeat(np.arange(len(first) - 1), -(-np.diff(first) // lane))
+        return np.bincount(of, out, len(first) - 1)
 
 
 def build(words: np.ndarray, word_counts: np.ndarray, root: np.ndarray, pairs, triples) -> Automaton:
-    """words are sorted; pairs and triples are (keys, counts) in base W + 1 of word ids; root holds the words' shares.
+    """words hold their hashes; pairs are (sorted keys in base W + 1 of word ids, counts), triples (place of their first pair, last word, counts); root holds the words' shares.
 
-    Every pair that begins a triple is counted, and every word of a pair.
+    Every pair that begins a triple is counted, every pair that ends one, and every word of a pair. Each counted
+    word and pair is a state, those that no arc leaves too: their failure arcs have to be paid.
     """
     base = len(words) + 1
     counts1, p1 = np.concatenate(([0], word_counts)).astype(float), np.concatenate(([0.0], root))
     k2, c2 = pairs
     u, w = k2 // base, k2 % base
     share2 = (c2 + MASS[0] * p1[w]) / (counts1[u] + MASS[0])
-    k3, c3 = triples
-    context, z = k3 // base, k3 % base
-    states = np.unique(context)
-    all2 = c2[np.searchsorted(k2, states)].astype(float)
-    where, v = np.searchsorted(states, context), states % base
-    lower = share2[np.searchsorted(k2, v[where] * base + z)]
-    share3 = (c3 + MASS[1] * lower) / (all2[where] + MASS[1])
-
-    def pair_state(a, b):
-        """The state after words a, b: the pair, else b."""
-        j = np.searchsorted(states, a * base + b)
-        j[j == len(states)] = 0
-        ok = (states[j] == a * base + b) if len(states) else np.zeros(len(a), bool)
-        return np.where(ok, base + j, b)
-
+    where, z, c3 = triples
+    v = k2[where] % base
+    shorter = np.searchsorted(k2, v * base + z)  # the arc of the shorter context, and the state after this one
+    share3 = (c3 + MASS[1] * share2[shorter]) / (c2[where] + MASS[1])
     keys = np.concatenate((k2, (base + where) * base + z))
     order = np.argsort(keys)
-    weights, targets = np.log10(np.concatenate((share2, share3))), np.concatenate((pair_state(u, w), pair_state(v[where], z)))
-    used = np.bincount(u, minlength=base) > 0
-    fail = np.concatenate((np.zeros(base, np.int64), v))
-    back = np.log10(np.concatenate([m / (c + m) for c, m in zip((counts1, all2), MASS)]))
-    back[0] = 0
-    return Automaton(words, keys[order], weights[order], targets[order], back, fail, np.concatenate((used, np.ones(len(states), bool))))
+    weights, targets = np.log10(np.concatenate((share2, share3))), base + np.concatenate((np.arange(len(k2)), shorter))
+    fail = np.concatenate((np.zeros(base, np.int64), w))
+    back = np.log10(np.concatenate([m / (c + m) for c, m in zip((counts1, c2), MASS)]))
+    return Automaton(words, keys[order], weights[order], targets[order], back, fail, k2)
+
+
+def unit_automaton(ones, twos, threes, total: float) -> tuple[Automaton, np.ndarray, np.ndarray]:
+    """The part of the automaton that a unit's texts can meet, each token's word id (0: never counted), and its weight at the root.
+
+    Each order is given as (entry of each position, a position of each entry, count of each entry).
+    """
+    entry, _, c1 = ones
+    ids = np.where(c1 > 0, np.cumsum(c1 > 0), 0)
+    word, share = ids[entry], (c1 + SMOOTH) / total
+    base = int(ids.max(initial=0)) + 1
+
+    def counted(some: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return some[found > 0], found[found > 0]
+
+    at, c2 = counted(*twos[1:])
+    key = word[at - 1] * base + word[at]
+    by = np.argsort(key)
+    pairs = key[by], c2[by]
+    at, c3 = counted(*threes[1:])
+    where = np.searchsorted(pairs[0], word[at - 2] * base + word[at - 1])
+    machine = build(np.arange(1, base, dtype=np.uint64), c1[c1 > 0], share[c1 > 0], pairs, (where, word[at], c3))
+    return machine, word, np.log10(share)[entry]
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -290,21 +339,20 @@ def score(docs: DataFrame) -> DataFrame:
     rank[np.argsort(-often, kind="stable")] = np.arange(len(top))
     by_hash = np.argsort(top.view(np.uint64))
     ranked = docs.sparkSession.sparkContext.broadcast((top.view(np.uint64)[by_hash], rank[by_hash]))
-    total, masses = n + SMOOTH * (v + 1), MASS
-    units = max(docs.select("text").rdd.getNumPartitions(), -(-n // UNIT_TOKENS))
-    bits = max(4, int(2 * n // BUCKET_KEYS).bit_length())
-
-    # repeated rows are told apart by where they stand, so that none makes a unit large
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(64))
-    unit = F.pmod(F.xxhash64("doc_id", "text", salt), F.lit(units)).cast("int")
-    dealt = docs.select("doc_id", held_out(10).alias("held_out"), learned(10).alias("learned"), F.coalesce("text", F.lit("")).alias("text"), unit.alias("unit"))
-
-    kinds = [(f.name, f.dataType.simpleString()) if f.name != "text" else ("codes", "binary") for f in dealt.schema]
-    dealt = dealt.mapInArrow(lambda batches: coded_texts(batches, *ranked.value), ", ".join(" ".join(k) for k in kinds))
-
-    def ask(table: pa.Table) -> pa.Table:
-        part = unit_of(table)
-        learns = np.repeat(table.column("learned").to_numpy(), np.diff(part.first)).astype(float)
+    total, unit_tokens, lane = n + SMOOTH * (v + 1), UNIT_TOKENS, LANE
+    known = docs.select("doc_id", held_out(10).alias("held_out"), learned(10).alias("learned"), F.coalesce("text", F.lit("")).alias("text"))
+    kinds = ", ".join([*(f"{f.name} array<{f.dataType.simpleString()}>" for f in known.schema if f.name != "text"), "sizes array<long>", "codes binary"])
+    units = written(known.mapInArrow(lambda batches: gathered(batches, *ranked.value, unit_tokens), kinds).withColumn("unit", F.monotonically_increasing_id()), "units")
+    held = units.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    bits = max(4, int(2 * held // BUCKET_KEYS).bit_length())
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for unit, learns, sizes, codes in zip(*(batch.column(c).to_pylist() for c in ("unit", "learned", "sizes", "codes"))):
+                yield asked(unit, unit_of(sizes, codes), np.repeat(np.array(learns, float), sizes))
+        give_back()
+
+    def asked(unit: int, part: Unit, learns: np.ndarray) -> pa.RecordBatch:
         rows: tuple[list, list, list] = ([], [], [])
         for order in (1, 2, 3):
             at, entry, some = part.grams(order, bits)
@@ -316,8 +364,7 @@ def score(docs: DataFrame) -> DataFrame:
                 spelled = np.concatenate([np.diff(words[0][a:b], prepend=np.uint64(0)), *(w[a:b] for w in words[1:])])
                 for column, x in zip(rows, ((order << bits) + i, pack(spelled), pack(own[a:b]))):
                     column.append(x)
-        size = len(rows[0])
-        return pa.table([pa.array([table.column("unit")[0].as_py()] * size, pa.int32()), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["unit", "bucket", "keys", "own"])
+        return pa.RecordBatch.from_arrays([pa.array([unit] * len(rows[0]), pa.int64()), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["unit", "bucket", "keys", "own"])
 
     def answer(table: pa.Table) -> pa.Table:
         order = table.column("bucket")[0].as_py() >> bits
@@ -332,27 +379,23 @@ def score(docs: DataFrame) -> DataFrame:
         return pa.table([table.column("unit"), table.column("bucket"), pa.array([pack(np.ascontiguousarray(x)) for x in np.split(sums, ends)], pa.binary())], ["unit", "bucket", "counts"])
 
     def read(table: pa.Table, answers: pa.Table) -> pa.Table:
-        part, answers = unit_of(table), answers.sort_by("bucket")
+        unit, answers = {c: table.column(c)[0].as_py() for c in table.column_names}, answers.sort_by("bucket")
+        part = unit_of(unit["sizes"], unit["codes"])
         of, packed = answers.column("bucket").to_numpy() >> bits, answers.column("counts").to_pylist()
-        c = []
+        grams = []
         for order in (1, 2, 3):
-            at, entry, _ = part.grams(order, bits)
-            found = np.concatenate([np.zeros(0, np.uint64), *(unpack(packed[i]) for i in np.flatnonzero(of == order).tolist())])
-            c.append(np.zeros(len(part.codes)))
-            c[-1][at] = found[entry]
-        share = root = (c[0] + SMOOTH) / total
-        for context, own, least, mass in ((c[0], c[1], 1, masses[0]), (c[1], c[2], 2, masses[1])):
-            at = np.flatnonzero(part.place >= least)
-            lower, share = share, share.copy()
-            share[at] = (own[at] + mass * lower[at]) / (context[at - 1] + mass)
+            _, entry, some = part.grams(order, bits)
+            found = np.concatenate([np.zeros(0, np.uint64), *(unpack(packed[i]) for i in np.flatnonzero(of == order).tolist())]).astype(np.int64)
+            grams.append((entry, some, found))
+        machine, word, root = unit_automaton(*grams, total)
         start, size = part.first[:-1], np.diff(part.first)
-        sums = [np.add.reduceat(np.log10(x), start) for x in (root, share)]
-        known = np.add.reduceat((c[0] > 0).astype(np.int64), start)
-        return pa.table([table.column("doc_id"), table.column("held_out"), pa.array(size), pa.array(known), pa.array(np.full(len(size), n)), *map(pa.array, sums)], schema.names)
+        base, known = np.add.reduceat(root, start), np.add.reduceat((word > 0).astype(np.int64), start)
+        return pa.table([pa.array(unit["doc_id"], schema_doc_id), pa.array(unit["held_out"]), pa.array(size), pa.array(known), pa.array(np.full(len(size), n)), pa.array(base), pa.array(machine.traverse(word, root, part.first, lane))], schema.names)
 
-    schema = dealt.select("doc_id", "held_out").schema
+    schema = known.select("doc_id", "held_out").schema
+    schema_doc_id = to_arrow_type(schema["doc_id"].dataType)
     for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double")):
         schema = schema.add(name, kind)
-    asks = dealt.groupBy("unit").applyInArrow(ask, "unit int, bucket long, keys binary, own binary")
-    answers = asks.groupBy("bucket").applyInArrow(answer, "unit int, bucket long, counts binary")
-    return dealt.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(read, schema)
+    asks = units.select("unit", "learned", "sizes", "codes").mapInArrow(ask, "unit long, bucket long, keys binary, own binary")
+    answers = asks.groupBy("bucket").applyInArrow(answer, "unit long, bucket long, counts binary")
+    return units.drop("learned").groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(read, schema)

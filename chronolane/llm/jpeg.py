@@ -339,15 +339,19 @@ def _in_step(scans: bytes, table: np.ndarray, interval: int) -> tuple[np.ndarray
     return values, good & (at <= stop * 8)
 
 
-def look(pixels: np.ndarray) -> str:
-    """A 64-bit difference hash of a thumbnail: for each of 8 x 9 cells' means, whether it exceeds its left neighbour."""
+def cell_means(pixels: np.ndarray) -> np.ndarray:
+    """The means of 8 x 9 cells of a thumbnail."""
     rows, columns = pixels.shape
     r, c = np.arange(8) * rows // 8, np.arange(9) * columns // 9
     if rows < 8 or columns < 9:
-        cells = pixels[np.minimum(r, rows - 1)][:, np.minimum(c, columns - 1)].astype(np.float64)
-    else:
-        sums = np.add.reduceat(np.add.reduceat(pixels, r, axis=0, dtype=np.int64), c, axis=1)
-        cells = sums / (np.diff(np.append(r, rows))[:, None] * np.diff(np.append(c, columns)))
+        return pixels[np.minimum(r, rows - 1)][:, np.minimum(c, columns - 1)].astype(np.float64)
+    sums = np.add.reduceat(np.add.reduceat(pixels, r, axis=0, dtype=np.int64), c, axis=1)
+    return sums / (np.diff(np.append(r, rows))[:, None] * np.diff(np.append(c, columns)))
+
+
+def look(thumbnails: list[np.ndarray]) -> str:
+    """A 64-bit difference hash of a text's thumbnails: for each of 8 x 9 cells' means over all of them, whether it exceeds its left neighbour."""
+    cells = np.average([cell_means(x) for x in thumbnails], axis=0, weights=[x.size for x in thumbnails]) if len(thumbnails) > 1 else cell_means(thumbnails[0])
     return np.packbits(cells[:, 1:] > cells[:, :-1]).tobytes().hex()
 
 
@@ -368,7 +372,7 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def features(stored: DataFrame) -> DataFrame:
-    """What the stored pictures hold: payload digests, sizes, and the feature WIDTHxHEIGHT:thumbnail hash."""
+    """What the stored pictures hold: payload digests, sizes, and the feature WIDTHxHEIGHT:thumbnail hash over all pictures of a text (greatest width, heights summed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media"):
@@ -376,8 +380,7 @@ def features(stored: DataFrame) -> DataFrame:
             rows = []
             for data, pictures in zip(media, thumbnails(media)):
                 payload = b"".join(pixels.tobytes()[: int(p.comment.partition(b"=")[2])] for p, pixels in pictures)
-                p, pixels = pictures[0]
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), f"{p.width}x{p.height}:{look(pixels)}"))
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), f"{max(p.width for p, _ in pictures)}x{sum(p.height for p, _ in pictures)}:{look([x for _, x in pictures])}"))
             columns = list(zip(*rows))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names)

@@ -295,7 +295,8 @@ def test_language_model(spark, docs, empty):
 
 @pytest.mark.parametrize("size", [700, 1 << 20])
 def test_language_model_keeps_every_ngram(spark, monkeypatch, size):
-    """Against brute force, with n-grams seen once, repeated rows and hot n-grams; the sizes of units and buckets change nothing."""
+    """Against brute force, with n-grams seen once, repeated rows and hot n-grams; the sizes of units, buckets and lanes change nothing."""
+    monkeypatch.setattr(backoff_lm, "LANE", 16)
     monkeypatch.setattr(backoff_lm, "UNIT_TOKENS", size)
     monkeypatch.setattr(backoff_lm, "BUCKET_KEYS", size)
     monkeypatch.setattr(backoff_lm, "RANKED", size)
@@ -344,10 +345,11 @@ def test_automaton_scores_as_the_job_does(spark):
     root = (counts + 0.1) / unit
     two = np.unique(np.concatenate([x[:-1] * 31 + x[1:] for x in coded]), return_counts=True)
     three = np.unique(np.concatenate([(x[:-2] * 31 + x[1:-1]) * 31 + x[2:] for x in coded]), return_counts=True)
-    machine = backoff_lm.build(np.arange(30, dtype=np.uint64), counts, root, two, three)
+    machine = backoff_lm.build(np.arange(30, dtype=np.uint64), counts, root, two, (np.searchsorted(two[0], three[0] // 31), three[0] % 31, three[1]))
     for i, ws in texts:
         ids = np.array([*ws, 30])
-        assert machine.traverse(ids, np.log10(root[ids - 1]), np.array([0, len(ids)]))[0] == pytest.approx(rows[i], rel=1e-9)
+        for lane in (2, 7, 512):  # a text may be walked by several lanes
+            assert machine.traverse(ids, np.log10(root[ids - 1]), np.array([0, len(ids)]), lane)[0] == pytest.approx(rows[i], rel=1e-9)
 
 
 def test_automaton_is_a_distribution():
@@ -363,7 +365,7 @@ def test_automaton_is_a_distribution():
     ring = np.concatenate((text, text[:2]))  # every word is followed by one, as an end makes it in texts
     two = np.unique(ring[:-2] * base + ring[1:-1], return_counts=True)
     three = np.unique((ring[:-2] * base + ring[1:-1]) * base + ring[2:], return_counts=True)
-    machine = backoff_lm.build(words, counts, root, two, three)
+    machine = backoff_lm.build(words, counts, root, two, (np.searchsorted(two[0], three[0] // base), three[0] % base, three[1]))
     ends = np.log10(np.concatenate(([0.1 / unit], root)))
     for u in range(1, 7):
         for w in range(1, 7):
