@@ -13,8 +13,11 @@ abandoned when distance * d / d' exceeds the worst of the best so far by more th
 (1 + CERTAINTY / sqrt(d'))^2. The best so far come from the block's first vectors and, after the
 first column block, from those that then look nearest. What is left is measured exactly, in double precision on the original vectors.
 
-Null, zero and non-finite vectors, vectors with null components, and vectors of another length than
-the most common one take no part. Ties go to the smaller vec_id. Rows that repeat a vec_id with the
+Vectors of different lengths have no cosine: each length has an index of its own, and one with up to BLOCK
+classes is a single list. Vectors are scaled by powers of two before they are squared, so that large and
+tiny components neither overflow nor vanish and scores stay what they are.
+
+Null, zero and non-finite vectors and vectors with null components take no part. Ties go to the smaller vec_id. Rows that repeat a vec_id with the
 same vector count once; a query never finds its own vec_id. An empty table has no result.
 """
 
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,16 +44,33 @@ COLUMNS, CERTAINTY, FIRST = 16, 2.1, 48
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and the vector as array<double>, of rows that take part."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
-    v = v.where("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x != 0)")
-    lengths = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1)
-    return v.join(F.broadcast(lengths.select("d")), F.size("v") == F.col("d"), "left_semi")  # one row
+    return v.where("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x != 0)")
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component between 1/2 and 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@dataclass
+class Index:
+    """Of one length: centroids, rotation, the lists to probe, and the number of the first list."""
+
+    centroids: np.ndarray
+    rotation: np.ndarray
+    probes: int
+    first: int
 
 
 def fit(classes: DataFrame, count: int, k: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray, int]:
-    """Centroids, rotation and the lists to probe, from the SAMPLE classes with the least hash."""
+    """Centroids, rotation and the lists to probe, from the SAMPLE classes with the least hash; all have one length."""
     rows = classes.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).toArrow().column("v")
-    x = np.array([r.values.to_numpy() for r in rows])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(np.array([r.values.to_numpy() for r in rows]))
     n, d = x.shape
     rng = np.random.default_rng(seed)
     lists = int(min(max(1, math.sqrt(count) / 6), 4096, n))
@@ -109,47 +130,54 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     # k + 1 ids of each class are enough: the query itself may be among them
     limited = v.distinct().withColumn("i", F.row_number().over(least)).where(F.col("i") <= k + 1)
     classes = written(limited.groupBy("key", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "classes")
-    count = classes.count()
+    lengths = classes.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()  # a row a length
     names = "query_id long, rank int, vec_id long, score double"
-    if not count:
+    if not lengths:
         return spark.createDataFrame([], names)
-    c, rotation, probes = fit(classes, count, k)
-    index = spark.sparkContext.broadcast((c, rotation))  # at most 4096 centroids, and one rotation
-
-    def place(most: int, sizes: np.ndarray | None = None):
-        """The `most` nearest lists of each vector, and further ones until they hold k + 1 classes where sizes has the lists' classes."""
+    indexes, lists = {}, 0
+    for d, count in lengths:
+        c, rotation, probes = fit(classes.where(F.size("v") == d), count, k) if count > BLOCK else (np.zeros((1, d)), np.eye(d), 1)
+        indexes[d] = Index(c, rotation, probes, lists)
+        lists += len(c)
+    index = spark.sparkContext.broadcast(indexes)  # for each length at most 4096 centroids, and one rotation
+
+    def place(sizes: np.ndarray | None = None):
+        """The nearest list of each vector; where sizes has the lists' classes, those to probe, and further ones until they hold k + 1 classes."""
+
+        def placed(d: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+            i, x = index.value[d], unit(np.array([r.values.to_numpy() for r in batch.column("v")]))
+            near = np.argsort(-(x @ i.centroids.T), axis=1, kind="stable").astype(np.int32)
+            taken = np.full(len(near), 1)
+            if sizes is not None:
+                short = (np.cumsum(sizes[near + i.first], axis=1) < k + 1).sum(axis=1) + 1
+                taken = np.minimum(np.maximum(i.probes, short), near.shape[1])
+            ends = np.concatenate(([0], np.cumsum(taken))).astype(np.int32)
+            lists = near[np.arange(near.shape[1]) < taken[:, None]] + np.int32(i.first)
+            rotated = x @ i.rotation
+            return pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in batch.schema.names), pa.ListArray.from_arrays(pa.array(ends), pa.array(lists)), pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * d), pa.array(rotated.ravel()))],
+                [*batch.schema.names, "lists", "rotated"],
+            )
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c, rotation = index.value
             for batch in batches:
-                x = batch.column("v").values.to_numpy().reshape(len(batch), -1)[:, : c.shape[1]] if len(batch) else np.zeros((0, c.shape[1]))
-                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                near = np.argsort(-(unit @ c.T), axis=1, kind="stable").astype(np.int32)
-                taken = np.full(len(near), most)
-                if sizes is not None:
-                    short = (np.cumsum(sizes[near], axis=1) < k + 1).sum(axis=1) + 1
-                    taken = np.minimum(np.maximum(taken, short), near.shape[1])
-                ends = np.concatenate(([0], np.cumsum(taken))).astype(np.int32)
-                lists = near[np.arange(near.shape[1]) < taken[:, None]]
-                rotated = unit @ rotation
-                width = rotated.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(n) for n in batch.schema.names), pa.ListArray.from_arrays(pa.array(ends), pa.array(lists)), pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * width), pa.array(rotated.ravel()))],
-                    [*batch.schema.names, "lists", "rotated"],
-                )
+                d = np.diff(batch.column("v").offsets.to_numpy())
+                for one in np.unique(d).tolist():
+                    if one in index.value:  # a query may have a length that no vector has
+                        yield placed(one, batch.take(pa.array(np.flatnonzero(d == one))))
 
         return run
 
-    placed = classes.select("v", "ids").mapInArrow(place(1), "v array<double>, ids array<long>, lists array<int>, rotated array<double>")
+    placed = classes.select("v", "ids").mapInArrow(place(), "v array<double>, ids array<long>, lists array<int>, rotated array<double>")
     placed = written(placed.select(F.col("lists")[0].alias("list"), "v", "ids", "rotated"), "placed")
-    sizes = np.zeros(len(c), np.int64)
-    for r in placed.groupBy("list").count().collect():  # a row a list, at most 4096
+    sizes = np.zeros(lists, np.int64)
+    for r in placed.groupBy("list").count().collect():  # a row a list
         sizes[r["list"]] = r["count"]
 
     asked = usable(queries).withColumn("key", F.xxhash64("v"))
     # queries of one vector are asked once
     distinct = asked.groupBy("key", "v").agg(F.min("vec_id").alias("id"))
-    probed = distinct.select("v", "id").mapInArrow(place(probes, sizes), "v array<double>, id long, lists array<int>, rotated array<double>")
+    probed = distinct.select("v", "id").mapInArrow(place(sizes), "v array<double>, id long, lists array<int>, rotated array<double>")
     probed = written(probed, "probed")
     load = probed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
     blocks = spark.createDataFrame([(i, int(-(-n // BLOCK))) for i, n in enumerate(sizes.tolist()) if n], "list int, blocks int").join(load, "list")
@@ -171,7 +199,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             for lst, block, share, side, one, members, x, r in rows:
                 if key != (lst, block, share):
                     key, ids, originals, vectors, ready = (lst, block, share), [], [], [], None
-                x, r = x.values.to_numpy(), r.values.to_numpy()
+                x, r = scaled(x.values.to_numpy()), r.values.to_numpy()
                 if side == 0:
                     ids.append(members)
                     originals.append(x)

@@ -163,6 +163,37 @@ def test_neighbours_of_outliers_are_whole(spark, monkeypatch):
     assert hits / (5 * len(got)) >= 0.9
 
 
+def test_neighbours_of_every_length_and_size(spark, monkeypatch):
+    """Two lengths with an index each, a third in one list, and components whose squares overflow or vanish."""
+    monkeypatch.setattr(ann, "BLOCK", 400)
+    rng = np.random.default_rng(7)
+    x = {d: rng.standard_normal((n, d)) for d, n in ((24, 1200), (40, 900), (7, 60))}
+    scale = [1.0, 1e200, 1e-200, 1e-310]
+    rows, at, members = [], 0, {}
+    for d, vectors in x.items():
+        for v in vectors:
+            members.setdefault(d, []).append(at)
+            rows.append((at, (v * scale[at % 4]).tolist()))
+            at += 1
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(vectors, vectors.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, at, 50))
+    hits = 0
+    for d, ids in members.items():
+        plain = np.array([rows[i][1] for i in ids])
+        plain = plain / np.abs(plain).max(axis=1, keepdims=True)
+        plain /= np.linalg.norm(plain, axis=1, keepdims=True)
+        for q in ids:
+            if q in got:
+                s = plain @ plain[q - ids[0]]
+                s[q - ids[0]] = -9
+                assert sorted(f[0] for f in got[q]) == [1, 2, 3, 4, 5] and all(abs(f[2] - s[f[1] - ids[0]]) < 1e-12 for f in got[q])
+                hits += len({ids[i] for i in np.argsort(-s)[:5]} & {f[1] for f in got[q]})
+    assert hits / (5 * len(got)) >= 0.9
+
+
 def test_mixing_equals_sql(spark):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
