@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -60,7 +61,7 @@ def parsed(text: str):
 
 @F.pandas_udf(T.StringType())
 def canonical_json(s: pd.Series) -> pd.Series:
-    """JSON text with sorted keys and no blanks; null for text that is no JSON, or holds NaN or Infinity."""
+    """JSON text with sorted keys and no blanks; null for text that is no JSON, holds NaN or Infinity, or is nested deeper than the JSON reader goes."""
 
     def one(x):
         def refuse(_):
@@ -68,7 +69,7 @@ def canonical_json(s: pd.Series) -> pd.Series:
 
         try:
             return json.dumps(json.loads(x, parse_constant=refuse), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-        except ValueError:
+        except (ValueError, RecursionError):
             return None
 
     return s.map(one, na_action="ignore")
@@ -88,25 +89,78 @@ def without_keys(keys: tuple[str, ...]):
     return run
 
 
+def path_of(value, keys: tuple[str, ...]) -> str | None:
+    """The path of the first of keys in a JSON value, read from left to right, parents first."""
+    steps: list[str] = ["$"]  # of the way to what is looked at now
+    stack = [_children(value)]
+    while stack:
+        step, child, key = next(stack[-1], (None, None, None))
+        if step is None:
+            stack.pop()
+            steps.pop()
+            continue
+        if key in keys:
+            return "".join([*steps, step])
+        if isinstance(child, (dict, list)):
+            steps.append(step)
+            stack.append(_children(child))
+    return None
+
+
+def _children(value) -> Iterator[tuple[str, object, str | None]]:
+    """(step, child, key) of a value's children; the key of a list's is null."""
+    if isinstance(value, dict):
+        return ((f".{k}", v, k) for k, v in value.items())
+    return ((f"[{i}]", v, None) for i, v in enumerate(value if isinstance(value, list) else ()))
+
+
+_PIECE = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]', re.S)
+
+
+def deep_path(text: str, keys: tuple[str, ...]) -> str | None:
+    """As path_of, of text that is nested deeper than the JSON reader goes: by brackets, strings, commas and colons, one after the other.
+
+    What stands between them is not looked at, so text that is no JSON may have a path too.
+    """
+    stack: list[list] = []  # for each open bracket: is it an object, and the step it stands at
+    word = None
+    for m in _PIECE.finditer(text):
+        piece = m.group()
+        if piece in "{[":
+            stack.append([piece == "{", "" if piece == "{" else 0])
+        elif piece in "}]":
+            if not stack or stack.pop()[0] != (piece == "}"):
+                return None
+        elif piece == ",":
+            if stack and not stack[-1][0]:
+                stack[-1][1] += 1
+        elif piece == ":":
+            if not stack or not stack[-1][0] or word is None:
+                return None
+            try:
+                stack[-1][1] = json.loads(word)
+            except ValueError:
+                return None
+            if stack[-1][1] in keys:
+                return "".join(["$", *(f".{at}" if named else f"[{at}]" for named, at in stack)])
+        word = piece if piece[0] == '"' else None
+    return None
+
+
 def forbidden_path(keys: tuple[str, ...]):
-    """A function that gives the path of the first forbidden key anywhere in JSON text, or null, as for text that is no JSON."""
-
-    def walk(value, path):
-        if isinstance(value, dict):
-            for k, v in value.items():
-                if k in keys:
-                    return f"{path}.{k}"
-                if found := walk(v, f"{path}.{k}"):
-                    return found
-        elif isinstance(value, list):
-            for i, v in enumerate(value):
-                if found := walk(v, f"{path}[{i}]"):
-                    return found
-        return None
+    """A function that gives the path of the first forbidden key anywhere in JSON text, or null, as for text that is no JSON. No depth is too great."""
+
+    def one(text):
+        try:
+            return path_of(json.loads(text), keys)
+        except RecursionError:
+            return deep_path(text, keys)
+        except ValueError:
+            return None
 
     @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: walk(parsed(x), "$"), na_action="ignore")
+        return s.map(one, na_action="ignore")
 
     return run
 

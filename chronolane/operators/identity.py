@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .timing import ladder
 
 
@@ -27,6 +28,68 @@ def resolve(rows: DataFrame, known: DataFrame, business: list[str], structural:
     return both.withColumn("match_state", state).withColumn("resolved", F.when(F.col("match_state") != "CONFLICT", F.coalesce(b, s)))
 
 
+#: The columns in which an observation must agree with its identity, and the code of each.
+COMPARED = {"competition": "COMPETITION_ID_CONFLICT", "kickoff": "KICKOFF_CONFLICT", "zone": "TIMEZONE_CONFLICT", "home": "HOME_AWAY_ORIENTATION_CONFLICT", "away": "HOME_AWAY_ORIENTATION_CONFLICT"}
+
+
+def first_pairs(pairs: DataFrame) -> DataFrame:
+    """Of pairs(b, s, q), q unique, those that taking them in order of q one by one leaves: whose b and s are in no earlier pair that was taken. Written.
+
+    In each round every pair that is the least of both its b and its s is taken, and all that share
+    one of them with it go; the order in which a round's pairs are taken does not matter, so the result is
+    the sequential one. The rounds are logarithmic for orders without a pattern; a chain in which every
+    pair waits for the one before it takes as many rounds as it is long.
+    """
+    left, taken = written(pairs.select("b", "s", "q"), "pairs"), None
+    while True:
+        by_b = left.groupBy("b").agg(F.min("q").alias("q"))
+        by_s = left.groupBy("s").agg(F.min("q").alias("q"))
+        now = written(by_b.join(by_s, "q").select("b", "s", "q"), "taken")
+        taken = now if taken is None else taken.unionByName(now)
+        left = written(left.join(now.select("b"), "b", "left_anti").join(now.select("s"), "s", "left_anti").select("b", "s", "q"), "pairs")
+        if left.isEmpty():
+            return written(taken, "taken")
+
+
+def arrivals(rows: DataFrame, seq: str, business: str, structural: list[str], compared: dict[str, str], delivery: list[str]) -> DataFrame:
+    """rows with what happens to each when they arrive in order of seq: `action`, `root` (the seq of the row whose identity it has) and `conflicts`.
+
+    A row with a business key makes a root (ROOT_CREATED) if no root before it has its business key or its
+    structural key. Otherwise it belongs to the root of its business key (SOURCE_ALIAS), else to that of its
+    structural key (CROSS_SOURCE_ALIAS); if it differs from the root in a compared column it is BLOCKED_CONFLICT
+    with the codes of those columns. Without a business key only a structural root will do, and without one the
+    row is BLOCKED_MISSING_OFFICIAL_REF. A delivery whose columns equal those of an accepted one is a DUPLICATE_NOOP with
+    its root; delivery is to hold the keys and the compared columns. seq is unique; nulls equal nulls, but
+    a null business key is none. Rows keep all their columns.
+    """
+    key = lambda columns: F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    r = rows.withColumns({"_b": F.col(business).cast("string"), "_s": key(structural), "_d": F.sha2(key(delivery), 256), "_is": F.struct(*compared)})
+    # of rows with the same two keys only the first can make a root
+    roots = first_pairs(r.where("_b is not null").groupBy(F.col("_b").alias("b"), F.col("_s").alias("s")).agg(F.min(seq).alias("q")))
+    roots = written(roots.join(r.select(F.col(seq).alias("q"), F.col("_is").alias("was")), "q"), "roots")
+
+    def root_by(name: str, column: str) -> DataFrame:
+        return roots.select(F.col(name).alias(column), F.struct("q", "was").alias(f"_root{column}"))
+
+    at = r.join(root_by("b", "_b"), "_b", "left").join(root_by("s", "_s"), "_s", "left")
+    here = lambda c: F.when(F.col(f"_root{c}.q") <= F.col(seq), F.col(f"_root{c}"))
+    at = at.withColumns({"_own": here("_b"), "_like": here("_s")}).withColumn("_root", F.coalesce("_own", "_like"))
+    codes = F.array_distinct(F.array_compact(F.array(*(F.when(~F.col(f"_is.{c}").eqNullSafe(F.col(f"_root.was.{c}")), F.lit(code)) for c, code in compared.items()))))
+    at = at.withColumn("conflicts", F.when(F.col("_root").isNotNull(), codes).otherwise(F.array().cast("array<string>")))
+    action = ladder(
+        (F.col("_root").isNull(), "BLOCKED_MISSING_OFFICIAL_REF"), (F.col("_root.q") == F.col(seq), "ROOT_CREATED"), (F.size("conflicts") > 0, "BLOCKED_CONFLICT"),
+        (F.col("_own").isNotNull(), "SOURCE_ALIAS"), otherwise="CROSS_SOURCE_ALIAS",
+    )
+    at = written(at.select(*rows.columns, "_d", action.alias("action"), F.col("_root.q").alias("root"), "conflicts"), "arrivals")
+    accepted = at.where("action not like 'BLOCKED%'").groupBy("_d").agg(F.min(seq).alias("_first"), F.min_by("root", seq).alias("_of"))
+    again = F.col("_first") < F.col(seq)
+    done = at.join(accepted, "_d", "left")
+    return done.select(
+        *rows.columns, F.when(again, "DUPLICATE_NOOP").otherwise(F.col("action")).alias("action"), F.when(again, F.col("_of")).otherwise(F.col("root")).alias("root"),
+        F.when(again, F.array().cast("array<string>")).otherwise(F.col("conflicts")).alias("conflicts"),
+    )
+
+
 def conflicts(rows: DataFrame, key: list[str], seq: str, columns: list[str]) -> DataFrame:
     """One row for each column in which a row differs from the first writer of its key; nulls equal nulls."""
     roots = rows.groupBy(*key).agg(F.min_by(F.struct(*columns), seq).alias("root"), F.min(seq).alias("root_seq"))
@@ -83,8 +146,3 @@ def alias_links(rows: DataFrame, names: DataFrame, alias: str, side: str) -> Dat
     other = F.when(F.col(side) == "HOME", F.col("away_key")).otherwise(F.col("home_key"))
     state = ladder((F.col("home_key").isNull(), "UNKNOWN_MATCH"), (F.col(alias) == own, "LINKED"), (F.col(alias) == other, "ALIAS_SIDE_CONFLICT"), otherwise="NO_MATCH")
     return rows.join(names, "match_id", "left").withColumn("link", state)
-
-
-def latest_by_window(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(*order)
-    return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")

@@ -91,12 +91,12 @@ def applied_prefix(history: DataFrame, by: list[str], order: str, step: str, exp
     return g.select(*by, n.cast("long").alias("steps"), state.alias("applied"))
 
 
-def tactical(rows: DataFrame, vocabulary: DataFrame, term: str, value: str, at: str, expires: str, cutoff: Column) -> DataFrame:
-    """State of a vocabulary feature: no time BLOCKED, after the cutoff FUTURE_DATA, expired STALE; the value then goes."""
+def tactical(rows: DataFrame, vocabulary: DataFrame, term: str, value: str, state: str, at: str, expires: str, cutoff: Column) -> DataFrame:
+    """State of a vocabulary feature: no time BLOCKED, after the cutoff FUTURE_DATA, expired before it (not at it) STALE if it was AVAILABLE; the value then goes. Other rows keep their state."""
     v = vocabulary.select(term, F.lit(True).alias("_known"))
     r = rows.join(v, term, "left")
-    state = ladder((F.col("_known").isNull(), "UNKNOWN_TERM"), (F.col(at).isNull(), "BLOCKED"), (F.col(at) > cutoff, "FUTURE_DATA"), (F.col(expires) <= cutoff, "STALE"), otherwise="AVAILABLE")
-    return r.withColumn("term_state", state).withColumn(value, F.when(F.col("term_state") == "AVAILABLE", F.col(value))).drop("_known")
+    gone = ladder((F.col("_known").isNull(), "UNKNOWN_TERM"), (F.col(at).isNull(), "BLOCKED"), (F.col(at) > cutoff, "FUTURE_DATA"), ((F.col(expires) < cutoff) & (F.col(state) == "AVAILABLE"), "STALE"))
+    return r.withColumn("_gone", gone).withColumns({"term_state": F.coalesce("_gone", state), value: F.when(F.col("_gone").isNull(), F.col(value))}).drop("_known", "_gone")
 
 
 def resolution_covers(claims: DataFrame, resolutions: DataFrame, claim: str, evidence: str) -> DataFrame:

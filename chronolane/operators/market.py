@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import mad, sorted_median, tukey_iqr
 from ..functions.times import hours_between
+from .ranks import joined_on, spread
 from .series import befores, dealt, over_series, weekly
 
 SERIES = ("market", "provider")
@@ -106,13 +106,12 @@ def latest(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> Da
 def provider_aggregate(quotes: DataFrame, by: tuple[str, ...] = ("market",)) -> DataFrame:
     """Latest quote of each provider, then median, Tukey IQR and MAD over providers; quotes without a positive price are excluded and counted.
 
-    The array holds one value a provider: its size is bounded by the providers of a market.
+    Order statistics come from counts of distinct prices (`ranks.spread`), so a market of any size is spread over tasks.
     """
     good = latest(quotes.where("price > 0").select(*by, "provider", "price", "source_time", "quote_id"), (*by, "provider"), ("source_time", "quote_id"))
-    a = good.groupBy(*by).agg(F.array_sort(F.collect_list("price")).alias("a"))
-    center = sorted_median(F.col("a"))
     left_out = quotes.groupBy(*by).agg(F.count_if(~F.coalesce(F.col("price") > 0, F.lit(False))).alias("excluded"))
-    return left_out.join(a, list(by), "left").select(*by, F.coalesce(F.size("a"), F.lit(0)).alias("eligible"), "excluded", center.alias("median"), tukey_iqr(F.col("a")).alias("iqr"), mad(F.col("a"), center).alias("mad"))
+    both = joined_on(left_out, spread(good, list(by), "price"), list(by), "left")
+    return both.select(*by, F.coalesce(F.col("total"), F.lit(0)).cast("int").alias("eligible"), "excluded", "median", "iqr", "mad")
 
 
 def divergence(official: DataFrame, external: DataFrame, on: list[str]) -> DataFrame:

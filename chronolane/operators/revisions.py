@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import written
 from .series import daily, lagged, running_sum
 from .timing import ladder
 
@@ -78,16 +78,6 @@ def edge_pass_rate(edges: DataFrame, by: list[str], child_parent: str, parent_ou
     return edges.groupBy(*by).agg(F.count("*").alias("edges"), F.avg(F.coalesce(F.col(child_parent) == F.col(parent_output), F.lit(False)).cast("double")).alias("pass_rate"))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df without its lineage, in the checkpoint folder that every executor sees; a local session gets one of our own where that is unset."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        if not context.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="chronolane-"))
-    return df.checkpoint()
-
-
 def chain_states(rows: DataFrame, key: list[str], node: str, parent: str) -> DataFrame:
     """(key, node, chain, depth) of all rows by pointer jumping: REACHED from a root with its depth, DANGLING below a missing parent, or CYCLE.
 
@@ -98,13 +88,13 @@ def chain_states(rows: DataFrame, key: list[str], node: str, parent: str) -> Dat
     edges = rows.select(*key, F.col(node).alias("node"), F.col(parent).alias("up")).distinct()
     # up: the ancestor so many steps away; null where the row stands at its root already, or hangs
     start = edges.withColumn("steps", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")).withColumn("hangs", F.lit(False))
-    at = _written(start)
+    at = written(start, "chain")
     most, far = at.count(), 1
     while far <= most and not at.where(F.col("up").isNotNull()).isEmpty():
         via = at.select(*key, F.col("node").alias("_via"), F.col("up").alias("_beyond"), F.col("steps").alias("_more"), F.col("hangs").alias("_hangs"))
         both = at.where(F.col("up").isNotNull()).join(via.withColumnRenamed("_via", "up"), [*key, "up"], "left")
         moved = both.select(*key, "node", F.col("_beyond").alias("up"), (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps"), F.coalesce("_hangs", F.lit(True)).alias("hangs"))
-        at = _written(moved.unionByName(at.where(F.col("up").isNull())))
+        at = written(moved.unionByName(at.where(F.col("up").isNull())), "chain")
         far *= 2
     state = ladder((F.col("up").isNotNull(), "CYCLE"), (F.col("hangs"), "DANGLING"), otherwise="REACHED")
     return at.select(*key, "node", state.alias("chain"), F.when(F.col("up").isNull() & ~F.col("hangs"), F.col("steps")).cast("int").alias("depth"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 
 def explicit_split(rows: DataFrame, match: str, at: str, intervals: list[tuple[str, Column, Column]]) -> DataFrame:
     """A row for each match: the partition whose closed interval holds all its times; NONE or SEVERAL otherwise."""
@@ -34,10 +36,14 @@ def walk_forward(rows: DataFrame, fold_table: DataFrame, match: str, at: str, va
 
 
 def floor_thirds(rows: DataFrame, by: list[str], *order: Column | str) -> DataFrame:
-    """rows with partition by rank within a group: below n//3 train, below 2n//3 validation, else test."""
-    w = Window.partitionBy(*by)
-    r = rows.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
-    return r.withColumn("partition", F.when(F.col("_i") < F.floor(F.col("_n") / 3), "train").when(F.col("_i") < F.floor(2 * F.col("_n") / 3), "validation").otherwise("test")).drop("_i", "_n")
+    """rows with partition by rank within a group: below n//3 train, below 2n//3 validation, else test.
+
+    order ascends and ends in something unique. Ranks are those of `ranked`, so a group, or with no `by` the whole table, takes many tasks.
+    """
+    named = rows.withColumns({f"_o{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order)})
+    r = ranked(named, by, [f"_o{i}" for i in range(len(order))]).drop(*(f"_o{i}" for i in range(len(order))))
+    third = lambda k: F.floor(F.col("total") * k / 3)
+    return r.withColumn("partition", F.when(F.col("before") < third(1), "train").when(F.col("before") < third(2), "validation").otherwise("test")).drop("before", "total")
 
 
 def overlap(members: DataFrame, match: str, partition: str) -> DataFrame:

@@ -48,10 +48,22 @@ def upload_evidence(uploaded, kickoff) -> Column:
     return ladder((u.isNull() | k.isNull(), "REVIEW"), (u >= k, "INELIGIBLE"), otherwise="ELIGIBLE")
 
 
-def freshness(valid_from, expires, as_of, cutoff) -> Column:
-    """All that blocks a fact at a moment: not yet valid, expired, or looked at after the cutoff."""
-    v, e, a, c = map(col, (valid_from, expires, as_of, cutoff))
-    return failures((v > a, "NOT_YET_VALID"), (e <= a, "EXPIRED"), (a > c, "AFTER_CUTOFF"))
+def freshness(valid_from, expires, retrieved, as_of, cutoff, kickoff) -> Column:
+    """(state, blockers) of a fact at a moment, and at a cutoff if there is one.
+
+    Without a start UNKNOWN_TIME, before it FUTURE_DATA, past its end (not at it) STALE, else CURRENT. A cutoff
+    that is not before kickoff makes it BLOCKED; a fact that starts or was fetched after the cutoff, or has no
+    start, is FUTURE_DATA there whatever else it is.
+    """
+    v, e, r, a, c, k = map(col, (valid_from, expires, retrieved, as_of, cutoff, kickoff))
+    late = c >= k
+    ineligible = c.isNotNull() & (v.isNull() | F.coalesce(v > c, F.lit(False)) | F.coalesce(r > c, F.lit(False)))
+    state = ladder((ineligible, "FUTURE_DATA"), (late, "BLOCKED"), (v.isNull(), "UNKNOWN_TIME"), (v > a, "FUTURE_DATA"), (e < a, "STALE"), otherwise="CURRENT")
+    found = failures(
+        (v.isNull(), "VALID_FROM_UNKNOWN_TIME"), (v > a, "VALID_FROM_AFTER_AS_OF"), ((v <= a) & (e < a), "EXPIRED"),
+        (late, "CUTOFF_NOT_BEFORE_KICKOFF"), (ineligible, "NOT_ELIGIBLE_AT_CUTOFF"),
+    )
+    return F.struct(state.alias("state"), found.alias("blockers"))
 
 
 def visible(records: DataFrame, cutoff, keys: list[str], when: str = "available_at", domain: str = "domain", revision: str = "revision", tie: str = "record_id") -> DataFrame:

@@ -22,6 +22,34 @@ def identity_resolution(spark, sf_dir):
     return i.resolve(rows, known, ["business_key"], ["structural_key"]).select(F.col("c_custkey").alias("customer"), "match_state", "resolved")
 
 
+ARRIVALS = """with recursive t as (select c_custkey as q, case when c_acctbal > 0 then concat_ws('-', c_mktsegment, c_nationkey % 5, (c_custkey + c_custkey % 11 // 10) % 3, c_custkey // 400 + c_custkey % 13 // 12) end as b,
+    c_mktsegment as competition, c_nationkey % 5 as home, c_custkey % 3 as away, c_custkey // 400 as kickoff, c_custkey % 17 // 16 as zone, c_custkey % 2 as source, concat_ws('/', c_mktsegment, c_nationkey % 5, c_custkey % 3, c_custkey // 400) as s from customer),
+e as (select b, s, min(q) as q from t where b is not null group by b, s),
+m as (select *, q = min(q) over (partition by b) and q = min(q) over (partition by s) as taken from e
+  union all select b, s, q, q = min(q) over (partition by b) and q = min(q) over (partition by s) from (select *, bool_or(taken) over (partition by b) or bool_or(taken) over (partition by s) as gone from m) where not gone),
+o as (select m.b, m.s, m.q, struct_pack(competition, home, away, kickoff, zone) as was from m join t on t.q = m.q where taken),
+j as (select t.*, struct_pack(competition, home, away, kickoff, zone) as me, coalesce(x.q, y.q) as root, coalesce(x.was, y.was) as was, x.q is not null as own from t left join o x on x.b = t.b and x.q <= t.q left join o y on y.s = t.s and y.q <= t.q),
+c as (select *, [k for k in list_distinct([case when me.competition != was.competition then 'COMPETITION_ID_CONFLICT' end, case when me.kickoff != was.kickoff then 'KICKOFF_CONFLICT' end, case when me.zone != was.zone then 'TIMEZONE_CONFLICT' end, case when me.home != was.home or me.away != was.away then 'HOME_AWAY_ORIENTATION_CONFLICT' end]) if k is not null] as codes from j),
+a as (select *, case when root is null then 'BLOCKED_MISSING_OFFICIAL_REF' when root = q then 'ROOT_CREATED' when len(codes) > 0 then 'BLOCKED_CONFLICT' when own then 'SOURCE_ALIAS' else 'CROSS_SOURCE_ALIAS' end as act from c),
+d as (select b, me, source, min(q) as first, arg_min(root, q) as first_root from a where act not like 'BLOCKED%' group by all)
+select a.q as customer, case when d.first < a.q then 'DUPLICATE_NOOP' else act end as action, case when d.first < a.q then first_root else root end as root, case when d.first < a.q then '' else array_to_string(list_sort(codes), ',') end as conflicts
+from a left join d on d.b is not distinct from a.b and d.me = a.me and d.source = a.source"""
+
+
+@query(ARRIVALS)
+def identity_arrivals(spark, sf_dir):
+    """Customers as observations that arrive one by one: the first ones make identities, later ones join or contradict them."""
+    k, whole = F.col("c_custkey"), lambda x: F.floor(x).cast("long")
+    c = table(spark, sf_dir, "customer").select(
+        k.alias("customer"), F.col("c_mktsegment").alias("competition"), (F.col("c_nationkey") % 5).alias("home"), (k % 3).alias("away"), whole(k / 400).alias("kickoff"), whole(k % 17 / 16).alias("zone"), (k % 2).alias("source"), "c_acctbal",
+    )
+    number = F.concat_ws("-", "competition", F.col("home").cast("string"), ((F.col("customer") + whole(F.col("customer") % 11 / 10)) % 3).cast("string"), (F.col("kickoff") + whole(F.col("customer") % 13 / 12)).cast("string"))
+    c = c.withColumn("official", F.when(F.col("c_acctbal") > 0, number))
+    key = ["competition", "home", "away", "kickoff"]
+    a = i.arrivals(c, "customer", "official", key, i.COMPARED, ["official", *key, "zone", "source"])
+    return a.select("customer", "action", "root", F.array_join(F.array_sort("conflicts"), ",").alias("conflicts"))
+
+
 FIELDS = ("c_nationkey", "c_mktsegment")
 
 

@@ -97,12 +97,16 @@ def applied_prefix(spark, sf_dir):
     return i.applied_prefix(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "role", ["user", "assistant", "user", "assistant"])
 
 
-@query("""select case when event_type = 'error' then 'UNKNOWN_TERM' when event_id % 20 = 0 then 'BLOCKED' when ts > timestamp '2024-01-25' then 'FUTURE_DATA' when ts + interval 7 day <= timestamp '2024-01-25' then 'STALE' else 'AVAILABLE' end as term_state, count(*) as n, count(case when event_type != 'error' and event_id % 20 != 0 and ts <= timestamp '2024-01-25' and ts + interval 7 day > timestamp '2024-01-25' then value end) as kept from events group by 1""")
+@query("""with e as (select event_type, value, case when value < 20 then 'UNKNOWN' else 'AVAILABLE' end as given, case when event_id % 20 != 0 then date_trunc('day', ts) end as moment, date_trunc('day', ts) + interval 7 day as expires from events),
+s as (select case when event_type = 'error' then 'UNKNOWN_TERM' when moment is null then 'BLOCKED' when moment > timestamp '2024-01-25' then 'FUTURE_DATA' when expires < timestamp '2024-01-25' and given = 'AVAILABLE' then 'STALE' end as gone, * from e)
+select coalesce(gone, given) as term_state, expires = timestamp '2024-01-25' as at_end, count(*) as n, count(case when gone is null then value end) as kept from s group by all""")
 def tactical_terms(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("at", F.when(F.col("event_id") % 20 != 0, F.col("ts"))).withColumn("expires", F.col("ts") + F.make_dt_interval(F.lit(7)))
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    e = table(spark, sf_dir, "events").withColumns({"given": F.when(F.col("value") < 20, "UNKNOWN").otherwise("AVAILABLE"), "at": F.when(F.col("event_id") % 20 != 0, day), "expires": day + F.make_dt_interval(F.lit(7))})
     terms = e.select("event_type").distinct().where("event_type != 'error'")
-    t = i.tactical(e, terms, "event_type", "value", "at", "expires", F.lit("2024-01-25 00:00:00").cast("timestamp_ntz"))
-    return t.groupBy("term_state").agg(F.count("*").alias("n"), F.count("value").alias("kept"))
+    cutoff = F.lit("2024-01-25 00:00:00").cast("timestamp_ntz")
+    t = i.tactical(e, terms, "event_type", "value", "given", "at", "expires", cutoff)
+    return t.groupBy("term_state", (F.col("expires") == cutoff).alias("at_end")).agg(F.count("*").alias("n"), F.count("value").alias("kept"))
 
 
 @query("""with a as (select user_id, list_sort(list(distinct event_type)) as s from events where value >= 250 group by 1), b as (select user_id, list_sort(list(distinct event_type)) as s from events where value < 100 group by 1)

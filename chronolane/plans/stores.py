@@ -5,9 +5,7 @@ What these queries write goes to a folder of its own below the checkpoint folder
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,25 +14,11 @@ from pyspark.sql import functions as F
 from ..operators import plugins
 from ..sources import archive, lines
 from ..sources.driver_tables import table
+from ..storage import fresh
 from ..streaming import replay
 from .registry import query
 
 
-@lru_cache
-def _own_dir(application: str) -> str:
-    return tempfile.mkdtemp(prefix="chronolane-")
-
-
-def fresh(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; a local session without one gets a folder of its own."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = _own_dir(spark.sparkContext.applicationId)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def records(orders: DataFrame, payload, domain) -> DataFrame:
     """Orders as archive records: available on their date, kickoff two days later, or before for the dearest."""
     day = lambda n: F.col("o_orderdate") + F.make_dt_interval(F.lit(n))

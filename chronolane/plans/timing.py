@@ -77,15 +77,21 @@ def timestamp_evidence(spark, sf_dir):
     return o.select("match_id", t.upload_evidence(uploaded, F.lit("1999-01-01 00:00:00").cast("timestamp_ntz")).alias("evidence"))
 
 
-@query("""select a.as_of, count(*) filter (o_orderdate > a.as_of) as not_yet, count(*) filter (o_orderdate + interval 365 day <= a.as_of) as expired,
-count(*) filter (o_orderdate <= a.as_of and o_orderdate + interval 365 day > a.as_of) as fresh from orders, (select unnest([timestamp '1997-01-01', timestamp '1998-01-01', timestamp '1999-01-01']) as as_of) a group by 1""")
+@query("""with g as (select unnest([timestamp '1997-01-01', timestamp '1998-01-01', timestamp '1999-01-01']) as as_of),
+f as (select case when o_orderpriority != '5-LOW' then o_orderdate end as v, case when o_orderpriority != '1-URGENT' then o_orderdate + interval 365 day end as e, o_orderdate + interval 10 day as r, as_of, case when o_orderstatus != 'P' then as_of + interval 20 day end as c, o_orderdate + interval 500 day as k from orders, g),
+j as (select *, c is not null and (v is null or v > c or coalesce(r > c, false)) as ineligible, coalesce(c >= k, false) as late from f),
+s as (select as_of, case when ineligible then 'FUTURE_DATA' when late then 'BLOCKED' when v is null then 'UNKNOWN_TIME' when v > as_of then 'FUTURE_DATA' when e < as_of then 'STALE' else 'CURRENT' end as state,
+concat_ws(',', case when v is null then 'VALID_FROM_UNKNOWN_TIME' end, case when v > as_of then 'VALID_FROM_AFTER_AS_OF' end, case when v <= as_of and e < as_of then 'EXPIRED' end, case when late then 'CUTOFF_NOT_BEFORE_KICKOFF' end, case when ineligible then 'NOT_ELIGIBLE_AT_CUTOFF' end) as blockers, coalesce(e = as_of, false) as at_end from j)
+select as_of, state, blockers, at_end, count(*) as n from s group by all""")
 def freshness_grid(spark, sf_dir):
     """Facts against a declared grid of moments: three literals, so each row is laid out three times and nothing is joined."""
     grid = F.array(*(F.lit(x).cast("timestamp_ntz") for x in ("1997-01-01", "1998-01-01", "1999-01-01")))
-    o = matches(spark, sf_dir).select("event_time", F.explode(grid).alias("as_of"))
-    found = t.freshness("event_time", F.col("event_time") + F.make_dt_interval(F.lit(365)), "as_of", "as_of")
-    o = o.withColumn("found", found)
-    return o.groupBy("as_of").agg(F.count_if(F.array_contains("found", "NOT_YET_VALID")).alias("not_yet"), F.count_if(F.array_contains("found", "EXPIRED")).alias("expired"), F.count_if(F.size("found") == 0).alias("fresh"))
+    day, e = lambda n: F.make_dt_interval(F.lit(n)), F.col("event_time")
+    o = matches(spark, sf_dir).select("status", "priority", e, F.explode(grid).alias("as_of"))
+    valid, ends = F.when(F.col("priority") != "5-LOW", e), F.when(F.col("priority") != "1-URGENT", e + day(365))
+    found = t.freshness(valid, ends, e + day(10), "as_of", F.when(F.col("status") != "P", F.col("as_of") + day(20)), e + day(500))
+    o = o.select("as_of", found.alias("f"), F.coalesce(ends == F.col("as_of"), F.lit(False)).alias("at_end"))
+    return o.groupBy("as_of", "f.state", F.array_join("f.blockers", ",").alias("blockers"), "at_end").agg(F.count("*").alias("n"))
 
 
 @query("select o_orderkey as match_id, epoch_us(date_trunc('day', o_orderdate) + interval 8 hour) as early_us, epoch_us(date_trunc('day', o_orderdate) + interval 1170 minute) as late_us from orders")
