@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.times import days_between
 from ..operators import plugins
 from ..sources import archive, lines
 from ..sources.driver_tables import table
@@ -138,9 +139,13 @@ def stream_once(spark, sf_dir):
 @query("""with k as (select user_id || ':' || event_type as key, cast(cast(floor(value / 100) as bigint) as varchar) as content, event_id from events), f as (select key, min(event_id) as s, arg_min(content, event_id) as c from k group by key)
 select event_id as seq, case when event_id = s then 'ACCEPTED' when content is not distinct from c then 'DUPLICATE_NOOP' else 'KEY_CONFLICT' end as delivery from k join f on k.key = f.key""")
 def stream_deliveries(spark, sf_dir):
-    """Deliveries judged on a stream, in one micro-batch, as a batch judges them."""
-    q = quotes(spark, sf_dir).withColumn("key", F.concat_ws(":", F.col("user_id").cast("string"), "event_type")).withColumn("content", F.floor(F.col("value") / 100).cast("string"))
-    return streamed(spark, replay.judged(q, "key", "content", "ts", "event_id", 60), "judged").select("seq", "delivery")
+    """Deliveries judged on a stream that arrives in any order over several micro-batches, as a batch judges them."""
+    path, e = fresh(spark, "deliveries"), table(spark, sf_dir, "events")
+    e.repartition(5, F.hash("props", "event_id")).write.parquet(path)
+    # a last row, long after all others, lets the watermark pass them
+    e.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("long").alias("event_id"), (F.col("ts") + F.make_dt_interval(F.lit(365))).alias("ts"), F.lit(None).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("props")).write.mode("append").parquet(path)
+    q = replay.read_quotes(spark, path, 1).withColumn("key", F.concat_ws(":", F.col("user_id").cast("string"), "event_type")).withColumn("content", F.floor(F.col("value") / 100).cast("string"))
+    return streamed(spark, replay.judged(q, "key", "content", "ts", "event_id", 60), "judged").where("key != 'end'").select("seq", "delivery")
 
 
 @query("""select event_id, round(value / 500, 6) as first, round(1 - value / 500, 6) as second, case when value > 500 then 'RANGE' else 'OK' end as "check" from events""")
@@ -154,12 +159,27 @@ def predictor(spark, sf_dir):
     return p.select("event_id", *(F.round(F.col("probabilities")[i], 6).alias(n) for i, n in enumerate(("first", "second"))), "check")
 
 
-@query("select event_type as role, round(avg(value), 6) as mean, count(*) as n from events group by 1")
+@query("select event_type as role, round(avg(value), 6) as mean, count(value) as n from events group by 1")
 def fitted_by_role(spark, sf_dir):
-    """A user's fit for each role, on all of its rows here."""
+    """A user's fit for each role, on all of its rows: sums of parts."""
+    e = table(spark, sf_dir, "events").where("value is not null").select(F.col("event_type").alias("role"), "value")
+    f = plugins.fit_by(e, ["role"], lambda rows, _: (len(rows), rows["value"].sum()), 2, lambda s, _: {"mean": s[1] / s[0], "n": int(s[0])}, "mean double, n long")
+    return f.withColumn("mean", F.round("mean", 6))
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"role": [rows["role"].iloc[0]], "mean": [round(float(rows["value"].mean()), 6)], "n": [len(rows)]})
 
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("role"), "value", "event_id")
-    return plugins.fit_by(e, ["role"], fit, "role string, mean double, n long", 1 << 20)
+@query("""select event_type as role, round(regr_slope(value, x), 5) as slope, round(regr_intercept(value, x), 5) as intercept from (select event_type, value, (epoch_us(ts) - epoch_us(timestamp '2024-01-15')) / 86400e6 as x from events) group by 1""")
+def fitted_lines(spark, sf_dir):
+    """A line through each role's values in time, from sums of parts."""
+
+    def partial(rows: pd.DataFrame, _) -> list:
+        x, y = rows["x"], rows["value"]
+        return [len(rows), x.sum(), y.sum(), (x * x).sum(), (x * y).sum()]
+
+    def finish(s, _) -> dict:
+        slope = (s[0] * s[4] - s[1] * s[2]) / (s[0] * s[3] - s[1] * s[1])
+        return {"slope": slope, "intercept": (s[2] - slope * s[1]) / s[0]}
+
+    middle = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    e = table(spark, sf_dir, "events").where("value is not null and ts is not null").select(F.col("event_type").alias("role"), "value", days_between(middle, "ts").alias("x"))
+    f = plugins.fit_by(e, ["role"], partial, 5, finish, "slope double, intercept double")
+    return f.select("role", F.round("slope", 5).alias("slope"), F.round("intercept", 5).alias("intercept"))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.timing import asof_state
 
@@ -28,31 +28,85 @@ def once(stream: DataFrame, key: list[str], at: str, horizon: str = "1 day") ->
     return stream.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", horizon).dropDuplicatesWithinWatermark(key).drop("_at")
 
 
+class _Judge(StatefulProcessor):
+    """A key's deliveries: kept until the watermark is past the first of them by the horizon, then judged by seq; later ones at once."""
+
+    def __init__(self, horizon: int):
+        self.horizon = horizon  # milliseconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "seq long, content string")
+        self.first = handle.getValueState("first", "seq long, content string")
+        self.due = handle.getValueState("due", "at long")  # when the key is judged, or forgotten
+
+    def remind(self, at: int, now: int) -> None:
+        if self.due.exists():
+            self.handle.deleteTimer(self.due.get()[0])
+        at = max(at + self.horizon, now + 1)
+        self.due.update((at,))
+        self.handle.registerTimer(at)
+
+    def judge(self, key: str, rows: list[tuple]) -> pd.DataFrame:
+        rows.sort(key=lambda r: (r[0] is None, r[0]))
+        if not self.first.exists():
+            self.first.update(rows[0])
+            state = ["ACCEPTED"]
+        else:
+            state = []
+        content = self.first.get()[1]
+        state += ["DUPLICATE_NOOP" if r[1] == content else "KEY_CONFLICT" for r in rows[len(state) :]]
+        return pd.DataFrame({"key": key, "seq": pd.array([r[0] for r in rows], "Int64"), "content": [r[1] for r in rows], "delivery": state})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new, times = [], []
+        for batch in rows:
+            seqs, contents = (batch[c].astype(object).where(batch[c].notna(), None) for c in ("seq", "content"))
+            new += [(None if s is None else int(s), c) for s, c in zip(seqs, contents)]
+            times += [int(t) for t in batch["ms"]]
+        now = timerValues.getCurrentWatermarkInMs()
+        if self.first.exists():
+            self.remind(max([*times, self.due.get()[0] - self.horizon]), now)
+            yield self.judge(key[0], new)
+        else:
+            self.remind(min([*times, *([self.due.get()[0] - self.horizon] if self.due.exists() else [])]), now)
+            self.waiting.appendList(new)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.first.exists():
+            for state in (self.first, self.due):
+                state.clear()
+            return
+        rows = [tuple(r) for r in self.waiting.get()]
+        self.waiting.clear()
+        out = self.judge(key[0], rows)
+        self.due.clear()
+        self.remind(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
 def judged(stream: DataFrame, key: str, content: str, at: str, seq: str, horizon_days: int = 1) -> DataFrame:
     """(key, seq, content, delivery) of each row: ACCEPTED, DUPLICATE_NOOP or KEY_CONFLICT, as `identity.deliveries` judges a batch.
 
-    Rows of one micro-batch are judged in order of seq; null contents equal each other. A key's first
-    content is forgotten once the watermark passes its latest event time by the horizon: a delivery after
-    that is ACCEPTED anew.
+    Rows may arrive over any number of micro-batches and in any order within the horizon: a key's deliveries are
+    kept in its state until the watermark, which follows the latest event time by the horizon, is past the
+    first of them by the horizon again, so one with a smaller seq is there by then; then the smallest seq is
+    accepted. What comes later is judged at once, until a further horizon has gone by and the key is
+    forgotten. Null contents equal each other. A row without event time cannot wait for a watermark: it comes
+    out as NO_EVENT_TIME. A stream that ends leaves what still waits in its checkpoint. Needs the RocksDB state
+    store, which this sets for the session where none is set.
     """
     horizon = horizon_days * 86_400_000
-
-    def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")  # one key's rows of one micro-batch
-        contents = [None if pd.isna(x) else x for x in rows["content"]]
-        first, latest = state.get if state.exists else (contents[0], 0)
-        out = ["ACCEPTED" if i == 0 and not state.exists else "DUPLICATE_NOOP" if x == first else "KEY_CONFLICT" for i, x in enumerate(contents)]
-        latest = max(latest, int(rows["at"].max().timestamp() * 1000))
-        state.update((first, latest))
-        state.setTimeoutTimestamp(max(latest + horizon, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"key": keys[0], "seq": rows["seq"].to_numpy(), "content": contents, "delivery": out})
-
+    conf, store = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in conf.get(store, ""):
+        conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = stream.select(F.col(key).cast("string").alias("key"), F.col(content).cast("string").alias("content"), F.col(at).cast("timestamp").alias("at"), F.col(seq).cast("long").alias("seq"))
-    rows = rows.where("at is not null").withWatermark("at", f"{horizon_days} days")
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, seq long, content string, delivery string", "first string, latest long", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = rows.where("at is not null").withWatermark("at", f"{horizon_days} days").withColumn("ms", F.unix_millis("at"))
+    out = timed.groupBy("key").transformWithStateInPandas(_Judge(horizon), "key string, seq long, content string, delivery string", "Append", "EventTime")
+    return out.unionByName(rows.where("at is null").select("key", "seq", "content", F.lit("NO_EVENT_TIME").alias("delivery")))
 
 
 def into(stream: DataFrame, path: str, checkpoint: str):
