@@ -284,7 +284,7 @@ class Automaton:
 
 
 def build(words: np.ndarray, word_counts: np.ndarray, root: np.ndarray, pairs, triples) -> Automaton:
-    """words hold their hashes; pairs are (sorted keys in base W + 1 of word ids, counts), triples (place of their first pair, last word, counts); root holds the words' shares.
+    """words hold their hashes; pairs are (sorted keys in base W + 1 of word ids, counts), triples (place of their first pair, last word, counts, place of their last pair); root holds the words' shares.
 
     Every pair that begins a triple is counted, every pair that ends one, and every word of a pair. Each counted
     word and pair is a state, those that no arc leaves too: their failure arcs have to be paid.
@@ -294,38 +294,38 @@ def build(words: np.ndarray, word_counts: np.ndarray, root: np.ndarray, pairs, t
     k2, c2 = pairs
     u, w = k2 // base, k2 % base
     share2 = (c2 + MASS[0] * p1[w]) / (counts1[u] + MASS[0])
-    where, z, c3 = triples
-    v = k2[where] % base
-    shorter = np.searchsorted(k2, v * base + z)  # the arc of the shorter context, and the state after this one
+    where, z, c3, shorter = triples
     share3 = (c3 + MASS[1] * share2[shorter]) / (c2[where] + MASS[1])
-    keys = np.concatenate((k2, (base + where) * base + z))
-    order = np.argsort(keys)
-    weights, targets = np.log10(np.concatenate((share2, share3))), base + np.concatenate((np.arange(len(k2)), shorter))
+    k3 = (base + where) * base + z
+    by = np.argsort(k3)  # all of them are above the pairs'
+    weights, targets = np.log10(np.concatenate((share2, share3[by]))), base + np.concatenate((np.arange(len(k2)), shorter[by]))
     fail = np.concatenate((np.zeros(base, np.int64), w))
     back = np.log10(np.concatenate([m / (c + m) for c, m in zip((counts1, c2), MASS)]))
-    return Automaton(words, keys[order], weights[order], targets[order], back, fail, k2)
+    return Automaton(words, np.concatenate((k2, k3[by])), weights, targets, back, fail, k2)
 
 
-def unit_automaton(ones, twos, threes, total: float) -> tuple[Automaton, np.ndarray, np.ndarray]:
+def unit_automaton(ones, twos, threes, ends2: np.ndarray, total: float) -> tuple[Automaton, np.ndarray, np.ndarray]:
     """The part of the automaton that a unit's texts can meet, each token's word id (0: never counted), and its weight at the root.
 
-    Each order is given as (entry of each position, a position of each entry, count of each entry).
+    Each order is given as (entry of each position, a position of each entry, count of each entry); ends2 are the positions of pairs.
     """
     entry, _, c1 = ones
     ids = np.where(c1 > 0, np.cumsum(c1 > 0), 0)
     word, share = ids[entry], (c1 + SMOOTH) / total
     base = int(ids.max(initial=0)) + 1
 
-    def counted(some: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return some[found > 0], found[found > 0]
-
-    at, c2 = counted(*twos[1:])
-    key = word[at - 1] * base + word[at]
+    entry2, at, c2 = twos
+    counted = np.flatnonzero(c2 > 0)
+    key = word[at[counted] - 1] * base + word[at[counted]]
     by = np.argsort(key)
-    pairs = key[by], c2[by]
-    at, c3 = counted(*threes[1:])
-    where = np.searchsorted(pairs[0], word[at - 2] * base + word[at - 1])
-    machine = build(np.arange(1, base, dtype=np.uint64), c1[c1 > 0], share[c1 > 0], pairs, (where, word[at], c3))
+    rank = np.full(len(c2), -1)
+    rank[counted[by]] = np.arange(len(by))
+    pairs = key[by], c2[counted[by]]
+    ended = np.full(len(word), -1)  # the place of the pair that ends at a position
+    ended[ends2] = rank[entry2]
+    _, at, c3 = threes
+    at, c3 = at[c3 > 0], c3[c3 > 0]
+    machine = build(np.arange(1, base, dtype=np.uint64), c1[c1 > 0], share[c1 > 0], pairs, (ended[at - 1], word[at], c3, ended[at]))
     return machine, word, np.log10(share)[entry]
 
 
@@ -387,7 +387,7 @@ def score(docs: DataFrame) -> DataFrame:
             _, entry, some = part.grams(order, bits)
             found = np.concatenate([np.zeros(0, np.uint64), *(unpack(packed[i]) for i in np.flatnonzero(of == order).tolist())]).astype(np.int64)
             grams.append((entry, some, found))
-        machine, word, root = unit_automaton(*grams, total)
+        machine, word, root = unit_automaton(*grams, np.flatnonzero(part.place > 0), total)
         start, size = part.first[:-1], np.diff(part.first)
         base, known = np.add.reduceat(root, start), np.add.reduceat((word > 0).astype(np.int64), start)
         return pa.table([pa.array(unit["doc_id"], schema_doc_id), pa.array(unit["held_out"]), pa.array(size), pa.array(known), pa.array(np.full(len(size), n)), pa.array(base), pa.array(machine.traverse(word, root, part.first, lane))], schema.names)

@@ -345,7 +345,7 @@ def test_automaton_scores_as_the_job_does(spark):
     root = (counts + 0.1) / unit
     two = np.unique(np.concatenate([x[:-1] * 31 + x[1:] for x in coded]), return_counts=True)
     three = np.unique(np.concatenate([(x[:-2] * 31 + x[1:-1]) * 31 + x[2:] for x in coded]), return_counts=True)
-    machine = backoff_lm.build(np.arange(30, dtype=np.uint64), counts, root, two, (np.searchsorted(two[0], three[0] // 31), three[0] % 31, three[1]))
+    machine = backoff_lm.build(np.arange(30, dtype=np.uint64), counts, root, two, (np.searchsorted(two[0], three[0] // 31), three[0] % 31, three[1], np.searchsorted(two[0], three[0] % 31**2)))
     for i, ws in texts:
         ids = np.array([*ws, 30])
         for lane in (2, 7, 512):  # a text may be walked by several lanes
@@ -365,7 +365,7 @@ def test_automaton_is_a_distribution():
     ring = np.concatenate((text, text[:2]))  # every word is followed by one, as an end makes it in texts
     two = np.unique(ring[:-2] * base + ring[1:-1], return_counts=True)
     three = np.unique((ring[:-2] * base + ring[1:-1]) * base + ring[2:], return_counts=True)
-    machine = backoff_lm.build(words, counts, root, two, (np.searchsorted(two[0], three[0] // base), three[0] % base, three[1]))
+    machine = backoff_lm.build(words, counts, root, two, (np.searchsorted(two[0], three[0] // base), three[0] % base, three[1], np.searchsorted(two[0], three[0] % base**2)))
     ends = np.log10(np.concatenate(([0.1 / unit], root)))
     for u in range(1, 7):
         for w in range(1, 7):
