@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import constraints as c
+from ..operators import graphs as g
 from ..operators.lineage import pair_counts
 from ..sources.driver_tables import table
 from .registry import query
@@ -97,3 +98,31 @@ def dependency_graph(spark, sf_dir):
 @query("select event_type as kind, count(*) as n, count(distinct user_id) as owners from events group by 1")
 def catalog_counts(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("owners"))
+
+
+EDGES = """with recursive o as (select o_orderkey as node from orders), e as (select distinct l_orderkey as node, case when l_partkey % 500 = 7 then 2 * l_orderkey else l_orderkey // (l_linenumber + 1) end as parent from lineitem),
+x as (select e.node, e.parent, case when p.node is null then 'PARENT_MISSING' when e.parent >= e.node then 'FORWARD_REFERENCE' else 'OK' end as state from e join o on e.node = o.node left join o p on e.parent = p.node),
+k as (select node, parent from x where state != 'PARENT_MISSING'),
+"""
+
+
+def dependencies(spark, sf_dir):
+    """Orders depend on those whose key is theirs divided by 2, 3 and so on, and some on a later one: diamonds, gaps and cycles."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), F.col("o_orderkey").alias("position"))
+    k = F.col("l_orderkey")
+    parent = F.when(F.col("l_partkey") % 500 == 7, 2 * k).otherwise(F.floor(k / (F.col("l_linenumber") + 1)))
+    return o, table(spark, sf_dir, "lineitem").select(k.alias("node"), parent.alias("parent")).distinct()
+
+
+@query(EDGES + "n as (select 1) select state, count(*) as edges, count(distinct node) as nodes from x group by 1")
+def dependency_edges(spark, sf_dir):
+    return g.edge_states(*dependencies(spark, sf_dir)).groupBy("state").agg(F.count("*").alias("edges"), F.count_distinct("node").alias("nodes"))
+
+
+@query(EDGES + """r as (select node, parent as up from k union select r.node, k.parent from r join k on r.up = k.node),
+ring as (select distinct node from r where node = up), bad as (select node from ring union select r.node from r join ring on r.up = ring.node),
+d as (select node, 0 as level from o where node not in (select node from k) union select k.node, d.level + 1 from d join k on k.parent = d.node where k.node not in (select node from bad))
+select o.node, cast(case when bad.node is null then max(level) end as bigint) as level from o left join d on o.node = d.node left join bad on o.node = bad.node group by o.node, bad.node""")
+def dependency_levels(spark, sf_dir):
+    """The level of each node above all of its parents; null on cycles and behind them."""
+    return g.levels(*dependencies(spark, sf_dir))
