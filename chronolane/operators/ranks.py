@@ -36,6 +36,21 @@ def ranked(rows: DataFrame, by: list[str], order: list[str], weight: str | None
     return joined_on(placed, sums, [*by, "_piece"]).withColumn("before", F.col("_start") + F.col("_in")).drop("_start", "_in", "_piece", "_w")
 
 
+def previous(rows: DataFrame, by: list[str], order: list[str], columns: dict[str, str]) -> DataFrame:
+    """rows with, for each new name, the value that an old column has in the row before in its group; null in the first. Written.
+
+    As in `ranked`, rows are dealt by ranges; the first row of a piece takes what the last row of the pieces before it holds.
+    """
+    pieces = written(rows.repartitionByRange(*by, *order).withColumn("_piece", F.spark_partition_id()), "pieces")
+    took = F.struct(*(F.col(c).alias(n) for n, c in columns.items()))
+    lasts = pieces.groupBy(*by, "_piece").agg(F.max_by(took, F.struct(*order)).alias("_last"))
+    lasts = lasts.withColumn("_last", F.lag("_last").over((Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_piece")))
+    inside = Window.partitionBy(*by, "_piece").orderBy(*order)
+    placed = pieces.withColumns({"_before": F.lag(took).over(inside), "_i": F.row_number().over(inside)})
+    both = joined_on(placed, lasts, [*by, "_piece"]).withColumn("_before", F.when(F.col("_i") == 1, F.col("_last")).otherwise(F.col("_before")))
+    return both.select(*rows.columns, *(F.col(f"_before.{n}").alias(n) for n in columns))
+
+
 def order_statistics(counts: DataFrame, by: list[str], value: str, wanted: dict[str, Callable[[Column], Column]], n: str = "n") -> DataFrame:
     """by, `total` and the value at each wanted rank (from 0, as a function of the total) of counts(by.., value, n) of distinct values.
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import written
+from .ranks import previous, ranked
 from .series import daily, lagged, running_sum
-from .timing import ladder
+from .timing import failures, ladder
 
 
 def current(rows: DataFrame, key: list[str], *order: str) -> DataFrame:
@@ -66,6 +67,44 @@ def audit_chain(rows: DataFrame, entity: list[str], order: list[str], payload: s
     return keyed.repartition("_of").sortWithinPartitions("_of", *order).mapInArrow(run, schema)
 
 
+def verified_chain(rows: DataFrame, entity: list[str], order: list[str], payload: str, before: str = "prev_hash", entry: str = "entry_hash") -> DataFrame:
+    """rows with `broken`: which of ENTRY_MISMATCH (the stored entry is not that of the stored payload and prev_hash) and LINK_BROKEN (prev_hash is not the entry of the row before) hold.
+
+    No row waits for another's hash, so a chain is checked in many tasks however long it is; an altered row shows at
+    itself, or at the link after it where its own hash was made anew. order is unique within an entity.
+    """
+    made = F.sha2(F.concat(F.coalesce(before, F.lit("")), F.lit("|"), F.coalesce(F.sha2(F.col(payload), 256), F.lit(""))), 256)
+    at = previous(rows.withColumn("_made", made), entity, order, {"_linked": entry})
+    return at.withColumn("broken", failures((~F.col("_made").eqNullSafe(F.col(entry)), "ENTRY_MISMATCH"), (~F.col("_linked").eqNullSafe(F.col(before)), "LINK_BROKEN"))).drop("_made", "_linked")
+
+
+#: Entries of one block of a tree of digests.
+FAN = 1024
+
+
+def digest_tree(rows: DataFrame, entity: list[str], order: list[str], entry: str = "entry_hash", fan: int = FAN) -> DataFrame:
+    """(entity, level, block, digest): a tree over each entity's entries, `fan` of them to a block of level 0, `fan` blocks to one of the next level, up to the root, which is block 0 of the highest level.
+
+    Digests of an entity that differ somewhere differ on the way from there to the root, so two copies are compared from the root down.
+    """
+    digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("_is", F.lit("")).alias("_is")))), lambda x: x["_is"]), ","), 256)
+    level, leaf, out = 0, ranked(rows.select(*entity, *order, F.col(entry).alias("_is")), entity, order).select(*entity, F.col("before").alias("_at"), "_is"), None
+    while True:
+        tree = leaf.withColumn("block", F.floor(F.col("_at") / fan)).groupBy(*entity, "block").agg(digest.alias("digest"))
+        tree = written(tree.select(*entity, F.lit(level).alias("level"), "block", "digest"), "tree")
+        out = tree if out is None else out.unionByName(tree)
+        if tree.where("block > 0").isEmpty():
+            return out
+        level, leaf = level + 1, tree.select(*entity, F.col("block").alias("_at"), F.col("digest").alias("_is"))
+
+
+def first_differing(a: DataFrame, b: DataFrame, entity: list[str]) -> DataFrame:
+    """entity and `block`: the first block of level 0 in which two digest trees differ; an entity without a row is the same in both."""
+    base = lambda t, name: t.where("level = 0").select(*entity, "block", F.col("digest").alias(name))
+    both = base(a, "_a").join(base(b, "_b"), [*entity, "block"], "full_outer").where("not (_a <=> _b)")
+    return both.groupBy(*entity).agg(F.min("block").alias("block"))
+
+
 def append_state(batch: DataFrame, stored: DataFrame, key: str, content: str) -> DataFrame:
     """What appending each row would do: NEW, NOOP for equal content, CONFLICT for other content."""
     s = stored.select(key, F.col(content).alias("_stored"), F.lit(True).alias("_there"))

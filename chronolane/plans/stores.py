@@ -15,7 +15,7 @@ from ..functions.times import days_between
 from ..operators import plugins
 from ..sources import archive, lines
 from ..sources.driver_tables import table
-from ..storage import fresh
+from ..storage import fresh, written
 from ..streaming import replay
 from .registry import query
 
@@ -51,7 +51,7 @@ def archive_appends(spark, sf_dir):
 @query(f"""with r as (select * from orders where {KNOWN} is null and o_orderdate <= timestamp '1999-01-01') select o_custkey as match_id, o_orderpriority as cutoff_profile, max(year(o_orderdate))::int as revision, arg_max(cast(o_orderkey as varchar), row(year(o_orderdate), cast(o_orderkey as varchar))) as record_id from r group by all""")
 def archive_as_of(spark, sf_dir):
     """The archive's records as they were visible at a cutoff."""
-    stored = archive.scan(spark, archived(spark, sf_dir)[0])
+    stored = archive.verified_scan(spark, archived(spark, sf_dir)[0])
     seen = archive.find(stored, F.lit("1999-01-01 00:00:00").cast("timestamp_ntz"), domain="PRE_MATCH", artifact_type="odds")
     return seen.select("match_id", "cutoff_profile", "revision", "record_id")
 
@@ -62,6 +62,22 @@ def archive_by_match(spark, sf_dir):
     return archive.find(archive.scan(spark, archived(spark, sf_dir)[0]), match_id=7).select("record_id", "available_at")
 
 
+@query(f"""with m as (select o_orderkey, {KNOWN} is null as stored, o_orderpriority as p from orders),
+s as (select case when p = '2-HIGH' and stored then 'MANIFEST_HASH_MISMATCH' when not stored then 'RECORD_MISSING' when p = '3-MEDIUM' then 'RECORD_ELSEWHERE' when p = '4-NOT SPECIFIED' then 'ARTIFACT_HASH_MISMATCH' else 'OK' end as manifest_state, count(*) as n from m where p != '1-URGENT' or not stored group by 1
+union all select 'OK', count(*) from m where stored) select manifest_state, cast(sum(n) as bigint) as n from s group by 1""")
+def archive_manifests(spark, sf_dir):
+    """The archive's manifests, all sound, beside further ones that state a wrong hash, file or record."""
+    path, o = archived(spark, sf_dir)[0], table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("record_id"), F.col("o_orderpriority").alias("p"))
+    known = o.join(archive.manifests(spark, path), "record_id", "left").where("p != '1-URGENT' or artifact_ref is null")
+    ref = F.when(F.col("p") == "3-MEDIUM", F.lit("append=none")).otherwise(F.coalesce("artifact_ref", F.lit("append=none")))
+    stated = F.when(F.col("p") == "4-NOT SPECIFIED", F.lit("sha256:0")).otherwise(F.coalesce("artifact_hash", F.lit("sha256:0")))
+    wrong = archive.manifest_rows(known, ref, stated).join(o, "record_id")
+    # a stored record of high priority gets a manifest whose own hash is wrong
+    torn = wrong.join(archive.scan(spark, path).select("record_id", F.lit(True).alias("there")), "record_id", "left").withColumn("manifest_hash", F.when((F.col("p") == "2-HIGH") & F.col("there"), "sha256:0").otherwise(F.col("manifest_hash")))
+    written(torn.drop("p", "there"), "torn").write.parquet(f"{archive.manifests_path(path)}/append=torn")
+    return archive.manifest_states(spark, path).groupBy("manifest_state").agg(F.count("*").alias("n"))
+
+
 @query("""select case when o_totalprice > 450000 then 'APPENDED' else 'LABEL_BEFORE_KICKOFF' end as outcome, count(*) as n from orders group by 1""")
 def archive_labels(spark, sf_dir):
     """Labels must not be known before kickoff."""
@@ -145,7 +161,7 @@ def stream_deliveries(spark, sf_dir):
     # a last row, long after all others, lets the watermark pass them
     e.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("long").alias("event_id"), (F.col("ts") + F.make_dt_interval(F.lit(365))).alias("ts"), F.lit(None).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("props")).write.mode("append").parquet(path)
     q = replay.read_quotes(spark, path, 1).withColumn("key", F.concat_ws(":", F.col("user_id").cast("string"), "event_type")).withColumn("content", F.floor(F.col("value") / 100).cast("string"))
-    return streamed(spark, replay.judged(q, "key", "content", "ts", "event_id", 60), "judged").where("key != 'end'").select("seq", "delivery")
+    return streamed(spark, replay.settled(q, "key", "content", "ts", "event_id", 60), "settled").where("key != 'end'").select("seq", "delivery")
 
 
 @query("""select event_id, round(value / 500, 6) as first, round(1 - value / 500, 6) as second, case when value > 500 then 'RANGE' else 'OK' end as "check" from events""")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.timing import ladder, visible
+from ..storage import written
 
 DOMAINS = ("PRE_MATCH", "POST_MATCH")
 SCHEMA = T.StructType([
@@ -33,33 +34,115 @@ def checked(records: DataFrame) -> DataFrame:
     return records.withColumn("reject", why)
 
 
+#: Folders by hash of record_id within a domain, so that an append looks for its records in the folders they can be in.
+BUCKETS = 32
+
+
+def bucket() -> Column:
+    return F.pmod(F.xxhash64("record_id"), F.lit(BUCKETS)).cast("int")
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """All records with the columns of their folders: append (the batch that wrote them), domain and bucket."""
+    if not _there(spark, path):
+        return spark.createDataFrame([], T.StructType([*SCHEMA.fields, T.StructField("append", T.StringType()), T.StructField("bucket", T.IntegerType())]))
+    return spark.read.schema(T.StructType([*SCHEMA.fields, T.StructField("append", T.StringType()), T.StructField("bucket", T.IntegerType())])).parquet(path)
+
+
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """All records; filters on domain prune folders, others reach the Parquet scan. An archive that is not there yet is empty."""
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
-        return spark.createDataFrame([], SCHEMA)
-    return spark.read.schema(SCHEMA).parquet(path)
+    return _files(spark, path).select(*SCHEMA.fieldNames())
+
+
+def stored(spark: SparkSession, path: str, buckets: list[int]) -> DataFrame:
+    """record_id and content_hash of the records in some buckets' folders; no others are listed or read."""
+    return _files(spark, path).where(F.col("bucket").isin(buckets)).select("record_id", "content_hash")
 
 
 def append(records: DataFrame, path: str) -> DataFrame:
     """Appends what is new and sound; returns (record_id, outcome): APPENDED, NOOP, CONFLICT or the reason of a reject.
 
     An equal record again changes nothing, a record_id with other content is a conflict. Repeats within the batch are judged alike.
+    A batch is compared with the stored records of its own buckets alone, and writes a folder of its own with a manifest
+    (`manifests`), which a verified scan goes by. Batches are to come one at a time: two at once do not see each other.
     """
-    stored = scan(records.sparkSession, path).select(F.col("record_id").alias("_id"), F.col("content_hash").alias("_hash"))
-    batch = checked(records.withColumn("content_hash", F.coalesce("content_hash", content_hash())))
+    spark = records.sparkSession
+    # staged twice: neither the batch nor its judgement must be computed again once the archive has grown
+    batch = written(checked(records.withColumn("content_hash", F.coalesce("content_hash", content_hash()))).withColumn("bucket", bucket()), "batch")
+    own = [r[0] for r in batch.where("reject is null").select("bucket").distinct().collect()]  # BUCKETS at most
+    there = stored(spark, path, own).select(F.col("record_id").alias("_id"), F.col("content_hash").alias("_hash"))
     first = batch.where("reject is null").groupBy("record_id").agg(F.min("content_hash").alias("_first"))
-    judged = batch.join(first, "record_id", "left").join(stored, F.col("record_id") == F.col("_id"), "left")
+    judged = batch.join(first, "record_id", "left").join(there, F.col("record_id") == F.col("_id"), "left")
     outcome = F.coalesce(F.col("reject"), F.when(F.col("_hash").isNotNull(), F.when(F.col("_hash") == F.col("content_hash"), "NOOP").otherwise("CONFLICT")), F.when(F.col("content_hash") != F.col("_first"), "CONFLICT"), F.lit("APPENDED"))
-    # staged first: the judgement must not be computed again once the archive has grown
-    staged = f"{path.rstrip('/')}.staged/{uuid.uuid4().hex}"
-    judged.withColumn("outcome", outcome).select(*SCHEMA.fieldNames(), "outcome").write.parquet(staged)
-    judged = records.sparkSession.read.parquet(staged)
-    new = judged.where("outcome = 'APPENDED'").dropDuplicates(["record_id"]).select(*SCHEMA.fieldNames())
-    new.write.mode("append").partitionBy("domain").parquet(path)
+    judged = written(judged.withColumn("outcome", outcome).select(*SCHEMA.fieldNames(), "bucket", "outcome"), "judged")
+    new = judged.where("outcome = 'APPENDED'").dropDuplicates(["record_id"]).select(*SCHEMA.fieldNames(), "bucket")
+    if not new.isEmpty():
+        folder = f"append={uuid.uuid4().hex}"
+        new.repartition("domain", "bucket").write.partitionBy("domain", "bucket").parquet(f"{path.rstrip('/')}/{folder}")
+        _seal(spark, path, folder)
     return judged.select("record_id", "outcome")
 
 
+def manifests_path(path: str) -> str:
+    return f"{path.rstrip('/')}.manifests"
+
+
+def manifest_hash() -> Column:
+    return F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("|", "record_id", "artifact_ref", "artifact_hash"), 256))
+
+
+def manifest_rows(records: DataFrame, ref: Column, stated: Column | str) -> DataFrame:
+    """record_id, artifact_ref, artifact_hash and manifest_hash; ref is the file, within the archive."""
+    return records.select("record_id", ref.alias("artifact_ref"), F.col(stated).alias("artifact_hash") if isinstance(stated, str) else stated.alias("artifact_hash")).withColumn("manifest_hash", manifest_hash())
+
+
+def _ref() -> Column:
+    """The file a record stands in, from its append folder on."""
+    return F.regexp_extract("_metadata.file_path", "append=.*$", 0)
+
+
+def _seal(spark: SparkSession, path: str, folder: str) -> None:
+    """Writes the manifest of what one append wrote: which file each record stands in, with the hash of its content."""
+    own = spark.read.parquet(f"{path.rstrip('/')}/{folder}")
+    manifest_rows(own, _ref(), "content_hash").write.parquet(f"{manifests_path(path)}/{folder}")
+
+
+def manifests(spark: SparkSession, path: str) -> DataFrame:
+    """record_id, artifact_ref, artifact_hash and manifest_hash of all that was appended."""
+    schema = "record_id string, artifact_ref string, artifact_hash string, manifest_hash string"
+    at = manifests_path(path)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(at) if _there(spark, at) else spark.createDataFrame([], schema)
+
+
+def manifest_states(spark: SparkSession, path: str) -> DataFrame:
+    """Each manifest with its record and `manifest_state`: MANIFEST_HASH_MISMATCH, RECORD_MISSING, RECORD_ELSEWHERE (not in the file that is named), ARTIFACT_HASH_MISMATCH (with what the record states, or with what its content gives), or OK.
+
+    A record without a manifest is none of the archive's: an append that broke off leaves such.
+    """
+    files = _files(spark, path)
+    found = files.withColumns({"_ref": _ref() if _there(spark, path) else F.lit(None).cast("string"), "_made": content_hash()})
+    found = found.select(F.col("record_id").alias("_id"), "_ref", "_made", *(c for c in SCHEMA.fieldNames() if c != "record_id"))
+    both = manifests(spark, path).join(found, F.col("record_id") == F.col("_id"), "left")
+    state = ladder(
+        (~F.col("manifest_hash").eqNullSafe(manifest_hash()), "MANIFEST_HASH_MISMATCH"), (F.col("_id").isNull(), "RECORD_MISSING"), (~F.col("artifact_ref").eqNullSafe(F.col("_ref")), "RECORD_ELSEWHERE"),
+        (~(F.col("artifact_hash").eqNullSafe(F.col("content_hash")) & F.col("artifact_hash").eqNullSafe(F.col("_made"))), "ARTIFACT_HASH_MISMATCH"), otherwise="OK",
+    )
+    return both.withColumn("manifest_state", state).drop("_id", "_ref", "_made")
+
+
+def verified_scan(spark: SparkSession, path: str) -> DataFrame:
+    """The records that have manifests; the job fails at the first manifest whose record is missing, elsewhere or altered."""
+    s = manifest_states(spark, path)
+    told = F.concat_ws(" ", F.lit("archive:"), "manifest_state", "record_id")
+    sound = F.when(F.col("manifest_state") == "OK", F.col("record_id")).otherwise(F.raise_error(told))
+    return s.withColumn("record_id", sound).select(*SCHEMA.fieldNames())
+
+
 def capture_state(report: DataFrame, session: list[str]) -> DataFrame:
     """CAPTURED, PARTIAL or BLOCKED of a capture session, from its accepted and refused records."""
     good = F.count_if(F.col("outcome").isin("APPENDED", "NOOP"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +15,8 @@ CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 WEIGHTS = np.array([0.299, 0.587, 0.114])
 
 
-def luminance(data: bytes) -> np.ndarray:
-    """Rows of luminance, 0 to 255. Raises ValueError for what is no such PNG."""
+def samples(data: bytes) -> np.ndarray:
+    """The samples by line, column and channel. Raises ValueError for what is no such PNG."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("no PNG")
     at, body, width = 8, [], None
@@ -36,8 +36,27 @@ def luminance(data: bytes) -> np.ndarray:
     above = np.zeros(width * n, np.uint8)
     for y in range(height):
         out[y] = above = _unfiltered(raw[y, 0], raw[y, 1:], above, n)
-    pixels = out.reshape(height, width, n)
-    return pixels[..., 0].astype(float) if n < 3 else pixels[..., :3] @ WEIGHTS
+    return out.reshape(height, width, n)
+
+
+def luminance(data: bytes) -> np.ndarray:
+    """Rows of luminance, 0 to 255."""
+    pixels = samples(data)
+    return pixels[..., 0].astype(float) if pixels.shape[2] < 3 else pixels[..., :3] @ WEIGHTS
+
+
+#: The columns in which a section bar is looked for, and what a dark pixel of it is below: red, green, blue, which do not fall from one to the next.
+BAR_COLUMNS, BAR_BELOW = (15, 425), (60, 100, 150)
+
+
+def bar_pixels(data: bytes) -> np.ndarray:
+    """For each line the share of pixels within BAR_COLUMNS that are of a section bar's colour; grey counts as equal red, green and blue."""
+    pixels = samples(data)
+    rgb = pixels[..., :3] if pixels.shape[2] >= 3 else np.repeat(pixels[..., :1], 3, axis=2)
+    low, high = (min(c, rgb.shape[1]) for c in BAR_COLUMNS)
+    r, g, b = (rgb[:, low:high, i] for i in range(3))
+    hits = (r < BAR_BELOW[0]) & (g < BAR_BELOW[1]) & (b < BAR_BELOW[2]) & (b >= g) & (g >= r)
+    return hits.sum(axis=1) / max(1, high - low)
 
 
 def dark_lines(pixels: np.ndarray, dark: float = 96.0) -> np.ndarray:
@@ -45,21 +64,30 @@ def dark_lines(pixels: np.ndarray, dark: float = 96.0) -> np.ndarray:
     return (pixels < dark).mean(axis=1)
 
 
-def read_lines_of(spark: SparkSession, path: str, dark: float = 96.0) -> DataFrame:
-    """(path, y, share of dark pixels) of each line of each PNG under path; pictures that cannot be read have none."""
-
+def _lines_of(spark: SparkSession, path: str, share_of: Callable[[bytes], np.ndarray]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 try:
-                    share = dark_lines(luminance(data), dark)
+                    share = share_of(data)
+                    y = np.arange(len(share))
                 except (ValueError, struct.error, zlib.error):
-                    continue
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(share), pa.string()), pa.array(np.arange(len(share)), pa.int32()), pa.array(share)], ["path", "y", "dark"])
+                    y = share = [None]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(share), pa.string()), pa.array(y, pa.int32()), pa.array(share, pa.float64())], ["path", "y", "dark"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, y int, dark double")
 
 
+def read_lines_of(spark: SparkSession, path: str, dark: float = 96.0) -> DataFrame:
+    """(path, y, share of dark pixels) of each line of each PNG under path; a picture that cannot be read has one row, with nulls."""
+    return _lines_of(spark, path, lambda data: dark_lines(luminance(data), dark))
+
+
+def read_bars_of(spark: SparkSession, path: str) -> DataFrame:
+    """(path, y, share of pixels of a section bar's colour) of each line of each PNG under path; a picture that cannot be read has one row, with nulls."""
+    return _lines_of(spark, path, bar_pixels)
+
+
 def _unfiltered(kind: int, row: np.ndarray, above: np.ndarray, n: int) -> np.ndarray:
     if kind == 0:
         return row.copy()
@@ -94,7 +122,7 @@ def read_pictures(spark: SparkSession, path: str, dark: float = 96.0) -> DataFra
                     rows.append((y.shape[1], y.shape[0], float(y.mean()), float((y < dark).mean())))
                 except (ValueError, struct.error, zlib.error):
                     rows.append((None,) * 4)
-            w, h, m, d = zip(*rows)
+            w, h, m, d = zip(*rows) if rows else ((),) * 4
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(w, pa.int32()), pa.array(h, pa.int32()), pa.array(m, pa.float64()), pa.array(d, pa.float64())], ["path", "width", "height", "mean", "dark"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, width int, height int, mean double, dark double")

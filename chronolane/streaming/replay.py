@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.timing import asof_state
@@ -28,6 +29,43 @@ def once(stream: DataFrame, key: list[str], at: str, horizon: str = "1 day") ->
     return stream.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", horizon).dropDuplicatesWithinWatermark(key).drop("_at")
 
 
+def judged(stream: DataFrame, key: str, content: str, at: str, seq: str, horizon_days: int = 1) -> DataFrame:
+    """(key, seq, content, delivery) of each row at once: ACCEPTED, DUPLICATE_NOOP or KEY_CONFLICT against the first that came.
+
+    Rows of one micro-batch are judged in order of seq, as `identity.deliveries` judges a batch; between micro-batches
+    what came first is first, whatever its seq (`settled` waits instead). Null contents equal each other. A key's first
+    content is forgotten once the watermark passes its latest event time by the horizon: a delivery after
+    that is ACCEPTED anew. A row without event time comes out as NO_EVENT_TIME.
+    """
+    horizon = horizon_days * 86_400_000
+
+    def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")  # one key's rows of one micro-batch
+        contents = [None if pd.isna(x) else x for x in rows["content"]]
+        first, latest = state.get if state.exists else (contents[0], 0)
+        out = ["ACCEPTED" if i == 0 and not state.exists else "DUPLICATE_NOOP" if x == first else "KEY_CONFLICT" for i, x in enumerate(contents)]
+        latest = max(latest, int(rows["at"].max().timestamp() * 1000))
+        state.update((first, latest))
+        state.setTimeoutTimestamp(max(latest + horizon, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"key": keys[0], "seq": rows["seq"].to_numpy(), "content": contents, "delivery": out})
+
+    rows = _delivered(stream, key, content, at, seq)
+    timed = rows.where("at is not null").withWatermark("at", f"{horizon_days} days")
+    out = timed.groupBy("key").applyInPandasWithState(step, "key string, seq long, content string, delivery string", "first string, latest long", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.unionByName(_timeless(rows))
+
+
+def _delivered(stream: DataFrame, key: str, content: str, at: str, seq: str) -> DataFrame:
+    return stream.select(F.col(key).cast("string").alias("key"), F.col(content).cast("string").alias("content"), F.col(at).cast("timestamp").alias("at"), F.col(seq).cast("long").alias("seq"))
+
+
+def _timeless(rows: DataFrame) -> DataFrame:
+    return rows.where("at is null").select("key", "seq", "content", F.lit("NO_EVENT_TIME").alias("delivery"))
+
+
 class _Judge(StatefulProcessor):
     """A key's deliveries: kept until the watermark is past the first of them by the horizon, then judged by seq; later ones at once."""
 
@@ -88,7 +126,7 @@ class _Judge(StatefulProcessor):
         pass
 
 
-def judged(stream: DataFrame, key: str, content: str, at: str, seq: str, horizon_days: int = 1) -> DataFrame:
+def settled(stream: DataFrame, key: str, content: str, at: str, seq: str, horizon_days: int = 1) -> DataFrame:
     """(key, seq, content, delivery) of each row: ACCEPTED, DUPLICATE_NOOP or KEY_CONFLICT, as `identity.deliveries` judges a batch.
 
     Rows may arrive over any number of micro-batches and in any order within the horizon: a key's deliveries are
@@ -103,10 +141,10 @@ def judged(stream: DataFrame, key: str, content: str, at: str, seq: str, horizon
     conf, store = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
     if "RocksDB" not in conf.get(store, ""):
         conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(content).cast("string").alias("content"), F.col(at).cast("timestamp").alias("at"), F.col(seq).cast("long").alias("seq"))
+    rows = _delivered(stream, key, content, at, seq)
     timed = rows.where("at is not null").withWatermark("at", f"{horizon_days} days").withColumn("ms", F.unix_millis("at"))
     out = timed.groupBy("key").transformWithStateInPandas(_Judge(horizon), "key string, seq long, content string, delivery string", "Append", "EventTime")
-    return out.unionByName(rows.where("at is null").select("key", "seq", "content", F.lit("NO_EVENT_TIME").alias("delivery")))
+    return out.unionByName(_timeless(rows))
 
 
 def into(stream: DataFrame, path: str, checkpoint: str):
