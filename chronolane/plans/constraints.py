@@ -27,11 +27,11 @@ def lineage_violations(spark, sf_dir):
     return v.groupBy("violation").agg(F.count("*").alias("n"))
 
 
-@query("""select l_orderkey as run, l_linenumber as line, l_suppkey as engine from lineitem join supplier on l_suppkey = s_suppkey join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey where s_nationkey is distinct from c_nationkey and l_quantity > 48""")
+@query("""select l_orderkey as run, l_linenumber as line, l_suppkey as engine from lineitem join supplier on l_suppkey = s_suppkey join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey where s_nationkey is distinct from c_nationkey""")
 def engine_membership(spark, sf_dir):
     """Lines whose supplier and customer disagree on the nation."""
     x, s, o, k = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "orders", "customer"))
-    j = x.where("l_quantity > 48").join(s, x.l_suppkey == s.s_suppkey).join(o, x.l_orderkey == o.o_orderkey).join(k, F.col("o_custkey") == F.col("c_custkey"))
+    j = x.join(s, x.l_suppkey == s.s_suppkey).join(o, x.l_orderkey == o.o_orderkey).join(k, F.col("o_custkey") == F.col("c_custkey"))
     return j.where(~F.col("s_nationkey").eqNullSafe(F.col("c_nationkey"))).select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("engine"))
 
 
@@ -83,12 +83,14 @@ def history_check(spark, sf_dir):
     return c.ordered_steps(e, known, ["user_id"], "at", "event_type").groupBy("step_state").agg(F.count("*").alias("n"))
 
 
-@query("""with recursive e as (select c_custkey as node, case when c_custkey % 10 = 0 then null else c_custkey - 1 end as parent from customer where c_custkey % 47 != 3), r as (select node, 0 as depth from e where parent is null union all select e.node, r.depth + 1 from e join r on e.parent = r.node)
+@query("""with recursive e as (select c_custkey as node, case when c_nationkey = 24 then -c_custkey when c_mktsegment != 'BUILDING' or c_nationkey >= 12 then c_custkey - 1 - c_nationkey % 3 end as parent from customer), r as (select node, 0 as depth from e where parent is null union all select e.node, r.depth + 1 from e join r on e.parent = r.node)
 select e.node, case when r.node is not null then 'REACHED' when p.node is null then 'MISSING_PARENT' else 'BEHIND_A_GAP' end as state from e left join r on e.node = r.node left join e p on e.parent = p.node""")
 def dependency_graph(spark, sf_dir):
     from ..operators.revisions import chain_depth
 
-    e = table(spark, sf_dir, "customer").where("c_custkey % 47 != 3").select(F.lit(0).alias("k"), F.col("c_custkey").alias("node"), F.when(F.col("c_custkey") % 10 != 0, F.col("c_custkey") - 1).alias("parent"))
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    parent = F.when(n == 24, -k).when((F.col("c_mktsegment") != "BUILDING") | (n >= 12), k - 1 - n % 3)
+    e = table(spark, sf_dir, "customer").select(F.lit(0).alias("k"), k.alias("node"), parent.alias("parent"))
     reached = chain_depth(e, ["k"], "node", "parent").select(F.col("node").alias("r"))
     p = e.select(F.col("node").alias("p"))
     both = e.join(reached, e.node == F.col("r"), "left").join(p, e.parent == F.col("p"), "left")
@@ -126,3 +128,35 @@ select o.node, cast(case when bad.node is null then max(level) end as bigint) as
 def dependency_levels(spark, sf_dir):
     """The level of each node above all of its parents; null on cycles and behind them."""
     return g.levels(*dependencies(spark, sf_dir))
+
+
+@query("""with i as (select *, case o_orderstatus when 'F' then 'FROZEN' when 'P' then 'SUPERSEDED' else 'DRAFT' end as status, o_orderstatus != 'O' as immutable, case when o_orderstatus != 'O' then o_orderdate end as frozen_at, o_orderdate + interval 10 day as kickoff_at from orders),
+c as (select *, o_orderpriority = '5-LOW' as fresh, o_orderpriority = '4-NOT SPECIFIED' as gone, o_orderpriority = '1-URGENT' as moved, o_orderpriority = '2-HIGH' and status = 'DRAFT' as closing, o_custkey % 4 as how, o_orderkey % 5 != 0 as gate from i),
+n as (select *, closing and how > 0 as new_immutable, case when closing and how = 2 then kickoff_at when closing and how = 3 then o_orderdate end as new_frozen_at from c),
+s as (select case when fresh then 'INSERT' when gone then 'DELETE' when moved or closing then 'UPDATE' else 'SAME' end as change, case when fresh then null when gone then 'FROZEN_INPUT_DELETE' when not (moved or closing) then null when immutable then 'FROZEN_INPUT_MUTATION' when not gate then 'FROZEN_INPUT_MUTATION_OUTSIDE_GATE' when moved then 'FROZEN_INPUT_IDENTITY_FIELDS_ARE_IMMUTABLE'
+when not new_immutable then 'FROZEN_INPUT_STATUS_REQUIRES_IMMUTABLE' when new_frozen_at is null then 'FROZEN_INPUT_IMMUTABLE_REQUIRES_FROZEN_AT' when new_frozen_at >= kickoff_at then 'FROZEN_INPUT_FREEZE_MUST_PRECEDE_KICKOFF' end as refused, case when moved then 'odds' else '' end as touched from n)
+select change, refused, touched, count(*) as n from s group by all""")
+def frozen_changes(spark, sf_dir):
+    """Two images of the orders as frozen inputs: what came, went and changed, and which rule refuses it."""
+    status, priority, at = F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_orderdate")
+    kickoff, shut = at + F.make_dt_interval(F.lit(10)), status != "O"
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").alias("key"), "o_custkey", priority, F.when(status == "F", "FROZEN").when(status == "P", "SUPERSEDED").otherwise("DRAFT").alias("status"), shut.alias("immutable"), F.when(shut, at).alias("frozen_at"), kickoff.alias("kickoff_at"), F.col("o_totalprice").alias("odds"), at)
+    closing, how = (priority == "2-HIGH") & (F.col("status") == "DRAFT"), F.col("o_custkey") % 4
+    image = ["key", "status", "immutable", "frozen_at", "kickoff_at", "odds"]
+    after = rows.where("o_orderpriority != '4-NOT SPECIFIED'").select(
+        "key", F.when(closing, "FROZEN").otherwise(F.col("status")).alias("status"), F.when(closing, how > 0).otherwise(F.col("immutable")).alias("immutable"),
+        F.when(closing & (how == 2), F.col("kickoff_at")).when(closing & (how == 3), at).otherwise(F.col("frozen_at")).alias("frozen_at"), "kickoff_at", F.when(priority == "1-URGENT", F.col("odds") + 1).otherwise(F.col("odds")).alias("odds"),
+    )
+    changes = c.change_set(rows.where("o_orderpriority != '5-LOW'").select(*image), after, ["key"])
+    guarded = c.frozen_guard(changes, F.when(F.col("key") % 5 != 0, "FREEZE_GATE"))
+    return guarded.groupBy("change", "refused", F.array_join("touched", ",").alias("touched")).agg(F.count("*").alias("n"))
+
+
+@query("""select case when c_mktsegment = 'BUILDING' then 'INSERT' when c_nationkey = 3 then 'DELETE' when c_nationkey = 4 then 'UPDATE' else 'SAME' end as change, case when c_mktsegment = 'BUILDING' then null when c_nationkey = 3 then 'APPEND_ONLY_DELETE' when c_nationkey = 4 then 'APPEND_ONLY_UPDATE' end as refused, count(*) as n from customer where c_mktsegment != 'BUILDING' or c_nationkey != 3 group by all""")
+def append_only_changes(spark, sf_dir):
+    """Two images of the customers as an append-only table."""
+    k = table(spark, sf_dir, "customer")
+    before = k.where("c_mktsegment != 'BUILDING'").select("c_custkey", "c_name", "c_acctbal")
+    after = k.where("c_nationkey != 3").select("c_custkey", "c_name", F.when(F.col("c_nationkey") == 4, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")).alias("c_acctbal"))
+    return c.append_only(c.change_set(before, after, ["c_custkey"])).groupBy("change", "refused").agg(F.count("*").alias("n"))

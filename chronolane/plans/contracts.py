@@ -216,11 +216,11 @@ def frozen_predictions(spark, sf_dir):
 RUNS = {"run_id": "l_orderkey * 10 + l_linenumber", "order_id": "l_orderkey", "role": "case l_linestatus when 'F' then 'PRODUCTION' else 'SHADOW' end"}
 
 
-@query(f"""with p as ({sql("orders", PREDICTIONS)}), r as (select l_orderkey, l_linenumber, l_linestatus, l_suppkey from lineitem where l_quantity > 25)
+@query(f"""with p as ({sql("orders", PREDICTIONS)}), r as (select l_orderkey, l_linenumber, l_linestatus, l_suppkey from lineitem)
 select case when l_suppkey % 7 = 0 then 'PREDICTION_ENGINE_PARENT_MISSING' when (case when l_linestatus = 'F' then 'PRODUCTION' else 'SHADOW' end) is distinct from p.role or l_linenumber = 3 then 'PREDICTION_ENGINE_MEMBERSHIP_LINEAGE_INVALID' else 'OK' end as lineage, count(*) as n from r join p on l_orderkey = prediction_id group by 1""")
 def engine_members(spark, sf_dir):
     """Predictions and runs that must agree on match, role, input and output."""
-    x = table(spark, sf_dir, "lineitem").where("l_quantity > 25").withColumn("run_id", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    x = table(spark, sf_dir, "lineitem").withColumn("run_id", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     p = predictions(spark, sf_dir)
     runs = x.where("l_suppkey % 7 != 0").join(p, x.l_orderkey == p.prediction_id).select("run_id", "match_id", F.when(F.col("l_linestatus") == "F", "PRODUCTION").otherwise("SHADOW").alias("role"), "input_id", "input_hash", "output_hash").dropDuplicates(["run_id"])
     members = x.join(p, x.l_orderkey == p.prediction_id).select("prediction_id", "run_id", F.when(F.col("l_linenumber") == 3, "other").otherwise(F.col("output_hash")).alias("output_hash"))

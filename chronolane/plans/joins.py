@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import joins as j
+from ..operators.intervals import meeting
 from ..sources.driver_tables import table
 from .registry import query
 
@@ -23,20 +24,21 @@ def source_hash_join(spark, sf_dir):
     return x.join(s, ["l_suppkey", "content"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("matched"))
 
 
-@query("""with f as (select user_id, event_type, max(value) as v from events where event_id % 2 = 0 group by all), o as (select user_id, event_type, max(value) as v from events where event_id % 3 = 0 group by all)
+@query("""with f as (select user_id, event_type, max(value) as v from events where ts < timestamp '2024-01-16' group by all), o as (select user_id, event_type, max(value) as v from events where not coalesce(ts < timestamp '2024-01-16', false) group by all)
 select case when o.v is null then 'ONLY_FEED' when f.v is null then 'ONLY_OTHER' when abs(f.v - o.v) <= 20 then 'AGREE' else 'CONFLICT' end as comparison, count(*) as n from f full outer join o on f.user_id = o.user_id and f.event_type = o.event_type group by 1""")
 def feed_vs_screenshot(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    side = lambda k: e.where(F.col("event_id") % k == 0).groupBy("user_id", "event_type").agg(F.max("value").alias("v"))
-    return j.compared(side(2), side(3), ["user_id", "event_type"], "v", 20).groupBy("comparison").agg(F.count("*").alias("n"))
+    """The first half of the month against the rest."""
+    e, early = table(spark, sf_dir, "events"), F.coalesce(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"), F.lit(False))
+    side = lambda which: e.where(which).groupBy("user_id", "event_type").agg(F.max("value").alias("v"))
+    return j.compared(side(early), side(~early), ["user_id", "event_type"], "v", 20).groupBy("comparison").agg(F.count("*").alias("n"))
 
 
-@query("""with a as (select c_nationkey as k, max(c_mktsegment) as v from customer where c_custkey % 2 = 0 and c_nationkey < 20 group by 1), b as (select c_nationkey as k, max(c_mktsegment) as v from customer where c_custkey % 5 = 0 and c_nationkey > 4 group by 1)
+@query("""with c as (select cast(floor(c_acctbal / 20) as bigint) as k, c_nationkey % 3 as v, c_mktsegment < 'F' as first from customer), a as (select k, max(v) as v from c where first group by 1), b as (select k, max(v) as v from c where not first group by 1)
 select coalesce(a.k, b.k) as k, coalesce(a.v, b.v) as v, case when b.k is null then 'FIRST_ONLY' when a.k is null then 'SECOND_ONLY' when a.v = b.v then 'NOOP' else 'FEATURE_COLLISION' end as merge_state from a full outer join b on a.k = b.k""")
 def context_merge(spark, sf_dir):
-    k = table(spark, sf_dir, "customer")
-    side = lambda c: k.where(c).groupBy(F.col("c_nationkey").alias("k")).agg(F.max("c_mktsegment").alias("v"))
-    return j.merged(side("c_custkey % 2 = 0 and c_nationkey < 20"), side("c_custkey % 5 = 0 and c_nationkey > 4"), ["k"], ["v"])
+    k = table(spark, sf_dir, "customer").select(F.floor(F.col("c_acctbal") / 20).alias("k"), (F.col("c_nationkey") % 3).alias("v"), (F.col("c_mktsegment") < "F").alias("first"))
+    side = lambda c: k.where(c).groupBy("k").agg(F.max("v").alias("v"))
+    return j.merged(side("first"), side("not first"), ["k"], ["v"])
 
 
 @query("""select user_id as provider, array_to_string(list_sort(list_filter(['click', 'error', 'view'], lambda x: not list_contains(k, x))), ',') as lacking from (select user_id, coalesce(list(distinct event_type) filter (value > 400), cast([] as varchar[])) as k from events group by 1)""")
@@ -77,3 +79,15 @@ def feature_assembly(spark, sf_dir):
     x, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").where("p_size between 5 and 30")
     on = (F.col("l_partkey") == F.col("p_partkey")) & (F.col("l_shipdate") <= F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"))
     return x.join(p, on, "left").groupBy(F.col("l_returnflag").alias("state")).agg(F.count("*").alias("n"), F.count("p_partkey").alias("adapted"))
+
+
+@query("""with a as (select o_orderkey, o_custkey % 100 as team, o_orderdate as a0, o_orderdate + interval 1 day * (o_custkey % 40) as a1 from orders), b as (select l_orderkey, l_linenumber, l_suppkey % 100 as team, l_shipdate as b0, l_shipdate + interval 1 day * cast(l_quantity as int) as b1 from lineitem)
+select o_orderkey as fact, count(*) as evidence, min(l_orderkey) as first_order, cast(sum(l_linenumber) as bigint) as lines from a join b on a.team = b.team and a0 <= b1 and b0 <= a1 group by 1""")
+def evidence_validity(spark, sf_dir):
+    """Facts against evidence of their team: both hold for a time of their own, and those that meet are paired."""
+    day = lambda n: F.make_dt_interval(n.cast("int"))
+    o, x = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    facts = o.select(F.col("o_orderkey").alias("fact"), (F.col("o_custkey") % 100).alias("team"), F.col("o_orderdate").alias("fact_from"), (F.col("o_orderdate") + day(F.col("o_custkey") % 40)).alias("fact_to"))
+    evidence = x.select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 100).alias("team"), F.col("l_shipdate").alias("from"), (F.col("l_shipdate") + day(F.col("l_quantity"))).alias("to"))
+    pairs = meeting(facts, evidence, ("fact_from", "fact_to"), ("from", "to"), ["team"])
+    return pairs.groupBy("fact").agg(F.count("*").alias("evidence"), F.min("l_orderkey").alias("first_order"), F.sum("l_linenumber").alias("lines"))

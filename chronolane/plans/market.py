@@ -108,14 +108,15 @@ def latest_inserted(spark, sf_dir):
 
 @query("""with i as (select event_type as market, cast(ts as date) as day, user_id, arg_max(value, row(ts, event_id)) as price from events where value > 0 group by all),
 p as (select *, 1 / price / sum(1 / price) over (partition by user_id, day) as implied from i)
-select a.market, a.day, round(a.implied, 8) as official, round(b.implied - a.implied, 8) as divergence, case when b.implied is null then 'NOT_COMPARABLE' else 'AVAILABLE' end as state
-from (select * from p where user_id = 1) a left join (select * from p where user_id = 2) b on a.market = b.market and a.day = b.day""")
+select a.market, a.day, a.user_id as provider, round(a.implied, 8) as official, round(b.implied - a.implied, 8) as divergence, case when b.implied is null then 'NOT_COMPARABLE' else 'AVAILABLE' end as state
+from (select * from p where user_id % 2 = 1) a left join (select * from p where user_id % 2 = 0) b on a.market = b.market and a.day = b.day and b.user_id = a.user_id + 1""")
 def official_external_divergence(spark, sf_dir):
     q = quotes(spark, sf_dir).where("price > 0").withColumn("day", F.to_date("source_time"))
     p = m.latest(q.drop("line"), ("market", "day", "provider"), ("source_time", "quote_id"))
     p = m.implied_probability(p.withColumn("snapshot", F.struct("provider", "day")), "snapshot").select("market", "day", "provider", "implied")
-    d = m.divergence(p.where("provider = 1").drop("provider"), p.where("provider = 2").drop("provider"), ["market", "day"])
-    return d.select("market", "day", F.round("implied", 8).alias("official"), F.round("divergence", 8).alias("divergence"), "state")
+    # odd providers are official, and the one after each is the external one it is compared with
+    d = m.divergence(p.where("provider % 2 = 1"), p.where("provider % 2 = 0").withColumn("provider", F.col("provider") - 1), ["market", "day", "provider"])
+    return d.select("market", "day", "provider", F.round("implied", 8).alias("official"), F.round("divergence", 8).alias("divergence"), "state")
 
 
 @query("""select o_orderkey as match_id, unnest(['spf', 'spf', 'total']) as market, unnest(['home', 'away', 'all']) as selection,

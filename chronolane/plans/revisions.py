@@ -41,6 +41,39 @@ def audit_chain(spark, sf_dir):
     return r.audit_chain(c, ["conv_id"], ["turn", "_own"], "payload").select("conv_id", "turn", "prev_hash", "entry_hash")
 
 
+CHAIN = """with recursive o as (select conv_id, turn, role || coalesce(text, '') as payload, sha256(role || coalesce(text, '')) as own, row_number() over (partition by conv_id order by turn, sha256(role || coalesce(text, ''))) as i from conversations),
+c as (select conv_id, turn, own, payload, i, cast(null as varchar) as prev_hash, sha256('|' || own) as entry_hash from o where i = 1
+union all select o.conv_id, o.turn, o.own, o.payload, o.i, c.entry_hash, sha256(c.entry_hash || '|' || o.own) from o join c on o.conv_id is not distinct from c.conv_id and o.i = c.i + 1),
+"""
+
+
+def stored_chain(spark, sf_dir):
+    """The turns of each conversation as a chain of entries, some of them altered after they were chained."""
+    c = table(spark, sf_dir, "conversations").withColumn("payload", F.concat("role", F.coalesce("text", F.lit(""))))
+    c = r.audit_chain(c, ["conv_id"], ["turn", "_own"], "payload").select("conv_id", "turn", "payload", "prev_hash", "entry_hash").withColumn("own", F.sha2("payload", 256))
+    forged = F.col("payload").endswith("s.") & (F.col("turn") == 1)
+    return c.withColumns({"payload": F.when(F.length("payload") % 10 == 3, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")), "entry_hash": F.when(forged, F.sha2("entry_hash", 256)).otherwise(F.col("entry_hash"))})
+
+
+@query(CHAIN + """s as (select conv_id, turn, i, prev_hash, case when ends_with(payload, 's.') and turn = 1 then sha256(entry_hash) else entry_hash end as entry_hash, case when length(payload) % 10 = 3 then payload || '!' else payload end as payload from c),
+v as (select conv_id, turn, sha256(coalesce(prev_hash, '') || '|' || sha256(payload)) is distinct from entry_hash as e, lag(entry_hash) over (partition by conv_id order by i) is distinct from prev_hash as l from s)
+select conv_id, turn, concat_ws(',', case when e then 'ENTRY_MISMATCH' end, case when l then 'LINK_BROKEN' end) as broken from v""")
+def chain_verified(spark, sf_dir):
+    """Every stored entry checked against its own payload and the entry before it."""
+    v = r.verified_chain(stored_chain(spark, sf_dir), ["conv_id"], ["turn", "own"], "payload")
+    return v.select("conv_id", "turn", F.array_join("broken", ",").alias("broken"))
+
+
+@query(CHAIN + """l as (select conv_id, 0 as level, (i - 1) // 4 as block, sha256(string_agg(entry_hash, ',' order by i)) as digest from c group by all), m as (select conv_id, 1 as level, block // 4 as up, sha256(string_agg(digest, ',' order by block)) as digest from l group by all),
+n as (select conv_id, 2 as level, up // 4 as top, sha256(string_agg(digest, ',' order by up)) as digest from m group by all), g as (select max(block) as blocks from l)
+select * from l union all select * from m where (select blocks from g) > 0 union all select * from n where (select max(up) from m) > 0""")
+def chain_digests(spark, sf_dir):
+    """A tree of digests over each conversation's entries, four to a block."""
+    c = table(spark, sf_dir, "conversations").withColumn("payload", F.concat("role", F.coalesce("text", F.lit(""))))
+    c = r.audit_chain(c, ["conv_id"], ["turn", "_own"], "payload").withColumn("own", F.sha2("payload", 256))
+    return r.digest_tree(c, ["conv_id"], ["turn", "own"], fan=4)
+
+
 @query("""select x.l_returnflag as flag, count(*) as edges, round(avg(case when o_custkey % 7 = x.l_suppkey % 7 then 1.0 else 0.0 end), 6) as pass_rate from lineitem x left join orders on l_orderkey = o_orderkey group by 1""")
 def lineage_pass_rate(spark, sf_dir):
     x, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")

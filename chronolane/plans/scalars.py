@@ -142,13 +142,13 @@ def latest_consistency(spark, sf_dir):
     return c.groupBy("consistent").agg(F.count("*").alias("teams"))
 
 
-@query("""with b as (select c_custkey as k, c_mktsegment as v from customer where c_custkey % 2 = 0), a as (select c_custkey as k, case when c_custkey % 10 = 0 then 'NEW' else c_mktsegment end as v from customer where c_custkey % 3 != 0)
-select case when b.k is null then case when a.k % 5 = 0 then 'EXPECTED_ADDITION' else 'UNEXPECTED_ADDITION' end when a.k is null then 'REMOVED' when a.v != b.v then 'CHANGED' else 'PRESERVED' end as outcome, count(*) as n from b full outer join a on a.k = b.k group by 1""")
+@query("""with b as (select c_custkey as k, c_mktsegment as v from customer where c_mktsegment != 'BUILDING'), a as (select c_custkey as k, case when c_nationkey = 3 then 'NEW' else c_mktsegment end as v, c_nationkey % 5 = 0 as expected from customer where c_acctbal >= 0 or c_mktsegment = 'BUILDING')
+select case when b.k is null then case when expected then 'EXPECTED_ADDITION' else 'UNEXPECTED_ADDITION' end when a.k is null then 'REMOVED' when a.v != b.v then 'CHANGED' else 'PRESERVED' end as outcome, count(*) as n from b full outer join a on a.k = b.k group by 1""")
 def post_apply_classes(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    b = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("bk"), F.col("c_mktsegment").alias("bv"))
-    a = c.where("c_custkey % 3 != 0").select(F.col("c_custkey").alias("ak"), F.when(F.col("c_custkey") % 10 == 0, "NEW").otherwise(F.col("c_mktsegment")).alias("av"))
-    o = ladder((F.col("bk").isNull() & (F.col("ak") % 5 == 0), "EXPECTED_ADDITION"), (F.col("bk").isNull(), "UNEXPECTED_ADDITION"), (F.col("ak").isNull(), "REMOVED"), (F.col("av") != F.col("bv"), "CHANGED"), otherwise="PRESERVED")
+    b = c.where("c_mktsegment != 'BUILDING'").select(F.col("c_custkey").alias("bk"), F.col("c_mktsegment").alias("bv"))
+    a = c.where("c_acctbal >= 0 or c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("ak"), F.when(F.col("c_nationkey") == 3, "NEW").otherwise(F.col("c_mktsegment")).alias("av"), (F.col("c_nationkey") % 5 == 0).alias("expected"))
+    o = ladder((F.col("bk").isNull() & F.col("expected"), "EXPECTED_ADDITION"), (F.col("bk").isNull(), "UNEXPECTED_ADDITION"), (F.col("ak").isNull(), "REMOVED"), (F.col("av") != F.col("bv"), "CHANGED"), otherwise="PRESERVED")
     return b.join(a, F.col("ak") == F.col("bk"), "full_outer").groupBy(o.alias("outcome")).agg(F.count("*").alias("n"))
 
 
