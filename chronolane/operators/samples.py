@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,11 +72,6 @@ def grid(rows: DataFrame, plays: tuple[str, ...], number: Column) -> DataFrame:
     return rows.select("*", F.posexplode(F.array(*map(F.lit, plays))).alias("k", "play")).withColumn("sample", number * len(plays) + F.col("k"))
 
 
-def grid_budget(values: dict[str, int], budget: int) -> str:
-    """OK if the product of the counts of values is the search budget, else BUDGET_MISMATCH."""
-    return "OK" if math.prod(values.values()) == budget else "BUDGET_MISMATCH"
-
-
 def grid_budgets(configs: DataFrame, sizes: Column, budget: str) -> DataFrame:
     """configs with grid_state, where sizes is an array of counts of values."""
     product = F.aggregate(sizes, F.lit(1).cast("long"), lambda a, x: a * x)

@@ -132,3 +132,75 @@ def test_section_bars_of_a_picture(spark, tmp_path):
     (tmp_path / "bad.png").write_bytes(b"nothing")
     bars = intake.bar_spans(images.read_lines_of(spark, str(tmp_path)), "path", "y", "dark")
     assert sorted((r["start"], r["end"]) for r in bars.collect()) == [(5, 17), (45, 60)]
+
+
+def test_a_small_append_reads_its_own_buckets(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    rows = [(f"r{k}", k, "odds", "p", 1, at(1), at(5), "x", "PRE_MATCH") for k in range(300)]
+    archive.append(records(spark, rows), path)
+    batch = records(spark, [("r7", 7, "odds", "p", 1, at(1), at(5), "x", "PRE_MATCH"), ("r8", 8, "odds", "p", 1, at(1), at(5), "y", "PRE_MATCH"), ("new", 9, "odds", "p", 1, at(1), at(5), "x", "PRE_MATCH")])
+    own = sorted({r["b"] for r in batch.select(archive.bucket().alias("b")).collect()})
+    plan = archive.stored(spark, path, own)._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters", 1)[1].split("]", 1)[0]
+    assert archive.stored(spark, path, own).select(F.input_file_name()).distinct().count() == len(own) < archive.BUCKETS
+    report = {r["record_id"]: r["outcome"] for r in archive.append(batch, path).collect()}
+    assert report == {"r7": "NOOP", "r8": "CONFLICT", "new": "APPENDED"}
+    assert archive.scan(spark, path).count() == archive.verified_scan(spark, path).count() == 301
+
+
+def test_an_archive_is_read_by_its_manifests(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    assert archive.verified_scan(spark, path).count() == 0
+    archive.append(records(spark, [(f"r{k}", k, "odds", "p", 1, at(1), at(5), "x", "PRE_MATCH") for k in range(4)]), path)
+    # an append that broke off before its manifest leaves records that are none of the archive's
+    stray = records(spark, [("stray", 9, "odds", "p", 1, at(1), at(5), "x", "PRE_MATCH")]).withColumns({"content_hash": archive.content_hash(), "bucket": F.lit(0)})
+    stray.write.partitionBy("domain", "bucket").parquet(f"{path}/append=broken")
+    assert archive.scan(spark, path).count() == 5 and archive.verified_scan(spark, path).count() == 4
+    known = {r["record_id"]: r for r in archive.manifests(spark, path).collect()}
+    torn = {"r0": ("append=none", known["r0"]["artifact_hash"]), "r1": (known["r1"]["artifact_ref"], "sha256:0"), "gone": ("append=none", "sha256:0")}
+    rows = spark.createDataFrame([(k, *v) for k, v in torn.items()], "record_id string, ref string, stated string")
+    archive.manifest_rows(rows, F.col("ref"), "stated").write.parquet(f"{archive.manifests_path(path)}/append=torn")
+    spark.createDataFrame([("r2", known["r2"]["artifact_ref"], known["r2"]["artifact_hash"], "sha256:0")], "record_id string, artifact_ref string, artifact_hash string, manifest_hash string").write.parquet(f"{archive.manifests_path(path)}/append=forged")
+    states = sorted((r["record_id"], r["manifest_state"]) for r in archive.manifest_states(spark, path).collect())
+    assert states == [("gone", "RECORD_MISSING"), ("r0", "OK"), ("r0", "RECORD_ELSEWHERE"), ("r1", "ARTIFACT_HASH_MISMATCH"), ("r1", "OK"), ("r2", "MANIFEST_HASH_MISMATCH"), ("r2", "OK"), ("r3", "OK")]
+    with pytest.raises(Exception, match="archive: "):
+        archive.verified_scan(spark, path).collect()
+
+
+def test_deliveries_settle_in_any_order(spark, tmp_path):
+    """Rows of several keys, dealt at random over micro-batches, against the batch; rows without time and late ones have a state too."""
+    import random
+
+    from chronolane.operators import identity
+
+    rng = random.Random(5)
+    given = [(f"k{rng.randrange(6)}", rng.choice(["a", "b", None]), seq, at(1 + seq // 10)) for seq in range(60)]
+    order = sorted(given, key=lambda r: r[2] + rng.randrange(25))  # at most some days late
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    src = str(tmp_path / "in")
+    for n in range(0, 60, 15):
+        spark.createDataFrame([(s, t, None, k, None, c) for k, c, s, t in order[n : n + 15]], schema).coalesce(1).write.mode("append").parquet(src)
+    spark.createDataFrame([(100, None, None, "k1", None, "a"), (101, dt.datetime(2024, 6, 1), None, "end", None, None)], schema).coalesce(1).write.mode("append").parquet(src)
+    stream = replay.settled(replay.read_quotes(spark, src), "event_type", "props", "ts", "event_id", 4)
+    replay.into(stream, str(tmp_path / "settled"), str(tmp_path / "state")).awaitTermination()
+    got = {r["seq"]: r["delivery"] for r in spark.read.parquet(str(tmp_path / "settled")).collect()}
+    batch = identity.deliveries(spark.createDataFrame([r[:3] for r in given], "key string, content string, seq long"), "key", "content", "seq")
+    want = {r["seq"]: r["delivery"] for r in batch.collect()} | {100: "NO_EVENT_TIME"}
+    assert {k: v for k, v in got.items() if k != 101} == want
+
+
+def test_bars_by_colour_and_unreadable_pictures(spark, tmp_path):
+    from chronolane.operators import intake
+
+    pixels = np.full((40, 500, 3), 255, np.uint8)
+    pixels[4:16] = (10, 60, 140)  # a bar
+    pixels[4:16, :15] = 255  # nothing counts outside the columns
+    pixels[20:32] = (10, 60, 150)  # too blue
+    pixels[33:40] = (60, 10, 20)  # falls from red to green
+    (tmp_path / "a.png").write_bytes(png(pixels, [0] * 40))
+    (tmp_path / "bad.png").write_bytes(b"nothing")
+    shares = images.read_bars_of(spark, str(tmp_path))
+    assert [(r["path"][-7:], r["y"], r["dark"]) for r in shares.where("y is null").collect()] == [("bad.png", None, None)]
+    assert [(r["path"][-5:], r["start"], r["end"]) for r in intake.bar_spans(shares, "path", "y", "dark").collect()] == [("a.png", 4, 16)]
+    got = {r["path"][-5:]: r["width"] for r in images.read_pictures(spark, str(tmp_path)).collect()}
+    assert got == {"a.png": 500, "d.png": None}
