@@ -308,3 +308,16 @@ def one_of_each(spark: SparkSession, docs: DataFrame, k: int = 5) -> DataFrame:
     rows = rows.join(kept, (F.col("_ref") == F.col("_kept_ref")) & (F.col("_digest") == F.col("_kept_digest")), "left_semi")
     rows = rows.dropDuplicates(["_ref", "_digest"]).drop("_ref", "_digest")
     return rows.unionByName(docs.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^ \t-\r]")))
+
+
+#: Every pair that shares a shingle is counted, and links are walked to their end.
+SIMILAR_SQL = """
+with recursive t as (select row_number() over () as node, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as materialized (select node, unnest(case when len(w) >= 5 then list_distinct([array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as shingle from t),
+n as (select node, count(*) as n from s group by node),
+p as (select a.node as a, b.node as b, count(*) as shared from s a join s b on a.shingle = b.shingle and a.node != b.node group by all),
+l as materialized (select a, b from p join n x on x.node = a join n y on y.node = b where 100 * shared >= 75 * (x.n + y.n - shared)),
+r as (select a as node, a as far from (select distinct a from l) union select r.node, l.b from r join l on r.far = l.a),
+c as (select r.node, min(t.doc_id) as component_id from r join t on r.far = t.node group by r.node)
+select doc_id, coalesce(n, 0) as n_shingles, coalesce(component_id, doc_id) as component_id from t left join n on t.node = n.node left join c on t.node = c.node
+"""

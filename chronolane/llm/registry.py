@@ -80,6 +80,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing_hierarchical_budget": mixing.MIXTURE_SQL,
+        "op8_ngram_jaccard_join": jaccard.SIMILAR_SQL,
         "op11_filter_interaction_audit": filter_audit.AUDIT_SQL,
         "op12_ranked_lexical_search": ranked_search.SEARCH_SQL,
         "op13_sampled_splitters": sharding.SHARD_SQL,

@@ -68,8 +68,9 @@ def splitters(rows: DataFrame, ranges: np.ndarray, wanted: dict[int, int], level
     for r, parts in wanted.items():
         a, b = np.searchsorted(of, r), np.searchsorted(of, r, side="right")
         up = np.cumsum(weights[a:b])
-        at = np.searchsorted(up, up[-1] * np.arange(1, parts) / parts) if b > a else []
-        found[r] = keys[a:b][np.unique(np.minimum(at, b - a - 1)).astype(np.int64)] if b > a else keys[:0]
+        # no border is the sample's first key: something of the range always stays below a border
+        at = np.searchsorted(up, up[-1] * np.arange(1, parts) / parts) if b > a + 1 else np.zeros(0, np.int64)
+        found[r] = keys[a:b][np.unique(np.clip(at, 1, b - a - 1))]
     return found
 
 
