@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import written
@@ -24,11 +24,17 @@ def predict(rows: DataFrame, predictor: Callable[[pd.DataFrame], list], keep: li
     return rows.mapInPandas(run, schema).withColumn("check", probability_vector(F.col("probabilities"), length))
 
 
+def fit_by(rows: DataFrame, by: list[str], fitter: Callable[[pd.DataFrame], pd.DataFrame], schema: str, most: int) -> DataFrame:
+    """fitter over each group's rows in one frame, for fits that have no parts to add up (`fit_parts` has no bound): a larger group is drawn down to `most` rows by hash, the fit's documented bound."""
+    w = Window.partitionBy(*by).orderBy(F.xxhash64(*rows.columns))
+    return rows.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= most).drop("_i").groupBy(*by).applyInPandas(fitter, schema)
+
+
 #: Groups whose sums a task holds before it hands them on.
 GROUPS = 1 << 14
 
 
-def fit_by(rows: DataFrame, by: list[str], partial: Callable[[pd.DataFrame, dict | None], Sequence[float]], width: int, finish: Callable[[np.ndarray, dict | None], dict], schema: str, rounds: int = 1) -> DataFrame:
+def fit_parts(rows: DataFrame, by: list[str], partial: Callable[[pd.DataFrame, dict | None], Sequence[float]], width: int, finish: Callable[[np.ndarray, dict | None], dict], schema: str, rounds: int = 1) -> DataFrame:
     """by and the columns of schema: a fit of all rows of each group, from parts that add up.
 
     partial gives `width` numbers (sufficient statistics, or the terms of a Newton step) of some rows of one

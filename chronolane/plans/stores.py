@@ -179,7 +179,7 @@ def predictor(spark, sf_dir):
 def fitted_by_role(spark, sf_dir):
     """A user's fit for each role, on all of its rows: sums of parts."""
     e = table(spark, sf_dir, "events").where("value is not null").select(F.col("event_type").alias("role"), "value")
-    f = plugins.fit_by(e, ["role"], lambda rows, _: (len(rows), rows["value"].sum()), 2, lambda s, _: {"mean": s[1] / s[0], "n": int(s[0])}, "mean double, n long")
+    f = plugins.fit_parts(e, ["role"], lambda rows, _: (len(rows), rows["value"].sum()), 2, lambda s, _: {"mean": s[1] / s[0], "n": int(s[0])}, "mean double, n long")
     return f.withColumn("mean", F.round("mean", 6))
 
 
@@ -197,5 +197,5 @@ def fitted_lines(spark, sf_dir):
 
     middle = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
     e = table(spark, sf_dir, "events").where("value is not null and ts is not null").select(F.col("event_type").alias("role"), "value", days_between(middle, "ts").alias("x"))
-    f = plugins.fit_by(e, ["role"], partial, 5, finish, "slope double, intercept double")
+    f = plugins.fit_parts(e, ["role"], partial, 5, finish, "slope double, intercept double")
     return f.select("role", F.round("slope", 5).alias("slope"), F.round("intercept", 5).alias("intercept"))

@@ -136,7 +136,7 @@ def test_newton_fit_of_parts(spark):
         step = np.linalg.solve([[s[0], s[1]], [s[1], s[2]]], s[3:])
         return {"w": (model["w"] if model else 0.0) + step[0], "c": (model["c"] if model else 0.0) + step[1]}
 
-    got = {r["role"]: (r["w"], r["c"]) for r in plugins.fit_by(df, ["role"], partial, 5, finish, "w double, c double", 8).collect()}
+    got = {r["role"]: (r["w"], r["c"]) for r in plugins.fit_parts(df, ["role"], partial, 5, finish, "w double, c double", 8).collect()}
     for r in "ab":
         w = np.zeros(2)
         z = np.column_stack((x[role == r], np.ones((role == r).sum())))
@@ -148,7 +148,7 @@ def test_newton_fit_of_parts(spark):
 
 def test_fit_of_null_keys_and_nothing(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "role string, x double")
-    fit = lambda rows: plugins.fit_by(rows, ["role"], lambda g, _: (len(g), g["x"].sum()), 2, lambda s, _: {"mean": s[1] / s[0]}, "mean double")
+    fit = lambda rows: plugins.fit_parts(rows, ["role"], lambda g, _: (len(g), g["x"].sum()), 2, lambda s, _: {"mean": s[1] / s[0]}, "mean double")
     assert {r["role"]: r["mean"] for r in fit(df).collect()} == {None: 2.0, "a": 5.0}
     assert fit(df.limit(0)).count() == 0
 
