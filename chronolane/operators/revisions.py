@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import written
-from .ranks import previous, ranked
+from .ranks import joined_on, previous, ranked
 from .series import daily, lagged, running_sum
 from .timing import failures, ladder
 
@@ -83,7 +83,7 @@ FAN = 1024
 
 
 def digest_tree(rows: DataFrame, entity: list[str], order: list[str], entry: str = "entry_hash", fan: int = FAN) -> DataFrame:
-    """(entity, level, block, digest): a tree over each entity's entries, `fan` of them to a block of level 0, `fan` blocks to one of the next level, up to the root, which is block 0 of the highest level.
+    """(entity, level, block, digest): a tree over each entity's entries, `fan` of them to a block of level 0, `fan` blocks to one of the next level, up to the entity's root, a level of one block.
 
     Digests of an entity that differ somewhere differ on the way from there to the root, so two copies are compared from the root down.
     """
@@ -93,9 +93,10 @@ def digest_tree(rows: DataFrame, entity: list[str], order: list[str], entry: str
         tree = leaf.withColumn("block", F.floor(F.col("_at") / fan)).groupBy(*entity, "block").agg(digest.alias("digest"))
         tree = written(tree.select(*entity, F.lit(level).alias("level"), "block", "digest"), "tree")
         out = tree if out is None else out.unionByName(tree)
-        if tree.where("block > 0").isEmpty():
+        several = tree.groupBy(*entity).agg(F.max("block").alias("_top")).where("_top > 0")
+        if several.isEmpty():
             return out
-        level, leaf = level + 1, tree.select(*entity, F.col("block").alias("_at"), F.col("digest").alias("_is"))
+        level, leaf = level + 1, joined_on(tree, several, entity).select(*entity, F.col("block").alias("_at"), F.col("digest").alias("_is"))
 
 
 def first_differing(a: DataFrame, b: DataFrame, entity: list[str]) -> DataFrame:

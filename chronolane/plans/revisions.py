@@ -64,9 +64,12 @@ def chain_verified(spark, sf_dir):
     return v.select("conv_id", "turn", F.array_join("broken", ",").alias("broken"))
 
 
-@query(CHAIN + """l as (select conv_id, 0 as level, (i - 1) // 4 as block, sha256(string_agg(entry_hash, ',' order by i)) as digest from c group by all), m as (select conv_id, 1 as level, block // 4 as up, sha256(string_agg(digest, ',' order by block)) as digest from l group by all),
-n as (select conv_id, 2 as level, up // 4 as top, sha256(string_agg(digest, ',' order by up)) as digest from m group by all), g as (select max(block) as blocks from l)
-select * from l union all select * from m where (select blocks from g) > 0 union all select * from n where (select max(up) from m) > 0""")
+TREE = "t0 as (select conv_id, 0 as level, (i - 1) // 4 as block, sha256(string_agg(entry_hash, ',' order by i)) as digest from c group by all)" + "".join(
+    f", t{k} as (select conv_id, {k} as level, up as block, sha256(string_agg(digest, ',' order by block)) as digest from (select *, block // 4 as up from t{k - 1}) where conv_id in (select conv_id from t{k - 1} where block > 0) group by conv_id, up)" for k in range(1, 16)
+)  # 4^16 turns
+
+
+@query(CHAIN + TREE + " union all ".join(f" select * from t{k}" for k in range(16)))
 def chain_digests(spark, sf_dir):
     """A tree of digests over each conversation's entries, four to a block."""
     c = table(spark, sf_dir, "conversations").withColumn("payload", F.concat("role", F.coalesce("text", F.lit(""))))

@@ -232,7 +232,7 @@ def test_one_altered_entry_of_a_long_chain_is_found(spark):
     assert check(chain.where("at != 345")) == {("e", 346): ["LINK_BROKEN"]}
     trees = [revisions.digest_tree(c, ["entity"], ["at"], fan=8) for c in (chain, rehashed)]
     assert [tuple(r) for r in revisions.first_differing(*trees, ["entity"]).collect()] == [("e", 345 // 8)]
-    assert {(r["entity"], r["level"]): r["n"] for r in trees[0].groupBy("entity", "level").agg(F.count("*").alias("n")).collect()} == {("e", 0): 88, ("e", 1): 11, ("e", 2): 2, ("e", 3): 1, **{("f", k): 1 for k in range(4)}}
+    assert {(r["entity"], r["level"]): r["n"] for r in trees[0].groupBy("entity", "level").agg(F.count("*").alias("n")).collect()} == {("e", 0): 88, ("e", 1): 11, ("e", 2): 2, ("e", 3): 1, ("f", 0): 1}
 
 
 def test_change_sets_and_their_guards(spark):
