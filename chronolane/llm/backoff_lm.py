@@ -40,8 +40,8 @@ from . import textvec
 from .labelled import held_out, learned
 from .shared import give_back, most_counted, slices, written
 
-#: What the shorter context counts for, in tokens, at a state of one word and at one of two; and the root's smoothing.
-MASS, SMOOTH = (1000.0, 8.0), 0.1
+#: What the shorter context counts for, in tokens, at a state of one word and at one of two (chosen on training rows: what the others of them give those with remainder 1); and the root's smoothing.
+MASS, SMOOTH = (16000.0, 8.0), 0.1
 #: Tokens of a unit, and n-grams of a bucket, about: what a Python task holds at once.
 UNIT_TOKENS, BUCKET_KEYS = 1 << 20, 1 << 20
 #: Tokens that a lane of the traversal walks; a longer text is walked by several lanes, each from the state its first two words before it lead to.
