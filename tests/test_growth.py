@@ -22,3 +22,49 @@ def test_layout_is_matched_by_all_bars(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
     assert dict(con.sql(catalog.oracle_sql()["layout_match"]).fetchall()) == got
+
+
+def test_totals_over_what_meets_are_those_of_the_pairs(spark):
+    """Intervals of any length, unit, order and sign, with nulls; and as many equal ones as would make 4 million pairs."""
+    from chronolane.operators import intervals
+
+    rng = random.Random(3)
+    totals = {"n": (F.sum, F.lit(1)), "least": (F.min, "b"), "most": (F.max, "b"), "sum": (F.sum, F.col("b") * 2)}
+    for part in (dt.timedelta(0), dt.timedelta(hours=5), dt.timedelta(microseconds=1)):
+
+        def some(n, name):
+            rows = []
+            for k in range(n):
+                start, length = rng.randrange(-25_000, -22_000), rng.choice([0, 0, 1, 2, 7, 60, 700, -1])
+                low = day(start) + rng.randrange(3) * part
+                rows.append((k, rng.choice([1, 2, None]), low if rng.random() > 0.02 else None, low + dt.timedelta(days=length) + rng.randrange(3) * part))
+            return rows, spark.createDataFrame(rows, f"{name} long, team int, {name}_from timestamp_ntz, {name}_to timestamp_ntz")
+
+        (a, left), (b, right) = some(300, "a"), some(400, "b")
+        meets = lambda x, y: None not in (x[1], x[2], y[2]) and x[1] == y[1] and x[2] <= x[3] and y[2] <= y[3] and x[2] <= y[3] and y[2] <= x[3]
+        want = {x[0]: [y[0] for y in b if meets(x, y)] for x in a}
+        got = intervals.meeting_totals(left, right, ("a_from", "a_to"), ("b_from", "b_to"), ["team"], totals)
+        assert sorted((r["a"], r["n"], r["least"], r["most"], r["sum"]) for r in got.collect()) == sorted((k, len(v), min(v), max(v), 2 * sum(v)) for k, v in want.items() if v)
+        assert intervals.meeting_totals(left, right.limit(0), ("a_from", "a_to"), ("b_from", "b_to"), ["team"], totals).count() == 0
+
+
+def test_evidence_is_never_paired_with_facts(spark, tmp_path):
+    """2,000 facts of 2,000 pieces of evidence each: no step of the plan makes as many rows as there are pairs."""
+    o = spark.range(2000).select(F.col("id").alias("o_orderkey"), (F.col("id") * 100).alias("o_custkey"), F.lit(day(0)).cast("timestamp_ntz").alias("o_orderdate"))
+    x = spark.range(2000).select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), (F.col("id") * 100).alias("l_suppkey"), F.lit(day(0)).cast("timestamp_ntz").alias("l_shipdate"), F.lit(3.0).alias("l_quantity"))
+    o.write.parquet(str(tmp_path / "orders.parquet"))
+    x.write.parquet(str(tmp_path / "lineitem.parquet"))
+    df = catalog.queries()["evidence_validity"](spark, str(tmp_path))
+    assert df.agg(F.min("evidence"), F.max("first_order"), F.sum("lines")).first()[:] == (2000, 0, 4_000_000)
+    rows = df.collect()
+    made, plans = [], [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        p = plans.pop()
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            plans.append(p.executedPlan())
+        elif "QueryStage" in p.getClass().getSimpleName():
+            plans.append(p.plan())
+        if p.metrics().contains("numOutputRows"):
+            made.append(p.metrics().apply("numOutputRows").value())
+        plans += [p.children().apply(k) for k in range(p.children().size())]
+    assert len(rows) == 2000 and 2000 <= max(made) < 20_000
