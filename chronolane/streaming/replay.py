@@ -67,66 +67,100 @@ def _timeless(rows: DataFrame) -> DataFrame:
 
 
 class _Judge(StatefulProcessor):
-    """A key's deliveries: kept until the watermark is past the first of them by the horizon, then judged by seq; later ones at once."""
+    """The deliveries of a bucket of keys: a key's are kept until the watermark is past the first of them by the horizon, then judged by seq; later ones at once.
+
+    The bucket's states are lists that are read and written as a whole, and its one timer is that of the key that is due next,
+    so the calls to the store follow the buckets and not the keys.
+    """
 
     def __init__(self, horizon: int):
         self.horizon = horizon  # milliseconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "seq long, content string")
-        self.first = handle.getValueState("first", "seq long, content string")
-        self.due = handle.getValueState("due", "at long")  # when the key is judged, or forgotten
+        self.waiting = handle.getListState("waiting", "key string, seq long, content string, due long")  # due: when the row's key can be judged
+        self.first = handle.getListState("first", "key string, content string, due long")  # due: when the key is forgotten
+        self.due = handle.getValueState("due", "at long")
 
-    def remind(self, at: int, now: int) -> None:
+    def remind(self, at: int) -> None:
+        """A timer at a time, unless there is an earlier one."""
         if self.due.exists():
-            self.handle.deleteTimer(self.due.get()[0])
-        at = max(at + self.horizon, now + 1)
+            before = self.due.get()[0]
+            if before <= at:
+                return
+            self.handle.deleteTimer(before)
         self.due.update((at,))
         self.handle.registerTimer(at)
 
-    def judge(self, key: str, rows: list[tuple]) -> pd.DataFrame:
-        rows.sort(key=lambda r: (r[0] is None, r[0]))
-        if not self.first.exists():
-            self.first.update(rows[0])
-            state = ["ACCEPTED"]
-        else:
-            state = []
-        content = self.first.get()[1]
-        state += ["DUPLICATE_NOOP" if r[1] == content else "KEY_CONFLICT" for r in rows[len(state) :]]
-        return pd.DataFrame({"key": key, "seq": pd.array([r[0] for r in rows], "Int64"), "content": [r[1] for r in rows], "delivery": state})
+    @staticmethod
+    def store(state, rows: list[tuple]) -> None:
+        state.put(rows) if rows else state.clear()
+
+    @staticmethod
+    def judged(key: str | None, rows: list[tuple], accepted: bool, content: str | None) -> list[tuple]:
+        """(key, seq, content, delivery) of rows(seq, content) in order; the first of them is the accepted one if none was before."""
+        return [(key, seq, c, "ACCEPTED" if k == 0 and not accepted else "DUPLICATE_NOOP" if c == content else "KEY_CONFLICT") for k, (seq, c) in enumerate(rows)]
+
+    @staticmethod
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        key, seq, content, delivery = zip(*rows)
+        return pd.DataFrame({"key": list(key), "seq": pd.array(seq, "Int64"), "content": list(content), "delivery": list(delivery)})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new, times = [], []
-        for batch in rows:
-            seqs, contents = (batch[c].astype(object).where(batch[c].notna(), None) for c in ("seq", "content"))
-            new += [(None if s is None else int(s), c) for s, c in zip(seqs, contents)]
-            times += [int(t) for t in batch["ms"]]
         now = timerValues.getCurrentWatermarkInMs()
-        if self.first.exists():
-            self.remind(max([*times, self.due.get()[0] - self.horizon]), now)
-            yield self.judge(key[0], new)
-        else:
-            self.remind(min([*times, *([self.due.get()[0] - self.horizon] if self.due.exists() else [])]), now)
-            self.waiting.appendList(new)
+        first = {k: (c, due) for k, c, due in self.first.get()} if self.first.exists() else {}
+        wait, late = [], {}
+        for batch in rows:
+            names, seqs, contents = (batch[c].astype(object).where(batch[c].notna(), None) for c in ("key", "seq", "content"))
+            for k, s, c, ms in zip(names, seqs, contents, batch["ms"]):
+                s, at = None if s is None else int(s), max(int(ms) + self.horizon, now + 1)
+                if k in first:
+                    late.setdefault(k, []).append((s, c))
+                    first[k] = first[k][0], max(first[k][1], at)
+                else:
+                    wait.append((k, s, c, at))
+        if wait:
+            self.waiting.appendList(wait)
+            self.remind(min(r[3] for r in wait))
+        if late:
+            self.first.put([(k, *x) for k, x in first.items()])
+            yield self.frame([r for k, x in late.items() for r in self.judged(k, sorted(x, key=_by_seq), True, first[k][0])])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.first.exists():
-            for state in (self.first, self.due):
-                state.clear()
-            return
-        rows = [tuple(r) for r in self.waiting.get()]
-        self.waiting.clear()
-        out = self.judge(key[0], rows)
+        now = timerValues.getCurrentWatermarkInMs()
         self.due.clear()
-        self.remind(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-        yield out
+        first = [r for r in self.first.get() if r[2] >= now] if self.first.exists() else []
+        groups, rest, out = {}, [], []
+        for k, s, c, due in self.waiting.get() if self.waiting.exists() else []:
+            groups.setdefault(k, []).append((s, c, due))
+        for k, rows in groups.items():
+            due = min(r[2] for r in rows)
+            if due >= now:
+                rest += [(k, *r) for r in rows]
+                continue
+            rows = sorted((r[:2] for r in rows), key=_by_seq)
+            first.append((k, rows[0][1], max(due + self.horizon, now + 1)))
+            out += self.judged(k, rows, False, rows[0][1])
+        self.store(self.first, [tuple(r) for r in first])
+        self.store(self.waiting, rest)
+        if first or rest:
+            self.remind(min([r[2] for r in first] + [r[3] for r in rest]))
+        if out:
+            yield self.frame(out)
 
     def close(self) -> None:
         pass
 
 
-def settled(stream: DataFrame, key: str, content: str, at: str, seq: str, horizon_days: int = 1) -> DataFrame:
+def _by_seq(row: tuple) -> tuple:
+    return row[0] is None, row[0] or 0
+
+
+#: Buckets of keys, each with a state of its own; a stream keeps their number for its life.
+BUCKETS = 512
+
+
+def settled(stream: DataFrame, key: str, content: str, at: str, seq: str, horizon_days: int = 1, buckets: int = BUCKETS) -> DataFrame:
     """(key, seq, content, delivery) of each row: ACCEPTED, DUPLICATE_NOOP or KEY_CONFLICT, as `identity.deliveries` judges a batch.
 
     Rows may arrive over any number of micro-batches and in any order within the horizon: a key's deliveries are
@@ -134,16 +168,16 @@ def settled(stream: DataFrame, key: str, content: str, at: str, seq: str, horizo
     first of them by the horizon again, so one with a smaller seq is there by then; then the smallest seq is
     accepted. What comes later is judged at once, until a further horizon has gone by and the key is
     forgotten. Null contents equal each other. A row without event time cannot wait for a watermark: it comes
-    out as NO_EVENT_TIME. A stream that ends leaves what still waits in its checkpoint. Needs the RocksDB state
-    store, which this sets for the session where none is set.
+    out as NO_EVENT_TIME. A stream that ends leaves what still waits in its checkpoint. Keys come in buckets by their hash; a
+    bucket's rows are judged in one call and fit a task. Needs the RocksDB state store, which this sets for the session where none is set.
     """
     horizon = horizon_days * 86_400_000
     conf, store = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
     if "RocksDB" not in conf.get(store, ""):
         conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = _delivered(stream, key, content, at, seq)
-    timed = rows.where("at is not null").withWatermark("at", f"{horizon_days} days").withColumn("ms", F.unix_millis("at"))
-    out = timed.groupBy("key").transformWithStateInPandas(_Judge(horizon), "key string, seq long, content string, delivery string", "Append", "EventTime")
+    timed = rows.where("at is not null").withWatermark("at", f"{horizon_days} days").withColumns({"ms": F.unix_millis("at"), "bucket": F.pmod(F.xxhash64("key"), F.lit(buckets))})
+    out = timed.groupBy("bucket").transformWithStateInPandas(_Judge(horizon), "key string, seq long, content string, delivery string", "Append", "EventTime")
     return out.unionByName(_timeless(rows))
 
 
