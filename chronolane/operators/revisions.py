@@ -121,21 +121,26 @@ def edge_pass_rate(edges: DataFrame, by: list[str], child_parent: str, parent_ou
 def chain_states(rows: DataFrame, key: list[str], node: str, parent: str) -> DataFrame:
     """(key, node, chain, depth) of all rows by pointer jumping: REACHED from a root with its depth, DANGLING below a missing parent, or CYCLE.
 
-    Each round doubles the steps a row looks up, so the rounds are log2 of the longest chain, and
-    each is written. A row that still moves after as many steps as there are rows is on a cycle, or
-    behind one. (key, node) is unique; repeated rows count once.
+    Each round doubles the steps a row looks up, so the rounds are log2 of the longest chain that ends, and one
+    more. A round writes the rows that moved in it; those that stand are left where they were written. Where a round
+    lets none of the moving rows stand, each of them looks up another one: they are on a cycle, or behind one.
+    (key, node) is unique; repeated rows count once.
     """
     edges = rows.select(*key, F.col(node).alias("node"), F.col(parent).alias("up")).distinct()
     # up: the ancestor so many steps away; null where the row stands at its root already, or hangs
     start = edges.withColumn("steps", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")).withColumn("hangs", F.lit(False))
+    # the tables are equi-joined by sort, as each would be broadcast through the driver in every round while it is small
     at = written(start, "chain")
-    most, far = at.count(), 1
-    while far <= most and not at.where(F.col("up").isNotNull()).isEmpty():
-        via = at.select(*key, F.col("node").alias("_via"), F.col("up").alias("_beyond"), F.col("steps").alias("_more"), F.col("hangs").alias("_hangs"))
-        both = at.where(F.col("up").isNotNull()).join(via.withColumnRenamed("_via", "up"), [*key, "up"], "left")
+    stands, moving = at.where("up is null"), at.where("up is not null")
+    left, before, most, far = moving.count(), None, at.count(), 1
+    while left and left != before and far <= most:  # with (key, node) unique, the second ends it long before the third
+        via = moving.unionByName(stands).select(*key, F.col("node").alias("up"), F.col("up").alias("_beyond"), F.col("steps").alias("_more"), F.col("hangs").alias("_hangs"))
+        both = moving.join(via.hint("merge"), [*key, "up"], "left")
         moved = both.select(*key, "node", F.col("_beyond").alias("up"), (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps"), F.coalesce("_hangs", F.lit(True)).alias("hangs"))
-        at = written(moved.unionByName(at.where(F.col("up").isNull())), "chain")
-        far *= 2
+        moved = written(moved, "chain")
+        stands, moving = stands.unionByName(moved.where("up is null")), moved.where("up is not null")
+        left, before, far = moving.count(), left, far * 2
+    at = stands.unionByName(moving)
     state = ladder((F.col("up").isNotNull(), "CYCLE"), (F.col("hangs"), "DANGLING"), otherwise="REACHED")
     return at.select(*key, "node", state.alias("chain"), F.when(F.col("up").isNull() & ~F.col("hangs"), F.col("steps")).cast("int").alias("depth"))
 

@@ -98,3 +98,34 @@ def test_deliveries_keep_a_timer_for_each_bucket_and_not_for_each_key(spark, tmp
     batch = identity.deliveries(spark.createDataFrame([r[:3] for r in given], "key string, content string, seq long"), "key", "content", "seq")
     first = next(c for k, c, s, _ in sorted(given, key=lambda r: r[2]) if k == "k5")
     assert len(rows) == len(got) and got == {r["seq"]: r["delivery"] for r in batch.collect()} | {9000 + n: "DUPLICATE_NOOP" if c == first else "KEY_CONFLICT" for n, c in enumerate("ab")} | {8000: "ACCEPTED", 8001: "DUPLICATE_NOOP"}
+
+
+def rounds(monkeypatch, module):
+    """The names of the tables that an operator writes."""
+    names, plain = [], module.written
+    monkeypatch.setattr(module, "written", lambda df, name: names.append(name) or plain(df, name))
+    return names
+
+
+def test_rows_on_a_cycle_do_not_ask_for_rounds_of_their_own(spark, monkeypatch):
+    """Chains of 12 beside cycles of 1, 2, 3 and 7, rows behind them and 5,000 roots: rounds follow the chains, and no table goes through the driver."""
+    from chronolane.operators import revisions
+
+    names = rounds(monkeypatch, revisions)
+    links = [(n, n - 1 if n % 12 else None) for n in range(120)] + [(1000 * c + i, 1000 * c + (i + 1) % c) for c in (1, 2, 3, 7) for i in range(c)] + [(1500, 1000), (1501, 1500), (7100, 7003), (9001, 9000), (9002, 9001)]
+    rows = spark.createDataFrame(links + [(n, None) for n in range(20_000, 25_000)], "node long, parent long")
+    got = revisions.chain_states(rows, [], "node", "parent")
+    assert "Broadcast" not in got._jdf.queryExecution().toString() and len(names) <= 7
+    found = {r["node"]: (r["chain"], r["depth"]) for r in got.collect()}
+    assert found == {n: ("REACHED", n % 12) if n < 120 else ("REACHED", 0) if n >= 20_000 else ("DANGLING", None) if n > 9000 else ("CYCLE", None) for n, _ in links + [(n, None) for n in range(20_000, 25_000)]}
+
+
+def test_ways_that_never_end_are_seen_when_none_ends(spark, monkeypatch):
+    """As before, in a graph's levels."""
+    from chronolane.operators import graphs
+
+    names = rounds(monkeypatch, graphs)
+    edges = [(n, n - 1) for n in range(120) if n % 12] + [(1000 * c + i, 1000 * c + (i + 1) % c) for c in (1, 2, 3, 7) for i in range(c)] + [(1500, 1000), (1501, 1500), (7100, 7003)]
+    nodes = sorted({n for e in edges for n in e} | set(range(20_000, 25_000)))
+    got = graphs.levels(spark.createDataFrame([(n,) for n in nodes], "node long"), spark.createDataFrame(edges, "node long, parent long"))
+    assert {r["node"]: r["level"] for r in got.collect()} == {n: n % 12 if n < 120 else 0 if n >= 20_000 else None for n in nodes} and names.count("singles") <= 9
