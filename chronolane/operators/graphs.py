@@ -25,16 +25,19 @@ def _ends(singles: DataFrame) -> DataFrame:
     A way stands for level -> max(b, level + w), and two of them in a row for one of the same kind.
     """
     at = written(singles.select("node", "up", "w", "b"), "singles")
-    names, most, far = at.select(F.col("node").alias("single")), at.count(), 1
-    at = at.join(names, F.col("up") == F.col("single"), "left").select("node", "up", "w", "b", F.col("single").isNotNull().alias("open"))
-    while True:
-        at = written(at, "singles")
-        if far > most or at.where("open").isEmpty():
-            return at.withColumnRenamed("open", "endless")
-        via = at.select(F.col("node").alias("_via"), F.col("up").alias("_up"), F.col("w").alias("_w"), F.col("b").alias("_b"), F.col("open").alias("_open"))
-        moved = at.where("open").join(via, F.col("up") == F.col("_via"))
+    names = at.select(F.col("node").alias("single"))
+    at = written(at.join(names, F.col("up") == F.col("single"), "left").select("node", "up", "w", "b", F.col("single").isNotNull().alias("open")), "singles")
+    ended, moving = at.where("not open"), at.where("open")
+    left, before = moving.count(), None
+    # a round in which no way ends: each that is open leads to another open one, and so for ever
+    while left and left != before:
+        via = moving.unionByName(ended).select(F.col("node").alias("_via"), F.col("up").alias("_up"), F.col("w").alias("_w"), F.col("b").alias("_b"), F.col("open").alias("_open"))
+        moved = moving.join(via, F.col("up") == F.col("_via"))
         moved = moved.select("node", F.col("_up").alias("up"), (F.col("w") + F.col("_w")).alias("w"), F.greatest(F.col("b"), F.col("w") + F.col("_b")).alias("b"), F.col("_open").alias("open"))
-        at, far = moved.unionByName(at.where("not open")), far * 2
+        moved = written(moved, "singles")
+        ended, moving = ended.unionByName(moved.where("not open")), moved.where("open")
+        left, before = moving.count(), left
+    return ended.unionByName(moving).withColumnRenamed("open", "endless")
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
