@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,11 +76,18 @@ def append(records: DataFrame, path: str) -> DataFrame:
     batch = written(checked(records.withColumn("content_hash", F.coalesce("content_hash", content_hash()))).withColumn("bucket", bucket()), "batch")
     own = [r[0] for r in batch.where("reject is null").select("bucket").distinct().collect()]  # BUCKETS at most
     there = stored(spark, path, own).select(F.col("record_id").alias("_id"), F.col("content_hash").alias("_hash"))
-    first = batch.where("reject is null").groupBy("record_id").agg(F.min("content_hash").alias("_first"))
-    judged = batch.join(first, "record_id", "left").join(there, F.col("record_id") == F.col("_id"), "left")
-    outcome = F.coalesce(F.col("reject"), F.when(F.col("_hash").isNotNull(), F.when(F.col("_hash") == F.col("content_hash"), "NOOP").otherwise("CONFLICT")), F.when(F.col("content_hash") != F.col("_first"), "CONFLICT"), F.lit("APPENDED"))
-    judged = written(judged.withColumn("outcome", outcome).select(*SCHEMA.fieldNames(), "bucket", "outcome"), "judged")
-    new = judged.where("outcome = 'APPENDED'").dropDuplicates(["record_id"]).select(*SCHEMA.fieldNames(), "bucket")
+    # one shuffle of the sound rows: a record's repeats stand together, the least hash first, and meet what is stored
+    w = Window.partitionBy("record_id").orderBy("content_hash")
+    sound = batch.where("reject is null").withColumns({"_first": F.first("content_hash").over(w), "_nth": F.row_number().over(w)})
+    sound = sound.join(there, F.col("record_id") == F.col("_id"), "left")
+    outcome = F.coalesce(F.when(F.col("_hash").isNotNull(), F.when(F.col("_hash") == F.col("content_hash"), "NOOP").otherwise("CONFLICT")), F.when(F.col("content_hash") != F.col("_first"), "CONFLICT"), F.lit("APPENDED"))
+    sound = sound.withColumn("outcome", outcome).withColumn("_new", (F.col("outcome") == "APPENDED") & (F.col("_nth") == 1))
+    # only what is to be appended keeps its content
+    rest = [c for c in SCHEMA.fieldNames() if c != "record_id"]
+    told = sound.select("record_id", "outcome", "_new", *(F.when(F.col("_new"), F.col(c)).alias(c) for c in [*rest, "bucket"]))
+    refused = batch.where("reject is not null").select("record_id", F.col("reject").alias("outcome"), F.lit(False).alias("_new"))
+    judged = written(told.unionByName(refused, allowMissingColumns=True), "judged")
+    new = judged.where("_new").select(*SCHEMA.fieldNames(), "bucket")
     if not new.isEmpty():
         folder = f"append={uuid.uuid4().hex}"
         new.repartition("domain", "bucket").write.partitionBy("domain", "bucket").parquet(f"{path.rstrip('/')}/{folder}")
@@ -125,14 +132,15 @@ def manifest_states(spark: SparkSession, path: str) -> DataFrame:
     A record without a manifest is none of the archive's: an append that broke off leaves such.
     """
     files = _files(spark, path)
-    found = files.withColumns({"_ref": _ref() if _there(spark, path) else F.lit(None).cast("string"), "_made": content_hash()})
-    found = found.select(F.col("record_id").alias("_id"), "_ref", "_made", *(c for c in SCHEMA.fieldNames() if c != "record_id"))
-    both = manifests(spark, path).join(found, F.col("record_id") == F.col("_id"), "left")
+    # what one side alone can tell is told before the join, so that its hash is not shuffled
+    found = files.withColumns({"_ref": _ref() if _there(spark, path) else F.lit(None).cast("string"), "_true": F.col("content_hash").eqNullSafe(content_hash())})
+    found = found.select(F.col("record_id").alias("_id"), "_ref", "_true", *(c for c in SCHEMA.fieldNames() if c != "record_id"))
+    both = manifests(spark, path).withColumn("_whole", F.col("manifest_hash").eqNullSafe(manifest_hash())).join(found, F.col("record_id") == F.col("_id"), "left")
     state = ladder(
-        (~F.col("manifest_hash").eqNullSafe(manifest_hash()), "MANIFEST_HASH_MISMATCH"), (F.col("_id").isNull(), "RECORD_MISSING"), (~F.col("artifact_ref").eqNullSafe(F.col("_ref")), "RECORD_ELSEWHERE"),
-        (~(F.col("artifact_hash").eqNullSafe(F.col("content_hash")) & F.col("artifact_hash").eqNullSafe(F.col("_made"))), "ARTIFACT_HASH_MISMATCH"), otherwise="OK",
+        (~F.col("_whole"), "MANIFEST_HASH_MISMATCH"), (F.col("_id").isNull(), "RECORD_MISSING"), (~F.col("artifact_ref").eqNullSafe(F.col("_ref")), "RECORD_ELSEWHERE"),
+        (~(F.col("artifact_hash").eqNullSafe(F.col("content_hash")) & F.col("_true")), "ARTIFACT_HASH_MISMATCH"), otherwise="OK",
     )
-    return both.withColumn("manifest_state", state).drop("_id", "_ref", "_made")
+    return both.withColumn("manifest_state", state).drop("_id", "_ref", "_true", "_whole")
 
 
 def verified_scan(spark: SparkSession, path: str) -> DataFrame:

@@ -129,3 +129,22 @@ def test_ways_that_never_end_are_seen_when_none_ends(spark, monkeypatch):
     nodes = sorted({n for e in edges for n in e} | set(range(20_000, 25_000)))
     got = graphs.levels(spark.createDataFrame([(n,) for n in nodes], "node long"), spark.createDataFrame(edges, "node long, parent long"))
     assert {r["node"]: r["level"] for r in got.collect()} == {n: n % 12 if n < 120 else 0 if n >= 20_000 else None for n in nodes} and names.count("singles") <= 9
+
+
+def test_an_append_stages_the_content_of_new_records_alone(spark, tmp_path, monkeypatch):
+    """Repeats, conflicts, refused and stored records beside new ones; and a manifest's own hash is not joined."""
+    from chronolane.sources import archive
+
+    staged, plain = {}, archive.written
+    monkeypatch.setattr(archive, "written", lambda df, name: staged.setdefault(name, []).append(plain(df, name)) or staged[name][-1])
+    path = str(tmp_path / "archive")
+    make = lambda *rows: spark.createDataFrame([(k, 1, "odds", "p", 1, day(0), day(1), body, None, domain) for k, body, domain in rows], archive.SCHEMA)
+    archive.append(make(("a", "x", "PRE_MATCH"), ("b", "x", "PRE_MATCH")), path)
+    report = archive.append(make(("a", "x", "PRE_MATCH"), ("b", "y", "PRE_MATCH"), ("c", "x", "PRE_MATCH"), ("c", "x", "PRE_MATCH"), ("d", "x", "PRE_MATCH"), ("d", "y", "PRE_MATCH"), ("e", "x", "ELSEWHERE")), path)
+    assert sorted(map(tuple, report.collect())) == [("a", "NOOP"), ("b", "CONFLICT"), ("c", "APPENDED"), ("c", "APPENDED"), ("d", "APPENDED"), ("d", "CONFLICT"), ("e", "UNKNOWN_DOMAIN")]
+    assert sorted(r["record_id"] for r in archive.verified_scan(spark, path).collect()) == ["a", "b", "c", "d"]
+    assert sorted(r["record_id"] for r in staged["judged"][-1].where("payload is not null").collect()) == ["c", "d"]
+    plan = archive.manifest_states(spark, path).select("manifest_state")._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().apply(0)
+    assert "manifest_hash" not in plan.children().apply(0).output().toString()
