@@ -148,3 +148,12 @@ def test_an_append_stages_the_content_of_new_records_alone(spark, tmp_path, monk
     while plan.nodeName() != "Join":
         plan = plan.children().apply(0)
     assert "manifest_hash" not in plan.children().apply(0).output().toString()
+
+
+def test_a_match_across_partitions_is_found_without_distinct_counts(spark):
+    from chronolane.operators import validation
+
+    rows = [(1, "a", 1), (2, "a", 1), (3, "b", 1), (4, "b", 2), (5, "c", None), (6, "c", 2), (7, "d", None)]
+    s = spark.createDataFrame(rows, "id long, match string, part long").withColumns({c: F.lit(n) for n, c in enumerate(("at", "cut", "label"))})
+    got = validation.leakage(s, "id", "at", "cut", "label", "part", "match")
+    assert [tuple(r) for r in got.collect()] == [("MATCH_ACROSS_PARTITIONS", "b")] and "distinct" not in got._jdf.queryExecution().executedPlan().toString()
